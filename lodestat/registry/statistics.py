@@ -150,7 +150,7 @@ _add(
     f"""WITH g AS {_CLOSE} SELECT 'one_sample_ttest' AS test, 'p_size' AS column1, NULL AS column2,
       round(avg(p_size) / (stddev_samp(p_size) / sqrt(count(p_size))), 4) AS statistic FROM g
       UNION ALL SELECT 'one_sample_ttest', 'price', NULL, round(avg(price) / (stddev_samp(price) / sqrt(count(price))), 4) FROM g
-      UNION ALL SELECT 'two_sample_ttest', column1, column2, round(t_statistic, 4) FROM ({_T})
+      UNION ALL SELECT 'two_sample_ttest', column1, column2, t_statistic FROM ({_T.replace(', 5) AS t', ', 4) AS t')})
       UNION ALL SELECT 'mann_whitney_test', column1, column2, u_statistic FROM ({_U.format(t=_CLOSE, a="p_size", b="price")})
       UNION ALL SELECT 'levene_test', column1, column2, statistic FROM ({_F})""",
 )
