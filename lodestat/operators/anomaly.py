@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestat.functions.columns import Columns, numeric_columns, number, pick, present, require
 from lodestat.operators.series import decompose
-from lodestat.plans.neighbors import build_tree, coordinates, count_within, nearest, weighted_points
+from lodestat.plans.lineage import checkpoint
+from lodestat.plans.neighbors import Tree, build_tree, coordinates, count_within, nearest, weighted_points
 from lodestat.plans.quantiles import quantiles
+from lodestat.plans.skew import HOT_SHARE
 from lodestat.plans.sums import FourierFeatures, vector_sum
 
 
@@ -245,10 +247,18 @@ def one_class_svm(
 # --- neighbours ------------------------------------------------------------
 
 
-def _rows_at(df: DataFrame, columns: list[str], places: DataFrame) -> DataFrame:
-    """Rows of the table at the given points (q)."""
+def _rows_at(df: DataFrame, columns: list[str], places: DataFrame, tree: Tree, crowd: int) -> DataFrame:
+    """Rows of the table at the given points (q).
+
+    A point with `crowd` or more rows is never among them, so rows at hot points
+    leave by a broadcast of these (under 1 / HOT_SHARE points) before the rest
+    is shuffled.
+    """
+    rows = tree.points.agg(F.sum("w")).first()[0] or 0
+    hot = tree.points.where(F.col("w") >= max(crowd, rows * HOT_SHARE)).select(F.col("at").alias("_at"))
     return (
         df.withColumn("_at", coordinates(df, columns))
+        .join(F.broadcast(hot), "_at", "left_anti")
         .join(places.select(F.col("q").alias("_at")), "_at", "left_semi").drop("_at")
     )
 
@@ -259,13 +269,12 @@ def dbscan_noise(df: DataFrame, columns: Columns, eps: float = 0.5, min_samples:
     A core point has at least `min_samples` rows within eps, itself included.
     """
     names = pick(df, columns, numeric_columns(df))
-    points = weighted_points(df, names)
-    tree = build_tree(points, len(names))
-    counts = count_within(points.select(F.col("at").alias("q")), tree, eps, min_samples)
-    loose = counts.where(F.col("found") < min_samples).select("q")
-    core = tree.points.drop("cell").join(loose.select(F.col("q").alias("at")), "at", "left_anti")
-    near_core = count_within(loose, build_tree(core, len(names)), eps, 1)
-    return _rows_at(df, names, near_core.where("found = 0"))
+    tree = build_tree(weighted_points(df, names), len(names))
+    counts = count_within(tree.points.select(F.col("at").alias("q")), tree, eps, min_samples)
+    loose = checkpoint(counts.where(F.col("found") < min_samples).select("q"))
+    core = tree.points.join(loose.select(F.col("q").alias("at")), "at", "left_anti")
+    near_core = count_within(loose, build_tree(core, len(names), like=tree), eps, 1)
+    return _rows_at(df, names, near_core.where("found = 0"), tree, min_samples)
 
 
 def knn_distance(df: DataFrame, columns: Columns, n_neighbors: int = 5, threshold: float = 1.5) -> DataFrame:
@@ -276,16 +285,15 @@ def knn_distance(df: DataFrame, columns: Columns, n_neighbors: int = 5, threshol
     cannot exceed the threshold, so only the other rows are searched in full.
     """
     names = pick(df, columns, numeric_columns(df))
-    points = weighted_points(df, names)
-    tree = build_tree(points, len(names))
+    tree = build_tree(weighted_points(df, names), len(names))
     k = n_neighbors
     safe = threshold * k / (k - 1) if k > 1 else 0.0
-    queries = points.select(F.col("at").alias("q"))
+    queries = tree.points.select(F.col("at").alias("q"))
     # a hair less, so that rounding cannot clear a row at the very limit
     open_queries = count_within(queries, tree, safe * (1 - 1e-9), k).where(F.col("found") < k).select("q")
     found = nearest(open_queries, tree, k).groupBy("q").agg(
         (F.sum(F.sqrt("squared") * F.col("take")) / F.sum("take")).alias("mean"))
-    return _rows_at(df, names, found.where(F.col("mean") > threshold))
+    return _rows_at(df, names, found.where(F.col("mean") > threshold), tree, k)
 
 
 def seasonal_residual(

@@ -225,8 +225,8 @@ def _orders(spec: DataFrame, by: list[str], period: int) -> DataFrame:
     """Each series with its best order by AIC among p, q <= 2, d <= 1 and an
     optional seasonal difference. Orders are tried in parallel groups.
 
-    Models of the same differencing are compared by AIC; which differencing is
-    used follows the smaller variance of the differenced series.
+    Differencing keeps volumes, so fits of unequally differenced series compare
+    by AIC per remaining value.
     """
     options = F.array(*[
         F.struct(F.lit(p).alias("p"), F.lit(d).alias("d"), F.lit(q).alias("q"), F.lit(s).alias("s"))
@@ -298,7 +298,7 @@ def residuals(df: DataFrame, model: str = "exponential_smoothing", by: Columns =
     """(by..., ts, residual) of the known steps that have one."""
     by = pick(df, by, [])
     fitted = fit_series(df, model, by, 1, **options)
-    return fitted.where("part = 'residual' and not isnan(value)").select(*by, "ts", F.col("value").alias("residual"))
+    return fitted.where("part = 'residual' and value is not null and not isnan(value)").select(*by, "ts", F.col("value").alias("residual"))
 
 
 def residual_diagnostics(df: DataFrame, model: str = "exponential_smoothing", by: Columns = None, bins: int = 20, **options):

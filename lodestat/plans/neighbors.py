@@ -29,6 +29,10 @@ _DEEPEST_BITS = 48    # finest resolution per dimension
 _STEPS_PER_CUT = 6    # levels between checkpoints of a descent
 
 
+def _root() -> Column:
+    return F.array(F.lit(0).cast("long"))
+
+
 @dataclass
 class Tree:
     """Cells of all levels; level 0 is the root and holds no row."""
@@ -72,38 +76,61 @@ def _coarser(cell: str, bits: int) -> Column:
     return F.transform(F.col(cell), lambda c: F.shiftright(c, bits))
 
 
-def build_tree(points: DataFrame, dims: int) -> Tree:
-    """Tree over (at, w, ...) rows. Its size is read once, then all levels are
-    aggregated bottom up from the finest one and written to the shared folder."""
+def build_tree(points: DataFrame, dims: int, like: Tree | None = None) -> Tree:
+    """Tree over (at, w, ...) rows, written to the shared folder.
+
+    The size is read once to choose the depth, or taken over from the tree of a
+    larger set of points (`like`). Levels are aggregated bottom up.
+    """
+    if like is not None:
+        levels, placed = like.levels, points
+    else:
+        levels, placed = _placed(points, dims)
+    step = _step_bits(dims)
+    lows = [F.min(F.col("lo")[i]) for i in range(dims)]
+    highs = [F.max(F.col("hi")[i]) for i in range(dims)]
+    layer = placed.select("cell", F.col("w").alias("n"), F.col("at").alias("lo"), F.col("at").alias("hi"))
+    written, pending = [], []
+    for level in range(levels, 0, -1):
+        layer = layer.groupBy("cell").agg(F.sum("n").alias("n"), F.array(*lows).alias("lo"), F.array(*highs).alias("hi"))
+        parent = _coarser("cell", step) if level > 1 else _root()
+        layer = layer.select(F.lit(level).alias("level"), "cell", parent.alias("parent"), "n", "lo", "hi")
+        pending.append(layer)
+        if len(pending) == _STEPS_PER_CUT or level == 1:
+            done = checkpoint(reduce(DataFrame.unionByName, pending))
+            layer = done.where(F.col("level") == level)
+            written.append(done)
+            pending = []
+        layer = layer.select(F.col("parent").alias("cell"), "n", "lo", "hi")
+    cells = reduce(DataFrame.unionByName, written)
+    counts = {r["level"]: r["count"] for r in cells.groupBy("level").count().collect()}
+    return Tree(dims, levels, cells, {i: counts.get(i, 0) for i in range(1, levels + 1)}, placed)
+
+
+def _step_bits(dims: int) -> int:
+    """Bits per dimension and level: about sixteen children in few dimensions."""
+    return {1: 4, 2: 2}.get(dims, 1)
+
+
+def _placed(points: DataFrame, dims: int) -> tuple[int, DataFrame]:
+    """(levels, points with their finest cell), deep enough for small cells."""
+    points = checkpoint(points)
     box = points.agg(
         F.count(F.lit(1)).alias("rows"),
         *[a for i in range(dims) for a in (F.min(F.col("at")[i]).alias(f"lo{i}"), F.max(F.col("at")[i]).alias(f"hi{i}"))],
     ).first()
-    step = {1: 4, 2: 2}.get(dims, 1)
+    step = _step_bits(dims)
     deepest = _DEEPEST_BITS // step
     levels = max(1, math.ceil(math.log2(max(2, box["rows"] / _LEAF_POINTS)) / (dims * step)))
     while True:
-        bits = levels * step
-        index = F.array(*[_index(i, box[f"lo{i}"], box[f"hi{i}"], bits) for i in range(dims)]) if box["rows"] else F.array()
-        placed = points.withColumn("cell", index)
-        fullest = placed.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
+        places = [_index(i, box[f"lo{i}"] or 0.0, box[f"hi{i}"] or 0.0, levels * step) for i in range(dims)]
+        placed = points.withColumn("cell", F.array(*places))
+        if box["rows"] <= _LEAF_LIMIT:
+            return levels, placed
+        fullest = placed.groupBy("cell").count().agg(F.max("count")).first()[0]
         if fullest <= _LEAF_LIMIT or levels >= deepest:
-            break
+            return levels, placed
         levels = min(deepest, levels + max(1, math.ceil(math.log2(fullest / _LEAF_LIMIT) / step)))
-    lows = [F.min(F.col("lo")[i]) for i in range(dims)]
-    highs = [F.max(F.col("hi")[i]) for i in range(dims)]
-    layer = placed.select("cell", F.col("w").alias("n"), F.col("at").alias("lo"), F.col("at").alias("hi"))
-    layers = []
-    for level in range(levels, 0, -1):
-        layer = layer.groupBy("cell").agg(F.sum("n").alias("n"), F.array(*lows).alias("lo"), F.array(*highs).alias("hi"))
-        parent = _coarser("cell", step) if level > 1 else F.array(F.lit(0).cast("long"))
-        layer = layer.withColumn("parent", parent)
-        layer = checkpoint(layer.select(F.lit(level).alias("level"), "cell", "parent", "n", "lo", "hi"))
-        layers.append(layer)
-        layer = layer.select(F.col("parent").alias("cell"), "n", "lo", "hi")
-    cells = reduce(DataFrame.unionByName, layers)
-    counts = {r["level"]: r["count"] for r in cells.groupBy("level").count().collect()}
-    return Tree(dims, levels, cells, {i: counts.get(i, 0) for i in range(1, levels + 1)}, placed)
 
 
 def _near(dims: int) -> Column:
@@ -128,9 +155,6 @@ def _squared(dims: int) -> Column:
     return reduce(add, [g * g for g in gaps])
 
 
-_ROOT = F.array(F.lit(0).cast("long"))
-
-
 def _step(state: DataFrame, tree: Tree, level: int, how: str) -> DataFrame:
     joined = state.join(tree.level(level), "cell", how)
     return joined.withColumn("near", _near(tree.dims)).withColumn("far", _far(tree.dims))
@@ -145,7 +169,7 @@ def count_within(queries: DataFrame, tree: Tree, radius: float, enough: int) ->
     limit = F.lit(float(radius) * float(radius))
     mine = Window.partitionBy("q")
     done = F.array(F.lit(-1).cast("long"), F.xxhash64("q"))  # matches no cell, spreads evenly
-    state = queries.select("q", F.lit(0).cast("long").alias("sure"), _ROOT.alias("cell"))
+    state = queries.select("q", F.lit(0).cast("long").alias("sure"), _root().alias("cell"))
     for level in range(1, tree.levels + 1):
         rows = _step(state, tree, level, "left")
         rows = rows.withColumn("sure", F.col("sure") + F.coalesce(
@@ -170,7 +194,7 @@ def nearest(queries: DataFrame, tree: Tree, k: int, order: Sequence[str] = ()) -
     """
     mine = Window.partitionBy("q")
     by_far = mine.orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    state = queries.select("q", F.lit(math.inf).alias("bound"), _ROOT.alias("cell"))
+    state = queries.select("q", F.lit(math.inf).alias("bound"), _root().alias("cell"))
     for level in range(1, tree.levels + 1):
         rows = _step(state, tree, level, "inner").withColumn("reached", F.sum("n").over(by_far))
         kth = F.min(F.when(F.col("reached") >= k, F.col("far"))).over(mine)

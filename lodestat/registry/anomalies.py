@@ -62,12 +62,12 @@ _add(
 )
 _add(
     "f7_knn_distance",
-    lambda s, d: anomaly.knn_distance(_scaled(s, d), ["x", "y"], n_neighbors=5, threshold=0.45).select("p_partkey"),
+    lambda s, d: anomaly.knn_distance(_scaled(s, d), ["x", "y"], n_neighbors=5, threshold=0.22).select("p_partkey"),
     f"""WITH g AS {_SCALED}, ranked AS (SELECT a.p_partkey AS k,
           sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist,
           row_number() OVER (PARTITION BY a.p_partkey ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS r
           FROM g a CROSS JOIN g b)
-        SELECT k AS p_partkey FROM ranked WHERE r <= 5 GROUP BY k HAVING avg(dist) > 0.45""",
+        SELECT k AS p_partkey FROM ranked WHERE r <= 5 GROUP BY k HAVING avg(dist) > 0.22""",
 )
 
 
