@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestat.functions.columns import Columns, numeric_columns, number, pick, present, require
 from lodestat.operators.series import decompose
+from lodestat.plans.layout import spread
 from lodestat.plans.lineage import checkpoint
 from lodestat.plans.neighbors import Tree, build_tree, coordinates, count_within, nearest, weighted_points
 from lodestat.plans.quantiles import quantiles
@@ -200,7 +201,7 @@ def one_class_svm(
     names = pick(df, columns, numeric_columns(df))
     lift = FourierFeatures(len(names), gamma or 1.0 / len(names), features, seed)
     at = coordinates(df, names)
-    rows = df.select(at.alias("x")).where("x is not null").persist()
+    rows = spread(df.select(at.alias("x")).where("x is not null")).persist()
     bins = 1_024
 
     def step_sums(w: np.ndarray, rho: float, low: float, high: float):

@@ -8,8 +8,9 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lodestat.functions.columns import Columns, numeric_columns, pick, text_columns
-from lodestat.plans.ranks import BUCKET, running_total, with_bucket
-from lodestat.plans.sizing import column_sizes, count_sizes
+from lodestat.plans.ranks import running_total, with_bucket
+from lodestat.plans.lineage import checkpoint
+from lodestat.plans.sizing import SMALL_DISTINCT, bucket_splits, column_sizes, count_sizes
 from lodestat.plans.skew import join_values
 
 # What counts as a number in text.
@@ -168,15 +169,19 @@ def _order_key(df: DataFrame, column: str):
     return F.conv(digits, 16, 10).cast("double")
 
 
-def label_codes(df: DataFrame, column: str) -> DataFrame:
+def label_codes(df: DataFrame, column: str, distinct: int) -> DataFrame:
     """(column, code, n, total): 0-based code of each distinct value in sorted order."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    if distinct <= SMALL_DISTINCT:
+        order = Window.orderBy(column)  # a small table by its measured size
+        coded = counts.withColumn("code", F.row_number().over(order) - 1)
+        return coded.select(column, F.col("code").cast("long").alias("code"), "n", F.lit(0).alias("total"))
     key = F.col(column) if column in numeric_columns(df) else _order_key(df, column)
     size = column_sizes(df, {"k": key})["k"]
-    keyed = with_bucket(counts.withColumn("_one", F.lit(1)), key, size.splits)
+    splits = bucket_splits(size.edges, distinct)
+    keyed = with_bucket(counts.withColumn("_one", F.lit(1)), key, splits)
     coded = running_total(keyed, "_one", [column], before="code", total="_distinct")
-    rows = size.rows
-    return coded.select(column, F.col("code").cast("long").alias("code"), "n", F.lit(rows).alias("total"))
+    return coded.select(column, F.col("code").cast("long").alias("code"), "n", F.lit(size.rows).alias("total"))
 
 
 def label_encode(df: DataFrame, columns: Columns = None) -> DataFrame:
@@ -184,12 +189,17 @@ def label_encode(df: DataFrame, columns: Columns = None) -> DataFrame:
     names = pick(df, columns, text_columns(df))
     sizes = count_sizes(df, {c: F.col(c) for c in names})
     for c in names:
-        codes = label_codes(df, c)
-        last = codes.agg(F.count(F.lit(1)).alias("k")).first()["k"]
+        codes = label_codes(df, c, sizes[c])
+        last = F.lit(codes.count()).cast("long")
+        ordered = [F.coalesce("code", last).alias(c) if x == c else F.col(x) for x in df.columns]
+        if sizes[c] <= SMALL_DISTINCT:
+            df = df.join(F.broadcast(codes.select(c, "code")), c, "left").select(*ordered)  # size checked
+            continue
         known = join_values(df.where(F.col(c).isNotNull()), codes, c, sizes[c])
-        missing = df.where(F.col(c).isNull()).withColumn("code", F.lit(last).cast("long"))
-        ordered = [F.col("code").alias(c) if x == c else F.col(x) for x in df.columns]
+        missing = df.where(F.col(c).isNull()).withColumn("code", F.lit(None).cast("long"))
         df = known.select(*ordered).unionByName(missing.select(*ordered))
+        if c != names[-1]:
+            df = checkpoint(df)  # the next column reads the rows more than once
     return df
 
 

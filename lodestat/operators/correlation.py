@@ -10,12 +10,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestat.functions.columns import Columns, numeric_columns, pick, present, rows_from
-from lodestat.plans.ranks import average_rank, value_ranks, with_bucket
+from lodestat.plans.ranks import BUCKET, average_rank, value_ranks, with_bucket
 from lodestat.plans.sizing import BUCKET_VALUES, ColumnSize, bucket_splits, column_sizes
-from lodestat.plans.skew import join_values
 
 GRID_SIDE = 1_024
 METHODS = ("pearson", "spearman", "kendall")
@@ -50,12 +49,32 @@ def pearson_matrix(df: DataFrame, columns: Columns = None) -> DataFrame:
 
 
 def with_ranks(df: DataFrame, names: list[str], sizes: dict[str, ColumnSize]) -> DataFrame:
-    """The columns replaced by their average ranks; no value may be missing."""
+    """The columns replaced by their average ranks; no value may be missing.
+
+    Ranks of a column with few distinct values come from a broadcast table.
+    Otherwise the rows are cut into rank-balanced buckets: a row's rank is the
+    number of rows in earlier buckets plus its rank inside its own. A value that
+    fills a bucket needs no rank inside it, so its rows are spread over salts.
+    """
+    base = df
     for c in names:
-        ranks = value_ranks(df, F.col(c), size=sizes[c]).select(
-            F.col("value").alias(c), "n", "total", average_rank().alias("_rank"))
-        joined = join_values(df, ranks, c, sizes[c].distinct)
-        df = joined.drop(c, "n", "total").withColumnRenamed("_rank", c)
+        if sizes[c].small:
+            ranks = value_ranks(base, F.col(c), size=sizes[c]).select(F.col("value").alias(c), average_rank().alias("_rank"))
+            df = df.join(F.broadcast(ranks), c).drop(c).withColumnRenamed("_rank", c)  # size checked
+            continue
+        splits = bucket_splits(sizes[c].edges, sizes[c].rows)
+        cut = with_bucket(df, F.col(c), splits)
+        totals = with_bucket(base.select(c), F.col(c), splits).groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_held"))
+        earlier = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+        offsets = totals.withColumn("_before", F.coalesce(F.sum("_held").over(earlier), F.lit(0)))
+        alone = F.col(BUCKET).isin(_lone(splits))
+        salt = F.when(alone, F.pmod(F.xxhash64(*df.columns), F.lit(1_000))).otherwise(0)
+        inside = Window.partitionBy(BUCKET, "_salt").orderBy(c)
+        peers = F.count(F.lit(1)).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        placed = cut.withColumn("_salt", salt).withColumn("_inside", (F.rank().over(inside) + peers) / 2)
+        own = F.when(alone, (F.col("_held") + 1) / 2).otherwise(F.col("_inside"))
+        df = placed.join(F.broadcast(offsets), BUCKET).withColumn(c, F.col("_before") + own).drop(
+            BUCKET, "_salt", "_inside", "_held", "_before")
     return df
 
 

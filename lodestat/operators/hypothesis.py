@@ -9,14 +9,14 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from lodestat.functions.columns import Columns, numeric_columns, pick, present, require, rows_from
 from lodestat.functions.distributions import (
     f_tail, mann_whitney_p, score_sum, shapiro_p, shapiro_weights, t_two_sided,
 )
 from lodestat.plans.quantiles import quantiles
-from lodestat.plans.ranks import average_rank, running_total, value_at, value_ranks, with_bucket
+from lodestat.plans.ranks import running_totals, value_at, value_ranks, with_bucket
 from lodestat.plans.sizing import column_sizes
 
 ALPHA = 0.05
@@ -27,7 +27,7 @@ def _exprs(df: DataFrame, names: Sequence[str]) -> dict:
     return {c: present(df, c).cast("double") for c in names}
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _score(before: pd.Series, n: pd.Series, total: pd.Series) -> pd.Series:
     """Sum of the normal scores of the positions a value takes up."""
     return pd.Series([
@@ -150,7 +150,10 @@ def _levene(a: dict, b: dict) -> tuple:
 
 def one_sample_t(df: DataFrame, columns: Columns = None, mean: float = 0.0) -> DataFrame:
     """(column, n, t_statistic, p_value, rejected) against a given mean."""
-    stats = _column_stats(df, pick(df, columns, numeric_columns(df)))
+    return _one_sample_rows(df, _column_stats(df, pick(df, columns, numeric_columns(df))), mean)
+
+
+def _one_sample_rows(df: DataFrame, stats: dict[str, dict], mean: float = 0.0) -> DataFrame:
     rows = [(c, *_one_sample(s, mean)) for c, s in stats.items()]
     return df.sparkSession.createDataFrame(
         [(*r, None if r[3] is None else r[3] < ALPHA) for r in rows],
@@ -176,7 +179,10 @@ def _names(pairs: Sequence[Pair]) -> list[str]:
 def two_sample_t(df: DataFrame, pairs: Sequence[Pair] | None = None) -> DataFrame:
     """(column1, column2, n1, n2, t_statistic, p_value, rejected), equal variances."""
     pairs = _pairs(df, pairs)
-    s = _column_stats(df, _names(pairs))
+    return _two_sample_rows(df, pairs, _column_stats(df, _names(pairs)))
+
+
+def _two_sample_rows(df: DataFrame, pairs: Sequence[Pair], s: dict[str, dict]) -> DataFrame:
     rows = [(a, b, s[a]["n"], s[b]["n"], *_two_sample(s[a], s[b])) for a, b in pairs]
     return df.sparkSession.createDataFrame(
         [(*r, None if r[5] is None else r[5] < ALPHA) for r in rows],
@@ -186,48 +192,46 @@ def two_sample_t(df: DataFrame, pairs: Sequence[Pair] | None = None) -> DataFram
 def levene(df: DataFrame, pairs: Sequence[Pair] | None = None) -> DataFrame:
     """(column1, column2, statistic, p_value, variances_equal), median-centred."""
     pairs = _pairs(df, pairs)
-    s = _column_stats(df, _names(pairs), centred=True)
+    return _levene_rows(df, pairs, _column_stats(df, _names(pairs), centred=True))
+
+
+def _levene_rows(df: DataFrame, pairs: Sequence[Pair], s: dict[str, dict]) -> DataFrame:
     rows = [(a, b, *_levene(s[a], s[b])) for a, b in pairs]
     return df.sparkSession.createDataFrame(
         [(*r, None if r[3] is None else r[3] > ALPHA) for r in rows],
         "column1 string, column2 string, statistic double, p_value double, variances_equal boolean")
 
 
-def rank_sums(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
-    """(pair, n1, n2, u, ties) for numbered pairs of columns.
+def rank_sums(df: DataFrame, pairs: Sequence[Pair]) -> list[dict]:
+    """n1, n2, u and ties for each pair of columns.
 
-    The columns are collapsed to value counts once; only these are repeated per
-    pair and ranked together.
+    All columns share one table of distinct values with a count per column, and
+    one running total of these counts in the order of the values. U of a pair is
+    then a sum of products: for each value of the first column, the rows of the
+    second below it and half of those equal to it.
     """
     names = _names(pairs)
     exprs = _exprs(df, names)
     sizes = column_sizes(df, exprs)
     splits = np.unique([s for c in names for s in sizes[c].splits]).tolist()
-    cells = F.explode(F.array(*[
+    cells = F.inline(F.array(*[
         F.struct(F.lit(i).alias("c"), exprs[c].alias("value")) for i, c in enumerate(names)
     ]))
-    counts = (
-        df.select(cells.alias("v")).select("v.*").where("value is not null")
-        .groupBy("c", "value").agg(F.count(F.lit(1)).alias("k"))
-    )
-    uses = F.create_map(*[
-        x for i, c in enumerate(names) for x in (F.lit(i), F.array(*[
-            F.struct(F.lit(j).alias("pair"), F.lit(int(c == p[0])).alias("left"), F.lit(int(c == p[1])).alias("right"))
-            for j, p in enumerate(pairs) if c in p
-        ]))
-    ])
-    sided = counts.select("value", "k", F.inline(uses[F.col("c")]))
-    merged = sided.groupBy("pair", "value").agg(
-        F.sum(F.col("k") * F.col("left")).alias("k1"), F.sum(F.col("k") * F.col("right")).alias("k2"),
-    ).withColumn("n", F.col("k1") + F.col("k2"))
-    ranked = running_total(with_bucket(merged, F.col("value"), splits), "n", ["value"], ["pair"])
-    n = F.col("n").cast("double")
-    sums = ranked.groupBy("pair").agg(
-        F.sum("k1").alias("n1"), F.sum("k2").alias("n2"),
-        F.sum(F.col("k1") * average_rank()).alias("ranks"), F.sum(n * n * n - n).alias("ties"),
-    )
-    n1 = F.col("n1").cast("double")
-    return sums.select("pair", "n1", "n2", (F.col("ranks") - n1 * (n1 + 1) / 2).alias("u"), "ties")
+    counts = df.select(cells).where("value is not null").groupBy("value").agg(
+        *[F.count_if(F.col("c") == i).alias(f"k{i}") for i in range(len(names))])
+    kept = [f"k{i}" for i in range(len(names))]
+    ranked = running_totals(with_bucket(counts, F.col("value"), splits), kept, ["value"])
+    k = {c: F.col(f"k{i}").cast("double") for i, c in enumerate(names)}
+    below = {c: F.col(f"before_k{i}").cast("double") for i, c in enumerate(names)}
+    aggs = [F.sum(f"k{i}").alias(f"n{i}") for i in range(len(names))]
+    for j, (a, b) in enumerate(pairs):
+        tied = k[a] + k[b]
+        aggs += [F.sum(k[a] * (below[b] + k[b] / 2)).alias(f"u{j}"), F.sum(tied * tied * tied - tied).alias(f"t{j}")]
+    row = ranked.agg(*aggs).first()
+    size = {c: row[f"n{i}"] or 0 for i, c in enumerate(names)}
+    return [
+        {"n1": size[a], "n2": size[b], "u": row[f"u{j}"], "ties": row[f"t{j}"]} for j, (a, b) in enumerate(pairs)
+    ]
 
 
 def mann_whitney(df: DataFrame, pairs: Sequence[Pair] | None = None) -> DataFrame:
@@ -238,11 +242,11 @@ def mann_whitney(df: DataFrame, pairs: Sequence[Pair] | None = None) -> DataFram
     """
     pairs = _pairs(df, pairs)
     rows = []
-    for r in rank_sums(df, pairs).orderBy("pair").collect():  # one row per pair of columns
+    for pair, r in zip(pairs, rank_sums(df, pairs)):
         empty = not (r["n1"] and r["n2"])
         u = None if empty else r["u"]
         p = mann_whitney_p(u, r["n1"], r["n2"], r["ties"])
-        rows.append((*pairs[r["pair"]], r["n1"], r["n2"], u, p, None if p is None else p < ALPHA))
+        rows.append((*pair, r["n1"], r["n2"], u, p, None if p is None else p < ALPHA))
     return df.sparkSession.createDataFrame(
         rows, "column1 string, column2 string, n1 bigint, n2 bigint, u_statistic double, p_value double, significant boolean")
 
@@ -280,17 +284,21 @@ def hypothesis_testing(df: DataFrame, column1: str, column2: str | None = None)
     if column2 is None:
         return _as_results(one_sample_t(df, column1), None)
     pair = [(column1, column2)]
-    return _as_results(None, (two_sample_t(df, pair), mann_whitney(df, pair), levene(df, pair)))
+    return _as_results(None, _pair_tests(df, pair, _column_stats(df, require(df, pair[0]), centred=True)))
+
+
+def _pair_tests(df: DataFrame, pairs: Sequence[Pair], stats: dict[str, dict]) -> tuple:
+    return _two_sample_rows(df, pairs, stats), mann_whitney(df, pairs), _levene_rows(df, pairs, stats)
 
 
 def hypothesis_suite(df: DataFrame, columns: Columns = None) -> DataFrame:
     """The one-sample test of every numeric column and all tests of every pair.
 
-    Moments come from one aggregate per kind of test, whatever the number of pairs.
+    All moments come from one aggregate, whatever the number of pairs.
     """
     names = pick(df, columns, numeric_columns(df))
     if len(names) < 2:
         raise ValueError("At least two numeric columns are needed.")
     pairs = list(combinations(names, 2))
-    return _as_results(one_sample_t(df, names), (
-        two_sample_t(df, pairs), mann_whitney(df, pairs), levene(df, pairs)))
+    stats = _column_stats(df, names, centred=True)
+    return _as_results(_one_sample_rows(df, stats), _pair_tests(df, pairs, stats))

@@ -16,16 +16,17 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
 )
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lodestat.functions.columns import Columns, pick, present, require
 from lodestat.operators.features import _scaling, with_fold
 from lodestat.operators.metrics import accuracy, classification_report, regression_metrics
+from lodestat.plans.layout import spread
 from lodestat.plans.neighbors import build_tree, nearest
 from lodestat.plans.skew import join_values
 from lodestat.plans.sums import FourierFeatures, vector_sum
@@ -60,33 +61,34 @@ class Model:
         """(feature, importance), which add up to 1."""
         values = self.fitted.stages[-1].featureImportances.toArray()
         rows = [(f, float(v)) for f, v in zip(self.features, values)]
-        return spark_of(self).createDataFrame(rows, "feature string, importance double")
+        return SparkSession.active().createDataFrame(rows, "feature string, importance double")
 
     def coefficients(self) -> DataFrame:
         """(term, coefficient), the intercept included."""
         rows = [*zip(self.info["terms"], self.info["coefficients"]), ("intercept", self.info["intercept"])]
-        return spark_of(self).createDataFrame([(t, float(c)) for t, c in rows], "term string, coefficient double")
-
-
-def spark_of(model: Model):
-    from pyspark.sql import SparkSession
-
-    return SparkSession.active()
+        return SparkSession.active().createDataFrame([(t, float(c)) for t, c in rows], "term string, coefficient double")
 
 
 def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
 
 
-def _fit(df, task, features, target, stages, **info) -> Model:
+def _fit(df, task, features, target, stages, repeated: bool = True, **info) -> Model:
+    """Fit the stages on the columns they need, kept in memory if read repeatedly."""
     features = require(df, features)
     require(df, [target])
-    fitted = Pipeline(stages=[_assembler(features), *stages]).fit(df)
+    keep = [*features, target] + (["fold"] if "fold" in df.columns else [])
+    rows = spread(df.select(*dict.fromkeys(keep))).persist() if repeated else df
+    try:
+        fitted = Pipeline(stages=[_assembler(features), *stages]).fit(rows)
+    finally:
+        if repeated:
+            rows.unpersist()
     return Model(task, features, target, fitted, info)
 
 
 def _linear(df, features, target, stages, estimator, terms) -> Model:
-    model = _fit(df, "regression", features, target, [*stages, estimator])
+    model = _fit(df, "regression", features, target, [*stages, estimator], repeated=False)
     last = model.fitted.stages[-1]
     model.info = {"terms": terms, "coefficients": last.coefficients.toArray().tolist(), "intercept": last.intercept}
     return model
@@ -304,8 +306,6 @@ class FourierTransformer(Transformer):
         def apply(points: pd.Series) -> pd.Series:
             return pd.Series(list(lift(np.stack(points.to_numpy())))) if len(points) else points
 
-        from pyspark.ml.functions import vector_to_array
-
         return dataset.withColumn("_lifted", array_to_vector(apply(vector_to_array("_scaled")))).drop("_scaled")
 
 
@@ -344,8 +344,6 @@ class DotTransformer(Transformer):
         self.lifted_weights = weights
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-
         weights = self.lifted_weights
 
         @F.pandas_udf("double")
@@ -366,11 +364,9 @@ def svm_regression(
     products over the table and solves it on the driver. Kernels as in
     `svm_classifier`.
     """
-    from pyspark.ml.functions import vector_to_array
-
     lifting = Pipeline(stages=[_assembler(require(df, features)), *_lifting(kernel, len(features), degree, size)]).fit(df)
-    rows = lifting.transform(df).select(
-        vector_to_array("_lifted").alias("x"), F.col(target).cast("double").alias("y")).where("y is not null").persist()
+    rows = spread(lifting.transform(df).select(
+        vector_to_array("_lifted").alias("x"), F.col(target).cast("double").alias("y")).where("y is not null")).persist()
     try:
         width = len(rows.first()["x"]) + 1
 

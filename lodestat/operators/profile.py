@@ -242,17 +242,16 @@ def weekday_counts(df: DataFrame, columns: Columns = None) -> DataFrame:
 
 
 def _word_counts(df: DataFrame, names: list[str]) -> DataFrame:
-    words = F.explode(F.flatten(F.array(*[
-        F.transform(
-            F.filter(F.split(F.col(c), WORD_BREAK), lambda w: w != ""),
-            lambda w, c=c: F.struct(F.lit(c).alias("column"), w.alias("word")),
-        ) for c in names
-    ])) if len(names) > 1 else F.transform(
-        F.filter(F.split(F.col(names[0]), WORD_BREAK), lambda w: w != ""),
-        lambda w: F.struct(F.lit(names[0]).alias("column"), w.alias("word")),
-    ))
-    filled = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names])
-    return filled.select(words.alias("w")).groupBy("w.column", "w.word").agg(F.count(F.lit(1)).alias("n"))
+    """(column, word, n)."""
+    def words(c: str) -> Column:
+        return F.array_remove(F.split(F.col(c).cast("string"), WORD_BREAK), "")
+
+    if len(names) == 1:
+        found = df.select(F.lit(names[0]).alias("column"), F.explode(words(names[0])).alias("word"))
+    else:
+        lists = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), words(c).alias("words")) for c in names]))
+        found = df.select(lists).select("column", F.explode("words").alias("word"))
+    return found.groupBy("column", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def text_profile(df: DataFrame, columns: Columns = None) -> DataFrame:

@@ -1,18 +1,25 @@
-"""Exact, linearly interpolated quantiles at any number of distinct values.
+"""Exact, linearly interpolated quantiles at any number of rows and values.
 
-`percentile` is exact but keeps every distinct value of a group in memory, so it
-is used only where the estimated number of distinct values is bounded. Beyond
-that the quantile is read off the distributed rank table.
+`percentile` is exact but keeps every distinct value in memory, so it only sees
+a bounded number of rows here. In larger tables a quantile sketch brackets each
+quantile between two values, one aggregate counts the rows below and between
+them, and only the rows between are looked at again. Should a bracket miss or
+hold too many rows, the distributed rank table gives the answer.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestat.plans.ranks import value_at, value_ranks
-from lodestat.plans.sizing import PERCENTILE_DISTINCT, count_sizes, double_array
+from lodestat.plans.sizing import PERCENTILE_ROWS, count_sizes, double_array
+
+_ACCURACY = 10_000
 
 
 def from_ranks(ranks: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -25,43 +32,85 @@ def from_ranks(ranks: DataFrame, probs: Sequence[float], by: Sequence[str] = ())
             value_at(F.ceil(place)).alias(f"hi{i}"),
             F.max(place - F.floor(place)).alias(f"f{i}"),
         ]
-    parts = [
-        (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}")).cast("double")
-        for i in range(len(probs))
-    ]
+    parts = [_between(F.col(f"lo{i}"), F.col(f"hi{i}"), F.col(f"f{i}")).cast("double") for i in range(len(probs))]
     grouped = ranks.groupBy(*by).agg(*aggs) if by else ranks.agg(*aggs)
     return grouped.select(*by, F.array(*parts).alias("q"))
 
 
+def _between(low, high, share):
+    return low + (high - low) * share
+
+
 def quantiles(
     df: DataFrame, columns: Mapping[str, Column], probs: Sequence[float],
     extra: Sequence[Column] = (),
 ) -> tuple[dict[str, list[float] | None], dict]:
-    """Quantiles of numeric expressions, plus other aggregates of the same pass.
+    """Quantiles of numeric expressions, plus other aggregates of the first pass.
 
-    Returns ({name: [q, ...]}, {alias: value of an `extra` aggregate}).
+    Returns ({name: [q, ...] or None without values}, {alias: `extra` result}).
     """
-    sizes = count_sizes(df, columns)
-    small = [n for n in columns if sizes[n] <= PERCENTILE_DISTINCT]
-    shares = double_array(probs)
-    aggs = [F.percentile(columns[n].cast("double"), shares).alias(f"_q{i}") for i, n in enumerate(small)]
-    found: dict[str, list[float] | None] = {}
-    rest: dict = {}
-    if aggs or extra:
-        row = df.agg(*aggs, *extra).first().asDict()
-        found = {n: row.pop(f"_q{i}") for i, n in enumerate(small)}
-        rest = row
-    for name in columns:
-        if name not in found:
-            q = from_ranks(value_ranks(df, columns[name]), probs).first()["q"]
-            found[name] = None if q[0] is None else q
-    return found, rest
+    exprs = {n: c.cast("double") for n, c in columns.items()}
+    margin = 2.0 / _ACCURACY
+    reach = double_array([x for p in probs for x in (max(0.0, p - margin), min(1.0, p + margin))])
+    aggs = [
+        a for i, e in enumerate(exprs.values()) for a in (
+            F.count(e).alias(f"_n{i}"), F.percentile_approx(e, reach, _ACCURACY).alias(f"_b{i}"))
+    ]
+    first = df.agg(*aggs, *extra).first().asDict()
+    counts = {n: first.pop(f"_n{i}") for i, n in enumerate(exprs)}
+    brackets = {n: first.pop(f"_b{i}") for i, n in enumerate(exprs)}
+    found: dict[str, list[float] | None] = {n: None for n in exprs}
+    few = [n for n in exprs if 0 < counts[n] <= PERCENTILE_ROWS]
+    many = [n for n in exprs if counts[n] > PERCENTILE_ROWS]
+    if few:
+        row = df.agg(*[F.percentile(exprs[n], double_array(probs)).alias(f"q{i}") for i, n in enumerate(few)]).first()
+        found |= {n: row[i] for i, n in enumerate(few)}
+    if many:
+        found |= _bracketed(df, {n: exprs[n] for n in many}, probs, counts, brackets)
+    return found, first
+
+
+def _bracketed(df, exprs, probs, counts, brackets) -> dict[str, list[float]]:
+    cells = [(n, j, *brackets[n][2 * j:2 * j + 2]) for n in exprs for j in range(len(probs))]
+    row = df.agg(*[
+        a for i, (n, _, low, high) in enumerate(cells) for a in (
+            F.count_if(exprs[n] < low).alias(f"b{i}"), F.count_if((exprs[n] >= low) & (exprs[n] <= high)).alias(f"m{i}"))
+    ]).first()
+    place = {(n, j): p * (counts[n] - 1) for n in exprs for j, p in enumerate(probs)}
+    wanted, known, lost = [], {}, set()
+    for i, (n, j, low, high) in enumerate(cells):
+        below, held = row[f"b{i}"], row[f"m{i}"]
+        ends = (math.floor(place[n, j]), math.ceil(place[n, j]))
+        if below > ends[0] or ends[1] >= below + held or (low < high and held > PERCENTILE_ROWS):
+            lost.add(n)
+        elif low == high:
+            known[n, j] = (low, low)
+        else:
+            wanted.append((n, j, low, high, [(e - below + 0.5) / held for e in ends]))
+    wanted = [w for w in wanted if w[0] not in lost]
+    if wanted:
+        ranges = [(exprs[n] >= low) & (exprs[n] <= high) for n, _, low, high, _ in wanted]
+        held_values = df.where(reduce(or_, ranges)).select(*[
+            F.when(inside, exprs[n]).alias(f"v{i}") for i, (inside, (n, *_)) in enumerate(zip(ranges, wanted))])
+        # a share in the middle of one row's slot picks exactly that row
+        row = held_values.agg(*[
+            F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY v{i})").alias(f"v{i}_{e}")
+            for i, (*_, shares) in enumerate(wanted) for e, share in enumerate(shares)
+        ]).first()
+        for i, (n, j, *_) in enumerate(wanted):
+            known[n, j] = (row[f"v{i}_0"], row[f"v{i}_1"])
+    found = {}
+    for n in exprs:
+        if n in lost:
+            found[n] = from_ranks(value_ranks(df, exprs[n]), probs).first()["q"]
+        else:
+            found[n] = [_between(*known[n, j], place[n, j] - math.floor(place[n, j])) for j in range(len(probs))]
+    return found
 
 
 def quantiles_by(df: DataFrame, value: Column, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
     """(by..., q): quantiles per group. A group may hold any share of the rows."""
     distinct = count_sizes(df, {"v": value})["v"]
-    if distinct <= PERCENTILE_DISTINCT:
-        shares = double_array(probs)
-        return df.groupBy(*by).agg(F.percentile(value.cast("double"), shares).alias("q"))
+    if distinct <= PERCENTILE_ROWS:
+        return df.groupBy(*by).agg(F.percentile(value.cast("double"), double_array(probs)).alias("q"))
     return from_ranks(value_ranks(df, value, by), probs, by)

@@ -26,33 +26,39 @@ def with_bucket(df: DataFrame, key: Column, splits: Sequence[float]) -> DataFram
     return cutter.transform(keyed).drop(_KEY).withColumn(BUCKET, F.col(BUCKET).cast("int"))
 
 
-def running_total(
-    df: DataFrame, amount: str, order: Sequence[str], by: Sequence[str] = (),
-    before: str = "before", total: str = "total",
+def running_totals(
+    df: DataFrame, amounts: Sequence[str], order: Sequence[str], by: Sequence[str] = (),
 ) -> DataFrame:
-    """Sum of `amount` over earlier rows and over all rows, per `by` group.
+    """Add `before_<a>` and `total_<a>` per amount: its sum over earlier rows and
+    over all rows of the `by` group.
 
     The table must carry a bucket number that grows with `order`.
     """
     by = list(by)
     inside = Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = df.groupBy(*by, BUCKET).agg(F.sum(amount).alias("_in_bucket"))
     # one row per bucket: at most as many rows per group as there are edges
     group = Window.partitionBy(*by)
     earlier = group.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
+    offsets = df.groupBy(*by, BUCKET).agg(*[F.sum(a).alias(f"_held_{a}") for a in amounts]).select(
         *by, BUCKET,
-        F.coalesce(F.sum("_in_bucket").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_in_bucket").over(group).alias(total),
+        *[F.coalesce(F.sum(f"_held_{a}").over(earlier), F.lit(0)).alias(f"_offset_{a}") for a in amounts],
+        *[F.sum(f"_held_{a}").over(group).alias(f"total_{a}") for a in amounts],
     )
     if not by:
         offsets = F.broadcast(offsets)  # bounded by the number of edges
-    joined = df.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    return (
-        joined.join(offsets, [*by, BUCKET])
-        .withColumn(before, F.col("_inside") + F.col("_offset"))
-        .drop("_inside", "_offset", BUCKET)
-    )
+    local = df.withColumns({f"_inside_{a}": F.coalesce(F.sum(a).over(inside), F.lit(0)) for a in amounts})
+    joined = local.join(offsets, [*by, BUCKET]).withColumns({
+        f"before_{a}": F.col(f"_inside_{a}") + F.col(f"_offset_{a}") for a in amounts})
+    return joined.drop(BUCKET, *[f"_{k}_{a}" for k in ("inside", "offset") for a in amounts])
+
+
+def running_total(
+    df: DataFrame, amount: str, order: Sequence[str], by: Sequence[str] = (),
+    before: str = "before", total: str = "total",
+) -> DataFrame:
+    """`running_totals` of one amount, under the given names."""
+    return running_totals(df, [amount], order, by).withColumnsRenamed({
+        f"before_{amount}": before, f"total_{amount}": total})
 
 
 def value_ranks(
@@ -69,6 +75,11 @@ def value_ranks(
         df.select(*by, value.alias("value")).where(F.col("value").isNotNull())
         .groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
     )
+    if size.small:  # few values by measure: one window holds those of a group
+        group = Window.partitionBy(*by)
+        earlier = group.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(
+            "*", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(group).alias("total"))
     return running_total(with_bucket(counts, F.col("value"), size.splits), "n", ["value"], by)
 
 

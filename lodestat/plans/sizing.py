@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 # A table of distinct values up to this size may be held by one task or sent
 # to every executor (two longs and a double each: about 10 MB).
 SMALL_DISTINCT = 200_000
-# An exact `percentile` keeps one map entry per distinct value.
-PERCENTILE_DISTINCT = 1_000_000
+# An exact `percentile` keeps one map entry per distinct value it sees.
+PERCENTILE_ROWS = 200_000
 # Distinct values aimed at per bucket.
 BUCKET_VALUES = 250_000
 _EDGES = 1_024
@@ -49,7 +49,7 @@ def count_sizes(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, int]:
     """Approximate distinct values per expression, one aggregate for all."""
     if not columns:
         return {}
-    row = df.agg(*[F.approx_count_distinct(c, 0.02).alias(n) for n, c in columns.items()]).first()
+    row = df.agg(*[F.approx_count_distinct(c).alias(n) for n, c in columns.items()]).first()
     return row.asDict()
 
 
@@ -69,7 +69,7 @@ def _measure(df, columns, edges, accuracy) -> dict[str, ColumnSize]:
     for i, col in enumerate(columns.values()):
         aggs += [
             F.count(col).alias(f"n{i}"),
-            F.approx_count_distinct(col, 0.02).alias(f"d{i}"),
+            F.approx_count_distinct(col).alias(f"d{i}"),
             F.percentile_approx(col.cast("double"), shares, accuracy).alias(f"e{i}"),
         ]
     row = df.agg(*aggs).first()
