@@ -175,35 +175,31 @@ def mark_test(
     comparison with that row, so nothing is sorted or gathered as a whole.
     """
     keys, strata = pick(df, key, []), pick(df, stratify, [])
-    rows = df.select(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("k"),
-                     _hash(keys, seed).alias("h"), *[F.col(c).alias(f"s{i}") for i, c in enumerate(strata)])
-    rows = rows.withColumn("b", F.shiftright("h", 64 - _HASH_BITS))
-    by = [f"s{i}" for i in range(len(strata))]
-    group = Window.partitionBy(*by)  # at most 65536 bucket rows per stratum
-    counts = rows.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n")).select(
-        *by, "b", "n", F.sum("n").over(group).alias("total"),
+    stratum = F.struct(*strata) if strata else F.lit(0)  # NULLs in a struct equal each other
+    mine = F.struct(_hash(keys, seed).alias("h"), F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("k"))
+    rows = df.select(stratum.alias("s"), mine.alias("row"))
+    rows = rows.withColumn("b", F.shiftright("row.h", 64 - _HASH_BITS))
+    group = Window.partitionBy("s")  # at most 65536 bucket rows per stratum
+    counts = rows.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n")).select(
+        "s", "b", "n", F.sum("n").over(group).alias("total"),
         F.coalesce(F.sum("n").over(group.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     share = F.col("total") * F.lit(float(test_size))
     wanted = (F.round(share) if strata else F.ceil(F.round(share, 9))).cast("long")
-    cuts = counts.withColumn("left", wanted - F.col("before")).where("left > 0 and left <= n").select(*by, "b", "left")
+    cuts = counts.withColumn("left", wanted - F.col("before")).where("left > 0 and left <= n").select("s", "b", "left")
     if not strata:
         cuts = F.broadcast(cuts)  # one row
-    border = rows.join(cuts, [*by, "b"])
-    place = F.row_number().over(Window.partitionBy(*by, "b").orderBy("h", "k"))
-    last = border.withColumn("place", place).where("place = left").select(*by, F.struct("h", "k").alias("last"))
-    mine = F.struct(_hash(keys, seed).alias("h"), F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("k"))
-    if not strata:
-        row = last.first()
-        if row is None:
-            return df.withColumn("is_test", F.lit(False))
-        h, k = row["last"]["h"], row["last"]["k"]
-        limit = F.struct(F.lit(h).alias("h"), F.struct(*[
-            F.lit(v).cast(df.schema[name].dataType).alias(f"k{i}") for i, (v, name) in enumerate(zip(k, keys))]).alias("k"))
-        return df.withColumn("is_test", mine <= limit)
-    # one row per stratum, NULL strata included
-    same = [df[c].eqNullSafe(F.col(f"s{i}")) for i, c in enumerate(strata)]
-    joined = df.join(last, same, "left")
-    return joined.withColumn("is_test", F.coalesce(mine <= F.col("last"), F.lit(False))).drop("last", *by)
+    place = F.row_number().over(Window.partitionBy("s", "b").orderBy("row"))
+    last = rows.join(cuts, ["s", "b"]).withColumn("place", place).where("place = left").select("s", F.col("row").alias("last"))
+    if strata:  # one row per stratum
+        joined = df.withColumn("s", stratum).join(last, "s", "left")
+        return joined.select(*df.columns, F.coalesce(mine <= F.col("last"), F.lit(False)).alias("is_test"))
+    row = last.first()
+    if row is None:
+        return df.withColumn("is_test", F.lit(False))
+    limit = F.struct(F.lit(row["last"]["h"]).alias("h"), F.struct(*[
+        F.lit(v).cast(df.schema[name].dataType).alias(f"k{i}") for i, (v, name) in enumerate(zip(row["last"]["k"], keys))
+    ]).alias("k"))
+    return df.withColumn("is_test", mine <= limit)
 
 
 def split(

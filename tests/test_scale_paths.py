@@ -105,8 +105,8 @@ def test_neighbours_match_brute_force(spark, monkeypatch, dims):
 
 def test_knn_prediction(spark):
     rng = np.random.default_rng(3)
-    train = pd.DataFrame({"id": range(200), "x": rng.normal(size=200).round(1), "z": rng.normal(size=200).round(1), "y": rng.normal(size=200)})
-    test = pd.DataFrame({"x": rng.normal(size=40).round(1), "z": rng.normal(size=40).round(1)})
+    train = pd.DataFrame({"id": range(200), "x": np.tile(rng.normal(size=100), 2), "z": np.tile(rng.normal(size=100), 2), "y": rng.normal(size=200)})
+    test = pd.DataFrame({"x": rng.normal(size=40), "z": rng.normal(size=40)})
     got = models.knn_predict(spark.createDataFrame(train), spark.createDataFrame(test), ["x", "z"], "y", "id", n_neighbors=3).toPandas()
     shift, width = train[["x", "z"]].mean(), train[["x", "z"]].std(ddof=0)
     a, b = ((t[["x", "z"]] - shift) / width for t in (train, got))
