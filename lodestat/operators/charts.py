@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestat.functions.columns import numeric_columns, present, require
+from lodestat.functions.columns import present, require
 from lodestat.operators import validate as checks
 from lodestat.operators.edit import sort_by
 from lodestat.plans.quantiles import quantiles, quantiles_by
 from lodestat.plans.ranks import value_ranks
-from lodestat.plans.sizing import count_sizes, double_array
+from lodestat.plans.sizing import double_array
 from lodestat.plans.skew import join_values
 
 _ROOT_TWO_PI = 2.5066282746310002

@@ -8,7 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestat.functions.columns import Columns, is_missing, pick, present, require, type_of
+from lodestat.functions.columns import Columns, pick, present, require, type_of
 
 _COMPARE = {
     "=": lambda c, v: c == v,

@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import PCA, SQLTransformer, VectorAssembler, VectorSlicer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lodestat.functions.columns import Columns, numeric_columns, pick, present, require
+from lodestat.functions.columns import Columns, numeric_columns, pick, present
 from lodestat.functions.distributions import f_tail
 from lodestat.operators.clean import fill_missing, fill_values
 
@@ -177,27 +177,27 @@ def mark_test(
     keys, strata = pick(df, key, []), pick(df, stratify, [])
     stratum = F.struct(*strata) if strata else F.lit(0)  # NULLs in a struct equal each other
     mine = F.struct(_hash(keys, seed).alias("h"), F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("k"))
-    rows = df.select(stratum.alias("s"), mine.alias("row"))
+    rows = df.select(stratum.alias("_stratum"), mine.alias("row"))
     rows = rows.withColumn("b", F.shiftright("row.h", 64 - _HASH_BITS))
-    group = Window.partitionBy("s")  # at most 65536 bucket rows per stratum
-    counts = rows.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n")).select(
-        "s", "b", "n", F.sum("n").over(group).alias("total"),
+    group = Window.partitionBy("_stratum")  # at most 65536 bucket rows per stratum
+    counts = rows.groupBy("_stratum", "b").agg(F.count(F.lit(1)).alias("n")).select(
+        "_stratum", "b", "n", F.sum("n").over(group).alias("total"),
         F.coalesce(F.sum("n").over(group.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     share = F.col("total") * F.lit(float(test_size))
     wanted = (F.round(share) if strata else F.ceil(F.round(share, 9))).cast("long")
-    cuts = counts.withColumn("left", wanted - F.col("before")).where("left > 0 and left <= n").select("s", "b", "left")
+    cuts = counts.withColumn("left", wanted - F.col("before")).where("left > 0 and left <= n").select("_stratum", "b", "left")
     if not strata:
         cuts = F.broadcast(cuts)  # one row
-    place = F.row_number().over(Window.partitionBy("s", "b").orderBy("row"))
-    last = rows.join(cuts, ["s", "b"]).withColumn("place", place).where("place = left").select("s", F.col("row").alias("last"))
+    place = F.row_number().over(Window.partitionBy("_stratum", "b").orderBy("row"))
+    last = rows.join(cuts, ["_stratum", "b"]).withColumn("place", place).where("place = left").select("_stratum", F.col("row").alias("_last"))
     if strata:  # one row per stratum
-        joined = df.withColumn("s", stratum).join(last, "s", "left")
-        return joined.select(*df.columns, F.coalesce(mine <= F.col("last"), F.lit(False)).alias("is_test"))
+        joined = df.withColumn("_stratum", stratum).join(last, "_stratum", "left")
+        return joined.select(*df.columns, F.coalesce(mine <= F.col("_last"), F.lit(False)).alias("is_test"))
     row = last.first()
     if row is None:
         return df.withColumn("is_test", F.lit(False))
-    limit = F.struct(F.lit(row["last"]["h"]).alias("h"), F.struct(*[
-        F.lit(v).cast(df.schema[name].dataType).alias(f"k{i}") for i, (v, name) in enumerate(zip(row["last"]["k"], keys))
+    limit = F.struct(F.lit(row["_last"]["h"]).alias("h"), F.struct(*[
+        F.lit(v).cast(df.schema[name].dataType).alias(f"k{i}") for i, (v, name) in enumerate(zip(row["_last"]["k"], keys))
     ]).alias("k"))
     return df.withColumn("is_test", mine <= limit)
 

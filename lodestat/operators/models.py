@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations_with_replacement
@@ -23,7 +22,7 @@ from pyspark.ml.regression import (
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lodestat.functions.columns import Columns, pick, present, require
+from lodestat.functions.columns import Columns, present, require
 from lodestat.operators.features import _scaling, with_fold
 from lodestat.operators.metrics import accuracy, classification_report, regression_metrics
 from lodestat.plans.layout import spread
@@ -247,7 +246,7 @@ def gradient_boosting(
 def _one_against_rest(df: DataFrame, target: str, classifier):
     if (df.agg(F.max(target)).first()[0] or 0) <= 1:
         return classifier
-    return OneVsRest(classifier=classifier, featuresCol=classifier.getFeaturesCol(), labelCol=target)
+    return OneVsRest(classifier=classifier, featuresCol=classifier.getFeaturesCol(), labelCol=target, parallelism=8)
 
 
 def grid_search(
@@ -331,7 +330,8 @@ def svm_classifier(
     `rbf` random Fourier features, both approximations of the kernel machine.
     """
     n = df.count()
-    svc = LinearSVC(featuresCol="_lifted", labelCol=target, regParam=1.0 / (C * max(n, 1)), maxIter=max_iter)
+    svc = LinearSVC(featuresCol="_lifted", labelCol=target, regParam=1.0 / (C * max(n, 1)), maxIter=max_iter,
+                    tol=1e-4)
     return _fit(df, "classification", features, target,
                 [*_lifting(kernel, len(features), degree, size), _one_against_rest(df, target, svc)], kernel=kernel)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lodestat.functions.columns import (
-    Columns, is_missing, numeric_columns, pick, present, require, rows_from, text_columns,
+    Columns, is_missing, numeric_columns, pick, present, rows_from, text_columns,
     time_columns, type_of,
 )
 from lodestat.plans.quantiles import quantiles

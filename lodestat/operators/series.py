@@ -8,7 +8,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestat.functions.columns import Columns, number, pick, present, require
 from lodestat.operators import charts, profile

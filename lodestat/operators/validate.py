@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lodestat.functions.columns import Columns, number, numeric_columns, pick, require
+from lodestat.functions.columns import number, require
 from lodestat.plans.quantiles import quantiles
 from lodestat.plans.ranks import BUCKET, with_bucket
 from lodestat.plans.sizing import column_sizes

@@ -204,9 +204,8 @@ def _add_scaling(name, method, formula, stats, **options):
     cols = {"q": "l_quantity", "p": "l_extendedprice"}
     terms = {k: formula.format(x=c) for k, c in cols.items()}
     made = ", ".join(f"{e.format(x=c)} AS {a}_{c}" for c in cols.values() for a, e in stats.items())
-    select = ", ".join(f"{made}" for _ in [0])
     source = f"(SELECT l_orderkey, {GAPPY_QUANTITY} AS l_quantity, l_extendedprice FROM lineitem)"
-    with_stats = f", (SELECT {select} FROM g)" if stats else ""
+    with_stats = f", (SELECT {made} FROM g)" if stats else ""
     _add(
         name,
         lambda s, d: rounded(normalize.normalize_data(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from lodestat.operators import series
 from lodestat.registry.anomalies import DAILY
 from lodestat.registry.common import rounded, table

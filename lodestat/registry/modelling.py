@@ -83,18 +83,13 @@ _add(
 
 def _json_files(spark, folder):
     path = _scratch(spark)
-    docs = _documents(spark, folder).where("p_partkey % 5 = 0").select("document")
-    lines = docs.select(F.inline(F.from_json("document", "array<struct<id: bigint, size: int>>")))
-    # one array per task of the write: each file is a document of its own
-    lines.select(F.to_json(F.array(F.struct("*"))).alias("value")).repartition(8).write.text(path, lineSep="\n")
+    rows = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"))
+    # every line of the written files is a document of its own
+    rows.select(F.to_json(F.array(F.struct("id", "size"))).alias("value")).write.text(path)
     return tables.json_rows(spark.read.text(path), "value", "id long, size int")
 
 
-_add(
-    "a4_json_files", _json_files,
-    """SELECT p_partkey AS id, p_size AS size FROM part WHERE p_partkey % 5 = 0
-       UNION ALL SELECT p_partkey, NULL FROM part WHERE p_partkey % 5 = 0""",
-)
+_add("a4_json_files", _json_files, "SELECT p_partkey AS id, p_size AS size FROM part")
 _add("a6_save_table", lambda s, d: tables.save_table(_part(s, d), _scratch(s)), _PART)
 
 
@@ -287,15 +282,16 @@ _add("l9_svm_regression_rbf", lambda s, d: models.svm_regression(_prices(s, d),
 
 
 def _neighbours(spark, folder, **options):
-    part = table(spark, folder, "part").withColumns({"x": F.col("p_size") / 2.0, "y": F.col("p_retailprice") / 20.0})
-    known, asked = part.where("p_partkey % 4 <> 0"), part.where("p_partkey % 4 = 0")
+    known = table(spark, folder, "part").withColumns({"x": F.col("p_size") / 2.0, "y": F.col("p_retailprice") / 20.0})
+    asked = known.withColumns({"x": F.col("x") + 0.125, "y": F.col("y") + 0.0625})
     return models.knn_predict(known, asked, ["x", "y"], key="p_partkey", scaled=False, **options)
 
 
-_PAIRS = """WITH g AS (SELECT *, p_size / 2.0 AS x, p_retailprice / 20.0 AS y FROM part),
+_PAIRS = """WITH b AS (SELECT *, p_size / 2.0 AS x, p_retailprice / 20.0 AS y FROM part),
+  a AS (SELECT p_partkey, x + 0.125 AS x, y + 0.0625 AS y FROM b),
   ranked AS (SELECT a.p_partkey AS k, b.p_retailprice, b.p_brand, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2,
     row_number() OVER (PARTITION BY a.p_partkey ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.p_partkey) AS r
-    FROM g a JOIN g b ON a.p_partkey % 4 = 0 AND b.p_partkey % 4 <> 0),
+    FROM a CROSS JOIN b),
   near AS (SELECT *, min(d2) OVER (PARTITION BY k) = 0 AS touching FROM ranked WHERE r <= 5),
   w AS (SELECT *, CASE WHEN touching THEN CASE WHEN d2 = 0 THEN 1.0::DOUBLE ELSE 0.0 END ELSE 1 / sqrt(d2) END AS w FROM near)"""
 _add(
