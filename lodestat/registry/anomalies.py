@@ -105,7 +105,7 @@ _add(
 )
 _add(
     "f8_decompose_even_period",
-    lambda s, d: rounded(decompose(_daily(s, d), "value", "ts", 4, "event_type"), 3),
-    _parts_sql(4) + """ SELECT event_type, ts, round(value, 3) AS value, round(trend, 3) AS trend,
-      round(seasonal, 3) AS seasonal, round(residual, 3) AS residual FROM r""",
+    lambda s, d: rounded(decompose(_daily(s, d), "value", "ts", 4, "event_type"), 6),
+    _parts_sql(4) + """ SELECT event_type, ts, round(value, 6) AS value, round(trend, 6) AS trend,
+      round(seasonal, 6) AS seasonal, round(residual, 6) AS residual FROM r""",
 )

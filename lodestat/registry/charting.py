@@ -81,11 +81,11 @@ def _skewed(spark, folder):
 
 
 _add(
-    "j8_box", lambda s, d: rounded(charts.box(_skewed(s, d), "o_orderpriority", "o_totalprice"), 3),
+    "j8_box", lambda s, d: rounded(charts.box(_skewed(s, d), "o_orderpriority", "o_totalprice"), 4),
     f"""WITH o AS ({_SKEWED}), g AS {_GROUPS}
-        SELECT o_orderpriority, count(*) AS "count", round(any_value(q1), 3) AS q1, round(any_value(median), 3) AS median,
-        round(any_value(q3), 3) AS q3, round(min(o_totalprice) FILTER (o_totalprice >= q1 - 1.5 * (q3 - q1)), 3) AS whisker_low,
-        round(max(o_totalprice) FILTER (o_totalprice <= q3 + 1.5 * (q3 - q1)), 3) AS whisker_high,
+        SELECT o_orderpriority, count(*) AS "count", round(any_value(q1), 4) AS q1, round(any_value(median), 4) AS median,
+        round(any_value(q3), 4) AS q3, round(min(o_totalprice) FILTER (o_totalprice >= q1 - 1.5 * (q3 - q1)), 4) AS whisker_low,
+        round(max(o_totalprice) FILTER (o_totalprice <= q3 + 1.5 * (q3 - q1)), 4) AS whisker_high,
         count(*) FILTER (o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1)) AS outliers
         FROM o JOIN g USING (o_orderpriority) GROUP BY 1""",
 )
@@ -121,8 +121,8 @@ _add(
         SELECT row, col, round(z, 4) AS z, {_BIN.format(v='z', lo='lo', hi='hi', k=6)} AS level FROM c, s""",
 )
 _add(
-    "j13_heatmap", lambda s, d: rounded(charts.heatmap(table(s, d, "part"), "p_brand", "p_type", "p_retailprice"), 4),
-    "SELECT p_brand, p_type, round(avg(p_retailprice), 4) AS z FROM part GROUP BY ALL",
+    "j13_heatmap", lambda s, d: rounded(charts.heatmap(table(s, d, "part"), "p_brand", "p_type", "p_retailprice"), 7),
+    "SELECT p_brand, p_type, round(avg(p_retailprice), 7) AS z FROM part GROUP BY ALL",
 )
 _add(
     "j_chart_data",

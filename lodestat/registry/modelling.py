@@ -218,13 +218,15 @@ _add(
     f"""SELECT 'l_quantity' AS term, round(regr_slope({_Y}, l_quantity), 4) AS coefficient FROM lineitem
         UNION ALL SELECT 'intercept', round(regr_intercept({_Y}, l_quantity), 4) FROM lineitem""",
 )
+# rises with the quantity and falls with the tax, whose weight must then be 0
+_RISING = f"({_Y} + 1000 * l_quantity - 1000000 * l_tax)"
 _add("l1_linear_regression_three", lambda s, d: models.linear_regression(_lines(s, d), _X, _Y).scores(_lines(s, d)))
 _add(
     "l2_non_negative_regression",
     lambda s, d: rounded(models.linear_regression(
-        _lines(s, d).withColumn("against", -F.col("l_quantity") + F.col("l_tax")), ["l_quantity", "against"], _Y, positive=True).coefficients(), 3),
-    f"""SELECT 'l_quantity' AS term, round(regr_slope({_Y}, l_quantity), 3) AS coefficient FROM lineitem
-        UNION ALL SELECT 'intercept', round(regr_intercept({_Y}, l_quantity), 3) FROM lineitem UNION ALL SELECT 'against', 0.0""",
+        _lines(s, d).withColumn("y", F.expr(_RISING)), ["l_quantity", "l_tax"], "y", positive=True).coefficients(), 3),
+    f"""SELECT 'l_quantity' AS term, round(regr_slope({_RISING}, l_quantity), 3) AS coefficient FROM lineitem
+        UNION ALL SELECT 'intercept', round(regr_intercept({_RISING}, l_quantity), 3) FROM lineitem UNION ALL SELECT 'l_tax', 0.0""",
 )
 _add(
     "l3_polynomial_regression",

@@ -89,14 +89,14 @@ def numeric_profile_sql(source: str, columns: dict[str, int]) -> str:
 _add(
     "d2_numeric_profile",
     lambda s, d: rounded(profile.numeric_profile(table(s, d, "lineitem").select(
-        F.expr(GAPPY_QUANTITY).alias("l_quantity"), "l_extendedprice", "l_discount", "l_tax")), 3, skewness=5, kurtosis=5),
+        F.expr(GAPPY_QUANTITY).alias("l_quantity"), "l_extendedprice", "l_discount", "l_tax")), 4, skewness=5, kurtosis=5),
     numeric_profile_sql(f"SELECT {GAPPY_QUANTITY} AS l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem",
-                        dict.fromkeys(("l_quantity", "l_extendedprice", "l_discount", "l_tax"), 3)),
+                        dict.fromkeys(("l_quantity", "l_extendedprice", "l_discount", "l_tax"), 4)),
 )
 _add(
     "d2_numeric_profile_events",
-    lambda s, d: rounded(profile.numeric_profile(table(s, d, "events"), "value"), 3, skewness=5, kurtosis=4),
-    numeric_profile_sql("SELECT value FROM events", {"value": 3}).replace("kurtosis(value), 5", "kurtosis(value), 4"),
+    lambda s, d: rounded(profile.numeric_profile(table(s, d, "events"), "value"), 4, skewness=5, kurtosis=4),
+    numeric_profile_sql("SELECT value FROM events", {"value": 4}).replace("kurtosis(value), 5", "kurtosis(value), 4"),
 )
 _COUNTS = """(SELECT 'o_orderpriority' AS "column", o_orderpriority AS value, count(*) AS n FROM orders GROUP BY ALL
     UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY ALL)"""
@@ -160,10 +160,10 @@ _add(
 
 
 def _profile_rows(query):
-    return query.select("column", "kind", "metric", F.round("number", 3).alias("number"), "text")
+    return query.select("column", "kind", "metric", F.round("number", 4).alias("number"), "text")
 
 
-_WIDE = numeric_profile_sql("SELECT o_totalprice FROM orders", {"o_totalprice": 12})
+_WIDE = numeric_profile_sql("SELECT o_totalprice FROM orders", {"o_totalprice": 12}).replace("), 5) AS", "), 12) AS")
 _add(
     "d7_full_profile",
     lambda s, d: _profile_rows(profile.full_profile(
@@ -177,7 +177,7 @@ _add(
     SELECT c AS "column", 'overall' AS kind, 'missing_count' AS metric, 0.0::DOUBLE AS number, NULL AS text FROM overall
     UNION ALL SELECT c, 'overall', 'missing_percent', 0.0, NULL FROM overall
     UNION ALL SELECT c, 'overall', 'unique_count', u, NULL FROM overall
-    UNION ALL SELECT "column", 'numeric', metric, round(number, 3), NULL FROM
+    UNION ALL SELECT "column", 'numeric', metric, round(number, 4), NULL FROM
       (UNPIVOT (SELECT "column", CAST("count" AS DOUBLE) AS "count", mean, std, "min", q25, median, q75, "max",
         skewness, kurtosis, CAST(outliers AS DOUBLE) AS outliers FROM num) ON COLUMNS(* EXCLUDE ("column")) INTO NAME metric VALUE number)
     UNION ALL SELECT 'o_orderdate', 'datetime', 'count', count(*), NULL FROM orders
@@ -187,7 +187,7 @@ _add(
     UNION ALL SELECT 'o_orderdate', 'datetime', 'weekday: ' || dayname(o_orderdate), count(*), NULL FROM orders GROUP BY ALL
     UNION ALL SELECT 'o_orderpriority', 'categorical', 'unique_count', count(*), NULL FROM cat
     UNION ALL SELECT 'o_orderpriority', 'categorical', 'entropy',
-        round(-sum(n / t * log2(n / t)), 3), NULL FROM cat, (SELECT sum(n) AS t FROM cat)
+        round(-sum(n / t * log2(n / t)), 4), NULL FROM cat, (SELECT sum(n) AS t FROM cat)
     UNION ALL SELECT 'o_orderpriority', 'categorical', 'most_common', NULL, arg_min(v, (-n, v)) FROM cat
     UNION ALL SELECT 'o_orderpriority', 'categorical', 'most_common_count', max(n), NULL FROM cat
     UNION ALL SELECT 'o_orderpriority', 'categorical', 'value: ' || v, n, NULL FROM cat""",
