@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("Set spark.checkpoint.dir to a shared folder.")
         folder = tempfile.mkdtemp(prefix="lodestat-checkpoint-")
     context.setCheckpointDir(folder)
