@@ -10,6 +10,9 @@ from lodestat.llm.tables import read, store
 STAGES = [
     ("quality rules", stages.passing_rules),
     ("near duplicates", stages.one_of_each),
+    ("benchmark decontamination", stages.without_benchmarks),
+    ("personal data", stages.without_personal_data),
+    ("mixing", stages.mixed),
 ]
 # Exact sampling by null-space moves and groups linked over several steps have no SQL form.
 ORACLE_SQL = None

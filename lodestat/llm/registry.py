@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import near_duplicates as near, quality_rules as rules
+from lodestat.llm import decontamination, mixing, near_duplicates as near, personal_data, quality_rules as rules
 from lodestat.llm.tables import read
 
 
@@ -12,6 +12,18 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(read(spark, folder, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.personal_data(read(spark, folder, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark")).drop("spans", "items")
+
+
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     base = rules.verdict(rules.BASE)
     return rules.ledger(read(spark, folder, "documents")).select(
@@ -21,5 +33,8 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 ENTRIES = {
     "op1_near_duplicates": (op1_near_duplicates, None),
+    "op3_personal_data": (op3_personal_data, None),
+    "op4_decontamination": (op4_decontamination, None),
+    "op5_mixing": (op5_mixing, None),
     "op7_quality_rules": (op7_quality_rules, None),
 }

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestat.llm import near_duplicates as near, quality_rules as rules
-from lodestat.llm.tables import store
+from lodestat.llm import decontamination, mixing, near_duplicates as near, personal_data, quality_rules as rules
+from lodestat.llm.tables import read, store
 
 
 def passing_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,3 +26,21 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return rest
     once = rest.join(counts, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return rest.join(counts, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of `benchmark`: mostly such ones go, others lose the passages."""
+    return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return personal_data.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes: a row per document taken, with its number of copies and words.
+
+    The list names documents of the stage before by doc_id; texts are not copied again.
+    """
+    return mixing.mix(docs).where("copies > 0")
