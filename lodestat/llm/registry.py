@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestat.llm import decontamination, mixing, near_duplicates as near, personal_data, quality_rules as rules
+from lodestat.llm import (
+    decontamination, license_scan, mixing, near_duplicates as near, personal_data, quality_classifier, quality_rules as rules,
+    token_counts, toxicity, url_filter,
+)
 from lodestat.llm.tables import read
 
 
@@ -12,6 +15,13 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(read(spark, folder, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The label of a page is `quality` of the document with its number; the tables have no other link."""
+    labels = read(spark, folder, "labels")
+    outcomes = labels.select(labels["doc_id"].alias("page_id"), labels["quality"].alias("good"))
+    return url_filter.judge(read(spark, folder, "pages"), outcomes).drop("low")
+
+
 def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.personal_data(read(spark, folder, "documents"))
 
@@ -24,6 +34,10 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, folder, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     base = rules.verdict(rules.BASE)
     return rules.ledger(read(spark, folder, "documents")).select(
@@ -31,10 +45,29 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         (base & rules.verdict(rules.CURRENT)).alias("kept"), "failed")
 
 
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.license_scan(read(spark, folder, "documents"))
+    said = F.transform("matches", lambda m: F.concat_ws(":", m["template"], m["start"].cast("string"), m["stop"].cast("string"), m["matched"].cast("string")))
+    return found.select("doc_id", "n_words", F.size("matches").cast("long").alias("n_matches"), F.array_join(said, ",").alias("spans"))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, folder, "documents"), read(spark, folder, "labels")).drop("cosines")
+
+
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.quality(read(spark, folder, "documents"))
+
+
 ENTRIES = {
     "op1_near_duplicates": (op1_near_duplicates, None),
+    "op2_url_filter": (op2_url_filter, None),
     "op3_personal_data": (op3_personal_data, None),
     "op4_decontamination": (op4_decontamination, None),
     "op5_mixing": (op5_mixing, None),
+    "op6_token_counts": (op6_token_counts, None),
     "op7_quality_rules": (op7_quality_rules, None),
+    "op8_license_scan": (op8_license_scan, None),
+    "op9_toxicity": (op9_toxicity, None),
+    "op10_quality_classifier": (op10_quality_classifier, None),
 }
