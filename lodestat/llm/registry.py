@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestat.llm import (
     decontamination, license_scan, mixing, near_duplicates as near, personal_data, quality_classifier, quality_rules as rules,
-    token_counts, toxicity, url_filter,
+    sql, token_counts, toxicity, url_filter,
 )
 from lodestat.llm.tables import read
 
@@ -61,12 +61,12 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 ENTRIES = {
     "op1_near_duplicates": (op1_near_duplicates, None),
-    "op2_url_filter": (op2_url_filter, None),
+    "op2_url_filter": (op2_url_filter, sql.URL_FILTER),
     "op3_personal_data": (op3_personal_data, None),
-    "op4_decontamination": (op4_decontamination, None),
+    "op4_decontamination": (op4_decontamination, sql.DECONTAMINATION),
     "op5_mixing": (op5_mixing, None),
     "op6_token_counts": (op6_token_counts, None),
-    "op7_quality_rules": (op7_quality_rules, None),
+    "op7_quality_rules": (op7_quality_rules, sql.QUALITY_RULES),
     "op8_license_scan": (op8_license_scan, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_quality_classifier": (op10_quality_classifier, None),
