@@ -67,8 +67,11 @@ def is_missing(df: DataFrame, name: str) -> Column:
 def number(df: DataFrame, name: str) -> Column:
     """The column as a double, times as microseconds since the epoch."""
     kind = type_of(df, name)
-    if isinstance(kind, (T.DateType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(F.col(name)).cast("double") * 86_400e6
+    if isinstance(kind, T.TimestampNTZType):  # no session zone may shift it
+        quoted = name.replace("`", "``")
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{quoted}`)").cast("double")
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(F.col(name)).cast("double")
     if isinstance(kind, T.NumericType):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from statistics import NormalDist
 
 _NORMAL = NormalDist()
@@ -65,19 +66,43 @@ def f_tail(f: float | None, dof1: float, dof2: float) -> float | None:
     return beta_cdf(dof2 / 2.0, dof1 / 2.0, dof2 / (dof2 + dof1 * f))
 
 
+@lru_cache(maxsize=None)
+def _partition_terms(parts: int) -> tuple[int, list[int]]:
+    """1 / ((1 - q)(1 - q)(1 - q^2)...(1 - q^parts)) as N(q) / (1 - q^period)^(parts + 1)."""
+    period = math.lcm(*range(1, parts + 1))
+    terms = [1]
+    for step in (1, *range(1, parts + 1)):
+        longer = [0] * (len(terms) + period - step)
+        for start in range(0, period, step):  # times (1 - q^period) / (1 - q^step)
+            for i, value in enumerate(terms):
+                longer[start + i] += value
+        terms = longer
+    return period, terms
+
+
+def _partitions_up_to(most: int, parts: int) -> int:
+    """Partitions of all numbers up to `most` into at most `parts` parts."""
+    if most < 0:
+        return 0
+    period, terms = _partition_terms(parts)
+    return sum(terms[j] * math.comb((most - j) // period + parts, parts) for j in range(most % period, min(len(terms), most + 1), period))
+
+
 def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
-    """Exact two-sided p without ties, from the Gaussian binomial coefficients."""
+    """Exact two-sided p without ties, for any size of the larger sample.
+
+    The ways to a rank sum of at most t are the partitions of up to t into
+    n1 parts of at most n2, whose generating function is a product of n1 factors
+    (1 - q^(n2 + i)) over the one of partitions into n1 parts of any size.
+    """
     small, large = sorted((n1, n2))
-    size = small * large + 1
-    ways = [1] + [0] * (size - 1)
+    top = int(min(u, n1 * n2 - u))
+    factors = {0: 1}
     for i in range(1, small + 1):
-        gap = large + i
-        for j in range(size - 1, gap - 1, -1):
-            ways[j] -= ways[j - gap]
-        for j in range(i, size):
-            ways[j] += ways[j - i]
-    top = int(max(u, n1 * n2 - u))
-    return min(1.0, 2.0 * sum(ways[top:]) / sum(ways))
+        for power, sign in list(factors.items()):
+            factors[power + large + i] = factors.get(power + large + i, 0) - sign
+    ways = sum(sign * _partitions_up_to(top - power, small) for power, sign in factors.items() if power <= top)
+    return min(1.0, 2 * ways / math.comb(n1 + n2, small))
 
 
 def mann_whitney_normal(u: float, n1: int, n2: int, ties: float) -> float | None:
@@ -94,8 +119,8 @@ def mann_whitney_p(u: float | None, n1: int, n2: int, ties: float) -> float | No
     """Exact when one sample has at most 8 values and nothing is tied."""
     if u is None or n1 == 0 or n2 == 0:
         return None
-    small, large = sorted((n1, n2))
-    if ties == 0 and small <= 8 and small * large <= 500_000:
+    small = min(n1, n2)
+    if ties == 0 and small <= 8:
         return mann_whitney_exact(u, n1, n2)
     return mann_whitney_normal(u, n1, n2, ties)
 

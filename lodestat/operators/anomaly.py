@@ -62,8 +62,7 @@ def z_score(df: DataFrame, column: str, threshold: float = 3) -> DataFrame:
 
 # --- isolation forest ------------------------------------------------------
 
-_SAMPLE = 256
-_EXPLODED_ROWS = 200_000
+SAMPLE = 256  # rows a tree grows from, at most
 
 
 def _path_correction(n: float) -> float:
@@ -75,35 +74,36 @@ def _path_correction(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
 
 
-def _tree_samples(df: DataFrame, columns: list[str], key: Columns, trees: int, seed: int) -> DataFrame:
-    """(tree, x): up to 256 rows per tree, chosen by hash so that a rerun agrees.
+def _tree_samples(df: DataFrame, columns: list[str], trees: int, seed: int, sample: int) -> DataFrame:
+    """(tree, place, copies, x): points of at most `sample` rows per tree, chosen by hash so that a rerun agrees.
 
-    Small tables draw for every tree on its own. In large ones a row serves at
-    most one tree, so the draw costs one hash per row.
+    Rows at one point are counted first. A hash of the point and the tree turns
+    the expected number of its rows in that tree into a whole number, so a row
+    joins each tree on its own and a crowded point is in each by its weight. Only
+    points that are drawn become rows.
     """
-    names = pick(df, key, columns)
-    rows = df.select(*names, coordinates(df, columns).alias("x")).where("x is not null")
-    n = rows.count()
-    share = 1.5 * _SAMPLE / max(n, 1)
+    points = df.select(coordinates(df, columns).alias("x")).where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("w"))
+    n = points.agg(F.sum("w")).first()[0] or 0
+    share = 1.5 * sample / max(n, 1)
 
-    def unit(*salt: Column) -> Column:
-        return F.pmod(F.xxhash64(*names, *salt), F.lit(2**31)) / F.lit(float(2**31))
+    def copies(tree: Column) -> Column:
+        unit = F.pmod(F.xxhash64("x", tree, F.lit(seed)), F.lit(2**31)) / F.lit(float(2**31))
+        return F.least(F.floor(F.col("w") * F.lit(share) + unit), F.col("w"))
 
-    if n <= _EXPLODED_ROWS:
-        drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        drawn = drawn.where(unit(F.col("tree"), F.lit(seed)) < share)
-    else:
-        drawn = rows.where(unit(F.lit(seed)) < share * trees)
-        drawn = drawn.withColumn("tree", F.pmod(F.xxhash64(*names, F.lit(seed + 1)), F.lit(trees)).cast("int"))
-    drawn = drawn.withColumn("h", F.xxhash64(*names, F.col("tree"), F.lit(seed + 2)))
-    order = Window.partitionBy("tree").orderBy("h", *names)
-    return drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= _SAMPLE).select("tree", "place", "x")
+    drawn = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), copies(t).alias("copies"))),
+        lambda d: d["copies"] > 0)
+    each = points.select("x", F.inline(drawn)).withColumn("h", F.xxhash64("x", "tree", F.lit(seed + 2)))
+    order = Window.partitionBy("tree").orderBy("h", "x")  # about 1.5 * sample rows
+    before = F.sum("copies").over(order) - F.col("copies")
+    placed = each.withColumns({"place": F.row_number().over(order), "copies": F.least(F.col("copies"), F.lit(sample) - before)})
+    return placed.where("copies > 0").select("tree", "place", "copies", "x")
 
 
 def _grow(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     """One isolation tree as parallel node arrays."""
     pdf = pdf.sort_values("place")
-    x = np.stack(pdf["x"].to_numpy())
+    x = np.repeat(np.stack(pdf["x"].to_numpy()), pdf["copies"].to_numpy(), axis=0)
     rng = np.random.default_rng([seed, int(pdf["tree"].iloc[0])])
     limit = math.ceil(math.log2(max(2, len(x))))
     feature, cut, left, right, length = [], [], [], [], []
@@ -132,14 +132,15 @@ def _grow(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
 
 
 def isolation_scores(
-    df: DataFrame, columns: Sequence[str], key: Columns = None, trees: int = 100, seed: int = 42,
+    df: DataFrame, columns: Sequence[str], trees: int = 100, seed: int = 42, sample: int = SAMPLE,
 ) -> Column:
     """The anomaly score of each row, 2 ** -(mean path / expected path).
 
-    Trees grow in parallel from samples of at most 256 rows. A forest is at most
-    trees * 511 nodes whatever the table, and travels with the scoring function.
+    Trees grow in parallel from samples of at most `sample` rows. A forest is at
+    most 2 * trees * sample nodes whatever the table, and travels with the
+    scoring function.
     """
-    samples = _tree_samples(df, list(columns), key, trees, seed)
+    samples = _tree_samples(df, list(columns), trees, seed, sample)
     grown = samples.groupBy("tree").applyInPandas(
         lambda pdf: _grow(pdf, seed),
         "feature array<int>, cut array<double>, left array<int>, right array<int>, length array<double>, n int",
@@ -172,15 +173,18 @@ def isolation_scores(
 
 def isolation_forest(
     df: DataFrame, columns: Columns, key: Columns = None, trees: int = 100, seed: int = 42, threshold: float = 0.5,
+    sample: int = SAMPLE,
 ) -> DataFrame:
     """Rows that random splits isolate quickly (Liu et al. 2008): score above 0.5.
 
-    `key` names the columns that identify rows for sampling, by default the
-    features themselves.
+    Each tree grows from a sample of `sample` rows. The draw depends on the
+    features alone; `key` is checked and otherwise of no effect.
     """
     names = pick(df, columns, numeric_columns(df))
-    score = isolation_scores(df, names, key, trees, seed)
-    return df.withColumn("_score", score).where((F.col("_score") > threshold) & ~F.isnan("_score")).drop("_score")
+    pick(df, key, [])
+    score = isolation_scores(df, names, trees, seed, sample)
+    return df.withColumn("_lodestat_score", score).where(
+        (F.col("_lodestat_score") > threshold) & ~F.isnan("_lodestat_score")).drop("_lodestat_score")
 
 
 # --- one-class SVM ---------------------------------------------------------

@@ -14,15 +14,19 @@ from lodestat.plans.sizing import SMALL_DISTINCT, bucket_splits, column_sizes, c
 from lodestat.plans.skew import join_values
 
 # What counts as a number in text.
-INTEGER_TEXT = r"^\s*[+-]?\d{1,18}\s*$"
+INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
 NUMBER_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 
 # Layouts tried when no date format is given.
 DATE_LAYOUTS = (
     "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy", "dd-MM-yyyy", "yyyyMMdd",
+    "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd HH:mm:ss XXX",
+    "yyyy-MM-dd", "yyyy/M/d HH:mm:ss", "yyyy/M/d", "M/d/yyyy HH:mm:ss", "M/d/yyyy HH:mm",
+    "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "M/d/yyyy", "d/M/yyyy", "d.M.yyyy HH:mm:ss", "d.M.yyyy",
+    "d-M-yyyy", "yyyyMMdd", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yyyy",
+    "d MMM yyyy HH:mm:ss", "MMM d yyyy", "yyyy-M-d",
 )
 
 # Strptime directives and their datetime pattern letters.
@@ -36,16 +40,20 @@ STRPTIME_LETTERS = {
 def to_numeric(df: DataFrame, columns: Columns = None, errors: str = "ignore") -> DataFrame:
     """Turn text columns into numbers, each column all or nothing.
 
-    Whole numbers without gaps become long, anything else double. A column with
-    a bad value stays as it is, or raises ValueError with errors='raise'.
+    Whole numbers without gaps become long, anything else double; with gaps too
+    if a double would lose digits. A column with a bad value, or a whole number
+    that no long holds, stays as it is, or raises ValueError with errors='raise'.
     """
     names = [c for c in pick(df, columns, text_columns(df)) if c in text_columns(df)]
     if not names:
         return df
     row = df.agg(*[
         agg for i, c in enumerate(names) for agg in (
-            F.count_if(~F.col(c).rlike(NUMBER_TEXT) & (F.col(c) != "")).alias(f"bad{i}"),
+            F.count_if(F.when(F.col(c).rlike(INTEGER_TEXT), F.col(c).try_cast("long").isNull()).otherwise(
+                ~F.col(c).rlike(NUMBER_TEXT) & (F.col(c) != ""))).alias(f"bad{i}"),
             F.count_if(~F.coalesce(F.col(c).rlike(INTEGER_TEXT), F.lit(False))).alias(f"real{i}"),
+            F.count_if(~F.coalesce(F.col(c).rlike(INTEGER_TEXT), F.col(c).isNull() | (F.col(c) == ""))).alias(f"fraction{i}"),
+            F.count_if(F.abs(F.col(c).try_cast("decimal(38,0)")) > 2**53).alias(f"long{i}"),
         )
     ]).first()
     out = {}
@@ -54,7 +62,8 @@ def to_numeric(df: DataFrame, columns: Columns = None, errors: str = "ignore") -
             if errors == "raise":
                 raise ValueError(f"Column '{c}' cannot be converted to numbers.")
             continue
-        out[c] = F.col(c).try_cast("double" if row[f"real{i}"] else "long")
+        whole = not row[f"real{i}"] or (row[f"long{i}"] and not row[f"fraction{i}"])
+        out[c] = F.col(c).try_cast("long" if whole else "double")
     return df.withColumns(out)
 
 
@@ -83,20 +92,17 @@ def spark_pattern(fmt: str) -> str:
 
 
 def _infer_layout(df: DataFrame, name: str, order_by: Columns) -> str | None:
-    """The first layout that parses the first value present."""
+    """The first layout that parses the first value present; without an order
+    the one that parses most values, the first of equal ones."""
     col = F.col(name)
+    parsed = [F.try_to_timestamp(col, F.lit(p)) for p in DATE_LAYOUTS]
     if order_by is None:
-        row = df.where(col.isNotNull()).select(col.alias("v")).first()
+        found = list(df.agg(*[F.count(x).alias(f"p{i}") for i, x in enumerate(parsed)]).first())
     else:
         key = F.struct(*pick(df, order_by, []))
-        row = df.where(col.isNotNull()).agg(F.min_by(col, key).alias("v")).first()
-    if row is None or row["v"] is None:
-        return None
-    probe = df.sparkSession.range(1).select(*[
-        F.try_to_timestamp(F.lit(row["v"]), F.lit(p)).isNotNull().alias(f"p{i}")
-        for i, p in enumerate(DATE_LAYOUTS)
-    ]).first()
-    return next((p for p, ok in zip(DATE_LAYOUTS, probe) if ok), None)
+        first = df.where(col.isNotNull()).agg(F.min_by(col, key).alias(name))
+        found = list(first.select(*[x.isNotNull().cast("int").alias(f"p{i}") for i, x in enumerate(parsed)]).first())
+    return DATE_LAYOUTS[found.index(max(found))] if max(found) else None
 
 
 def to_datetime(
@@ -104,33 +110,35 @@ def to_datetime(
 ) -> DataFrame:
     """Parse text as timestamps without zone; what does not parse becomes NULL.
 
-    Without `fmt` (strptime style) the layout is taken from the first value, in
-    the order of `order_by` if given.
+    Without `fmt` (strptime style) the layout is taken from the first value in
+    the order of `order_by`, or else is the one that parses most values. A
+    column that no layout fits stays as it is. Times with an offset are set to
+    the session's zone.
     """
     out = {}
     for c in pick(df, columns, text_columns(df)):
         layout = spark_pattern(fmt) if fmt else _infer_layout(df, c, order_by)
-        parsed = F.try_to_timestamp(F.col(c), F.lit(layout)) if layout else F.lit(None)
-        out[c] = parsed.cast("timestamp_ntz")
+        if layout:
+            out[c] = F.try_to_timestamp(F.col(c), F.lit(layout)).cast("timestamp_ntz")
     return df.withColumns(out)
 
 
-def categories(df: DataFrame, column: str, limit: int) -> list:
-    """Sorted distinct values of a column; ValueError above `limit`."""
-    values = [
-        r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    ]
-    if len(values) > limit:
+def categories(df: DataFrame, column: str, limit: int | None = None) -> list:
+    """Sorted distinct values of a column; ValueError above a `limit`."""
+    distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
+    values = [r[0] for r in (distinct if limit is None else distinct.limit(limit + 1)).collect()]
+    if limit is not None and len(values) > limit:
         raise ValueError(
             f"Column '{column}' has more than {limit} categories; use one_hot_vector instead."
         )
     return sorted(values)
 
 
-def one_hot(df: DataFrame, columns: Columns = None, max_width: int = 1_000) -> DataFrame:
+def one_hot(df: DataFrame, columns: Columns = None, max_width: int | None = None) -> DataFrame:
     """Replace each column by boolean columns `column_value`, the first sorted
-    category left out; NULL is False everywhere. One column per category bounds
-    the width, see `one_hot_vector` for wide columns."""
+    category left out; NULL is False everywhere. The table gets a column per
+    category, whose names the driver holds: `one_hot_vector` is the form for wide
+    columns, and `max_width` makes more categories an error."""
     names = pick(df, columns, text_columns(df))
     flags = [
         F.coalesce(F.col(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}")

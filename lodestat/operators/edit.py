@@ -84,14 +84,27 @@ def apply_edits(df: DataFrame, edits: DataFrame, key: str, columns: Columns) ->
     """Replace single cells.
 
     `edits` has rows (key, column, value) with the value as text; at most one
-    edit per cell. A value that does not fit the column's type leaves the cell.
+    edit per cell. A NULL value clears the cell. A value that does not fit the
+    column's type leaves the cell; `bad_edits` lists those.
     """
     names = pick(df, columns, [])
     wide = edits.groupBy(key).agg(*[
-        F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"_edit_{c}") for c in names
+        F.max(F.when(F.col("column") == c, F.struct("value"))).alias(f"_edit_{c}") for c in names
     ])
     joined = df.join(wide, key, "left")
-    new = {
-        c: F.coalesce(F.col(f"_edit_{c}").try_cast(type_of(df, c)), F.col(c)) for c in names
-    }
-    return joined.withColumns(new).select(*df.columns)
+
+    def edited(c: str) -> Column:
+        edit = F.col(f"_edit_{c}")
+        value = edit["value"].try_cast(type_of(df, c))
+        return F.when(edit.isNotNull() & (edit["value"].isNull() | value.isNotNull()), value).otherwise(F.col(c))
+
+    return joined.withColumns({c: edited(c) for c in names}).select(*df.columns)
+
+
+def bad_edits(df: DataFrame, edits: DataFrame, columns: Columns) -> DataFrame:
+    """The rows of `edits` that name no edited column or do not fit its type."""
+    fits = F.lit(False)
+    for c in pick(df, columns, []):
+        same = F.col("column") == c
+        fits = fits | (same & (F.col("value").isNull() | F.col("value").try_cast(type_of(df, c)).isNotNull()))
+    return edits.where(~F.coalesce(fits, F.lit(False)))

@@ -55,13 +55,14 @@ def feature_scores(df: DataFrame, target: str, columns: Columns = None) -> DataF
     """(feature, correlation, f_score, p_value, place): linear F-test with the target."""
     names = [c for c in pick(df, columns, numeric_columns(df)) if c != target]
     y = present(df, target).cast("double")
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[
-        F.corr(present(df, c).cast("double"), y).alias(f"r{i}") for i, c in enumerate(names)
+    row = df.agg(F.count(F.lit(1)), *[
+        a for i, c in enumerate(names) for x in [present(df, c).cast("double")]
+        for a in (F.corr(x, y).alias(f"r{i}"), F.count(x + y).alias(f"n{i}"))
     ]).first()
     scores = []
     for i, c in enumerate(names):
-        r, dof = row[f"r{i}"], row["n"] - 2
-        if r is None or math.isnan(r):
+        r, dof = row[f"r{i}"], row[f"n{i}"] - 2  # rows with both values count
+        if r is None or math.isnan(r) or dof < 1:
             scores.append((c, None, None, None))
             continue
         f = math.inf if r * r >= 1 else r * r / (1 - r * r) * dof
@@ -109,10 +110,15 @@ def fit_preprocessing(df: DataFrame, target: str | None, config: Mapping | None
 
     The fitted statistics become literals of SQL stages, so the pipeline runs in
     generated code and can be saved. Fit it on the training rows alone to keep
-    test rows out of the statistics.
+    test rows out of the statistics. Columns without any value are left out.
+    Every row is kept; one with a gap (only without imputation) gets NaN features.
     """
     config = DEFAULTS | dict(config or {})
     names = [c for c in numeric_columns(df) if c != target]
+    seen = df.agg(F.count(F.lit(1)), *[F.count(present(df, c)).alias(f"n{i}") for i, c in enumerate(names)]).first()
+    names = [c for i, c in enumerate(names) if seen[f"n{i}"]]
+    if not names:
+        raise ValueError("No numeric column holds a value.")
     stages: list[Transformer] = []
 
     def project(expressions: Mapping[str, str]) -> None:
@@ -137,10 +143,10 @@ def fit_preprocessing(df: DataFrame, target: str | None, config: Mapping | None
         names = best_features(current, target, names, config["n_features"])
     reduce = config["reduce"] == "pca"
     assembled = VectorAssembler(
-        inputCols=names, outputCol="_assembled" if reduce else "features", handleInvalid="skip")
+        inputCols=names, outputCol="_assembled" if reduce else "features", handleInvalid="keep")
     stages.append(assembled)
     if reduce:
-        model, cut = principal_components(assembled.transform(current), "_assembled", config["n_components"])
+        model, cut = principal_components(assembled.transform(current.dropna(subset=names)), "_assembled", config["n_components"])
         cut.setOutputCol("features")
         stages += [model, cut]
     return PipelineModel(stages)

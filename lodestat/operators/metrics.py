@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
-    """(mse, r2); r2 is NULL for a constant label."""
-    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
+    """(mse, r2) over the rows with label and prediction; r2 is NULL for a constant label."""
+    p = F.col(prediction).cast("double")
+    y = F.when(p.isNotNull(), F.col(label).cast("double"))
     gap = y - p
     return df.agg(
         F.avg(gap * gap).alias("mse"),
@@ -20,8 +21,9 @@ def accuracy(df: DataFrame, label: str, prediction: str = "prediction") -> DataF
 
 
 def confusion(df: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
-    """(label, prediction, n)."""
-    return df.groupBy(F.col(label).cast("string").alias("label"), F.col(prediction).cast("string").alias("prediction")).agg(
+    """(label, prediction, n); predictions are compared in the label's type."""
+    said = F.col(prediction).cast(df.schema[label].dataType)
+    return df.groupBy(F.col(label).cast("string").alias("label"), said.cast("string").alias("prediction")).agg(
         F.count(F.lit(1)).alias("n"))
 
 

@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations_with_replacement
@@ -14,15 +15,17 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IndexToString, PolynomialExpansion, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
 )
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lodestat.functions.columns import Columns, present, require
+from lodestat.functions.columns import Columns, numeric_columns, present, require
 from lodestat.operators.features import _scaling, with_fold
 from lodestat.operators.metrics import accuracy, classification_report, regression_metrics
 from lodestat.plans.layout import spread
@@ -31,6 +34,11 @@ from lodestat.plans.skew import join_values
 from lodestat.plans.sums import FourierFeatures, vector_sum
 
 DEEPEST = 30  # the deepest tree MLlib grows
+# Usual names of scores, MLlib's names for them and their sign.
+SCORING = {
+    "neg_mean_squared_error": ("mse", -1), "neg_root_mean_squared_error": ("rmse", -1), "neg_mean_absolute_error": ("mae", -1),
+    "f1_weighted": ("f1", 1), "precision_weighted": ("weightedPrecision", 1), "recall_weighted": ("weightedRecall", 1),
+}
 SEED = 42
 
 
@@ -45,7 +53,10 @@ class Model:
     info: dict = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.fitted.transform(df).drop("_features", "_lifted", "rawPrediction", "probability")
+        """All rows with `prediction`, NULL where a feature is missing; classes in the label's type."""
+        found = with_known_predictions(self.fitted.transform(df), df, self.features)
+        kind = self.info.get("label_type")
+        return found.withColumn("prediction", F.col("prediction").cast(kind)) if kind else found
 
     def scores(self, df: DataFrame) -> DataFrame:
         """mse and r2, or the accuracy, of the predictions on rows with labels."""
@@ -53,12 +64,12 @@ class Model:
         return regression_metrics(scored, self.target) if self.task == "regression" else accuracy(scored, self.target)
 
     def report(self, df: DataFrame) -> DataFrame:
-        return classification_report(self.transform(df).withColumn(
-            "prediction", F.col("prediction").cast(df.schema[self.target].dataType)), self.target)
+        return classification_report(self.transform(df), self.target)
 
     def importances(self) -> DataFrame:
         """(feature, importance), which add up to 1."""
-        values = self.fitted.stages[-1].featureImportances.toArray()
+        tree = next(s for s in self.fitted.stages if hasattr(s, "featureImportances"))
+        values = tree.featureImportances.toArray()
         rows = [(f, float(v)) for f, v in zip(self.features, values)]
         return SparkSession.active().createDataFrame(rows, "feature string, importance double")
 
@@ -68,16 +79,67 @@ class Model:
         return SparkSession.active().createDataFrame([(t, float(c)) for t, c in rows], "term string, coefficient double")
 
 
+_SCRATCH = ("_features", "_lifted", "_label", "_index", "rawPrediction", "probability")
+
+
+def with_known_predictions(scored: DataFrame, df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The rows as scored, without the columns scoring added besides `prediction`."""
+    known = F.lit(True)
+    for name in features:
+        known = known & present(df, name).isNotNull()
+    return scored.withColumn("prediction", F.when(known, F.col("prediction"))).drop(*[c for c in _SCRATCH if c not in df.columns])
+
+
 def _assembler(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
+    return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
+
+
+def _depth(max_depth: int | None) -> int:
+    if max_depth is not None and max_depth > DEEPEST:
+        raise ValueError(f"Trees are at most {DEEPEST} levels deep.")
+    return DEEPEST if max_depth is None else max_depth
+
+
+@dataclass
+class _Classes:
+    """How the labels of a classification become the numbers 0 to k - 1 that MLlib needs."""
+
+    count: int
+    indexer: object = None     # NULL where the labels are such numbers already
+    label_type: str | None = None
+
+    def columns(self, target: str) -> dict:
+        return {"labelCol": target} if self.indexer is None else {"labelCol": "_label", "predictionCol": "_index"}
+
+    def around(self, stages: list) -> list:
+        if self.indexer is None:
+            return stages
+        return [self.indexer, *stages, IndexToString(inputCol="_index", outputCol="prediction", labels=self.indexer.labels)]
+
+
+def _classes(df: DataFrame, target: str) -> _Classes:
+    """Text, booleans and any numbers may be labels; their sorted order gives the numbers."""
+    rows = df.where(F.col(target).isNotNull())
+    if target in numeric_columns(df):
+        y = F.col(target).cast("double")
+        row = rows.agg(F.min(y), F.max(y), F.count_distinct(y), F.count_if(y != F.floor(y))).first()
+        if row[2] and row[0] == 0 and row[1] == row[2] - 1 and row[3] == 0:
+            return _Classes(row[2])
+    indexer = StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(
+        rows.select(F.col(target).cast("string").alias(target)) if target not in numeric_columns(df) else rows)
+    return _Classes(len(indexer.labels), indexer, df.schema[target].dataType.simpleString())
 
 
 def _fit(df, task, features, target, stages, repeated: bool = True, **info) -> Model:
-    """Fit the stages on the columns they need, kept in memory if read repeatedly."""
+    """Fit the stages on the columns they need, kept in memory if read repeatedly.
+
+    Rows with a missing feature or label are left out of the fit.
+    """
     features = require(df, features)
     require(df, [target])
     keep = [*features, target] + (["fold"] if "fold" in df.columns else [])
-    rows = spread(df.select(*dict.fromkeys(keep))).persist() if repeated else df
+    whole = df.select(*dict.fromkeys(keep)).dropna(subset=[*features, target])
+    rows = spread(whole).persist() if repeated else whole
     try:
         fitted = Pipeline(stages=[_assembler(features), *stages]).fit(rows)
     finally:
@@ -123,40 +185,56 @@ def polynomial_terms(features: Sequence[str], degree: int) -> list[str]:
 def polynomial_regression(df: DataFrame, features: Sequence[str], target: str, degree: int = 2) -> Model:
     """Least squares over all products of features up to a degree."""
     lift = PolynomialExpansion(degree=degree, inputCol="_features", outputCol="_lifted")
-    terms = polynomial_terms(features, degree) if len(features) <= 10 else []
+    terms = polynomial_terms(features, degree)
     estimator = LinearRegression(featuresCol="_lifted", labelCol=target, solver="normal")
     return _linear(df, features, target, [lift], estimator, terms)
 
 
 def ridge_regression(
     df: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0, fit_intercept: bool = True,
+    positive: bool = False,
 ) -> Model:
-    """Least squares plus alpha * |w|^2, the exact solution.
+    """Least squares plus alpha * |w|^2, the exact solution; with `positive` no
+    coefficient may be negative.
 
     MLlib scales its penalty by the deviation of the label and the row count,
     which is undone here.
     """
-    row = df.agg(F.count(target).alias("n"), F.stddev_pop(target).alias("sd")).first()
+    if positive:
+        return _non_negative(df, features, target, fit_intercept, alpha)
+    row = df.dropna(subset=[*require(df, features), target]).agg(F.count(target).alias("n"), F.stddev_pop(target).alias("sd")).first()
     return _linear(df, features, target, [], LinearRegression(
         featuresCol="_features", labelCol=target, solver="normal", elasticNetParam=0.0, standardization=False,
         regParam=alpha * (row["sd"] or 0.0) / max(row["n"], 1), fitIntercept=fit_intercept), list(features))
 
 
-class LinearTransformer(Transformer):
-    """Prediction as a sum of column times weight, in generated code."""
+class _Stored(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """A stage whose state is one JSON text, so that a pipeline with it can be saved."""
+
+    state = Param(Params._dummy(), "state", "the fitted numbers as JSON", TypeConverters.toString)
+
+    @classmethod
+    def of(cls, **state):
+        made = cls()
+        made._set(state=json.dumps(state))
+        return made
 
-    def __init__(self, weights: Mapping[str, float], intercept: float):
-        super().__init__()
-        self.weights, self.intercept = dict(weights), intercept
+    def held(self) -> dict:
+        return json.loads(self.getOrDefault(self.state))
+
+
+class LinearTransformer(_Stored):
+    """Prediction as a sum of column times weight, in generated code."""
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        total = F.lit(float(self.intercept))
-        for name, weight in self.weights.items():
+        held = self.held()
+        total = F.lit(float(held["intercept"]))
+        for name, weight in held["weights"].items():
             total = total + F.col(name).cast("double") * F.lit(float(weight))
         return dataset.withColumn("prediction", total)
 
 
-def _non_negative(df: DataFrame, features: Sequence[str], target: str, fit_intercept: bool) -> Model:
+def _non_negative(df: DataFrame, features: Sequence[str], target: str, fit_intercept: bool, alpha: float = 0.0) -> Model:
     """Active-set least squares on the matrix of products, which one aggregate
     over the centred columns yields."""
     names = [*require(df, features), target]
@@ -170,10 +248,10 @@ def _non_negative(df: DataFrame, features: Sequence[str], target: str, fit_inter
     gram = np.zeros((len(names), len(names)))
     for i, j in cells:
         gram[i, j] = gram[j, i] = sums[f"p{i}_{j}"]
-    w = solve_non_negative(gram[:-1, :-1], gram[:-1, -1])
+    w = solve_non_negative(gram[:-1, :-1] + alpha * np.eye(len(names) - 1), gram[:-1, -1])
     intercept = float(mean[-1] - mean[:-1] @ w) if fit_intercept else 0.0
     weights = dict(zip(features, w.tolist()))
-    return Model("regression", list(features), target, LinearTransformer(weights, intercept),
+    return Model("regression", list(features), target, PipelineModel([LinearTransformer.of(weights=weights, intercept=intercept)]),
                  {"terms": list(features), "coefficients": w.tolist(), "intercept": intercept})
 
 
@@ -209,18 +287,24 @@ def decision_tree(
     df: DataFrame, features: Sequence[str], target: str, task: str = "regression",
     max_depth: int | None = None, min_samples_leaf: int = 1,
 ) -> Model:
-    """One tree; without a depth it grows to MLlib's limit of 30 levels."""
-    kind = DecisionTreeRegressor if task == "regression" else DecisionTreeClassifier
-    return _fit(df, task, features, target, [kind(
-        featuresCol="_features", labelCol=target, maxDepth=min(max_depth or DEEPEST, DEEPEST),
-        minInstancesPerNode=min_samples_leaf, seed=SEED)])
+    """One tree. Without a depth it grows to MLlib's limit of 30 levels, and with
+    leaves of one row it grows with the table: set a depth or a leaf size there."""
+    options = dict(featuresCol="_features", maxDepth=_depth(max_depth), minInstancesPerNode=min_samples_leaf, seed=SEED)
+    if task == "regression":
+        return _fit(df, task, features, target, [DecisionTreeRegressor(labelCol=target, **options)])
+    return _fit_classes(df, features, target, lambda c: DecisionTreeClassifier(**c.columns(target), **options))
 
 
-def _forest(task: str, target: str, n_estimators: int, max_depth: int | None, min_samples_leaf: int):
+def _fit_classes(df: DataFrame, features: Sequence[str], target: str, estimator, before: Sequence = (), **info) -> Model:
+    """Fit the classifier that `estimator` makes for the classes of the target."""
+    found = _classes(df, require(df, [target])[0])
+    return _fit(df, "classification", features, target, found.around([*before, estimator(found)]), label_type=found.label_type, **info)
+
+
+def _forest(task: str, columns: Mapping[str, str], n_estimators: int, max_depth: int | None, min_samples_leaf: int):
     kind = RandomForestRegressor if task == "regression" else RandomForestClassifier
     return kind(
-        featuresCol="_features", labelCol=target, numTrees=n_estimators,
-        maxDepth=min(max_depth or DEEPEST, DEEPEST), minInstancesPerNode=min_samples_leaf,
+        featuresCol="_features", **columns, numTrees=n_estimators, maxDepth=_depth(max_depth), minInstancesPerNode=min_samples_leaf,
         featureSubsetStrategy="all" if task == "regression" else "sqrt", seed=SEED)
 
 
@@ -228,7 +312,9 @@ def random_forest(
     df: DataFrame, features: Sequence[str], target: str, task: str = "regression",
     n_estimators: int = 100, max_depth: int | None = None, min_samples_leaf: int = 1,
 ) -> Model:
-    return _fit(df, task, features, target, [_forest(task, target, n_estimators, max_depth, min_samples_leaf)])
+    if task == "regression":
+        return _fit(df, task, features, target, [_forest(task, {"labelCol": target}, n_estimators, max_depth, min_samples_leaf)])
+    return _fit_classes(df, features, target, lambda c: _forest(task, c.columns(target), n_estimators, max_depth, min_samples_leaf))
 
 
 def gradient_boosting(
@@ -236,17 +322,16 @@ def gradient_boosting(
     n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 3,
 ) -> Model:
     """Boosted trees; more than two classes are fitted one against the rest."""
-    options = dict(featuresCol="_features", labelCol=target, maxIter=n_estimators, stepSize=learning_rate,
-                   maxDepth=max_depth, seed=SEED)
+    options = dict(featuresCol="_features", maxIter=n_estimators, stepSize=learning_rate, maxDepth=_depth(max_depth), seed=SEED)
     if task == "regression":
-        return _fit(df, task, features, target, [GBTRegressor(**options)])
-    return _fit(df, task, features, target, [_one_against_rest(df, target, GBTClassifier(**options))])
+        return _fit(df, task, features, target, [GBTRegressor(labelCol=target, **options)])
+    return _fit_classes(df, features, target, lambda c: _one_against_rest(c, target, GBTClassifier(**c.columns(target), **options)))
 
 
-def _one_against_rest(df: DataFrame, target: str, classifier):
-    if (df.agg(F.max(target)).first()[0] or 0) <= 1:
+def _one_against_rest(classes: _Classes, target: str, classifier):
+    if classes.count <= 2:
         return classifier
-    return OneVsRest(classifier=classifier, featuresCol=classifier.getFeaturesCol(), labelCol=target, parallelism=8)
+    return OneVsRest(classifier=classifier, featuresCol=classifier.getFeaturesCol(), parallelism=8, **classes.columns(target))
 
 
 def grid_search(
@@ -257,49 +342,52 @@ def grid_search(
     """(best model, its parameters, its score, all scores) of random forests.
 
     Parameters: n_estimators, max_depth (None is the deepest) and
-    min_samples_leaf. Folds come from a hash of `key` if given.
+    min_samples_leaf. Folds come from a hash of `key` if given. `scoring` is a
+    name of SCORING or of MLlib's evaluators; where less is better, scores are
+    negative with a `neg_` name.
     """
+    classes = _classes(df, target) if task != "regression" else None
+    columns = classes.columns(target) if classes else {"labelCol": target}
+    metric, sign = SCORING.get(scoring, (scoring, 1))
     grid = dict(param_grid or {"n_estimators": [50, 100, 200], "max_depth": [None, 10, 20], "min_samples_leaf": [1, 2, 4]})
-    forest = _forest(task, target, 100, None, 1)
+    forest = _forest(task, columns, 100, None, 1)
     named = {"n_estimators": forest.numTrees, "max_depth": forest.maxDepth, "min_samples_leaf": forest.minInstancesPerNode}
     builder = ParamGridBuilder()
     for name, values in grid.items():
         if name not in named:
             raise ValueError(f"Unknown parameter '{name}'.")
-        builder = builder.addGrid(named[name], [DEEPEST if v is None else v for v in values])
+        builder = builder.addGrid(named[name], [_depth(v) for v in values] if name == "max_depth" else list(values))
     maps = builder.build()
     if task == "regression":
-        judge = RegressionEvaluator(labelCol=target, metricName=scoring)
+        judge = RegressionEvaluator(labelCol=target, metricName=metric)
     else:
-        judge = MulticlassClassificationEvaluator(labelCol=target, metricName="accuracy" if scoring == "r2" else scoring)
+        judge = MulticlassClassificationEvaluator(**columns, metricName="accuracy" if metric == "r2" else metric)
     rows = with_fold(df, key, cv) if key is not None else df
     search = CrossValidator(
         estimator=forest, estimatorParamMaps=maps, evaluator=judge, numFolds=cv, parallelism=parallelism,
         seed=SEED, **({"foldCol": "fold"} if key is not None else {}))
-    model = _fit(rows, task, features, target, [search])
-    tuned = model.fitted.stages[-1]
+    stages = classes.around([search]) if classes else [search]
+    model = _fit(rows, task, features, target, stages, label_type=classes.label_type if classes else None)
+    place = 1 + stages.index(search)
+    tuned = model.fitted.stages[place]
     settings = [{n: m[p] for n, p in named.items() if p in m} for m in maps]
     better = max if judge.isLargerBetter() else min
     at = better(range(len(maps)), key=lambda i: tuned.avgMetrics[i])
-    model.fitted = PipelineModel([model.fitted.stages[0], tuned.bestModel])
+    model.fitted = PipelineModel([tuned.bestModel if i == place else s for i, s in enumerate(model.fitted.stages)])
     table = df.sparkSession.createDataFrame(
-        [(i, str(sorted(s.items())), float(m)) for i, (s, m) in enumerate(zip(settings, tuned.avgMetrics))],
+        [(i, str(sorted(s.items())), sign * float(m)) for i, (s, m) in enumerate(zip(settings, tuned.avgMetrics))],
         "place int, parameters string, score double")
-    return model, settings[at], float(tuned.avgMetrics[at]), table
+    return model, settings[at], sign * float(tuned.avgMetrics[at]), table
 
 
 # --- support vector machines -----------------------------------------------
 
 
-class FourierTransformer(Transformer):
+class FourierTransformer(_Stored):
     """Random cosine features of a scaled vector, in Arrow batches."""
 
-    def __init__(self, lift: FourierFeatures):
-        super().__init__()
-        self.lift = lift
-
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        lift = self.lift
+        lift = FourierFeatures(*self.held()["features"])
 
         @F.pandas_udf("array<double>")
         def apply(points: pd.Series) -> pd.Series:
@@ -316,7 +404,7 @@ def _lifting(kernel: str, dims: int, degree: int, size: int) -> list:
     if kernel == "poly":
         return [scaler.setOutputCol("_scaled"), PolynomialExpansion(degree=degree, inputCol="_scaled", outputCol="_lifted")]
     if kernel == "rbf":
-        return [scaler.setOutputCol("_scaled"), FourierTransformer(FourierFeatures(dims, 1.0 / dims, size, SEED))]
+        return [scaler.setOutputCol("_scaled"), FourierTransformer.of(features=[dims, 1.0 / dims, size, SEED])]
     raise ValueError(f"Unknown kernel '{kernel}'.")
 
 
@@ -330,21 +418,19 @@ def svm_classifier(
     `rbf` random Fourier features, both approximations of the kernel machine.
     """
     n = df.count()
-    svc = LinearSVC(featuresCol="_lifted", labelCol=target, regParam=1.0 / (C * max(n, 1)), maxIter=max_iter,
-                    tol=1e-4)
-    return _fit(df, "classification", features, target,
-                [*_lifting(kernel, len(features), degree, size), _one_against_rest(df, target, svc)], kernel=kernel)
 
+    def machine(classes: _Classes):
+        return _one_against_rest(classes, target, LinearSVC(
+            featuresCol="_lifted", **classes.columns(target), regParam=1.0 / (C * max(n, 1)), maxIter=max_iter, tol=1e-4))
+
+    return _fit_classes(df, features, target, machine, _lifting(kernel, len(features), degree, size), kernel=kernel)
 
-class DotTransformer(Transformer):
-    """Prediction as a dot product of the lifted vector, in Arrow batches."""
 
-    def __init__(self, weights: np.ndarray):
-        super().__init__()
-        self.lifted_weights = weights
+class DotTransformer(_Stored):
+    """Prediction as a dot product of the lifted vector, in Arrow batches."""
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        weights = self.lifted_weights
+        weights = np.array(self.held()["weights"])
 
         @F.pandas_udf("double")
         def apply(points: pd.Series) -> pd.Series:
@@ -356,16 +442,18 @@ class DotTransformer(Transformer):
 
 def svm_regression(
     df: DataFrame, features: Sequence[str], target: str, kernel: str = "rbf", C: float = 1.0,
-    epsilon: float = 0.1, degree: int = 3, size: int = 64, steps: int = 12,
+    epsilon: float = 0.1, degree: int = 3, size: int = 64, steps: int = 200,
 ) -> Model:
     """Regression that ignores errors up to epsilon, on scaled features.
 
     Iteratively reweighted least squares: each step sums one weighted matrix of
-    products over the table and solves it on the driver. Kernels as in
-    `svm_classifier`.
+    products over the table and solves it on the driver, until the weights move
+    by less than 1e-4 of the largest; `info["converged"]` is False if `steps` did
+    not suffice. Kernels as in `svm_classifier`.
     """
-    lifting = Pipeline(stages=[_assembler(require(df, features)), *_lifting(kernel, len(features), degree, size)]).fit(df)
-    rows = spread(lifting.transform(df).select(
+    whole = df.dropna(subset=[*require(df, features), *require(df, [target])])
+    lifting = Pipeline(stages=[_assembler(features), *_lifting(kernel, len(features), degree, size)]).fit(whole)
+    rows = spread(lifting.transform(whole).select(
         vector_to_array("_lifted").alias("x"), F.col(target).cast("double").alias("y")).where("y is not null")).persist()
     try:
         width = len(rows.first()["x"]) + 1
@@ -386,7 +474,7 @@ def svm_regression(
                 return np.concatenate([(x.T @ weighted).ravel(), weighted.T @ goal])
             return terms
 
-        w = None
+        w, done = None, False
         damp = np.eye(width)
         damp[-1, -1] = 1e-9  # the offset is free
         for _ in range(steps):
@@ -399,7 +487,8 @@ def svm_regression(
                 break
     finally:
         rows.unpersist()
-    return Model("regression", list(features), target, PipelineModel([*lifting.stages, DotTransformer(w)]), {"kernel": kernel})
+    return Model("regression", list(features), target, PipelineModel([*lifting.stages, DotTransformer.of(weights=w.tolist())]),
+                 {"kernel": kernel, "converged": bool(done)})
 
 
 # --- nearest neighbours ----------------------------------------------------
@@ -409,7 +498,8 @@ def knn_predict(
     train: DataFrame, test: DataFrame, features: Sequence[str], target: str, key: str,
     task: str = "regression", n_neighbors: int = 5, weights: str = "uniform", scaled: bool = True,
 ) -> DataFrame:
-    """The test rows with `prediction` from their nearest training rows.
+    """The test rows with `prediction` from their nearest training rows, NULL where
+    a feature is missing.
 
     Features are scaled by the training rows' mean and population deviation.
     Neighbours at equal distance are taken in the order of `key`, so of many
@@ -433,8 +523,8 @@ def knn_predict(
         .where(F.col("place") <= n_neighbors).select("at", "key", "y", F.lit(1).cast("long").alias("w"))
     )
     tree = build_tree(points, len(features))
-    asked = test.withColumn("q", at(test))
-    questions = asked.where("q is not null").groupBy("q").agg(F.count(F.lit(1)).alias("n"))
+    asked = test.withColumn("_lodestat_q", at(test))
+    questions = asked.where("_lodestat_q is not null").groupBy(F.col("_lodestat_q").alias("q")).agg(F.count(F.lit(1)).alias("_lodestat_n"))
     found = nearest(questions.select("q"), tree, n_neighbors, order=["key"])
     if weights == "distance":
         touching = F.min("squared").over(Window.partitionBy("q")) == 0
@@ -447,6 +537,10 @@ def knn_predict(
     else:
         votes = found.groupBy("q", "y").agg(F.sum("weight").alias("votes"))
         answers = votes.groupBy("q").agg(F.min_by("y", F.struct(-F.col("votes"), F.col("y"))).alias("prediction"))
-    size = questions.agg(F.count(F.lit(1)).alias("points"), F.sum("n").alias("rows")).first()
-    table = answers.join(questions, "q").withColumn("total", F.lit(size["rows"] or 0))
-    return join_values(asked, table, "q", size["points"]).drop("q", "n", "total")
+    size = questions.agg(F.count(F.lit(1)).alias("points"), F.sum("_lodestat_n").alias("rows")).first()
+    table = answers.join(questions, "q").withColumn("_lodestat_total", F.lit(size["rows"] or 0)).withColumnRenamed("q", "_lodestat_q")
+    answered = join_values(
+        asked.where("_lodestat_q is not null"), table, "_lodestat_q", size["points"], "_lodestat_n", "_lodestat_total")
+    unknown = asked.where("_lodestat_q is null").withColumn("prediction", F.lit(None).cast(answers.schema["prediction"].dataType))
+    names = [*test.columns, "prediction"]
+    return answered.select(*names).unionByName(unknown.select(*names))

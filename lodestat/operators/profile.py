@@ -36,8 +36,8 @@ def missing_report(df: DataFrame, columns: Columns = None) -> DataFrame:
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows that repeat another row: rows minus distinct rows."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
-    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_lodestat_n")).select("_lodestat_n")
+    return groups.agg(F.coalesce(F.sum(F.col("_lodestat_n") - 1), F.lit(0)).alias("duplicates"))
 
 
 # Bytes of a value by type.
@@ -223,8 +223,7 @@ def datetime_profile(df: DataFrame, columns: Columns = None) -> DataFrame:
     return rows_from(df.agg(*aggs), [
         F.struct(
             F.lit(c).alias("column"), F.col(f"lo{i}").alias("min_date"), F.col(f"hi{i}").alias("max_date"),
-            (F.unix_seconds(F.col(f"hi{i}").cast("timestamp"))
-             - F.unix_seconds(F.col(f"lo{i}").cast("timestamp"))).alias("range_seconds"),
+            F.expr(f"timestampdiff(SECOND, lo{i}, hi{i})").alias("range_seconds"),
             F.col(f"n{i}").alias("count"),
         ) for i, c in enumerate(names)
     ]).where("count > 0")

@@ -15,7 +15,10 @@ from lodestat.operators import charts, profile
 from lodestat.plans.ranks import running_total, with_bucket
 from lodestat.plans.sizing import SMALL_DISTINCT, column_sizes
 
-STEPS = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAYS", "month": "INTERVAL 1 MONTH"}
+STEPS = {
+    "second": "INTERVAL 1 SECOND", "minute": "INTERVAL 1 MINUTE", "hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY",
+    "week": "INTERVAL 7 DAYS", "month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTHS", "year": "INTERVAL 1 YEAR",
+}
 _CHUNK = 100_000
 
 
@@ -62,8 +65,12 @@ def decompose(df: DataFrame, column: str, order_by: str, period: int, by: Column
     """
     require(df, [column, order_by])
     by, half = pick(df, by, []), period // 2
-    rows = with_position(df.where(present(df, column).isNotNull()), order_by, by)
-    rows = rows.where(F.col("total") >= 2 * period).withColumn("_x", F.col(column).cast("double"))
+    # the table's own columns wait in a struct, so that no name of theirs can clash
+    rows = df.where(present(df, column).isNotNull()).select(
+        *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col(order_by).alias("_order"),
+        F.col(column).cast("double").alias("_x"), F.struct(*[F.col(c) for c in df.columns]).alias("_row"))
+    by = [f"_by{i}" for i in range(len(by))]
+    rows = with_position(rows, "_order", by).where(F.col("total") >= 2 * period)
     chunk = max(_CHUNK, 4 * period)
     home = F.floor(F.col("i") / chunk)
     near = F.array_distinct(F.array(
@@ -79,12 +86,13 @@ def decompose(df: DataFrame, column: str, order_by: str, period: int, by: Column
     phases = smooth.groupBy(*by, "_phase").agg(F.avg(F.col("_x") - F.col("trend")).alias("_mean"))
     level = F.avg("_mean").over(Window.partitionBy(*by))  # one row per phase of a series
     season = phases.select(*by, "_phase", (F.col("_mean") - level).alias("seasonal"))
-    series = df.select(F.approx_count_distinct(F.struct(*by)) if by else F.lit(1)).first()[0]
+    series = rows.select(F.approx_count_distinct(F.struct(*by)) if by else F.lit(1)).first()
+    series = series[0] if series else 0
     if series * period <= SMALL_DISTINCT:
         season = F.broadcast(season)
     joined = smooth.join(season, [*by, "_phase"])
     residual = F.col("_x") - F.col("trend") - F.col("seasonal")
-    return joined.withColumn("residual", residual).select(*df.columns, "trend", "seasonal", "residual")
+    return joined.withColumn("residual", residual).select(*[F.col("_row")[c].alias(c) for c in df.columns], "trend", "seasonal", "residual")
 
 
 # --- models of one series --------------------------------------------------
@@ -92,7 +100,8 @@ def decompose(df: DataFrame, column: str, order_by: str, period: int, by: Column
 # candidates of a round at once and halve the step around the best.
 
 
-def _search(loss, start: np.ndarray, low: float, high: float, step: float, rounds: int = 24) -> np.ndarray:
+def _search(loss, start: np.ndarray, low: float, high: float, step: float, rounds: int = 1_000) -> np.ndarray:
+    """Ends when the step is below 1e-5; `rounds` only guards against a loss that never settles."""
     best = start
     moves = np.array(list(product((-1.0, 0.0, 1.0), repeat=len(start))))
     while rounds and step > 1e-5:

@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestat.functions.columns import number, require
@@ -173,7 +174,7 @@ def validate(
         else:
             raise ValueError(f"Unknown chart type: {chart}")
         return found.select("is_valid", "errors")
-    except Exception as error:
+    except (ValueError, AnalysisException) as error:
         text = str(error)
         return df.sparkSession.createDataFrame(
             [(False, [text])], "is_valid boolean, errors array<string>")

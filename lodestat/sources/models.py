@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 
-from lodestat.operators.models import Model
+from lodestat.operators.models import Model, with_known_predictions
 
 
 def save_model(model: Model | PipelineModel, path: str) -> None:
@@ -25,6 +26,12 @@ def load_model(path: str) -> PipelineModel:
 def score_saved(
     df: DataFrame, path: str, preprocessing: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """The rows with the `prediction` of a saved model, after optional preparation."""
+    """The rows with the `prediction` of a saved model, after optional preparation.
+
+    Rows with a missing feature stay, with a NULL prediction. Classes that were
+    indexed for the fit come back as text.
+    """
     ready = preprocessing(df) if preprocessing else df
-    return load_model(path).transform(ready).drop("_features", "_lifted", "rawPrediction", "probability")
+    fitted = load_model(path)
+    features = next((s.getInputCols() for s in fitted.stages if isinstance(s, VectorAssembler)), [])
+    return with_known_predictions(fitted.transform(ready), ready, features)

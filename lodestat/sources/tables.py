@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lodestat.operators.convert import INTEGER_TEXT, NUMBER_TEXT
+from lodestat.plans.lineage import checkpoint_folder
 
 # Text that stands for a missing value in CSV files.
 NULL_TEXT = (
@@ -18,13 +21,19 @@ DELIMITERS = (",", "\t", ";", "|", " ")
 
 def read_csv(
     spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """A CSV file or folder with a header row.
 
     Without a schema one aggregate over the text decides each column: boolean,
-    long, double or text. Dates stay text.
+    long, double or text. Dates stay text, and so do whole numbers that no long
+    holds. With `multi_line` a quoted value may hold line breaks, and a file is
+    then one task; left out, it is on if a line has an odd number of quotes.
     """
-    raw = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=False)
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+        multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    raw = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=multi_line)
     clean = raw.select(*[F.when(~F.col(c).isin(*NULL_TEXT), F.col(c)).alias(c) for c in raw.columns])
     if schema is not None:
         kinds = {f.name: f.dataType for f in (T._parse_datatype_string(schema) if isinstance(schema, str) else schema)}
@@ -35,8 +44,8 @@ def read_csv(
 
 def _inferred(df: DataFrame) -> dict[str, T.DataType]:
     tests = {
-        "boolean": lambda c: c.isin(*BOOLEAN_TEXT), "bigint": lambda c: c.rlike(INTEGER_TEXT),
-        "double": lambda c: c.rlike(NUMBER_TEXT),
+        "boolean": lambda c: c.isin(*BOOLEAN_TEXT), "bigint": lambda c: c.rlike(INTEGER_TEXT) & c.try_cast("long").isNotNull(),
+        "double": lambda c: c.rlike(NUMBER_TEXT) & ~(c.rlike(INTEGER_TEXT) & c.try_cast("long").isNull()),
     }
     row = df.agg(*[
         a for i, c in enumerate(df.columns) for a in (
@@ -90,7 +99,7 @@ def json_rows(df: DataFrame, document: str, schema: str, keep: tuple[str, ...] =
     """Rows of all documents of a column, whatever their orientation.
 
     `schema` lists the columns to read, as in "a long, b string". Documents that
-    are invalid or of unknown layout give no rows.
+    are invalid or of unknown layout give no rows; `json_rejects` lists them.
     """
     fields = T._parse_datatype_string(schema).fields
     text = F.col(document)
@@ -116,6 +125,12 @@ def json_rows(df: DataFrame, document: str, schema: str, keep: tuple[str, ...] =
         F.try_element_at("_row", F.lit(f.name)).try_cast(f.dataType).alias(f.name) for f in struct.fields])
 
 
+def json_rejects(df: DataFrame, document: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep..., orientation) of the documents that `json_rows` gives no rows for."""
+    kind = json_orientation(F.col(document))
+    return df.select(*keep, kind.alias("orientation")).where(F.col("orientation").isin("invalid JSON", "unknown"))
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON files of any orientation. A file is one document, so it is
     read whole by one task; many files are read in parallel."""
@@ -129,6 +144,20 @@ def orientation_of(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_table(df: DataFrame, path: str) -> DataFrame:
-    """Write a table as parquet, replacing what is there, and return it as read."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Write a table as parquet, replacing what is there, and return it as read.
+
+    The rows are written to the shared folder first and only a finished copy
+    replaces the target, so a table may be saved over the one it was read from,
+    and a job that fails leaves the target as it was. Should the replacement
+    itself fail, the error names the copy.
+    """
+    spark = df.sparkSession
+    copy = f"{checkpoint_folder(spark)}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(copy)
+    spark.catalog.refreshByPath(path)
+    try:
+        spark.read.schema(df.schema).parquet(copy).write.mode("overwrite").parquet(path)
+    except Exception as error:
+        raise RuntimeError(f"The table could not be replaced; all its rows are in {copy}") from error
+    spark.catalog.refreshByPath(path)
+    return spark.read.parquet(path)
