@@ -84,9 +84,8 @@ _SCRATCH = ("_features", "_lifted", "_label", "_index", "rawPrediction", "probab
 
 def with_known_predictions(scored: DataFrame, df: DataFrame, features: Sequence[str]) -> DataFrame:
     """The rows as scored, without the columns scoring added besides `prediction`."""
-    known = F.lit(True)
-    for name in features:
-        known = known & present(df, name).isNotNull()
+    # one array instead of a condition per feature: the optimizer infers from each condition
+    known = F.forall(F.array(F.lit(0.0), *[present(df, c).cast("double") for c in features]), lambda v: v.isNotNull())
     return scored.withColumn("prediction", F.when(known, F.col("prediction"))).drop(*[c for c in _SCRATCH if c not in df.columns])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("cleaning", "profiling", "statistics", "anomalies", "charting", "modelling", "forecasting")
+_MODULES = ("cleaning", "profiling", "statistics", "anomalies", "charting", "modelling", "forecasting", "properties")
 
 
 def entries() -> dict:

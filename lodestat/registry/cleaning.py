@@ -257,6 +257,23 @@ _add(
     lambda s, d: convert.to_datetime(_times_as_text(s, d), "ts", "%Y-%m-%d %H:%M:%S"),
     f"SELECT event_id, try_strptime(ts, '%Y-%m-%d %H:%M:%S') AS ts, day FROM {_TIMES}",
 )
+_LONG_ID = 1_000_000_000_000_000_000
+_add(
+    "h1_long_ids",
+    lambda s, d: convert.to_numeric(table(s, d, "orders").select(
+        "o_orderkey", F.expr(f"CASE WHEN o_orderkey % 7 <> 0 THEN cast(o_orderkey + {_LONG_ID} AS string) END").alias("id"),
+        F.concat(F.lit("99"), F.col("o_orderkey") + _LONG_ID).alias("wide"))),
+    f"""SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey + {_LONG_ID} END AS id,
+        '99' || CAST(o_orderkey + {_LONG_ID} AS VARCHAR) AS wide FROM orders""",
+)
+_add(
+    "h2_iso_zone",
+    lambda s, d: convert.to_datetime(table(s, d, "events").select(
+        "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.date_format("ts", "MMM d, yyyy").alias("day"),
+        F.lit("no date").alias("none")).withColumn("none", F.concat("none", F.col("event_id")))),
+    """SELECT event_id, date_trunc('second', ts) AS ts, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day,
+       'no date' || CAST(event_id AS VARCHAR) AS none FROM events""",
+)
 _add(
     "h2_to_datetime_inferred",
     lambda s, d: convert.to_datetime(_times_as_text(s, d), order_by="event_id"),

@@ -93,6 +93,17 @@ _add("a4_json_files", _json_files, "SELECT p_partkey AS id, p_size AS size FROM
 _add("a6_save_table", lambda s, d: tables.save_table(_part(s, d), _scratch(s)), _PART)
 
 
+def _save_over_source(spark, folder):
+    path = _scratch(spark)
+    _part(spark, folder).write.parquet(path)
+    edited = spark.read.parquet(path).withColumn("p_size", F.col("p_size") + 1)
+    return tables.save_table(edited, path)
+
+
+_add("a6_save_over_source", _save_over_source, _PART.replace("p_size,", "p_size + 1 AS p_size,"))
+
+
+
 def _saved_model(spark, folder):
     lines = table(spark, folder, "lineitem")
     path = _scratch(spark)
@@ -144,12 +155,15 @@ _add(
 )
 
 
-def _embedded(spark, folder, dims=8):
-    return table(spark, folder, "embeddings").select(
-        "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)])
+def _dimensions(rows, dims=64):
+    return rows.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)])
+
+
+def _embedded(spark, folder):
+    return _dimensions(table(spark, folder, "embeddings"))
 
 
-_E = [f"e{i}" for i in range(8)]
+_E = [f"e{i}" for i in range(64)]
 
 
 def _components(spark, folder):
@@ -212,6 +226,10 @@ def _lines(spark, folder):
     return table(spark, folder, "lineitem").select(*_X, _Y)
 
 
+def _gappy_lines(spark, folder):
+    return table(spark, folder, "lineitem").select("l_orderkey", F.expr(GAPPY_QUANTITY).alias("l_quantity"), "l_tax", _Y)
+
+
 _add(
     "l1_linear_regression",
     lambda s, d: rounded(models.linear_regression(_lines(s, d), ["l_quantity"], _Y).coefficients(), 4),
@@ -238,6 +256,28 @@ _add(
         SELECT 'l_discount' AS term, round(b1, 1) AS coefficient FROM b UNION ALL SELECT 'l_discount^2', round(b2, 1) FROM b
         UNION ALL SELECT 'intercept', round(my - b1 * mx - b2 * mq, 1) FROM b""",
 )
+_TWELVE = [f"x{i}" for i in range(12)]
+
+
+def _twelve(spark, folder):
+    """Twelve features, an exact polynomial of three of them as the label."""
+    part = table(spark, folder, "part")
+    digits = [((F.col("p_partkey") * 7919 * (i + 3) + F.col("p_size") * (i + 1) * 31) % (101 + 6 * i)).cast("double").alias(c) for i, c in enumerate(_TWELVE)]
+    rows = part.select(*digits)
+    return rows.withColumn("y", 3 + 2 * F.col("x0") - F.col("x11") * F.col("x4") + 0.5 * F.col("x7") * F.col("x7"))
+
+
+_add(
+    "l3_twelve_features",
+    lambda s, d: rounded(models.polynomial_regression(_twelve(s, d), _TWELVE, "y", 2).coefficients(), 3).where("abs(coefficient) > 0.001"),
+    """SELECT * FROM (VALUES ('intercept', 3.0::DOUBLE), ('x0', 2.0), ('x4*x11', -1.0), ('x7^2', 0.5)) AS v(term, coefficient)""",
+)
+_add(
+    "l1_rows_kept",
+    lambda s, d: models.linear_regression(_gappy_lines(s, d), ["l_quantity", "l_tax"], _Y).transform(_gappy_lines(s, d))
+    .groupBy(F.col("prediction").isNull().alias("unknown")).agg(F.count(F.lit(1)).alias("n")),
+    """SELECT l_orderkey % 7 = 0 AS unknown, count(*) AS n FROM lineitem GROUP BY 1""",
+)
 _add(
     "l4_ridge_regression",
     lambda s, d: rounded(models.ridge_regression(_lines(s, d), ["l_quantity"], _Y, alpha=1000.0).coefficients(), 4),
@@ -248,15 +288,15 @@ _add("l5_decision_tree", lambda s, d: models.decision_tree(_lines(s, d), _X, _Y,
 
 
 def _tree_classes(spark, folder):
-    train, test = features.split(_embedded(spark, folder), "vec_id", stratify="label")
+    train, test = (_dimensions(part) for part in features.split(table(spark, folder, "embeddings"), "vec_id", stratify="label"))
     return models.decision_tree(train, _E, "label", "classification", max_depth=6).scores(test)
 
 
 _add("l5_decision_tree_classes", _tree_classes)
-_add("l6_random_forest", lambda s, d: models.random_forest(_lines(s, d), _X, _Y, n_estimators=20, max_depth=5).scores(_lines(s, d)))
+_add("l6_random_forest", lambda s, d: models.random_forest(_lines(s, d), _X, _Y, max_depth=5).scores(_lines(s, d)))
 _add("l6_random_forest_classes", lambda s, d: models.random_forest(
-    _embedded(s, d), _E, "label", "classification", n_estimators=20, max_depth=6).report(_embedded(s, d)))
-_add("l7_gradient_boosting", lambda s, d: models.gradient_boosting(_lines(s, d), _X, _Y, n_estimators=10).scores(_lines(s, d)))
+    _embedded(s, d), _E, "label", "classification", max_depth=6).report(_embedded(s, d)))
+_add("l7_gradient_boosting", lambda s, d: models.gradient_boosting(_lines(s, d), _X, _Y).scores(_lines(s, d)))
 
 
 def _quality(spark, folder):
@@ -267,12 +307,12 @@ def _quality(spark, folder):
 
 
 _add("l7_gradient_boosting_classes", lambda s, d: models.gradient_boosting(
-    _quality(s, d), ["n_chars", "words"], "quality", "classification", n_estimators=10).scores(_quality(s, d)))
+    _quality(s, d), ["n_chars", "words"], "quality", "classification").scores(_quality(s, d)))
 for _kernel in ("linear", "poly", "rbf"):
     _add(f"l8_svm_{_kernel}", lambda s, d, k=_kernel: models.svm_classifier(
-        _quality(s, d), ["n_chars", "words"], "quality", kernel=k, max_iter=20).scores(_quality(s, d)))
+        _quality(s, d), ["n_chars", "words"], "quality", kernel=k).scores(_quality(s, d)))
 _add("l8_svm_classes", lambda s, d: models.svm_classifier(
-    _embedded(s, d), _E, "label", kernel="linear", max_iter=10).scores(_embedded(s, d)))
+    _embedded(s, d), _E, "label", kernel="linear").scores(_embedded(s, d)))
 
 
 def _prices(spark, folder):
@@ -280,7 +320,7 @@ def _prices(spark, folder):
 
 
 _add("l9_svm_regression", lambda s, d: models.svm_regression(_prices(s, d), _X, _Y, kernel="linear").scores(_prices(s, d)))
-_add("l9_svm_regression_rbf", lambda s, d: models.svm_regression(_prices(s, d), _X, _Y, kernel="rbf", size=32, steps=6).scores(_prices(s, d)))
+_add("l9_svm_regression_rbf", lambda s, d: models.svm_regression(_prices(s, d), _X, _Y, kernel="rbf").scores(_prices(s, d)))
 
 
 def _neighbours(spark, folder, **options):
@@ -313,6 +353,41 @@ _add(
       (SELECT k, p_brand, count(*) AS n FROM near GROUP BY ALL) GROUP BY k""",
 )
 
+
+
+def _gappy_neighbours(spark, folder):
+    known = _part(spark, folder).withColumn("x", F.col("p_size") / 2.0)
+    return models.knn_predict(known.na.fill(0.0), known, ["x", "p_retailprice"], "p_size", "p_partkey")
+
+
+_add(
+    "l10_rows_kept",
+    lambda s, d: _gappy_neighbours(s, d).select("p_partkey", F.col("prediction").isNull().alias("unknown")),
+    "SELECT p_partkey, p_partkey % 7 = 0 AS unknown FROM part",
+)
+
+
+def _named_labels(fit):
+    """Predictions are the labels' own words and better than the most frequent one."""
+    def query(spark, folder):
+        rows = _embedded(spark, folder).withColumn("label", F.concat(F.lit("class "), F.col("label") % 3)).drop("vec_id")
+        found = fit(rows).transform(rows)
+        most = rows.groupBy("label").count().agg(F.max("count")).first()[0]
+        return found.agg(
+            F.count(F.lit(1)).alias("n"), F.bool_and(F.col("prediction").rlike("^class [012]$")).alias("named"),
+            (F.count_if(F.col("prediction") == F.col("label")) > most).alias("better"))
+    return query
+
+
+_CLASSIFIERS = {
+    "l5_decision_tree_named": lambda r: models.decision_tree(r, _E, "label", "classification", max_depth=6),
+    "l6_random_forest_named": lambda r: models.random_forest(r, _E, "label", "classification", n_estimators=20, max_depth=8),
+    "l7_gradient_boosting_named": lambda r: models.gradient_boosting(r, _E, "label", "classification", n_estimators=5),
+    "l8_svm_named": lambda r: models.svm_classifier(r, _E, "label", kernel="linear"),
+}
+for _name, _fit in _CLASSIFIERS.items():
+    _add(_name, _named_labels(_fit), "SELECT count(*) AS n, TRUE AS named, TRUE AS better FROM embeddings")
+
 # --- metrics ---------------------------------------------------------------
 
 _add(
@@ -348,12 +423,12 @@ _add(
           round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f""",
 )
 _add("l14_feature_importances", lambda s, d: models.random_forest(
-    _lines(s, d), _X, _Y, n_estimators=10, max_depth=4).importances())
+    _lines(s, d), _X, _Y, max_depth=5).importances())
 
 
 def _search(spark, folder):
-    grid = {"n_estimators": [5, 10], "max_depth": [2, 4]}
-    return models.grid_search(_quality(spark, folder), ["n_chars", "words"], "quality", "classification", grid, cv=3, key="doc_id")[3]
+    grid = {"n_estimators": [50, 100], "max_depth": [5, 10]}
+    return models.grid_search(_quality(spark, folder), ["n_chars", "words"], "quality", "classification", grid, cv=5, key="doc_id")[3]
 
 
 _add("l15_grid_search", _search)
