@@ -75,7 +75,7 @@ def _path_correction(n: float) -> float:
 
 
 def _tree_samples(df: DataFrame, columns: list[str], trees: int, seed: int, sample: int) -> DataFrame:
-    """(tree, place, copies, x): points of at most `sample` rows per tree, chosen by hash so that a rerun agrees.
+    """(tree, place, x): at most `sample` rows per tree, chosen by hash so that a rerun agrees.
 
     Rows at one point are counted first. A hash of the point and the tree turns
     the expected number of its rows in that tree into a whole number, so a row
@@ -93,17 +93,16 @@ def _tree_samples(df: DataFrame, columns: list[str], trees: int, seed: int, samp
     drawn = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), copies(t).alias("copies"))),
         lambda d: d["copies"] > 0)
-    each = points.select("x", F.inline(drawn)).withColumn("h", F.xxhash64("x", "tree", F.lit(seed + 2)))
-    order = Window.partitionBy("tree").orderBy("h", "x")  # about 1.5 * sample rows
-    before = F.sum("copies").over(order) - F.col("copies")
-    placed = each.withColumns({"place": F.row_number().over(order), "copies": F.least(F.col("copies"), F.lit(sample) - before)})
-    return placed.where("copies > 0").select("tree", "place", "copies", "x")
+    each = points.select("x", F.inline(drawn)).select("x", "tree", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    each = each.withColumn("h", F.xxhash64("x", "tree", "copy", F.lit(seed + 2)))
+    order = Window.partitionBy("tree").orderBy("h", "x", "copy")  # about 1.5 * sample rows
+    return each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).select("tree", "place", "x")
 
 
 def _grow(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     """One isolation tree as parallel node arrays."""
     pdf = pdf.sort_values("place")
-    x = np.repeat(np.stack(pdf["x"].to_numpy()), pdf["copies"].to_numpy(), axis=0)
+    x = np.stack(pdf["x"].to_numpy())
     rng = np.random.default_rng([seed, int(pdf["tree"].iloc[0])])
     limit = math.ceil(math.log2(max(2, len(x))))
     feature, cut, left, right, length = [], [], [], [], []

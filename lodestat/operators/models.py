@@ -15,7 +15,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import IndexToString, PolynomialExpansion, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, PolynomialExpansion, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import (
@@ -124,7 +124,7 @@ def _classes(df: DataFrame, target: str) -> _Classes:
         row = rows.agg(F.min(y), F.max(y), F.count_distinct(y), F.count_if(y != F.floor(y))).first()
         if row[2] and row[0] == 0 and row[1] == row[2] - 1 and row[3] == 0:
             return _Classes(row[2])
-    indexer = StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(
+    indexer = StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc").fit(
         rows.select(F.col(target).cast("string").alias(target)) if target not in numeric_columns(df) else rows)
     return _Classes(len(indexer.labels), indexer, df.schema[target].dataType.simpleString())
 
@@ -144,6 +144,9 @@ def _fit(df, task, features, target, stages, repeated: bool = True, **info) -> M
     finally:
         if repeated:
             rows.unpersist()
+    for stage in fitted.stages:
+        if isinstance(stage, StringIndexerModel):  # labels that the fit has not seen are no error when scoring
+            stage.setHandleInvalid("keep")
     return Model(task, features, target, fitted, info)
 
 
