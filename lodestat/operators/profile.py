@@ -211,6 +211,11 @@ def _moment(df: DataFrame, name: str) -> Column:
     return F.try_to_timestamp(F.col(name)).cast("timestamp_ntz")
 
 
+def _seconds(name: str) -> Column:
+    """Whole seconds since 1970 of a time without zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {name}) div 1000000")
+
+
 def datetime_profile(df: DataFrame, columns: Columns = None) -> DataFrame:
     """(column, min_date, max_date, range_seconds, count); bad text is left out."""
     names = pick(df, columns, time_columns(df))
@@ -223,7 +228,7 @@ def datetime_profile(df: DataFrame, columns: Columns = None) -> DataFrame:
     return rows_from(df.agg(*aggs), [
         F.struct(
             F.lit(c).alias("column"), F.col(f"lo{i}").alias("min_date"), F.col(f"hi{i}").alias("max_date"),
-            F.expr(f"timestampdiff(SECOND, lo{i}, hi{i})").alias("range_seconds"),
+            (_seconds(f"hi{i}") - _seconds(f"lo{i}")).alias("range_seconds"),
             F.col(f"n{i}").alias("count"),
         ) for i, c in enumerate(names)
     ]).where("count > 0")
