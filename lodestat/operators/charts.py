@@ -5,12 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestat.functions.columns import present, require
+from lodestat.functions.columns import present, require, rows_from
 from lodestat.operators import validate as checks
 from lodestat.operators.edit import sort_by
 from lodestat.plans.quantiles import quantiles, quantiles_by
 from lodestat.plans.ranks import value_ranks
-from lodestat.plans.sizing import double_array
 from lodestat.plans.skew import join_values
 
 _ROOT_TWO_PI = 2.5066282746310002
@@ -60,7 +59,7 @@ def bandwidth(n: Column, sd: Column, iqr: Column) -> Column:
 def kde(df: DataFrame, x: str, points: int = 50) -> DataFrame:
     """(point, x, density): Gaussian kernel density on an even grid from min to max.
 
-    Values are counted first, so a frequent value costs one evaluation per point.
+    One aggregate holds a sum per grid point, combined inside every task.
     """
     value = _value(df, x)
     found, stats = quantiles(df, {"x": value}, [0.25, 0.75], extra=[
@@ -72,14 +71,16 @@ def kde(df: DataFrame, x: str, points: int = 50) -> DataFrame:
     spread = min(stats["sd"], iqr / 1.34) if iqr > 0 else stats["sd"]
     h = 0.9 * spread * stats["n"] ** -0.2
     step = (stats["hi"] - stats["lo"]) / (points - 1)
-    grid = double_array([stats["lo"] + i * step for i in range(points)])
-    counts = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("k"))
-    z = (F.col("x") - F.col("v")) / F.lit(h)
-    return (
-        counts.select("v", "k", F.posexplode(grid).alias("point", "x"))
-        .groupBy("point", "x").agg(F.sum(F.col("k") * F.exp(z * z * -0.5)).alias("total"))
-        .select("point", "x", (F.col("total") / F.lit(stats["n"] * h * _ROOT_TWO_PI)).alias("density"))
-    )
+    grid = [stats["lo"] + i * step for i in range(points)]
+    sums = df.select(value.alias("v")).where("v is not null").agg(*[_kernel_sum(F.lit(x), F.lit(h)).alias(f"s{i}") for i, x in enumerate(grid)])
+    whole = F.lit(stats["n"] * h * _ROOT_TWO_PI)
+    return rows_from(sums, [
+        F.struct(F.lit(i).alias("point"), F.lit(x).alias("x"), (F.col(f"s{i}") / whole).alias("density")) for i, x in enumerate(grid)])
+
+
+def _kernel_sum(x: Column, h: Column) -> Column:
+    z = (x - F.col("v")) / h
+    return F.sum(F.exp(z * z * -0.5))
 
 
 def distribution(df: DataFrame, x: str) -> DataFrame:
@@ -148,21 +149,19 @@ def _group_stats(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _with_group_stats(df: DataFrame, x: str, y: str) -> tuple[DataFrame, DataFrame]:
-    """Value counts per group joined with the statistics of their group.
+    """Values of each group joined with the statistics of their group.
 
-    Rows are counted per value first; a hot group meets a broadcast of its own
-    statistics, so it is never gathered in one task.
+    Small statistics, and those of hot groups, are broadcast, so no group is
+    gathered in one task; what follows is summed inside every task.
     """
     value = _value(df, y)
     stats = _group_stats(df, x, y)
     seen = df.where(F.col(x).isNotNull() & value.isNotNull()).agg(
-        F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(x, 0.02).alias("groups")).first()
-    counts = (
-        df.where(F.col(x).isNotNull()).select(x, value.alias("v")).where("v is not null")
-        .groupBy(x, "v").agg(F.count(F.lit(1)).alias("k"))
-    )
+        F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(x, 0.02).alias("groups"),
+        F.max(F.octet_length(F.col(x).cast("string"))).alias("widest")).first()
+    values = df.where(F.col(x).isNotNull()).select(x, value.alias("v")).where("v is not null")
     sized = stats.withColumn("total", F.lit(seen["rows"]))
-    return join_values(counts, sized, x, seen["groups"]).drop("total"), stats
+    return join_values(values, sized, x, seen["groups"], widest=seen["widest"] or 0).drop("total"), stats
 
 
 def box(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -174,10 +173,10 @@ def box(df: DataFrame, x: str, y: str) -> DataFrame:
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = (F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach)
     return joined.groupBy(x).agg(
-        F.sum("k").alias("count"), F.first("q1").alias("q1"), F.first("median").alias("median"),
+        F.count("v").alias("count"), F.first("q1").alias("q1"), F.first("median").alias("median"),
         F.first("q3").alias("q3"), F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
-        F.sum(F.when(~inside, F.col("k")).otherwise(0)).alias("outliers"))
+        F.count_if(~inside).alias("outliers"))
 
 
 def violin(df: DataFrame, x: str, y: str, points: int = 30) -> DataFrame:
@@ -185,11 +184,12 @@ def violin(df: DataFrame, x: str, y: str, points: int = 30) -> DataFrame:
     joined, _ = _with_group_stats(df, x, y)
     h = bandwidth(F.col("n"), F.col("sd"), F.col("q3") - F.col("q1"))
     ready = joined.withColumn("h", h).where("h > 0").withColumn("step", (F.col("high") - F.col("low")) / (points - 1))
-    at = ready.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    at = at.withColumn("y", F.col("low") + F.col("point") * F.col("step"))
-    z = (F.col("y") - F.col("v")) / F.col("h")
-    return at.groupBy(x, "point", "y").agg(
-        (F.sum(F.col("k") * F.exp(z * z * -0.5)) / (F.first("n") * F.first("h") * F.lit(_ROOT_TWO_PI))).alias("density"))
+    sums = ready.groupBy(x).agg(
+        F.first("low").alias("low"), F.first("step").alias("step"), (F.first("n") * F.first("h") * F.lit(_ROOT_TWO_PI)).alias("whole"),
+        *[_kernel_sum(F.col("low") + i * F.col("step"), F.col("h")).alias(f"s{i}") for i in range(points)])
+    at = F.posexplode(F.array(*[f"s{i}" for i in range(points)])).alias("point", "sum")
+    return sums.select(F.col(x).alias(x), "low", "step", "whole", at).select(
+        x, "point", (F.col("low") + F.col("point") * F.col("step")).alias("y"), (F.col("sum") / F.col("whole")).alias("density"))
 
 
 def surface(df: DataFrame, x: str, y: str, z: str, x_bins: int = 10, y_bins: int = 10) -> DataFrame:

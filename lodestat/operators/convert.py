@@ -8,9 +8,8 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lodestat.functions.columns import Columns, numeric_columns, pick, text_columns
-from lodestat.plans.ranks import running_total, with_bucket
 from lodestat.plans.lineage import checkpoint
-from lodestat.plans.sizing import SMALL_DISTINCT, bucket_splits, column_sizes, count_sizes
+from lodestat.plans.sizing import fits_broadcast, text_sizes
 from lodestat.plans.skew import join_values
 
 # What counts as a number in text.
@@ -162,49 +161,44 @@ def one_hot_vector(df: DataFrame, columns: Columns = None) -> DataFrame:
     return encoded.drop(*[f"_{c}_index" for c in names])
 
 
-def _order_key(df: DataFrame, column: str):
-    """A number that never decreases with the text, for cutting buckets: six
-    bytes after the prefix shared by the smallest and the largest value."""
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    shared = 0
-    for a, b in zip(low or "", high or ""):
-        if a != b:
-            break
-        shared += 1
-    # four code points hold at least four bytes of the order
-    tail = F.encode(F.substring(F.col(column), shared + 1, 6), "UTF-8")
-    digits = F.rpad(F.substring(F.hex(tail), 1, 12), 12, "0")
-    return F.conv(digits, 16, 10).cast("double")
-
-
-def label_codes(df: DataFrame, column: str, distinct: int) -> DataFrame:
-    """(column, code, n, total): 0-based code of each distinct value in sorted order."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    if distinct <= SMALL_DISTINCT:
+def label_codes(df: DataFrame, column: str, small: bool) -> DataFrame:
+    """(column, _code, _n, _total): 0-based code of each distinct value in sorted order.
+
+    Many values are sorted in ranges that Spark cuts by sampling them, whatever
+    their common prefix; the ranges' sizes, a few rows, give the offsets.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    if small:
         order = Window.orderBy(column)  # a small table by its measured size
-        coded = counts.withColumn("code", F.row_number().over(order) - 1)
-        return coded.select(column, F.col("code").cast("long").alias("code"), "n", F.lit(0).alias("total"))
-    key = F.col(column) if column in numeric_columns(df) else _order_key(df, column)
-    size = column_sizes(df, {"k": key})["k"]
-    splits = bucket_splits(size.edges, distinct)
-    keyed = with_bucket(counts.withColumn("_one", F.lit(1)), key, splits)
-    coded = running_total(keyed, "_one", [column], before="code", total="_distinct")
-    return coded.select(column, F.col("code").cast("long").alias("code"), "n", F.lit(size.rows).alias("total"))
+        coded = counts.withColumn("_code", F.row_number().over(order) - 1)
+        return coded.select(column, F.col("_code").cast("long").alias("_code"), "_n", F.lit(0).alias("_total"))
+    # the id holds the range above bit 33 and the place inside it below; written, so that both stay
+    ranged = checkpoint(counts.orderBy(column).withColumn("_id", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_range", F.shiftright("_id", 33))
+    ranges = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_held"), F.sum("_n").alias("_rows"))
+    all_ = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select(
+        "_range", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_before"), F.sum("_rows").over(all_).alias("_total"))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row per range
+    return ranged.join(F.broadcast(offsets), "_range").select(column, (F.col("_before") + place).alias("_code"), "_n", "_total")
 
 
 def label_encode(df: DataFrame, columns: Columns = None) -> DataFrame:
     """Replace values by their 0-based place in sorted order; missing comes last."""
     names = pick(df, columns, text_columns(df))
-    sizes = count_sizes(df, {c: F.col(c) for c in names})
+    sizes = text_sizes(df, {c: F.col(c) for c in names})
     for c in names:
-        codes = label_codes(df, c, sizes[c])
+        small = fits_broadcast(*sizes[c])
+        codes = label_codes(df, c, small)
         last = F.lit(codes.count()).cast("long")
-        ordered = [F.coalesce("code", last).alias(c) if x == c else F.col(x) for x in df.columns]
-        if sizes[c] <= SMALL_DISTINCT:
-            df = df.join(F.broadcast(codes.select(c, "code")), c, "left").select(*ordered)  # size checked
+        ordered = [F.coalesce("_code", last).alias(c) if x == c else F.col(x) for x in df.columns]
+        if small:
+            df = df.join(F.broadcast(codes.select(c, "_code")), c, "left").select(*ordered)  # size checked
             continue
-        known = join_values(df.where(F.col(c).isNotNull()), codes, c, sizes[c])
-        missing = df.where(F.col(c).isNull()).withColumn("code", F.lit(None).cast("long"))
+        known = join_values(df.where(F.col(c).isNotNull()), codes, c, sizes[c][0], "_n", "_total", sizes[c][1])
+        missing = df.where(F.col(c).isNull()).withColumn("_code", F.lit(None).cast("long"))
         df = known.select(*ordered).unionByName(missing.select(*ordered))
         if c != names[-1]:
             df = checkpoint(df)  # the next column reads the rows more than once

@@ -13,10 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestat.functions.columns import Columns, numeric_columns, pick, present, rows_from
+from lodestat.plans.lineage import checkpoint
 from lodestat.plans.ranks import BUCKET, average_rank, value_ranks, with_bucket
 from lodestat.plans.sizing import BUCKET_VALUES, ColumnSize, bucket_splits, column_sizes
 
 GRID_SIDE = 1_024
+_ROW = "_lodestat_row"
 METHODS = ("pearson", "spearman", "kendall")
 
 
@@ -54,8 +56,11 @@ def with_ranks(df: DataFrame, names: list[str], sizes: dict[str, ColumnSize]) ->
     Ranks of a column with few distinct values come from a broadcast table.
     Otherwise the rows are cut into rank-balanced buckets: a row's rank is the
     number of rows in earlier buckets plus its rank inside its own. A value that
-    fills a bucket needs no rank inside it, so its rows are spread over salts.
+    fills a bucket needs no rank inside it, so its rows are spread over salts, by
+    an id that each row is written with.
     """
+    if not all(sizes[c].small for c in names):
+        df = checkpoint(df.withColumn(_ROW, F.monotonically_increasing_id()))
     base = df
     for c in names:
         if sizes[c].small:
@@ -68,14 +73,14 @@ def with_ranks(df: DataFrame, names: list[str], sizes: dict[str, ColumnSize]) ->
         earlier = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
         offsets = totals.withColumn("_before", F.coalesce(F.sum("_held").over(earlier), F.lit(0)))
         alone = F.col(BUCKET).isin(_lone(splits))
-        salt = F.when(alone, F.pmod(F.xxhash64(*df.columns), F.lit(1_000))).otherwise(0)
+        salt = F.when(alone, F.pmod(F.xxhash64(_ROW), F.lit(1_000))).otherwise(0)
         inside = Window.partitionBy(BUCKET, "_salt").orderBy(c)
         peers = F.count(F.lit(1)).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
         placed = cut.withColumn("_salt", salt).withColumn("_inside", (F.rank().over(inside) + peers) / 2)
         own = F.when(alone, (F.col("_held") + 1) / 2).otherwise(F.col("_inside"))
         df = placed.join(F.broadcast(offsets), BUCKET).withColumn(c, F.col("_before") + own).drop(
             BUCKET, "_salt", "_inside", "_held", "_before")
-    return df
+    return df.drop(_ROW)
 
 
 def spearman_matrix(df: DataFrame, columns: Columns = None) -> DataFrame:
@@ -163,7 +168,8 @@ def kendall_tau(df: DataFrame, x: Column, y: Column) -> float | None:
     in one of its own, where nothing is discordant, so no group grows with it.
     """
     rows = df.select(x.alias("x"), y.alias("y")).where("x is not null and y is not null")
-    pairs = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    # written once: sizes, ties, grid and strips all read it
+    pairs = checkpoint(rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
     sizes = column_sizes(pairs, {"x": F.col("x"), "y": F.col("y")})
     most = GRID_SIDE * BUCKET_VALUES  # keeps the grid within GRID_SIDE x GRID_SIDE
     xs, ys = (bucket_splits(sizes[c].edges, min(sizes[c].rows, most)) for c in ("x", "y"))

@@ -9,6 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestat.functions.columns import Columns, pick, present, require, type_of
+from lodestat.plans.lineage import checkpoint
 
 _COMPARE = {
     "=": lambda c, v: c == v,
@@ -52,9 +53,31 @@ def preview(df: DataFrame, order_by: Columns, n: int = 10) -> DataFrame:
     return sort_by(df, order_by).limit(n)
 
 
+_NEAR_ROWS = 10_000  # a page that ends within so many rows comes from the first rows of every task
+_PLACE, _RANGE_BITS = "_lodestat_place", 33
+
+
 def page(df: DataFrame, order_by: Columns, number: int, size: int = 10) -> DataFrame:
-    """Page `number` (from 0) of a table ordered by a key."""
-    return sort_by(df, order_by).offset(number * size).limit(size)
+    """Page `number` (from 0) of a table ordered by a key.
+
+    For a page further in, the table is sorted in ranges and written; the sizes
+    of the ranges tell where the page lies, and only its rows are looked at again.
+    """
+    first, stop = number * size, (number + 1) * size
+    ordered = sort_by(df, order_by)
+    if stop <= _NEAR_ROWS:
+        return ordered.offset(first).limit(size)
+    # the id holds the range in its upper bits and the place inside it below
+    placed = checkpoint(ordered.withColumn(_PLACE, F.monotonically_increasing_id()))
+    ranges = placed.groupBy(F.shiftright(_PLACE, _RANGE_BITS).alias("range")).count().orderBy("range").collect()  # a row per range
+    inside, before = F.lit(False), 0
+    for r in ranges:
+        low, high = max(first - before, 0), min(stop - before, r["count"])
+        if low < high:
+            start = r["range"] << _RANGE_BITS
+            inside = inside | F.col(_PLACE).between(start + low, start + high - 1)
+        before += r["count"]
+    return sort_by(placed.where(inside).drop(_PLACE), order_by)
 
 
 def delete_rows(df: DataFrame, keys: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lodestat.functions.columns import Columns, numeric_columns, pick, present
 from lodestat.functions.distributions import f_tail
 from lodestat.operators.clean import fill_missing, fill_values
+from lodestat.plans.sizing import fits_broadcast, text_sizes
 
 DEFAULTS = {
     "imputation": "mean", "scaling": "standard", "select": "f_regression", "n_features": 10,
@@ -196,7 +197,9 @@ def mark_test(
         cuts = F.broadcast(cuts)  # one row
     place = F.row_number().over(Window.partitionBy("_stratum", "b").orderBy("row"))
     last = rows.join(cuts, ["_stratum", "b"]).withColumn("place", place).where("place = left").select("_stratum", F.col("row").alias("_last"))
-    if strata:  # one row per stratum
+    if strata:  # one row per stratum, sent to every executor where these are small
+        if fits_broadcast(*text_sizes(df, {"s": F.to_json(stratum)})["s"]):
+            last = F.broadcast(last)
         joined = df.withColumn("_stratum", stratum).join(last, "_stratum", "left")
         return joined.select(*df.columns, F.coalesce(mine <= F.col("_last"), F.lit(False)).alias("is_test"))
     row = last.first()

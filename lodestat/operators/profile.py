@@ -289,7 +289,15 @@ def top_words(df: DataFrame, columns: Columns = None, n: int = 10) -> DataFrame:
     )
 
 
-def column_kinds(df: DataFrame) -> dict[str, str]:
+def _counts(df: DataFrame, names: list[str]) -> tuple[int, dict[str, tuple[int, int]]]:
+    """(rows, {column: (missing, distinct values present)}) of one aggregate."""
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[
+        a for i, c in enumerate(names)
+        for a in (F.count_if(is_missing(df, c)).alias(f"m{i}"), F.count_distinct(present(df, c)).alias(f"u{i}"))]).first()
+    return row["rows"], {c: (row[f"m{i}"], row[f"u{i}"]) for i, c in enumerate(names)}
+
+
+def column_kinds(df: DataFrame, counts: tuple[int, dict[str, tuple[int, int]]] | None = None) -> dict[str, str]:
     """numeric, datetime, categorical or text, per column.
 
     Columns that are neither numbers nor times are categorical when they hold
@@ -297,10 +305,7 @@ def column_kinds(df: DataFrame) -> dict[str, str]:
     distinct count is exact; booleans count as categorical.
     """
     numeric, times = set(numeric_columns(df)), set(time_columns(df))
-    other = [c for c in df.columns if c not in numeric and c not in times]
-    row = df.agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.count_distinct(F.col(c)).alias(c) for c in other],
-    ).first()
+    rows, found = counts or _counts(df, [c for c in df.columns if c not in numeric and c not in times])
     kinds = {}
     for c in df.columns:
         if c in numeric:
@@ -308,7 +313,7 @@ def column_kinds(df: DataFrame) -> dict[str, str]:
         elif c in times:
             kinds[c] = "datetime"
         else:
-            few = row[c] < 0.3 * row["_rows"] and row[c] < 1000
+            few = found[c][1] < 0.3 * rows and found[c][1] < 1000
             kinds[c] = "categorical" if few else "text"
     return kinds
 
@@ -331,9 +336,13 @@ def _long(df: DataFrame, kind: str, label: str | None = None, skip=("column",))
 
 def full_profile(df: DataFrame) -> DataFrame:
     """The profile of every column by its kind: (column, kind, metric, number, text)."""
-    kinds = column_kinds(df)
+    counts = _counts(df, df.columns)
+    kinds = column_kinds(df, counts)
     of = {k: [c for c in df.columns if kinds[c] == k] for k in ("numeric", "datetime", "categorical", "text")}
-    overall = missing_report(df).join(F.broadcast(unique_counts(df)), "column")  # one row per column
+    rows, found = counts
+    overall = df.sparkSession.createDataFrame(
+        [(c, missing, missing / rows * 100 if rows else None, distinct) for c, (missing, distinct) in found.items()],
+        "column string, missing_count long, missing_percent double, unique_count long")
     parts = [_long(overall, "overall")]
     if of["numeric"]:
         parts.append(_long(numeric_profile(df, of["numeric"]), "numeric"))

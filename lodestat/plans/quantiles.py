@@ -3,8 +3,9 @@
 `percentile` is exact but keeps every distinct value in memory, so it only sees
 a bounded number of rows here. In larger tables a quantile sketch brackets each
 quantile between two values, one aggregate counts the rows below and between
-them, and only the rows between are looked at again. Should a bracket miss or
-hold too many rows, the distributed rank table gives the answer.
+them and sketches those between again, and so on until few are left; only those
+are looked at one by one. Every round keeps about one row in two thousand, all
+columns together. Should a sketch miss, the distributed rank table gives the answer.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestat.plans.ranks import value_at, value_ranks
 from lodestat.plans.sizing import PERCENTILE_ROWS, count_sizes, double_array
 
 _ACCURACY = 10_000
+_RESKETCH = 2_000  # steps of the sketch inside a bracket,
+_SLACK = 2         # of which so many stay on each side of the place
 
 
 def from_ranks(ranks: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -71,22 +75,49 @@ def quantiles(
 
 
 def _bracketed(df, exprs, probs, counts, brackets) -> dict[str, list[float]]:
-    cells = [(n, j, *brackets[n][2 * j:2 * j + 2]) for n in exprs for j in range(len(probs))]
-    row = df.agg(*[
-        a for i, (n, _, low, high) in enumerate(cells) for a in (
-            F.count_if(exprs[n] < low).alias(f"b{i}"), F.count_if((exprs[n] >= low) & (exprs[n] <= high)).alias(f"m{i}"))
-    ]).first()
+    """Narrow the brackets of all quantiles together until few rows are inside.
+
+    A pass counts the rows below and inside each bracket and, in the same
+    aggregate, sketches the values inside around the quantile's place, so the
+    next bracket holds a small share of this one's rows. No pass shuffles values.
+    """
     place = {(n, j): p * (counts[n] - 1) for n in exprs for j, p in enumerate(probs)}
+    ends = {c: (math.floor(x), math.ceil(x)) for c, x in place.items()}
+    open_ = {(n, j): tuple(brackets[n][2 * j:2 * j + 2]) for n, j in place}
+    held = {(n, j): counts[n] for n, j in place}  # rows the bracket is a part of
+    shares = double_array(np.linspace(0, 1, _RESKETCH + 1))
     wanted, known, lost = [], {}, set()
-    for i, (n, j, low, high) in enumerate(cells):
-        below, held = row[f"b{i}"], row[f"m{i}"]
-        ends = (math.floor(place[n, j]), math.ceil(place[n, j]))
-        if below > ends[0] or ends[1] >= below + held or (low < high and held > PERCENTILE_ROWS):
-            lost.add(n)
-        elif low == high:
-            known[n, j] = (low, low)
-        else:
-            wanted.append((n, j, low, high, [(e - below + 0.5) / held for e in ends]))
+    while open_:
+        aggs = []
+        for i, (c, (low, high)) in enumerate(open_.items()):
+            value = exprs[c[0]]
+            inside = (value >= low) & (value <= high)
+            aggs += [
+                F.count_if(value < low).alias(f"b{i}"), F.count_if(inside).alias(f"m{i}"),
+                F.count_if(value == low).alias(f"l{i}"), F.count_if(value == high).alias(f"h{i}"),
+                F.percentile_approx(F.when(inside, value), shares, _ACCURACY).alias(f"s{i}"),
+            ]
+        row = df.agg(*aggs).first()
+        further = {}
+        for i, (c, (low, high)) in enumerate(open_.items()):
+            below, inside = row[f"b{i}"], row[f"m{i}"]
+            if below > ends[c][0] or ends[c][1] >= below + inside:
+                lost.add(c[0])  # the sketch missed
+                continue
+            borders = [low if e < below + row[f"l{i}"] else high if e >= below + inside - row[f"h{i}"] else None for e in ends[c]]
+            if None not in borders:
+                known[c] = tuple(borders)
+            elif inside <= PERCENTILE_ROWS:
+                wanted.append((*c, low, high, [(e - below + 0.5) / inside for e in ends[c]]))
+            else:
+                steps = row[f"s{i}"]
+                first = math.floor((ends[c][0] - below) / inside * _RESKETCH - _SLACK)
+                last = math.ceil((ends[c][1] - below) / inside * _RESKETCH + _SLACK)
+                further[c] = (low if first <= 0 else steps[first], high if last >= _RESKETCH else steps[last])
+                if further[c] == (low, high) and inside >= held[c]:
+                    lost.add(c[0])  # values that the sketch does not tell apart
+                held[c] = inside
+        open_ = {c: b for c, b in further.items() if c[0] not in lost}
     wanted = [w for w in wanted if w[0] not in lost]
     if wanted:
         ranges = [(exprs[n] >= low) & (exprs[n] <= high) for n, _, low, high, _ in wanted]

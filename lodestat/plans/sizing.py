@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 SMALL_DISTINCT = 200_000
 # An exact `percentile` keeps one map entry per distinct value it sees.
 PERCENTILE_ROWS = 200_000
+# A table of keys sent to every executor holds at most so many bytes of keys.
+BROADCAST_BYTES = 64 << 20
 # Distinct values aimed at per bucket.
 BUCKET_VALUES = 250_000
 _EDGES = 1_024
@@ -29,6 +31,22 @@ def double_array(values) -> Column:
     return F.expr("array(" + ",".join(f"{float(v)!r}D" for v in values) + ")")
 
 
+def fits_broadcast(keys: int, widest: int = 8) -> bool:
+    """Whether a table of so many keys, none wider than so many bytes, may go to every executor."""
+    return keys <= SMALL_DISTINCT and keys * max(8, widest) <= BROADCAST_BYTES
+
+
+def text_sizes(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, tuple[int, int]]:
+    """(approximate distinct values, bytes of the widest one) per expression, one aggregate for all."""
+    if not columns:
+        return {}
+    aggs = [
+        a for i, c in enumerate(columns.values())
+        for a in (F.approx_count_distinct(c).alias(f"d{i}"), F.max(F.octet_length(c.cast("string"))).alias(f"w{i}"))]
+    row = df.agg(*aggs).first()
+    return {n: (row[f"d{i}"], row[f"w{i}"] or 0) for i, n in enumerate(columns)}
+
+
 @dataclass(frozen=True)
 class ColumnSize:
     rows: int          # rows of the table

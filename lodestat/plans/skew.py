@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lodestat.plans.sizing import SMALL_DISTINCT
+from lodestat.plans.sizing import fits_broadcast
 
 # A value is hot when it holds more than this share of the rows, so there are
 # fewer than 1 / HOT_SHARE of them and their table is always small.
@@ -13,15 +13,16 @@ HOT_SHARE = 0.001
 
 def join_values(
     rows: DataFrame, table: DataFrame, key: str, distinct: int,
-    n: str = "n", total: str = "total",
+    n: str = "n", total: str = "total", widest: int = 8,
 ) -> DataFrame:
     """Inner join on `key`, where `table` has one row per key with its row count.
 
-    `distinct` is the measured number of keys. A small table is broadcast whole.
+    `distinct` is the measured number of keys, `widest` the bytes of the widest
+    one. A table small by both is broadcast whole.
     Otherwise rows of hot keys meet a broadcast of the hot part of the table
     (under 1 / HOT_SHARE rows) and only the cold rows are shuffled.
     """
-    if distinct <= SMALL_DISTINCT:
+    if fits_broadcast(distinct, widest):
         return rows.join(F.broadcast(table), key)
     hot = F.col(n) > F.col(total) * F.lit(HOT_SHARE)
     hot_table, cold_table = table.where(hot), table.where(~hot)

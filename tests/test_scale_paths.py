@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lodestat.operators import anomaly, convert, correlation, features, models, series
+from lodestat.operators import anomaly, convert, correlation, edit, features, models, series
 from lodestat.plans import neighbors, quantiles, ranks, sizing, skew
 
 
@@ -26,8 +26,6 @@ def small_limits(monkeypatch):
     monkeypatch.setattr(sizing, "SMALL_DISTINCT", 50)
     monkeypatch.setattr(sizing, "BUCKET_VALUES", 300)
     monkeypatch.setattr(correlation, "BUCKET_VALUES", 300)
-    monkeypatch.setattr(convert, "SMALL_DISTINCT", 50)
-    monkeypatch.setattr(skew, "SMALL_DISTINCT", 50)
     monkeypatch.setattr(quantiles, "PERCENTILE_ROWS", 400)
 
 
@@ -41,6 +39,23 @@ def test_bracketed_quantiles(skewed, small_limits):
         assert np.allclose(found[c], data[c].quantile(PROBS), atol=1e-9)
 
 
+def test_quantiles_narrow_their_brackets(spark, monkeypatch):
+    """Coarse sketches take several rounds; no round counts distinct values."""
+    monkeypatch.setattr(quantiles, "PERCENTILE_ROWS", 20)
+    monkeypatch.setattr(quantiles, "_ACCURACY", 100)
+    monkeypatch.setattr(quantiles, "_RESKETCH", 50)
+    monkeypatch.setattr(quantiles, "value_ranks", lambda *_: pytest.fail("ranks of all values"))
+    rng = np.random.default_rng(4)
+    n = 20_000
+    data = pd.DataFrame({
+        "even": rng.normal(size=n), "steps": rng.integers(0, 3, n) * 1.5, "halves": np.arange(n) % 2 * 1.0,
+        "hot": np.where(rng.random(n) < 0.4, 0.25, rng.random(n)), "far": np.r_[1e18, rng.exponential(size=n - 1)]})
+    df = spark.createDataFrame(data).repartition(4)
+    found, _ = quantiles.quantiles(df, {c: F.col(c) for c in data}, PROBS)
+    for c in data:
+        assert np.allclose(found[c], data[c].quantile(PROBS), rtol=1e-12)
+
+
 def test_quantiles_from_ranks(skewed, small_limits):
     data, df = skewed
     q = quantiles.from_ranks(ranks.value_ranks(df, F.col("c")), PROBS).first()["q"]
@@ -78,8 +93,39 @@ def test_label_encode_with_many_values(spark, small_limits):
     assert got.tolist() == [codes.get(v, len(codes)) for v in data["s"]]
 
 
+def test_label_encode_of_values_with_a_long_common_prefix(spark, small_limits):
+    data = pd.DataFrame({"n": [f"https://{'a' * 200}/{i * 7919 % 1999:06d}" for i in range(2500)] + ["0"]})
+    df = spark.createDataFrame(data)
+    codes = {v: i for i, v in enumerate(sorted(data["n"].unique()))}
+    got = convert.label_encode(df.withColumn("text", F.col("n"))).select("text", "n").toPandas()
+    assert sorted(got["n"]) == sorted(codes[v] for v in data["n"]) and (got["n"] == got["text"]).all()
+
+
+def test_wide_keys_are_not_broadcast():
+    assert sizing.fits_broadcast(100_000, 20) and not sizing.fits_broadcast(100_000, 20_000)
+
+
+def test_hot_values_of_ranks_are_spread(spark, small_limits):
+    """Equal rows get different salts, so no task gathers a hot value."""
+    df = spark.createDataFrame(pd.DataFrame({"c": np.where(np.arange(4000) % 3 == 0, 7.5, np.arange(4000) / 9.0)}))
+    ranked = correlation.with_ranks(df, ["c"], sizing.column_sizes(df, {"c": F.col("c")}))
+    assert ranked.columns == ["c"]
+    want = df.toPandas()["c"].rank().sort_values().tolist()
+    assert sorted(r["c"] for r in ranked.collect()) == want
+
+
+def test_deep_pages(spark, monkeypatch):
+    monkeypatch.setattr(edit, "_NEAR_ROWS", 20)
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("id"), F.lit("x").alias("n")).repartition(6)
+    for number in (0, 1, 5, 99, 100, 142):
+        got = [r["id"] for r in edit.page(df, "id", number, 7).collect()]
+        assert got == list(range(1000))[number * 7:number * 7 + 7]
+    down = edit.sort_by(df, "id", False)
+    assert [r["id"] for r in edit.page(down, "id", 142, 7).collect()] == list(range(994, 1000))
+
+
 def test_join_values_splits_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(skew, "SMALL_DISTINCT", 5)
+    monkeypatch.setattr(sizing, "SMALL_DISTINCT", 5)
     rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
     table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("total", F.lit(3000))
     joined = skew.join_values(rows, table, "k", 50)
