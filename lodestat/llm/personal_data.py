@@ -18,8 +18,10 @@ from lodestat.llm.tables import store
 
 # Kinds in the order of the result; the first four have a base pattern.
 KINDS = ("email", "ip", "card", "phone", "secret")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_MAILBOX = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_MAIL_HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+# a match takes whole runs of digits, so it may only start where a run does
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Wider shapes that the base patterns do not take: national numbers and keys.
@@ -56,10 +58,23 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of [mailbox]+@host, found from each @ so that long runs without one cost nothing."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        start = free + len(text[free:at].rstrip(_MAILBOX))
+        host = _MAIL_HOST.match(text, at + 1) if start < at else None
+        if host:
+            yield start, host.end()
+        free = host.end() if host else at + 1
+        at = text.find("@", free)
+
+
 def _strict(kind: str, span: str) -> bool:
     """Whether a match of the kind's base pattern counts."""
     if kind == "ip":
-        return all(int(part) <= 255 for part in span.split("."))
+        parts = [part.lstrip("0") for part in span.split(".")]
+        return all(len(part) <= 3 and int(part or "0") <= 255 for part in parts)
     if kind == "card":
         digits = _digits(span)
         return 13 <= len(digits) <= 19 and luhn(digits)
@@ -135,8 +150,7 @@ def spans_of(text: str) -> list[Span]:
             elif _loose(name, m[0]):
                 more.append((kind, m.start(), m.end()))
 
-    if "@" in text:
-        scan(0, _EMAIL)
+    base += [(0, a, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
         scan(1, _IP)
         scan(2, _CARD)
