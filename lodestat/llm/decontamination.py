@@ -60,19 +60,27 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
     A row for each document with a hit. Every window of every text is looked up
     in a hash set of the items' windows and a match is verified word by word.
+    Where the set is too large to broadcast, windows are shuffled as hashes with
+    their places, and those found meet the words of their document again.
     """
     known = item_windows(benchmark, window)
     widths = sorted(r[0] for r in known.select("width").distinct().collect())  # at most `window` values
     keys = known.select("hash").distinct()
-    if keys.count() <= BROADCAST_WINDOWS:
-        keys = F.broadcast(keys)
+    few = keys.count() <= BROADCAST_WINDOWS
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id"), F.xxhash64(text).alias("text_hash"), plain_words(text).alias("words"))
     by_width = lambda hashes: F.array(*[F.struct(F.lit(w).alias("width"), _windows(hashes, w).alias("hashes")) for w in widths])
     made = bind(F.transform("words", lambda w: F.xxhash64(w)), by_width) if widths else F.expr("cast(array() as array<struct<width:int,hashes:array<bigint>>>)")
-    each = rows.select("doc_id", "text_hash", "words", F.inline(made)).select(
-        "doc_id", "text_hash", "words", "width", F.posexplode("hashes").alias("start", "hash"))
-    found = each.join(keys, "hash").select(
+    own = ["doc_id", "text_hash", "words"] if few else ["doc_id", "text_hash"]
+    each = rows.select(*own, F.inline(made)).select(*own, "width", F.posexplode("hashes").alias("start", "hash"))
+    if few:
+        each = each.join(F.broadcast(keys), "hash")
+    else:
+        places = each.join(keys, "hash").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("hash", "width", "start")).alias("places"))
+        places = places.withColumnsRenamed({"doc_id": "found_doc", "text_hash": "found_text"})
+        same = F.col("doc_id").eqNullSafe(F.col("found_doc")) & F.col("text_hash").eqNullSafe(F.col("found_text"))
+        each = rows.join(places, same).select("doc_id", "text_hash", "words", F.inline("places"))
+    found = each.select(
         "doc_id", "text_hash", "hash", "width", "start", F.array_join(F.slice("words", F.col("start") + 1, F.col("width")), " ").alias("words"))
     phrases = known.select("hash", "width", "words").distinct()
     verified = found.join(phrases, ["hash", "width", "words"]).select("doc_id", "text_hash", "hash", "start", (F.col("start") + F.col("width")).alias("stop"))

@@ -67,6 +67,14 @@ def test_contamination_of_short_items(spark, texts):
     assert found[1].items_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_large_window_sets_are_shuffled(spark, monkeypatch, edge):
+    items = spark.createDataFrame([(1, "two three"), (2, "short text"), (3, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    want = sorted(map(str, dec.contamination(edge, items).drop("spans", "items").collect()))
+    monkeypatch.setattr(dec, "BROADCAST_WINDOWS", 0)
+    assert sorted(map(str, dec.contamination(edge, items).drop("spans", "items").collect())) == want
+    assert sum("contaminated=True" in r for r in want) == 4
+
+
 def test_lower_case_is_ascii_only(spark, texts):
     items = spark.createDataFrame([(1, "École ÉTÉ")], "item_id long, text string")
     found = dec.contamination(texts("école été", "École ÉTÉ", "ÉCOLE ÉTÉ", "École ÉtÉ"), items).orderBy("doc_id").collect()
