@@ -1,12 +1,14 @@
-"""Exact neighbour search by joining queries down a tree of grid cells.
-
-The points are cut into nested grid cells. Every cell keeps its row count and
-the bounding box of its points, so distances to a cell are exact bounds. All
-queries descend together, one level per step: a step joins each query with the
-children of the cells it still cares about and drops the children its bound
-excludes. A query therefore only meets the points near it, whatever the skew: a
-crowded cell is either taken by its count, excluded, or split further. No step
-emits all pairs of a group, and any number of dimensions works.
+"""Exact neighbour search by joining queries down a tree of cells.
+
+Every cell is cut by rank: into up to sixteen parts of about equal counts, along
+the dimension in which its points are widest apart, a value that fills a part
+becoming a part of its own. So cells shrink whatever the number of dimensions,
+the skew or the range. Every cell keeps its row count and the bounding box of its
+points, so distances to a cell are exact bounds. All queries descend together,
+one level per step: a step joins each query with the children of the cells it
+still cares about and drops the children its bound excludes. A query therefore
+only meets the points near it: a crowded cell is either taken by its count,
+excluded, or split further. No step emits all pairs of a group.
 """
 
 from __future__ import annotations
@@ -21,16 +23,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestat.functions.columns import number
 from lodestat.plans.lineage import checkpoint
-from lodestat.plans.sizing import SMALL_DISTINCT
+from lodestat.plans.sizing import SMALL_DISTINCT, double_array, fits_broadcast
 
 _LEAF_POINTS = 32     # points aimed at per finest cell
-_LEAF_LIMIT = 512     # more than that in one cell asks for a deeper tree
-_DEEPEST_BITS = 48    # finest resolution per dimension
+_LEAF_LIMIT = 96      # more than that in one cell asks for another level
+_FAN = 16             # parts of a cell at most
 _STEPS_PER_CUT = 6    # levels between checkpoints of a descent
 
 
 def _root() -> Column:
-    return F.array(F.lit(0).cast("long"))
+    return F.lit("")
 
 
 @dataclass
@@ -39,7 +41,7 @@ class Tree:
 
     dims: int
     levels: int
-    cells: DataFrame        # level, cell, parent, n, lo, hi
+    cells: DataFrame        # level, cell, parent, n, lo, hi; a cell is its path, a hex digit per level
     counts: dict[int, int]  # cells per level
     points: DataFrame       # at, cell (finest), w, ...
 
@@ -64,36 +66,23 @@ def weighted_points(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return at.groupBy("at").agg(F.count(F.lit(1)).alias("w"))
 
 
-def _index(i: int, low: float, high: float, bits: int) -> Column:
-    side = float(1 << bits)
-    if high <= low:
-        return F.lit(0).cast("long")
-    place = F.floor((F.col("at")[i] - F.lit(low)) / F.lit(high - low) * F.lit(side))
-    return F.least(place.cast("long"), F.lit((1 << bits) - 1))
-
-
-def _coarser(cell: str, bits: int) -> Column:
-    return F.transform(F.col(cell), lambda c: F.shiftright(c, bits))
-
-
 def build_tree(points: DataFrame, dims: int, like: Tree | None = None) -> Tree:
     """Tree over (at, w, ...) rows, written to the shared folder.
 
-    The size is read once to choose the depth, or taken over from the tree of a
-    larger set of points (`like`). Levels are aggregated bottom up.
+    Points are placed top down, or have their place from the tree of a larger
+    set of points (`like`). Levels are aggregated bottom up.
     """
     if like is not None:
         levels, placed = like.levels, points
     else:
         levels, placed = _placed(points, dims)
-    step = _step_bits(dims)
     lows = [F.min(F.col("lo")[i]) for i in range(dims)]
     highs = [F.max(F.col("hi")[i]) for i in range(dims)]
     layer = placed.select("cell", F.col("w").alias("n"), F.col("at").alias("lo"), F.col("at").alias("hi"))
     written, pending = [], []
     for level in range(levels, 0, -1):
         layer = layer.groupBy("cell").agg(F.sum("n").alias("n"), F.array(*lows).alias("lo"), F.array(*highs).alias("hi"))
-        parent = _coarser("cell", step) if level > 1 else _root()
+        parent = F.substring("cell", 1, level - 1)
         layer = layer.select(F.lit(level).alias("level"), "cell", parent.alias("parent"), "n", "lo", "hi")
         pending.append(layer)
         if len(pending) == _STEPS_PER_CUT or level == 1:
@@ -107,30 +96,43 @@ def build_tree(points: DataFrame, dims: int, like: Tree | None = None) -> Tree:
     return Tree(dims, levels, cells, {i: counts.get(i, 0) for i in range(1, levels + 1)}, placed)
 
 
-def _step_bits(dims: int) -> int:
-    """Bits per dimension and level: about sixteen children in few dimensions."""
-    return {1: 4, 2: 2}.get(dims, 1)
+def _cuts(points: DataFrame, dims: int) -> DataFrame:
+    """(cell, n, dim, cuts): where each cell is cut, by ranks of the dimension that is widest."""
+    shares = double_array([i / _FAN for i in range(1, _FAN)])
+    value = [F.col("at")[i] for i in range(dims)]
+    ways = F.array(*[F.struct(
+        # between the outer cuts first, so that a lone far point does not decide
+        F.nanvl(F.col(f"c{i}")[_FAN - 2] - F.col(f"c{i}")[0], F.lit(0.0)).alias("inner"),
+        F.nanvl(F.col(f"hi{i}") - F.col(f"lo{i}"), F.lit(0.0)).alias("outer"),
+        F.lit(i).alias("dim"), F.col(f"c{i}").alias("cuts")) for i in range(dims)])
+    cells = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[
+        a for i, v in enumerate(value)
+        for a in (F.percentile_approx(v, shares, 1_000).alias(f"c{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"))])
+    # a cell with few points is cut into fewer parts
+    step = F.greatest(F.lit(1), F.floor(F.lit(_FAN) / F.ceil(F.col("n") / F.lit(_LEAF_POINTS))).cast("int"))
+    return cells.select("cell", "n", F.array_max(ways).alias("way"), step.alias("step")).select(
+        "cell", "n", F.col("way.dim").alias("dim"), F.filter("way.cuts", lambda c, i: (i + 1) % F.col("step") == 0).alias("cuts"))
 
 
 def _placed(points: DataFrame, dims: int) -> tuple[int, DataFrame]:
-    """(levels, points with their finest cell), deep enough for small cells."""
-    points = checkpoint(points)
-    box = points.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[a for i in range(dims) for a in (F.min(F.col("at")[i]).alias(f"lo{i}"), F.max(F.col("at")[i]).alias(f"hi{i}"))],
-    ).first()
-    step = _step_bits(dims)
-    deepest = _DEEPEST_BITS // step
-    levels = max(1, math.ceil(math.log2(max(2, box["rows"] / _LEAF_POINTS)) / (dims * step)))
+    """(levels, points with the path of their finest cell), deep enough for small cells."""
+    points = checkpoint(points.withColumn("cell", _root()))
+    levels = 0
     while True:
-        places = [_index(i, box[f"lo{i}"] or 0.0, box[f"hi{i}"] or 0.0, levels * step) for i in range(dims)]
-        placed = points.withColumn("cell", F.array(*places))
-        if box["rows"] <= _LEAF_LIMIT:
-            return levels, placed
-        fullest = placed.groupBy("cell").count().agg(F.max("count")).first()[0]
-        if fullest <= _LEAF_LIMIT or levels >= deepest:
-            return levels, placed
-        levels = min(deepest, levels + max(1, math.ceil(math.log2(fullest / _LEAF_LIMIT) / step)))
+        cuts = checkpoint(_cuts(points, dims))
+        size = cuts.agg(F.count(F.lit(1)).alias("cells"), F.max("n").alias("fullest")).first()
+        if levels and (size["fullest"] or 0) <= _LEAF_LIMIT:
+            return levels, points
+        split = cuts.where(F.col("n") > _LEAF_POINTS).select("cell", "dim", "cuts")
+        if fits_broadcast(size["cells"], 8 * _FAN + levels):
+            split = F.broadcast(split)
+        own = F.get("at", F.col("dim"))
+        # a cut that repeats is a value filling parts: it gets the first of them alone
+        part = F.size(F.filter("cuts", lambda c: c < own)) + F.when(F.size(F.filter("cuts", lambda c: c == own)) > 1, 1).otherwise(0)
+        digit = F.substring(F.lit("0123456789abcdef"), F.coalesce(part, F.lit(0)) + 1, F.lit(1))
+        placed = points.join(split, "cell", "left").withColumn("cell", F.concat("cell", digit))
+        points = checkpoint(placed.drop("dim", "cuts"))
+        levels += 1
 
 
 def _near(dims: int) -> Column:
@@ -168,7 +170,7 @@ def count_within(queries: DataFrame, tree: Tree, radius: float, enough: int) ->
     """
     limit = F.lit(float(radius) * float(radius))
     mine = Window.partitionBy("q")
-    done = F.array(F.lit(-1).cast("long"), F.xxhash64("q"))  # matches no cell, spreads evenly
+    done = F.concat(F.lit("-"), F.xxhash64("q").cast("string"))  # matches no cell, spreads evenly
     state = queries.select("q", F.lit(0).cast("long").alias("sure"), _root().alias("cell"))
     for level in range(1, tree.levels + 1):
         rows = _step(state, tree, level, "left")

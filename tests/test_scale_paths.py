@@ -132,7 +132,31 @@ def test_join_values_splits_hot_keys(spark, monkeypatch):
     assert joined.count() == 3000 and joined.where("n is null").count() == 0
 
 
-@pytest.mark.parametrize("dims", [1, 2, 4])
+def test_cells_shrink_in_many_dimensions_and_with_far_points(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    wide = rng.normal(size=(3000, 20))
+    far = np.r_[[[1e18, 0.0]], rng.normal(size=(2999, 2))]
+    flags = np.c_[rng.random(3000).round(3), (rng.random((3000, 3)) < 0.02) * 1.0, np.full(3000, np.inf)]
+    for x in (wide, far, flags):
+        points = spark.createDataFrame(pd.DataFrame({"at": np.unique(x, axis=0).tolist()})).withColumn("w", F.lit(1))
+        tree = neighbors.build_tree(points, x.shape[1])
+        fullest = tree.cells.where(F.col("level") == tree.levels).agg(F.max("n"), F.sum("n")).first()
+        assert fullest[0] <= neighbors._LEAF_LIMIT and fullest[1] == points.count()
+        assert tree.counts[1] <= neighbors._FAN
+        per = tree.cells.groupBy("level", "parent").count().agg(F.max("count")).first()[0]
+        assert per <= neighbors._FAN
+
+
+def test_neighbours_with_a_far_point(spark):
+    rng = np.random.default_rng(6)
+    x = np.r_[[[1e18, 0.0]], rng.normal(size=(399, 2))]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]))
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    lonely = anomaly.knn_distance(df, ["a", "b"], 5, 0.5).toPandas().to_numpy()
+    assert sorted(map(tuple, lonely)) == sorted(map(tuple, x[np.sort(far, 1)[:, :5].mean(1) > 0.5]))
+
+
+@pytest.mark.parametrize("dims", [1, 2, 4, 20])
 def test_neighbours_match_brute_force(spark, monkeypatch, dims):
     monkeypatch.setattr(neighbors, "_LEAF_LIMIT", 16)
     monkeypatch.setattr(neighbors, "_LEAF_POINTS", 4)
