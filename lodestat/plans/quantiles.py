@@ -77,14 +77,16 @@ def quantiles(
 def _bracketed(df, exprs, probs, counts, brackets) -> dict[str, list[float]]:
     """Narrow the brackets of all quantiles together until few rows are inside.
 
-    A pass counts the rows below and inside each bracket and, in the same
-    aggregate, sketches the values inside around the quantile's place, so the
-    next bracket holds a small share of this one's rows. No pass shuffles values.
+    A pass counts the rows below and inside each bracket and, where many rows are
+    inside, sketches them in the same aggregate, so the next bracket holds a small
+    share of this one's rows. No pass shuffles values.
     """
     place = {(n, j): p * (counts[n] - 1) for n in exprs for j, p in enumerate(probs)}
     ends = {c: (math.floor(x), math.ceil(x)) for c, x in place.items()}
     open_ = {(n, j): tuple(brackets[n][2 * j:2 * j + 2]) for n, j in place}
     held = {(n, j): counts[n] for n, j in place}  # rows the bracket is a part of
+    # the first bracket spans about 4 margins' share of the rows; a small one needs no sketch
+    sketched = {c for c in open_ if counts[c[0]] * 4 / _ACCURACY > PERCENTILE_ROWS}
     shares = double_array(np.linspace(0, 1, _RESKETCH + 1))
     wanted, known, lost = [], {}, set()
     while open_:
@@ -94,9 +96,12 @@ def _bracketed(df, exprs, probs, counts, brackets) -> dict[str, list[float]]:
             inside = (value >= low) & (value <= high)
             aggs += [
                 F.count_if(value < low).alias(f"b{i}"), F.count_if(inside).alias(f"m{i}"),
-                F.count_if(value == low).alias(f"l{i}"), F.count_if(value == high).alias(f"h{i}"),
-                F.percentile_approx(F.when(inside, value), shares, _ACCURACY).alias(f"s{i}"),
             ]
+            if c in sketched:
+                aggs += [
+                    F.count_if(value == low).alias(f"l{i}"), F.count_if(value == high).alias(f"h{i}"),
+                    F.percentile_approx(F.when(inside, value), shares, _ACCURACY).alias(f"s{i}"),
+                ]
         row = df.agg(*aggs).first()
         further = {}
         for i, (c, (low, high)) in enumerate(open_.items()):
@@ -104,11 +109,14 @@ def _bracketed(df, exprs, probs, counts, brackets) -> dict[str, list[float]]:
             if below > ends[c][0] or ends[c][1] >= below + inside:
                 lost.add(c[0])  # the sketch missed
                 continue
-            borders = [low if e < below + row[f"l{i}"] else high if e >= below + inside - row[f"h{i}"] else None for e in ends[c]]
-            if None not in borders:
-                known[c] = tuple(borders)
+            if low == high:
+                known[c] = (low, low)
             elif inside <= PERCENTILE_ROWS:
                 wanted.append((*c, low, high, [(e - below + 0.5) / inside for e in ends[c]]))
+            elif c not in sketched:
+                further[c] = (low, high)
+            elif all(e < below + row[f"l{i}"] or e >= below + inside - row[f"h{i}"] for e in ends[c]):
+                known[c] = tuple(low if e < below + row[f"l{i}"] else high for e in ends[c])
             else:
                 steps = row[f"s{i}"]
                 first = math.floor((ends[c][0] - below) / inside * _RESKETCH - _SLACK)
@@ -118,6 +126,7 @@ def _bracketed(df, exprs, probs, counts, brackets) -> dict[str, list[float]]:
                     lost.add(c[0])  # values that the sketch does not tell apart
                 held[c] = inside
         open_ = {c: b for c, b in further.items() if c[0] not in lost}
+        sketched = set(open_)
     wanted = [w for w in wanted if w[0] not in lost]
     if wanted:
         ranges = [(exprs[n] >= low) & (exprs[n] <= high) for n, _, low, high, _ in wanted]
