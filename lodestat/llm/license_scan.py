@@ -5,20 +5,24 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
+from importlib.resources import files
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lodestat.llm.words import hash_words, shingles, slices, split_words
 
 GRAM, WINDOW = 3, 2      # words of a fingerprint, grams of which the least is kept
-BAND = 4                 # words by which an alignment may leave its diagonal
+BAND = 4                 # words by which an alignment may leave its diagonal at least
 LEAST_COVERAGE = 0.7     # share of a template's words that must be aligned
 TEMPLATE_BYTES = 1 << 20  # all templates together; they are sent to every task
+_MARKS = ".,;:!?\"'()[]<>*#|/\\-_%=`~{}+“”‘’•–—"  # around words, of punctuation or comments
 
 # Openings and notices of well-known licenses (fixed values).
-TEMPLATES = {
+NOTICES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -35,10 +39,24 @@ TEMPLATES = {
 }
 
 
+def whole_texts() -> dict[str, str]:
+    """Whole licenses, NAME-text, of the files beside this module; lines that name an owner are left out of the short ones."""
+    own = sorted((f for f in (files("lodestat.llm") / "licenses").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return {f"{f.name.removesuffix('.txt')}-text": f.read_text(encoding="utf-8") for f in own}
+
+
+TEMPLATES = NOTICES | whole_texts()
+
+
+def _bare(words: list[str]) -> pa.Array:
+    """Words without the marks around them."""
+    return pa.array([w.strip(_MARKS) for w in words], pa.string())
+
+
 def _plain(text: str) -> list[str]:
-    """Words without the marks around them, A-Z lower-cased."""
+    """Words without the marks around them, A-Z lower-cased; marks alone are no words."""
     words, _ = split_words(pa.array([text]), lower=True)
-    return [w.strip(".,;:!?\"'()[]<>*#|/\\-_") for w in words.to_pylist()]
+    return [w for w in _bare(words.to_pylist()).to_pylist() if w]
 
 
 def winnow(grams: np.ndarray) -> list[tuple[int, int]]:
@@ -53,112 +71,193 @@ def winnow(grams: np.ndarray) -> list[tuple[int, int]]:
 
 
 class TemplateIndex:
-    """Inverted index from fingerprints to (template, place)."""
+    """Inverted index from fingerprints to (template, place), one for each number of words of a fingerprint."""
 
     def __init__(self, templates: dict[str, str]):
         if sum(len(t.encode()) for t in templates.values()) > TEMPLATE_BYTES:
             raise ValueError("templates are too long to send to every task")
-        self.names, self.words, self.postings = list(templates), [], defaultdict(list)
+        self.names, self.words, self.tallies, postings = list(templates), [], [], defaultdict(list)
         for t, text in enumerate(templates.values()):
             own = hash_words(pa.array(_plain(text), pa.string()))
             self.words.append(own)
-            grams, _ = shingles(own, np.array([0, len(own)]), min(GRAM, max(1, len(own))))
-            for gram, place in winnow(grams):
-                self.postings[gram].append((t, place))
-        self.keys = np.array(sorted(self.postings), dtype=np.uint64)
+            self.tallies.append(np.unique(own, return_counts=True))
+            width = min(GRAM, max(1, len(own)))
+            grams, _ = shingles(own, np.array([0, len(own)]), width)
+            postings[width] += [(gram, t, place) for gram, place in winnow(grams)]
+        self.postings = {}
+        for width, rows in sorted(postings.items()):
+            if rows:
+                grams, template, place = zip(*sorted(rows))
+                self.postings[width] = np.array(grams, np.uint64), np.array(template), np.array(place)
 
+    def hits(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(text, template, where the template would begin), distinct and sorted, of all fingerprints found."""
+        out = [np.zeros((0, 3), np.int64)]
+        for width, (keys, template, place) in self.postings.items():
+            grams, ends = shingles(hashes, starts, width)
+            low = np.searchsorted(keys, grams)
+            at = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == grams)
+            low = low[at]
+            many = np.searchsorted(keys, grams[at], side="right") - low
+            post = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            at = np.repeat(at, many)
+            text = np.searchsorted(ends, at, side="right") - 1
+            out.append(np.stack([text, template[post], at - ends[text] - place[post]], axis=1))
+        return np.unique(np.concatenate(out), axis=0)
 
-def banded_alignment(template: np.ndarray, text: np.ndarray, band: int) -> tuple[int, tuple[int, int]]:
+
+def banded_alignment(template: np.ndarray, text: np.ndarray, band: int, least: float = 0) -> tuple[int, tuple[int, int]]:
     """(words matched, (first, last + 1) in the text) of the best alignment near the diagonal.
 
     Longest common subsequence within `band` words of the diagonal; `text` is
     the part of the document that the template would cover, `band` words wider
-    at both ends.
+    at both ends. The way back is found from some rows that are kept and the
+    rows after them, made again, so that long templates need little memory; it
+    is left out where fewer than `least` words match.
     """
-    width = 2 * band + 1
-    score = np.zeros((len(template) + 1, width + 1), dtype=np.int32)
-    for i, word in enumerate(template, start=1):
-        for d in range(width):
-            j = i - 1 + d
-            best = max(score[i - 1, d + 1], score[i, d - 1] if d else 0)
-            if j < len(text) and text[j] == word:
-                best = max(best, score[i - 1, d] + 1)
-            score[i, d] = best
-    i, d = len(template), int(np.argmax(score[len(template), :width]))
-    matched, used = int(score[i, d]), []
-    while i > 0 and score[i, d] > 0:
+    width, size = 2 * band + 1, len(template)
+    padded = np.zeros(size + width, dtype=np.uint64)
+    padded[:min(len(text), len(padded))] = text[:len(padded)]
+
+    def after(row: np.ndarray, i: int) -> np.ndarray:
+        following = np.zeros(width + 1, dtype=np.int32)
+        np.maximum(row[1:], np.where(padded[i:i + width] == template[i], row[:-1] + 1, 0), out=following[:-1])
+        np.maximum.accumulate(following[:-1], out=following[:-1])
+        return following
+
+    step = max(1, int(size ** 0.5))
+    kept, row = [], np.zeros(width + 1, dtype=np.int32)
+    for i in range(size):
+        if i % step == 0:
+            kept.append(row)
+        row = after(row, i)
+    i, d = size, int(np.argmax(row[:width]))
+    matched, used, rows, first = int(row[d]), [], [], size
+    if matched < least:
+        return matched, (0, 0)
+    while i > 0:
+        if i <= first:
+            first = (i - 1) // step * step
+            rows = [kept[first // step]]
+            for k in range(first, i):
+                rows.append(after(rows[-1], k))
+        own, before = rows[i - first], rows[i - first - 1]
+        if own[d] == 0:
+            break
         j = i - 1 + d
-        if j < len(text) and text[j] == template[i - 1] and score[i, d] == score[i - 1, d] + 1:
+        if j < len(text) and text[j] == template[i - 1] and own[d] == before[d] + 1:
             used.append(j)
             i -= 1
-        elif score[i, d] == score[i - 1, d + 1]:
+        elif own[d] == before[d + 1]:
             i, d = i - 1, d + 1
         else:
             d -= 1
     return matched, (used[-1], used[0] + 1) if used else (0, 0)
 
 
-def _matches(words: np.ndarray, grams: np.ndarray, index: TemplateIndex, places: np.ndarray, least: float):
+def _common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """Words that two tallies (distinct words, how often) share: no alignment matches more."""
+    (x, many), (y, others) = a, b
+    if not len(x) or not len(y):
+        return 0
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int(np.where(y[at] == x, np.minimum(many, others[at]), 0).sum())
+
+
+def _matches(words: np.ndarray, template: np.ndarray, begins: np.ndarray, index: TemplateIndex, least: float):
     """Confirmed notices of one text: (template, first word, last word + 1, words matched)."""
-    starts = defaultdict(set)
-    for p in places.tolist():
-        for t, at in index.postings[int(grams[p])]:
-            starts[t].add(p - at)
-    found = []
-    for t, begins in sorted(starts.items()):
+    found, tally = [], np.unique(words, return_counts=True)
+    for t in np.unique(template).tolist():
         own, last = index.words[t], -1
-        for begin in sorted(begins):
-            if begin < last:  # inside the notice found before
+        needed = least * len(own)
+        if _common(index.tallies[t], tally) < needed:
+            continue
+        # as many words as may be missing can shift the rest; neighbouring diagonals are tried as one
+        band, near = max(BAND, ceil(len(own) - needed)), len(own) // 16
+        rest = begins[template == t].tolist()
+        k = 0
+        while k < len(rest):
+            low = high = rest[k]
+            k += 1
+            if low < last:  # inside the notice found before
+                continue
+            while k < len(rest) and rest[k] - low <= near:
+                high = rest[k]
+                k += 1
+            side = band + (high - low + 1) // 2
+            first = (low + high) // 2 - side
+            lead = max(0, -first)
+            part = words[first + lead:first + 2 * side + len(own)]
+            if _common(index.tallies[t], np.unique(part, return_counts=True)) < needed:
                 continue
-            a = max(0, begin - BAND)
-            lead = a - (begin - BAND)
-            part = words[a:begin + len(own) + BAND]
-            if lead:
-                part = np.concatenate([np.zeros(lead, np.uint64), part])
-            matched, (x, y) = banded_alignment(own, part, BAND)
-            if matched >= least * len(own):
-                found.append((t, a - lead + x, a - lead + y, matched))
+            part = np.concatenate([np.zeros(lead, np.uint64), part])
+            matched, (x, y) = banded_alignment(own, part, side, needed)
+            if matched >= needed:
+                found.append((t, first + x, first + y, matched))
                 last = found[-1][2]
     return found
 
 
-_MATCH = pa.struct([("template", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("matched", pa.int64()), ("coverage", pa.float64())])
+def _best(found, index: TemplateIndex) -> list[bool]:
+    """Whether no other template that covers much of the same words matches more of them, or as many of a shorter text."""
+    rank = lambda m: (m[3], m[3] / len(index.words[m[0]]), -m[0])
+    best = [True] * len(found)
+    order = sorted(range(len(found)), key=lambda i: found[i][1])
+    for n, i in enumerate(order):
+        for j in order[n + 1:]:
+            (t, a, b, _), (u, c, d, _) = found[i], found[j]
+            if c >= b:
+                break
+            if t != u and 2 * (min(b, d) - c) > min(b - a, d - c):
+                best[i if rank(found[i]) < rank(found[j]) else j] = False
+    return best
+
+
+_MATCH = pa.struct([("template", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("matched", pa.int64()), ("coverage", pa.float64()), ("best", pa.bool_())])
 
 
 def _scan(batches: Iterator[pa.RecordBatch], index: TemplateIndex, least: float) -> Iterator[pa.RecordBatch]:
-    gram = min([GRAM, *(len(w) for w in index.words if len(w))]) if index.words else GRAM
     for batch in batches:
         for part in slices(batch):
-            words, starts = split_words(part.column("text"), lower=True)
+            words, all_starts = split_words(part.column("text"), lower=True)
             coded = words.dictionary_encode()
-            clean = pa.array([w.strip(".,;:!?\"'()[]<>*#|/\\-_") for w in coded.dictionary.to_pylist()], pa.string())
-            hashes = (hash_words(clean) if len(clean) else np.zeros(0, np.uint64))[np.asarray(coded.indices)]
-            grams, ends = shingles(hashes, starts, gram)
-            at = np.searchsorted(index.keys, grams)
-            hit = np.flatnonzero(index.keys[np.minimum(at, len(index.keys) - 1)] == grams) if len(index.keys) else np.zeros(0, int)
-            owner = np.searchsorted(ends, hit, side="right") - 1
+            clean, codes = _bare(coded.dictionary.to_pylist()), np.asarray(coded.indices)
+            full = np.asarray(pc.greater(pc.binary_length(clean), 0), dtype=bool)[codes]
+            places = np.flatnonzero(full)  # of the words that are more than marks
+            hashes = (hash_words(clean) if len(clean) else np.zeros(0, np.uint64))[codes[places]]
+            starts = np.searchsorted(places, all_starts)
+            hits = index.hits(hashes, starts)
             out = [[] for _ in range(part.num_rows)]
-            for d in np.unique(owner).tolist():
-                own = hashes[starts[d]:starts[d + 1]]
-                for t, a, b, n in _matches(own, grams[ends[d]:ends[d + 1]], index, hit[owner == d] - ends[d], least):
-                    out[d].append({"template": index.names[t], "start": a, "stop": b, "matched": n, "coverage": n / len(index.words[t])})
+            cuts = np.searchsorted(hits[:, 0], np.arange(part.num_rows + 1))
+            for d in np.flatnonzero(np.diff(cuts)).tolist():
+                mine = hits[cuts[d]:cuts[d + 1]]
+                found = _matches(hashes[starts[d]:starts[d + 1]], mine[:, 1], mine[:, 2], index, least)
+                own = places[starts[d]:starts[d + 1]] - all_starts[d]
+                for (t, a, b, n), best in zip(found, _best(found, index)):
+                    out[d].append({"template": index.names[t], "start": int(own[a]), "stop": int(own[b - 1]) + 1, "matched": n,
+                                   "coverage": n / len(index.words[t]), "best": best})
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(starts), pa.int64()), pa.array(out, pa.list_(_MATCH))], ["doc_id", "n_words", "matches"])
+                [part.column("doc_id"), pa.array(np.diff(all_starts), pa.int64()), pa.array(out, pa.list_(_MATCH))], ["doc_id", "n_words", "matches"])
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_COVERAGE) -> DataFrame:
-    """Notices in every text: doc_id, n_words, matches (template, start, stop, matched, coverage).
-
-    The templates' word trigrams are winnowed and kept in an inverted index that
-    goes to every task (at most TEMPLATE_BYTES of text). All trigrams of a text
-    are looked up; each hit proposes where its template would lie, and a banded
-    alignment of the whole template there reports how many of its words are
-    found in order and from which word to which. `start` and `stop` count words.
-    Matches with less than `least` of the template are left out. NULL and empty
+    """Notices and whole licenses in every text: doc_id, n_words, matches (template, start, stop, matched, coverage, best).
+
+    The templates' word trigrams (of shorter ones all words) are winnowed and
+    kept in an inverted index that goes to every task (at most TEMPLATE_BYTES of
+    text). All trigrams of a text are looked up; each hit proposes where its
+    template would lie, and a banded alignment of the whole template there
+    reports how many of its words are found in order and from which word to
+    which. The band is as wide as words may be missing, 1 - `least` of the
+    template. Where the words, in any order, cannot suffice nothing is aligned.
+    Words that are only marks, such as those of a comment block, are passed over,
+    but `start` and `stop` count all words. Matches with less than `least` of the
+    template are left out. Versions of a license match each other's texts; `best`
+    is the one of which the same words match most. NULL and empty
     texts have none. Rows are neither joined nor shuffled; other columns are
     ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         partial(_scan, index=TemplateIndex(templates), least=least),
-        f"doc_id {kind}, n_words long, matches array<struct<template:string,start:long,stop:long,matched:long,coverage:double>>")
+        f"doc_id {kind}, n_words long, matches array<struct<template:string,start:long,stop:long,matched:long,coverage:double,best:boolean>>")

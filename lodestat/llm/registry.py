@@ -48,7 +48,9 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = license_scan.license_scan(read(spark, folder, "documents"))
     said = F.transform("matches", lambda m: F.concat_ws(":", m["template"], m["start"].cast("string"), m["stop"].cast("string"), m["matched"].cast("string")))
-    return found.select("doc_id", "n_words", F.size("matches").cast("long").alias("n_matches"), F.array_join(said, ",").alias("spans"))
+    return found.select(
+        "doc_id", "n_words", F.size("matches").cast("long").alias("n_matches"), F.array_join(said, ",").alias("spans"),
+        F.array_join(F.transform(F.filter("matches", lambda m: m["best"]), lambda m: m["template"]), ",").alias("best"))
 
 
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:

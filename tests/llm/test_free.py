@@ -169,6 +169,28 @@ def test_licenses(texts, edge, nothing):
         lic.TemplateIndex({"long": "word " * lic.TEMPLATE_BYTES})
 
 
+def test_whole_licenses(texts):
+    whole = {n.removesuffix("-text"): t for n, t in lic.TEMPLATES.items() if n.endswith("-text")}
+    pad = " ".join(f"w{i}" for i in range(50))
+    names = ["BSD-2-Clause", "BSD-3-Clause", "GPL-2", "GPL-3", "LGPL-2", "LGPL-2.1", "GFDL-1.2", "GFDL-1.3", "Apache-2.0", "MPL-2.0", "MIT", "ISC", "0BSD"]
+    comment = "\n".join(f" * {line}" for line in whole["BSD-3-Clause"].splitlines())
+    body = whole["MIT"][whole["MIT"].index("including without"):]  # without its opening
+    gap = whole["GPL-3"].split()
+    longer = " ".join(gap[:2000] + ["added"] * 200 + gap[2000:])
+    found = lic.license_scan(texts(*[f"{pad} {whole[n]} {pad}" for n in names], f"{pad} {comment}", body, longer)).orderBy("doc_id").collect()
+    best = [[m for m in r.matches if m.best and m.template.endswith("-text")] for r in found]
+    assert [[m.template for m in b] for b in best] == [[f"{n}-text"] for n in names + ["BSD-3-Clause", "MIT", "GPL-3"]]
+    for b, n in zip(best, names):
+        own = whole[n].split()
+        assert b[0].coverage == 1 and 50 <= b[0].start <= 52 and 48 + len(own) <= b[0].stop <= 50 + len(own)
+    assert best[-3][0].coverage == 1 and best[-1][0].coverage == 1 and best[-1][0].stop > len(gap) + 195
+
+
+def test_short_templates_do_not_hide_others(texts):
+    found = lic.license_scan(texts("x public domain y Released under the MIT License."), {"short": "public domain", "long": "Released under the MIT License."}).first()
+    assert [(m.template, m.start, m.stop) for m in found.matches] == [("short", 1, 3), ("long", 4, 9)]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=9), st.lists(st.integers(1, 4), max_size=9))
 def test_alignment_is_a_common_subsequence_in_the_band(a, b):
