@@ -63,6 +63,20 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, tokens: int) -> Itera
                 pa.array([row.tobytes() for row in drawn], pa.binary())], ["doc_id", "n", "key", "tokens"])
 
 
+def _keyed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            keys = [k and k.hex() for k in _keys(*_sets(part.column("text"), width))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(keys, pa.string())], ["doc_id", "text", "set_key"])
+
+
+def set_keys(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, text, set_key) of every row, the key that `near_duplicates` gives it."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+        partial(_keyed, width=width), f"doc_id {kind}, text string, set_key string")
+
+
 def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):

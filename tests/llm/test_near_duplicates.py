@@ -77,6 +77,13 @@ def test_stage_keeps_one_of_each(spark, edge):
     assert sorted((r.doc_id or 0) for r in found.collect()) == [0, 1, 2, 3, 4, 5, 6]
 
 
+def test_stage_decides_for_each_text_of_a_doc_id(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(1, one), (2, one), (2, two), (3, two), (4, one), (4, None), (4, three), (4, three), (5, one)]
+    found = stages.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(1, one), (2, two), (4, None), (4, three)], key=str)
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i + 1, i) for i in range(40)]
     star = [(100, i) for i in range(101, 130)]
