@@ -104,7 +104,7 @@ def _shape(kind: str, span: str) -> int:
     """Whether the characters look drawn, not counted or spelled."""
     if kind == "secret":
         classes = sum(bool(re.search(p, span)) for p in ("[0-9]", "[a-z]", "[A-Z]"))
-        return _YES if classes >= 2 and len(set(span)) >= 10 and "0" <= min(span) <= "9" else _NO
+        return _YES if classes >= 2 and len(set(span)) >= 10 and any("0" <= c <= "9" for c in span) else _NO
     digits = _digits(span)
     if kind == "email":
         return _YES if len(span) <= 254 and ".." not in span else _NO
@@ -157,7 +157,7 @@ def spans_of(text: str) -> list[Span]:
         if "+" in text:
             scan(3, _PHONE)
         more += [(3, m.start(), m.end()) for m in _LOCAL.finditer(text)]
-        more += [(4, m.start(), m.end()) for m in _SECRET.finditer(text)]
+    more += [(4, m.start(), m.end()) for m in _SECRET.finditer(text)]
     if not base and not more:
         return []
     base.sort()
