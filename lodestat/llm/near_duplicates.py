@@ -225,7 +225,8 @@ class _Join:
         texts = self.docs.join(needed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
         sets = texts.mapInArrow(partial(_full_sets, width=self.width), "id long, key binary, members binary").dropDuplicates(["id", "key"])
         full = own.join(sets, ["id", "key"]).drop("key")
-        many = bins(groups.count(), _BIN_ROWS)
+        size = groups.join(self.classes.select("id", "n"), "id").agg(F.count("id"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        many = max(bins(size[0], _BIN_ROWS), bins(size[1], self.leaf_shingles))
         return store(
             groups.join(full, "id").withColumn("bin", F.pmod(F.xxhash64("gid"), F.lit(many)))
             .groupBy("bin").applyInArrow(self._grouped(_confirm), _LINK))

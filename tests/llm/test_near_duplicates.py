@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from lodestat.llm import stages
+from lodestat.llm import near_duplicates as near, stages
 from lodestat.llm.components import connected
 from lodestat.llm.near_duplicates import near_duplicates
 
@@ -77,6 +77,19 @@ def test_stage_keeps_one_of_each(spark, edge):
     assert sorted((r.doc_id or 0) for r in found.collect()) == [0, 1, 2, 3, 4, 5, 6]
 
 
+def test_groups_to_confirm_are_packed_by_shingles(spark, monkeypatch):
+    own = near._confirm
+
+    def checked(table, *limits):
+        assert sum(table.column("n").to_pylist()) <= 3200
+        return own(table, *limits)
+
+    monkeypatch.setattr(near, "_confirm", checked)
+    rows = [(2 * i + j, " ".join(f"w{i}x{k}" for k in range(203 + j))) for i in range(60) for j in range(2)]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), leaf_shingles=400).collect()
+    assert sum(r.kept for r in found) == 60
+
+
 def test_stage_decides_for_each_text_of_a_doc_id(spark):
     one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
     rows = [(1, one), (2, one), (2, two), (3, two), (4, one), (4, None), (4, three), (4, three), (5, one)]
