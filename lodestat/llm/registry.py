@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestat.llm import (
-    decontamination, license_scan, mixing, near_duplicates as near, personal_data, quality_classifier, quality_rules as rules,
+    decontamination, license_scan, manifest, mixing, near_duplicates as near, personal_data, quality_classifier, quality_rules as rules,
     sql, token_counts, toxicity, url_filter,
 )
 from lodestat.llm.tables import read
@@ -61,6 +61,10 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.quality(read(spark, folder, "documents"))
 
 
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.manifest(read(spark, folder, "documents"), manifest.lower_cased())
+
+
 ENTRIES = {
     "op1_near_duplicates": (op1_near_duplicates, None),
     "op2_url_filter": (op2_url_filter, sql.URL_FILTER),
@@ -72,4 +76,5 @@ ENTRIES = {
     "op8_license_scan": (op8_license_scan, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_quality_classifier": (op10_quality_classifier, None),
+    "op13_manifest": (op13_manifest, sql.MANIFEST),
 }

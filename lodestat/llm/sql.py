@@ -72,3 +72,47 @@ j AS (SELECT page_id, host, path, mean - 1.645 * sqrt(mean * (1 - mean) / (size
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
     WHEN low >= 0.5 THEN 'allow' ELSE 'block' END AS verdict FROM j
 """
+
+
+# crc32 of a text of ASCII letters, bit by bit
+_CRC = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda a, c: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)), xor(a, c)), 4294967295), 4294967295)"""
+_MANIFEST_LEVELS = 12  # 8 ** 12 leaves of a language
+_field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || {x} END"
+_leaf = lambda text: "sha256(" + " || ".join(map(_field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+def _tree(name: str, leaves: str, levels: int) -> str:
+    """CTEs <name>0 ... of nodes (tree, place, n, h) and <name>p0 ... with the siblings of each."""
+    out = [f"{name}0 AS ({leaves})"]
+    for k in range(levels):
+        out.append(f"""{name}r{k} AS (SELECT tree, place // 8 AS up, any_value(n) AS n, list(h ORDER BY place) AS run FROM {name}{k} GROUP BY ALL),
+{name}p{k} AS (SELECT c.tree, place, CASE WHEN c.n > 1 THEN array_to_string(run[:place % 8], '') END AS pre, CASE WHEN c.n > 1 THEN array_to_string(run[place % 8 + 2:], '') END AS post
+    FROM {name}{k} c JOIN {name}r{k} r ON c.tree = r.tree AND place // 8 = up),
+{name}{k + 1} AS (SELECT tree, up AS place, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS h FROM {name}r{k})""")
+    return ",\n".join(out)
+
+
+def _climb(name: str, base: str, levels: int) -> str:
+    """CTEs that lead from `base` (no, tree, place, fold, proof) to <name>c<levels> with both taken further."""
+    out, last = [], base
+    for k in range(levels):
+        out.append(f"""{name}c{k + 1} AS (SELECT no, b.tree, b.place // 8 AS place, CASE WHEN pre IS NULL THEN fold ELSE sha256(pre || fold || post) END AS fold,
+    proof || coalesce(pre || post, '') AS proof FROM {last} b JOIN {name}p{k} p ON b.tree = p.tree AND b.place = p.place)""")
+        last = f"{name}c{k + 1}"
+    return ",\n".join(out)
+
+
+MANIFEST = f"""
+WITH d AS (SELECT *, CASE WHEN {_CRC} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS late FROM documents),
+v AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf('text')} AS h, {_leaf('late')} AS found FROM d),
+w AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n, row_number() OVER () AS no FROM v),
+{_tree('a', 'SELECT tree, place, n, h FROM w', _MANIFEST_LEVELS)},
+{_tree('b', f"SELECT 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n, h, tree AS own FROM a{_MANIFEST_LEVELS}", 4)},
+wc0 AS (SELECT no, tree, place, found AS fold, '' AS proof FROM w),
+{_climb('a', 'wc0', _MANIFEST_LEVELS)},
+xc0 AS (SELECT no, 0 AS tree, b0.place, fold, proof FROM ac{_MANIFEST_LEVELS} c JOIN b0 ON c.tree = b0.own),
+{_climb('b', 'xc0', 4)}
+SELECT doc_id, w.h AS leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = r.h AS verified
+FROM w JOIN a{_MANIFEST_LEVELS} s USING (tree) CROSS JOIN (SELECT h FROM b4) r JOIN bc4 USING (no)
+"""
