@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestat.llm import (
     decontamination, license_scan, manifest, mixing, near_duplicates as near, personal_data, quality_classifier, quality_rules as rules,
-    sql, token_counts, toxicity, url_filter,
+    secret_scan, sql, token_counts, toxicity, url_filter, whitening,
 )
 from lodestat.llm.tables import read
 
@@ -61,6 +61,17 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.quality(read(spark, folder, "documents"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read(spark, folder, "embeddings"))
+
+
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.secrets(read(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scan.said(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.said(F.col("found")).alias("spans"))
+
+
 def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.manifest(read(spark, folder, "documents"), manifest.lower_cased())
 
@@ -76,5 +87,7 @@ ENTRIES = {
     "op8_license_scan": (op8_license_scan, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_quality_classifier": (op10_quality_classifier, None),
+    "op11_whitening": (op11_whitening, None),
+    "op12_secrets": (op12_secrets, sql.SECRETS),
     "op13_manifest": (op13_manifest, sql.MANIFEST),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lodestat.llm.secret_scan import ACCESS, ASSIGN, CORRELATION, ENCODINGS, FALSE, HEX, RUNS, TOKEN, _ERFC
+
 _SPACED = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PLAIN = rf"list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -116,3 +118,59 @@ xc0 AS (SELECT no, 0 AS tree, b0.place, fold, proof FROM ac{_MANIFEST_LEVELS} c
 SELECT doc_id, w.h AS leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = r.h AS verified
 FROM w JOIN a{_MANIFEST_LEVELS} s USING (tree) CROSS JOIN (SELECT h FROM b4) r JOIN bc4 USING (no)
 """
+
+_TOKENS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": TOKEN}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _found(kind: str) -> str:
+    """Matches of a pattern with their places, from what lies between them."""
+    return f"""SELECT no, {_quoted(kind)} AS kind, m, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY no ORDER BY i) AS BIGINT) AS stop FROM (
+    SELECT no, i, ms[i] AS m, gaps[i] AS gap FROM (SELECT no, regexp_extract_all(t, {_quoted(_TOKENS[kind])}) AS ms,
+        string_split_regex(t, {_quoted(_TOKENS[kind])}) AS gaps FROM d), unnest(generate_series(1, len(ms))) AS g(i))"""
+
+
+_ENCODED = "CASE WHEN regexp_matches(b, '^[0-9]+$') THEN NULL " + " ".join(
+    f"WHEN regexp_matches(b, '^[{a.replace('-', '')}{'-' * ('-' in a)}]+$') THEN {{'a': '{a}', 'k': {len(a)}, 'far': {far}, 'half': '{'0' * (len(a) // 2)}{'1' * (len(a) - len(a) // 2)}'}}"
+    for a, far in ENCODINGS.values()) + " END"
+_poly = str(_ERFC[-1])
+for _c in _ERFC[-2::-1]:
+    _poly = f"({_c} + u * {_poly})"
+
+SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS no, doc_id, coalesce(text, '') AS t FROM documents),
+base AS (SELECT no, kind, stop - length(m) AS start, stop, row_number() OVER () AS id FROM ({_found('assign')} UNION ALL {_found('access')} UNION ALL {_found('hex')})
+    WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(m, {_quoted(ASSIGN)}, 2)) >= 6 WHEN 'access' THEN length(m) >= 20 ELSE true END),
+tok AS (SELECT no, stop - length(m) AS start, stop, rtrim(m, '=') AS b, {_ENCODED.replace('(b,', "(rtrim(m, '='),")} AS e FROM ({_found('random')})),
+apart AS (SELECT *, length(b) + 0.0::DOUBLE AS n, row_number() OVER () AS id FROM tok WHERE e IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM base WHERE base.no = tok.no AND base.start < tok.stop AND tok.start < base.stop)),
+chars AS (SELECT id, i, instr(e.a, b[i]) AS v, b[i] AS c FROM apart, unnest(generate_series(1, length(b))) AS g(i)),
+sq AS (SELECT id, sum(k * k)::DOUBLE AS squares FROM (SELECT id, c, count(*)::DOUBLE AS k FROM chars GROUP BY id, c) GROUP BY id),
+mo AS (SELECT id, sum(v)::DOUBLE AS s1, sum(v * v)::DOUBLE AS s2, sum(v * w)::DOUBLE AS sp, arg_min(v, i)::DOUBLE AS f, arg_max(v, i)::DOUBLE AS l
+    FROM (SELECT *, coalesce(lead(v) OVER (PARTITION BY id ORDER BY i), 0) AS w FROM chars) GROUP BY id),
+c1 AS (SELECT id, no, start, stop, n, e.k::DOUBLE AS k, squares, s1, s2, sp, f, l, s1 / n AS mu, n * e.far AS lam, e.k - 1.0::DOUBLE AS dof,
+    translate(b, e.a, e.half) AS bits FROM apart JOIN sq USING (id) JOIN mo USING (id)),
+c2 AS (SELECT *, k / n * squares - n AS x, 1 - 2 * (dof + lam) * (dof + 3 * lam) / (3 * (dof + 2 * lam) * (dof + 2 * lam)) AS h,
+    (dof + 2 * lam) / ((dof + lam) * (dof + lam)) AS p, length(replace(bits, '0', ''))::DOUBLE AS ones,
+    (2 * n - length(replace(bits, '01', '')) - length(replace(bits, '10', ''))) / 2 AS turns,
+    sp - mu * (2 * s1 - f - l) + (n - 1) * mu * mu AS inside, s2 - n * mu * mu AS around FROM c1),
+c3 AS (SELECT *, (h - 1) * (1 - 3 * h) AS m, 2 * ones * (n - ones) / n + 1 AS mean FROM c2),
+c4 AS (SELECT *, (pow(greatest(x, 0.0) / (dof + lam), h) - (1 + h * p * (h - 1 - (2 - h) * m * p / 2))) / (h * sqrt(2 * p) * (1 + m * p / 2)) AS z1,
+    sqrt(greatest((mean - 1) * (mean - 2) / (n - 1), 0.0)) AS spread FROM c3),
+c5 AS (SELECT *, greatest(z1, CASE WHEN spread > 0 THEN (abs(turns + 1 - mean) - {RUNS} * mean) / spread ELSE 0 END,
+    CASE WHEN around > 0 THEN (atanh(least(abs(inside / around), 0.999999)) - atanh({CORRELATION})) * sqrt(n - 3) ELSE 0 END) AS z FROM c4),
+c6 AS (SELECT *, -z / sqrt(2.0::DOUBLE) AS x2, 1 / (1 - z / sqrt(2.0::DOUBLE) / 2) AS u, CAST(floor(log2(n) * 2) AS INT) AS band FROM c5),
+c7 AS (SELECT no, start, stop, band, CASE WHEN z < 0 THEN least(CAST(floor((ln(u / 2) - x2 * x2 + {_poly}) / ln(10.0::DOUBLE) * -100) AS BIGINT), 3000) ELSE 0 END AS bin FROM c6),
+hist AS (SELECT band, bin, count(*) AS c FROM c7 GROUP BY band, bin),
+low AS (SELECT band, min(bin) AS least_bin FROM (SELECT band, bin, sum(c) OVER (PARTITION BY band ORDER BY bin DESC) AS above, sum(c) OVER (PARTITION BY band) AS every FROM hist)
+    WHERE pow(10.0::DOUBLE, bin / -100.0::DOUBLE) * every <= {FALSE} * above GROUP BY band),
+spans AS (SELECT no, kind, start, stop FROM base UNION ALL SELECT no, 'random', start, stop FROM c7 JOIN low USING (band) WHERE bin >= least_bin),
+said AS (SELECT no, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 ELSE 3 END) AS spans,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 ELSE 2 END) FILTER (kind <> 'random') AS fixed,
+    count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex FROM spans GROUP BY no)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(fixed, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN said USING (no)
+"""
