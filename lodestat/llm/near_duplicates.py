@@ -20,7 +20,7 @@ TOKENS = 96          # minwise tokens of a document
 BRANCHES = 2         # tokens each node below a root selects
 LEAF_DOCS = 2_000    # a node of at most so many documents
 LEAF_SHINGLES = 1_000_000  # and shingles is compared exhaustively
-DEPTH = 6            # levels before a node that does not split is compared block by block
+DEPTH = 3            # levels before a crowd that does not split is joined by the shingles few of it hold
 _BIN_ROWS = 1_000
 _U = np.uint64
 _LINK = "a long, b long"
@@ -86,6 +86,14 @@ def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
                 [part.column("doc_id"), pa.array(_keys(values, starts), pa.binary()), pa.array(own, pa.binary())], ["id", "key", "members"])
 
 
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for members, id_, n in zip(batch.column("members"), batch.column("id").to_pylist(), batch.column("n").to_pylist()):
+            own = np.frombuffer(members.as_buffer(), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own), pa.array(np.full(len(own), id_)), pa.array(np.full(len(own), n))], ["shingle", "id", "n"])
+
+
 def _matrix(column, tokens: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, tokens)
 
@@ -170,11 +178,39 @@ def _estimate(table: pa.Table, tokens: int, least: int, percent: int) -> pa.Tabl
     return pa.table([pa.array(c, pa.int64()) for c in cols], names=["leaf", "head", "id", "n"])
 
 
+def _common(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets, by search or, of many pairs, by products of incidence matrices."""
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[inverse] > 1
+    column = (np.cumsum(counts > 1) - 1)[inverse[shared]]
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[shared]
+    width = int((counts > 1).sum())
+    if len(sets) ** 2 * width < 500_000 * pairs.shape[1]:  # a search takes about as long as so many products
+        total = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        for low in range(0, width, 2_048):
+            a, b = np.searchsorted(column, (low, low + 2_048))
+            block = np.zeros((len(sets), min(2_048, width - low)), np.float32)
+            block[row[a:b], column[a:b] - low] = 1
+            total += block @ block.T
+        return total[pairs[0], pairs[1]].astype(np.int64)
+    out = []
+    for i, j in pairs[:2].T.tolist():
+        small, big = (sets[i], sets[j]) if len(sets[i]) < len(sets[j]) else (sets[j], sets[i])
+        at = np.searchsorted(big, small)
+        out.append(int((big[np.minimum(at, len(big) - 1)] == small).sum()))
+    return np.array(out, np.int64)
+
+
+_TRIED = 64  # pairs a document that are checked before it is asked what is joined already
+
+
 def _confirm(table: pa.Table, tokens: int, least: int, percent: int) -> pa.Table:
     """Links of each group confirmed on full sets, enough of them to join what is linked.
 
-    Likely pairs are tried from the most similar on; a pair that confirmed links
-    already join is not tried. With a `pivot`, only pairs with it are tried.
+    Likely pairs are tried from the most similar on, many at a time; a pair that
+    confirmed links already join is not tried. With a `pivot`, only pairs with it are tried.
     """
     own, ids, sizes = _matrix(table.column("tokens"), tokens), table.column("id").to_numpy(), table.column("n").to_numpy()
     pivots, members = table.column("pivot").to_pylist(), table.column("members")
@@ -183,21 +219,32 @@ def _confirm(table: pa.Table, tokens: int, least: int, percent: int) -> pa.Table
         rows = rows[np.argsort(ids[rows])]
         sets = [np.frombuffer(members[int(r)].as_buffer(), dtype=np.uint64) for r in rows]
         forest = _Forest(len(rows))
-        pairs = [np.stack([np.full(len(j), i), j, same]) for i, j, same in _likely(own[rows], sizes[rows], least, percent)]
+        pivot = pivots[int(rows[0])]
+        if pivot is None:
+            pairs = [np.stack([np.full(len(j), i), j, same]) for i, j, same in _likely(own[rows], sizes[rows], least, percent)]
+        else:
+            at = int(np.searchsorted(ids[rows], pivot))
+            same = np.count_nonzero(own[rows] == own[rows[at]], axis=1)
+            mine = sizes[rows[at]]
+            good = (same >= least) & (100 * np.minimum(mine, sizes[rows]) >= percent * np.maximum(mine, sizes[rows]))
+            good[at] = False
+            others = np.flatnonzero(good)
+            pairs = [np.stack([np.full(len(others), at), others, same[others]])]
         tried = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), np.int64)
-        for i, j, _ in tried[:, np.argsort(-tried[2], kind="stable")].T.tolist():
-            if forest.top[i] == forest.top[j]:
+        tried = tried[:, np.argsort(-tried[2], kind="stable")]
+        step = _TRIED * len(rows)
+        for k in range(0, tried.shape[1], step):
+            some = tried[:, k:k + step]
+            some = some[:, forest.top[some[0]] != forest.top[some[1]]]
+            if not some.shape[1]:
                 continue
-            pivot = pivots[int(rows[0])]
-            if pivot is not None and pivot not in (ids[rows[i]], ids[rows[j]]):
-                continue
-            x, y = sets[i], sets[j]
-            small, big = (x, y) if len(x) < len(y) else (y, x)
-            at = np.searchsorted(big, small)
-            common = int((big[np.minimum(at, len(big) - 1)] == small).sum())
-            if 100 * common >= percent * (len(x) + len(y) - common):
-                forest.join(i, [j])
-                found.append((ids[rows[i]], ids[rows[j]]))
+            common = _common(sets, some)
+            n = sizes[rows]
+            linked = 100 * common >= percent * (n[some[0]] + n[some[1]] - common)
+            for i, j in some[:2, linked].T.tolist():
+                if forest.top[i] != forest.top[j]:
+                    forest.join(i, [j])
+                    found.append((ids[rows[i]], ids[rows[j]]))
     a, b = zip(*found) if found else ((), ())
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -207,7 +254,9 @@ class _Join:
 
     def __init__(self, docs, width, percent, trees, tokens, leaf_docs, leaf_shingles, depth):
         self.docs, self.width, self.percent, self.tokens = docs, width, percent, tokens
-        self.trees, self.leaf_docs, self.leaf_shingles, self.depth = trees, leaf_docs, leaf_shingles, depth
+        self.trees, self.leaf_docs, self.leaf_shingles = trees, leaf_docs, leaf_shingles
+        self.depth = depth
+        self.sets = None  # full sets read so far
         share = percent / 100
         # four standard deviations of the estimate below the threshold
         self.least = int(tokens * share - 4.1 * (tokens * share * (1 - share)) ** 0.5)
@@ -217,19 +266,39 @@ class _Join:
             F.min(F.struct("doc_id", "n", "tokens")).alias("first"))
         self.classes = store(first.select(F.col("first.doc_id").alias("id"), "first.n", "first.tokens", "key"))
 
+    def _read_sets(self, ids: DataFrame) -> DataFrame:
+        texts = self.docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        sets = texts.mapInArrow(partial(_full_sets, width=self.width), "id long, key binary, members binary").dropDuplicates(["id", "key"])
+        return store(self.classes.join(ids, "id", "left_semi").join(sets, ["id", "key"]).drop("key"))
+
+    def keep_sets(self, ids: DataFrame) -> None:
+        """Read the full sets of `ids` once, for all that is confirmed later."""
+        more = ids.select("id").distinct()
+        if self.sets is None:
+            self.sets = self._read_sets(more)
+        else:
+            more = store(more.join(self.sets, "id", "left_anti"))
+            if not more.isEmpty():
+                self.sets = self.sets.unionByName(self._read_sets(more))
+
+    def dealt(self, rows: DataFrame, group: str, wide: DataFrame) -> DataFrame:
+        """`rows` (group, id, ...) joined with `wide` (id, n, ...) and dealt to tasks by `bin`: a large group alone, small ones together up to the limits.
+
+        Bins are dealt in ranges of about equally many rows, so large ones do not meet by chance.
+        """
+        size = rows.join(wide.select("id", "n").withColumnRenamed("n", "_n"), "id").groupBy(group).agg(F.count("_n").alias("_docs"), F.sum("_n").alias("_shingles"))
+        size = store(size.withColumn("_small", (F.col("_docs") * 4 <= _BIN_ROWS) & (F.col("_shingles") * 4 <= self.leaf_shingles)))
+        total = size.agg(*[F.coalesce(F.sum(F.when(F.col("_small"), F.col(c))), F.lit(0)) for c in ("_docs", "_shingles")], F.coalesce(F.sum("_docs"), F.lit(0))).first()
+        many = 2 * max(bins(total[0], _BIN_ROWS), bins(total[1], self.leaf_shingles))
+        own = F.when(F.col("_small"), F.pmod(F.xxhash64(group), F.lit(many))).otherwise(F.xxhash64(group))
+        marked = rows.join(size.select(group, own.alias("bin")), group).join(wide, "id")
+        return marked.repartitionByRange(max(bins(total[2], _BIN_ROWS), bins(total[1], self.leaf_shingles)), "bin")
+
     def confirmed(self, groups: DataFrame) -> DataFrame:
         """Links within `groups` (gid, id, pivot), each group of bounded size."""
         groups = store(groups)
-        needed = groups.select("id").distinct()
-        own = self.classes.join(needed, "id", "left_semi")
-        texts = self.docs.join(needed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        sets = texts.mapInArrow(partial(_full_sets, width=self.width), "id long, key binary, members binary").dropDuplicates(["id", "key"])
-        full = own.join(sets, ["id", "key"]).drop("key")
-        size = groups.join(self.classes.select("id", "n"), "id").agg(F.count("id"), F.coalesce(F.sum("n"), F.lit(0))).first()
-        many = max(bins(size[0], _BIN_ROWS), bins(size[1], self.leaf_shingles))
-        return store(
-            groups.join(full, "id").withColumn("bin", F.pmod(F.xxhash64("gid"), F.lit(many)))
-            .groupBy("bin").applyInArrow(self._grouped(_confirm), _LINK))
+        self.keep_sets(groups)
+        return store(self.dealt(groups, "gid", self.sets).groupBy("bin").applyInArrow(self._grouped(_confirm), _LINK))
 
     def _grouped(self, work):
         tokens, least, percent = self.tokens, self.least, self.percent
@@ -252,10 +321,12 @@ class _Join:
             large = live.where(~fits)
             if large.isEmpty():
                 break
+            if level == 1:
+                self.keep_sets(large)
             links.append(self.confirmed(self._stars(large)))
             large = store(self._undecided(large, links))
             if level == self.depth:
-                leaves.append(self._blocks(large))
+                leaves += self._crowds(large)
                 break
             rows = large.select("node", "id", "n").join(self.classes.select("id", "tokens"), "id").mapInArrow(
                 partial(_children, branches=BRANCHES, tokens=self.tokens), "node long, id long, n long").distinct()
@@ -277,6 +348,34 @@ class _Join:
         mixed = rows.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         return rows.join(mixed.select("node"), "node", "left_semi").drop("component")
 
+    def _crowds(self, large: DataFrame) -> list[DataFrame]:
+        """Leaves for documents of nodes that do not split, each pair that may be linked in one at least.
+
+        Shingles that many of them hold, as templates do, are common, the others
+        rare. Two documents of a and b shingles, f and g of them common, are
+        linked only if they share percent / (100 + percent) * (a + b), and so
+        share a rare one unless the lesser of f and g reaches that. So documents
+        meet at each rare shingle, in leaves within the limits, and only those
+        with more common shingles than any partner in the crowd lets them have
+        are compared in blocks, every crowd once.
+        """
+        own = store(large.select("id", "n").distinct())
+        rows = store(own.join(self.sets.select("id", "members"), "id").mapInArrow(_each_shingle, "shingle long, id long, n long"))
+        held = rows.groupBy("shingle").agg(F.count("id").alias("docs"), F.sum("n").alias("shingles")).where("docs > 1")
+        few = (F.col("docs") <= self.leaf_docs) & (F.col("shingles") <= self.leaf_shingles)
+        held = store(held.withColumn("rare", few))
+        rare = rows.join(held.where("rare").select("shingle"), "shingle").select(F.xxhash64("shingle", F.lit(1)).alias("leaf"), "id", "n")
+        common = rows.join(held.where("not rare").select("shingle"), "shingle").groupBy("id", "n").agg(F.count("shingle").alias("common"))
+        share, least = self.percent / (100 + self.percent), own.agg(F.min("n")).first()[0]
+        partner = F.greatest(F.col("n") * (self.percent / 100), F.lit(least))
+        heavy = store(common.where(F.col("common") >= share * (F.col("n") + partner) - 1e-6).select("id"))
+        if heavy.isEmpty():
+            return [rare]
+        crowd = connected(large.select(F.col("pivot").alias("a"), F.col("id").alias("b"))).withColumnRenamed("component", "node")
+        members = own.join(heavy, "id").join(crowd, "id")
+        sizes = members.groupBy("node").agg(F.count("id").alias("docs"), F.sum("n").alias("shingles"))
+        return [rare, self._blocks(members.join(sizes, "node"))]
+
     def _blocks(self, large: DataFrame) -> DataFrame:
         """Every two blocks of a node's documents as a leaf, so that all of it is compared."""
         many = F.greatest(F.ceil(F.col("docs") * 4 / self.leaf_docs), F.ceil(F.col("shingles") * 4 / self.leaf_shingles)).cast("int")
@@ -298,10 +397,9 @@ class _Join:
             f"filter(own, (x, i) -> (i > 0 and get(own, i - 1).n * 100 >= x.n * {self.percent})"
             f" or (i < many - 1 and x.n * 100 >= get(own, i + 1).n * {self.percent}))"))
         alike = lists.where(F.size("own") > 1).select(F.xxhash64("own").alias("leaf"), "own").dropDuplicates(["leaf"])
-        live = store(alike.select("leaf", F.inline("own")))
-        many = bins(live.count(), _BIN_ROWS)
+        live = store(alike.select("leaf", F.inline("own")).drop("n"))
         likely = store(
-            live.join(self.classes.select("id", "tokens"), "id").withColumn("bin", F.pmod(F.xxhash64("leaf"), F.lit(many)))
+            self.dealt(live, "leaf", self.classes.select("id", "n", "tokens"))
             .groupBy("bin").applyInArrow(self._grouped(_estimate), "leaf long, head long, id long, n long"))
         cluster = connected(likely.select(F.col("head").alias("a"), F.col("id").alias("b")))
         ids = likely.select("id", "n").distinct().join(cluster, "id")
@@ -330,10 +428,10 @@ def near_duplicates(
     and branches again. On the way, all classes of a large node are compared
     with its first one, and a node that confirmed links already join is closed,
     so a crowd of near copies ends early. Small nodes are compared exhaustively
-    by tokens, what is likely linked exactly on the full sets. A node that has
-    not split after `depth` levels is compared in pairs of blocks. Links of
-    similarity s at the threshold or above share a root in all but
-    (1 - s) ** trees of the cases (6e-9 at 0.85).
+    by tokens, what is likely linked exactly on the full sets. A crowd that has
+    not split after `depth` levels, such as the pages of one template, is joined
+    by its rare shingles, see `_crowds`. Links of similarity s at the threshold or
+    above share a root in all but (1 - s) ** trees of the cases (6e-9 at 0.85).
 
     `component_id` is the smallest doc_id reachable by links, `kept` says that
     it is the document's own. A NULL, empty or blank text has no shingles and is

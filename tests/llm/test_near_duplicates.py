@@ -103,3 +103,47 @@ def test_components_of_chains_and_stars(spark):
     found = dict(connected(spark.createDataFrame(chain + star, "a long, b long")).collect())
     assert set(found.values()) == {0, 100} and found[40] == 0 and found[129] == 100
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def template_family(many, seed=5):
+    """Documents of one template, alike but not linked, and a few linked pairs among them."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared = [word() for _ in range(300)]
+    rows = [(i, " ".join(shared + [word() for _ in range(34)])) for i in range(many)]
+    return rows + [(many + i, rows[i][1] + " " + word()) for i in range(0, many, 60)]
+
+
+def test_crowds_of_similar_documents_are_not_paired(spark):
+    many = {}
+    for docs in (300, 1200):
+        rows = template_family(docs)
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        run = near._Join(frame, 5, 85, 10, 96, 50, 1_000_000, 1)
+        leaves = run.nodes()[0]
+        assert leaves.groupBy("leaf").count().agg({"count": "max"}).first()[0] <= 50
+        many[docs] = leaves.count()
+        found = {r.doc_id: r.component_id for r in near_duplicates(frame, leaf_docs=50, depth=1).collect()}
+        assert found == {i: i - docs if i >= docs else i for i, _ in rows}
+    assert many[1200] < 6 * many[300]  # pairs would be 16 times as many
+
+
+def test_crowds_whose_common_shingles_suffice(spark):
+    """Templates so long that some documents are linked by them alone, in a crowd with unlinked ones."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared = [word() for _ in range(300)]
+    rows = [(i, " ".join(shared + [word() for _ in range(rng.choice([5, 18, 24, 30, 40, 60]))])) for i in range(150)]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), leaf_docs=20, depth=1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute_force(rows)
+
+
+def test_common_by_search_and_by_products():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 200)).astype(np.uint64)) for _ in range(60)]
+    every = np.stack([*np.triu_indices(60, 1), np.zeros(1770, np.int64)])
+    want = [len(np.intersect1d(sets[i], sets[j])) for i, j, _ in every.T]
+    assert near._common(sets, every).tolist() == want
+    assert near._common(sets, every[:, :3]).tolist() == want[:3]
