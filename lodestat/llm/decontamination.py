@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lodestat.llm.arrays import scan
 from lodestat.llm.quality_rules import bind
 
 WINDOW = 10          # words in a window of an item
@@ -109,16 +110,40 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans", "items")
 
 
+def _disjoint(spans: Column) -> Column:
+    """The sorted spans as ranges that neither meet nor overlap."""
+    def ranges(x: Column) -> Column:
+        own, reach, first = x["own"], x["reach"], x["first"]
+        last = lambda t: F.coalesce(F.get(reach, F.get(first, t + 1) - 1), F.get(reach, F.size(own) - 1))
+        return F.transform(first, lambda i, t: F.struct(F.get(own, i)["start"].alias("start"), last(t).alias("stop")))
+
+    def opened(x: Column) -> Column:
+        places = F.filter(F.transform(x["own"], lambda s, i: F.when((i == 0) | (s["start"] > F.get(x["reach"], i - 1)), i)), lambda i: i.isNotNull())
+        return bind(F.struct(x["own"].alias("own"), x["reach"].alias("reach"), places.alias("first")), ranges)
+
+    reach = scan(F.transform(spans, lambda s: s["stop"].cast("long")), F.greatest)
+    return bind(F.struct(spans.alias("own"), reach.alias("reach")), opened)
+
+
 def without_spans(text: Column, spans: Column) -> Column:
-    """The text without the words of `spans` and what follows each of them up to the next word."""
+    """The text without the words of `spans` and what follows each of them up to the next word.
+
+    Overlapping spans are made one first and the text between is taken as
+    slices, so the work grows with the text and not with its spans.
+    """
     def rebuilt(parts: Column) -> Column:
-        kept = F.transform(parts["words"], lambda w, i: F.when(
-            F.exists(parts["spans"], lambda s: (s["start"] <= i) & (i < s["stop"])), F.lit("")).otherwise(
-                F.concat(w, F.get(parts["breaks"], i + 1))))
-        return F.concat(F.get(parts["breaks"], F.lit(0)), F.array_join(kept, ""))
+        words, ranges = parts["words"], parts["ranges"]
+        piece = lambda start, stop: F.array_join(F.slice(words, start + 1, F.greatest(stop - start, F.lit(0))), "")
+        before = F.transform(ranges, lambda r, i: piece(F.coalesce(F.get(ranges, i - 1)["stop"], F.lit(0).cast("long")).cast("int"), r["start"].cast("int")))
+        rest = piece(F.coalesce(F.get(ranges, F.size(ranges) - 1)["stop"], F.lit(0).cast("long")).cast("int"), F.size(words))
+        return F.concat(F.get(parts["breaks"], F.lit(0)), F.array_join(before, ""), rest)
+
+    def followed(x: Column) -> Column:
+        words = F.transform(x["words"], lambda w, i: F.concat(w, F.get(x["breaks"], i + 1)))
+        return bind(F.struct(words.alias("words"), x["breaks"].alias("breaks"), _disjoint(spans).alias("ranges")), rebuilt)
 
     words = F.filter(F.split(text, _BREAK), lambda w: w != "")
-    return bind(F.struct(words.alias("words"), F.split(text, _WORD).alias("breaks"), spans.alias("spans")), rebuilt)
+    return bind(F.struct(words.alias("words"), F.split(text, _WORD).alias("breaks")), followed)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_share: float = DROP_SHARE) -> DataFrame:

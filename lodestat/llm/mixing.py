@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -108,7 +110,7 @@ def _settle(last: bool, seed: int):
     return run
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7, keep: Sequence[str] = ()) -> DataFrame:
     """How often each document enters the mix: doc_id, source, size, source_size, target, copies, taken.
 
     Size is the number of words; `taken` is size times copies. A source is to
@@ -124,12 +126,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7) -> Da
     alone, so reruns agree.
 
     NULL and empty texts have size 0, an empty source target 0. Sources may be
-    NULL; so may doc_id. Repeated rows are documents of their own. Other columns
-    are ignored.
+    NULL; so may doc_id. Repeated rows are documents of their own. The
+    columns that `keep` names come back too, others are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sizes = store(docs.select(
-        "doc_id", F.col("source").cast("string").alias("source"), F.size(spaced_words(text)).cast("long").alias("size")))
+        "doc_id", F.col("source").cast("string").alias("source"), F.size(spaced_words(text)).cast("long").alias("size"), *keep))
     targets = source_targets(sizes, weights, most).withColumnRenamed("source", "own")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     parts = F.ceil(F.col("docs") / _UNITS)
@@ -137,7 +139,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7) -> Da
     units = units.withColumns({
         "whole": F.floor("rate").cast("long"), "chance": F.col("rate") - F.floor("rate"),
         "part": F.pmod(F.xxhash64("place", F.lit(seed)), parts)})
-    units = units.select("doc_id", "source", "size", "source_size", "target", "no", "place", "part", "whole", "chance")
+    units = units.select("doc_id", "source", "size", "source_size", "target", "no", "place", "part", "whole", "chance", *keep)
     most_parts = targets.agg(F.max(parts)).first()[0] or 1
     done = []
     while True:
@@ -154,4 +156,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7) -> Da
         found = found.unionByName(more)
     copies = F.col("whole") + F.col("chance").cast("long")
     return found.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *keep)
+
+
+def mixed_corpus(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
+    """The documents that the mix takes, all columns, with `size`, `target`, `copies` and `taken`.
+
+    `copies` says how often a document is in the mix and `taken` its words there.
+    Rows equal in all columns come back as one, with their copies added. What is
+    decided meets the texts by two hashes of the whole row, so a NULL or repeated
+    doc_id keeps its own text. Columns of `docs` with one of the four names give
+    way to them.
+    """
+    names = [c for c in docs.columns if c not in ("size", "target", "copies", "taken")]
+    whole = [x for c in names for x in (F.col(c).isNull(), F.col(c))]
+    keyed = docs.select(*names, F.xxhash64(F.lit(1), *whole).alias("_a"), F.xxhash64(F.lit(2), *whole).alias("_b"))
+    parts = store(mix(keyed, weights, most, seed, keep=("_a", "_b")).groupBy("_a", "_b").agg(
+        F.count(F.lit(1)).alias("_rows"), F.max("size").alias("size"), F.max("target").alias("target"),
+        F.sum("copies").alias("copies"), F.sum("taken").alias("taken")).where("copies > 0"))
+    found = keyed.join(parts, ["_a", "_b"])
+    once = found.where("_rows = 1")
+    if not parts.where("_rows > 1").isEmpty():
+        once = once.unionByName(found.where("_rows > 1").dropDuplicates(["_a", "_b"]))
+    return once.select(*names, "size", "target", "copies", "taken")

@@ -43,18 +43,22 @@ def _kept_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of `benchmark`: mostly such ones go, others lose the passages."""
+    """Documents without passages of `benchmark`: mostly such ones go, others lose the passages.
+
+    NULL and empty texts, and rows without doc_id, stay; repeated rows are treated alike.
+    """
     return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind; NULL stays NULL."""
     return personal_data.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: a row per document taken, with its number of copies and words.
+    """The corpus that the mix takes: all columns with their texts, `copies` of each, and `size`, `target`, `taken`.
 
-    The list names documents of the stage before by doc_id; texts are not copied again.
+    NULL and empty texts have no words but may be taken; rows equal in all
+    columns are one, with their copies added.
     """
-    return mixing.mix(docs).where("copies > 0")
+    return mixing.mixed_corpus(docs)

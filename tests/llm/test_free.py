@@ -290,3 +290,40 @@ def test_pipeline(spark):
         assert docs.columns == before.columns and 0 < docs.count() <= before.count()
     found = corpus_pipeline.run(spark, FOLDER).toPandas()
     assert set(found.doc_id) <= {r.doc_id for r in docs.select("doc_id").collect()} and (found.copies > 0).all()
+
+
+def test_pipeline_returns_texts(spark, tmp_path, edge, nothing):
+    """Every row of the mix has the text that the stage before has kept; edge and empty tables go through."""
+    import corpus_pipeline
+
+    kept = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, FOLDER)
+    want = {(r.doc_id, r.text) for r in kept.collect()}
+    found = corpus_pipeline.run(spark, FOLDER)
+    assert set(kept.columns) < set(found.columns)
+    rows = found.collect()
+    assert {(r.doc_id, r.text) for r in rows} <= want and len(rows) == len({r.doc_id for r in rows})
+    assert all(r.taken == r.copies * r["size"] for r in rows)
+    for name, docs in (("edge", edge), ("nothing", nothing)):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert len(out) == (1 if name == "edge" else 0)  # all but one text are short, blank or repeat words
+
+
+def test_mixed_corpus_keeps_rows_apart(spark, edge, nothing):
+    from lodestat.llm import mixing
+
+    found = mixing.mixed_corpus(edge).collect()
+    by = {}
+    for r in edge.collect():
+        by[tuple(r)] = by.get(tuple(r), 0) + 1
+    own = [tuple(r[c] for c in edge.columns) for r in found]
+    assert len(set(own)) == len(own) and set(own) <= set(by)
+    for r, row in zip(found, own):
+        assert 0 < r.copies <= 3 * by[row] and r.taken == r.copies * r["size"]
+    listed = mixing.mix(edge).where("copies > 0").groupBy("doc_id").sum("taken").collect()
+    assert sorted((str(a), b) for a, b in listed) == sorted((str(k), sum(r.taken for r in found if r.doc_id == k)) for k in {r.doc_id for r in found})
+    assert mixing.mixed_corpus(nothing).count() == 0

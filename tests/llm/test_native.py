@@ -138,3 +138,35 @@ def test_reputation_is_shrunk(spark):
     assert url_filter.reputation(frame.limit(0)).count() == 0
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judge(empty, frame.select("page_id", "good")).count() == 0
+
+
+def test_overlapping_spans_are_cut_once(spark, texts):
+    """Any spans of words, many and overlapping, against a plain reconstruction."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        n = rng.choice([1, 5, 40, 900])
+        text = rng.choice(["", "-- "]) + "".join(f"w{k}{rng.choice([' ', ', ', '! '])}" for k in range(n))
+        spans = sorted({(a, min(n, a + rng.randint(1, 12))) for a in (rng.randrange(n) for _ in range(rng.randint(1, n)))})
+        rows.append((i, text, spans))
+    frame = spark.createDataFrame(rows, "i int, text string, spans array<struct<start:int,stop:int>>")
+    for r, (_, text, spans) in zip(frame.withColumn("clean", dec.without_spans(F.col("text"), F.col("spans"))).orderBy("i").collect(), rows):
+        hit = {w for a, b in spans for w in range(a, b)}
+        pieces = re.findall(r"[A-Za-z0-9]+[^A-Za-z0-9]*", text)
+        lead = re.match(r"[^A-Za-z0-9]*", text)[0]
+        assert r.clean == lead + "".join(p for k, p in enumerate(pieces) if k not in hit)
+
+
+def test_many_spans_take_linear_time(texts):
+    from time import monotonic
+
+    from pyspark.sql import functions as F
+
+    row = texts("w " * 60_000).select(F.col("text"), F.expr("transform(sequence(0, 59999, 2), x -> named_struct('start', x, 'stop', x + 1))").alias("spans"))
+    began = monotonic()
+    assert row.select(F.length(dec.without_spans(F.col("text"), F.col("spans")))).first()[0] == 60_000
+    assert monotonic() - began < 30

@@ -7,7 +7,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
-from lodestat.llm import secret_scan as sec
+from lodestat.llm import arrays, secret_scan as sec
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
@@ -46,13 +46,13 @@ def test_base_spans_equal_a_plain_search(texts):
 
 def test_scan_of_many_blocks(spark):
     row = spark.range(1).select(F.expr("transform(sequence(1, 70000), x -> cast(x % 7 as bigint))").alias("v"))
-    added, most = row.select(sec.scan(F.col("v"), lambda a, b: a + b), sec.scan(F.col("v"), F.greatest)).first()
+    added, most = row.select(arrays.scan(F.col("v"), lambda a, b: a + b), arrays.scan(F.col("v"), F.greatest)).first()
     want, total = [], 0
     for x in range(1, 70001):
         total += x % 7
         want.append(total)
     assert added == want and most[5:] == [6] * 69995 and most[:3] == [1, 2, 3]
-    empty = spark.range(1).select(sec.scan(F.expr("cast(array() as array<bigint>)"), lambda a, b: a + b)).first()[0]
+    empty = spark.range(1).select(arrays.scan(F.expr("cast(array() as array<bigint>)"), lambda a, b: a + b)).first()[0]
     assert empty == []
 
 
