@@ -5,35 +5,33 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
-from itertools import combinations_with_replacement
+from dataclasses import dataclass, field, replace
+from functools import partial
+from itertools import combinations_with_replacement, product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, OneVsRest, RandomForestClassifier,
-)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.classification import GBTClassifier, LinearSVC, OneVsRest
 from pyspark.ml.feature import IndexToString, PolynomialExpansion, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import (
-    DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
-)
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.util import inheritable_thread_target
 
 from lodestat.functions.columns import Columns, numeric_columns, present, require
 from lodestat.operators.features import _scaling, with_fold
+from lodestat.operators.forests import ForestEstimator, Pruning, Settings, fit_trees
 from lodestat.operators.metrics import accuracy, classification_report, regression_metrics
 from lodestat.plans.layout import spread
 from lodestat.plans.neighbors import build_tree, nearest
 from lodestat.plans.skew import join_values
 from lodestat.plans.sums import FourierFeatures, vector_sum
 
-DEEPEST = 30  # the deepest tree MLlib grows
+DEEPEST = 30  # the largest depth that may be named; MLlib grows no deeper
 # Usual names of scores, MLlib's names for them and their sign.
 SCORING = {
     "neg_mean_squared_error": ("mse", -1), "neg_root_mean_squared_error": ("rmse", -1), "neg_mean_absolute_error": ("mae", -1),
@@ -160,9 +158,14 @@ def _linear(df, features, target, stages, estimator, terms) -> Model:
 def linear_regression(
     df: DataFrame, features: Sequence[str], target: str, fit_intercept: bool = True, positive: bool = False,
 ) -> Model:
-    """Least squares; with `positive` no coefficient may be negative."""
+    """Least squares; with `positive` no coefficient may be negative.
+
+    Few features are summed and scored by generated code, more by MLlib.
+    """
     if positive:
         return _non_negative(df, features, target, fit_intercept)
+    if len(features) <= _FEW:
+        return _non_negative(df, features, target, fit_intercept, solve=_least_norm)
     return _linear(df, features, target, [], LinearRegression(
         featuresCol="_features", labelCol=target, solver="normal", fitIntercept=fit_intercept), list(features))
 
@@ -236,9 +239,21 @@ class LinearTransformer(_Stored):
         return dataset.withColumn("prediction", total)
 
 
-def _non_negative(df: DataFrame, features: Sequence[str], target: str, fit_intercept: bool, alpha: float = 0.0) -> Model:
-    """Active-set least squares on the matrix of products, which one aggregate
-    over the centred columns yields."""
+_FEW = 12  # features whose products fit one generated aggregate
+
+
+def _least_norm(gram: np.ndarray, moment: np.ndarray) -> np.ndarray:
+    """The least squares solution of least norm; features are brought to one scale first."""
+    scale = np.sqrt(np.diag(gram))
+    scale[scale == 0] = 1.0
+    return np.linalg.lstsq(gram / np.outer(scale, scale), moment / scale, rcond=1e-13)[0] / scale
+
+
+def _non_negative(
+    df: DataFrame, features: Sequence[str], target: str, fit_intercept: bool, alpha: float = 0.0, solve=None,
+) -> Model:
+    """Least squares, by default without negative coefficients, on the matrix of
+    products, which one aggregate over the centred columns yields."""
     names = [*require(df, features), target]
     exprs = {c: present(df, c).cast("double") for c in names}
     whole = df.dropna(subset=names)
@@ -250,7 +265,7 @@ def _non_negative(df: DataFrame, features: Sequence[str], target: str, fit_inter
     gram = np.zeros((len(names), len(names)))
     for i, j in cells:
         gram[i, j] = gram[j, i] = sums[f"p{i}_{j}"]
-    w = solve_non_negative(gram[:-1, :-1] + alpha * np.eye(len(names) - 1), gram[:-1, -1])
+    w = (solve or solve_non_negative)(gram[:-1, :-1] + alpha * np.eye(len(names) - 1), gram[:-1, -1])
     intercept = float(mean[-1] - mean[:-1] @ w) if fit_intercept else 0.0
     weights = dict(zip(features, w.tolist()))
     return Model("regression", list(features), target, PipelineModel([LinearTransformer.of(weights=weights, intercept=intercept)]),
@@ -287,36 +302,47 @@ def solve_non_negative(gram: np.ndarray, moment: np.ndarray) -> np.ndarray:
 
 def decision_tree(
     df: DataFrame, features: Sequence[str], target: str, task: str = "regression",
-    max_depth: int | None = None, min_samples_leaf: int = 1,
+    max_depth: int | None = None, min_samples_split: int = 2, min_samples_leaf: int = 1,
 ) -> Model:
-    """One tree. Without a depth it grows to MLlib's limit of 30 levels, and with
-    leaves of one row it grows with the table: set a depth or a leaf size there."""
-    options = dict(featuresCol="_features", maxDepth=_depth(max_depth), minInstancesPerNode=min_samples_leaf, seed=SEED)
-    if task == "regression":
-        return _fit(df, task, features, target, [DecisionTreeRegressor(labelCol=target, **options)])
-    return _fit_classes(df, features, target, lambda c: DecisionTreeClassifier(**c.columns(target), **options))
+    """One tree, by default of any depth; its nodes are a table (see `forests`)."""
+    return _grown(df, features, target, task, 1, max_depth, min_samples_split, min_samples_leaf, alone=True)
 
 
-def _fit_classes(df: DataFrame, features: Sequence[str], target: str, estimator, before: Sequence = (), **info) -> Model:
+def _fit_classes(
+    df: DataFrame, features: Sequence[str], target: str, estimator, before: Sequence = (), repeated: bool = True, **info,
+) -> Model:
     """Fit the classifier that `estimator` makes for the classes of the target."""
     found = _classes(df, require(df, [target])[0])
-    return _fit(df, "classification", features, target, found.around([*before, estimator(found)]), label_type=found.label_type, **info)
+    return _fit(df, "classification", features, target, found.around([*before, estimator(found)]), repeated, label_type=found.label_type, **info)
+
 
+def _forest_settings(
+    task: str, classes: int, dims: int, trees: int, max_depth: int | None, split: int, leaf: int, alone: bool = False,
+) -> Settings:
+    subset = None if task == "regression" or alone else max(1, int(dims ** 0.5))
+    return Settings(
+        classes=classes, trees=trees, bagged=not alone, subset=subset, max_depth=None if max_depth is None else _depth(max_depth),
+        min_samples_split=split, min_samples_leaf=leaf, seed=SEED)
 
-def _forest(task: str, columns: Mapping[str, str], n_estimators: int, max_depth: int | None, min_samples_leaf: int):
-    kind = RandomForestRegressor if task == "regression" else RandomForestClassifier
-    return kind(
-        featuresCol="_features", **columns, numTrees=n_estimators, maxDepth=_depth(max_depth), minInstancesPerNode=min_samples_leaf,
-        featureSubsetStrategy="all" if task == "regression" else "sqrt", seed=SEED)
+
+def _grown(df, features, target, task, trees, max_depth, split, leaf, alone=False) -> Model:
+    settings = partial(_forest_settings, task, dims=len(features), trees=trees, max_depth=max_depth, split=split, leaf=leaf, alone=alone)
+    if task == "regression":
+        return _fit(df, task, features, target, [ForestEstimator(settings(classes=0), target)], repeated=False)
+
+    def estimator(c: _Classes) -> ForestEstimator:
+        own = c.columns(target)
+        return ForestEstimator(settings(classes=c.count), own["labelCol"], own.get("predictionCol", "prediction"))
+
+    return _fit_classes(df, features, target, estimator, repeated=False)
 
 
 def random_forest(
     df: DataFrame, features: Sequence[str], target: str, task: str = "regression",
-    n_estimators: int = 100, max_depth: int | None = None, min_samples_leaf: int = 1,
+    n_estimators: int = 100, max_depth: int | None = None, min_samples_split: int = 2, min_samples_leaf: int = 1,
 ) -> Model:
-    if task == "regression":
-        return _fit(df, task, features, target, [_forest(task, {"labelCol": target}, n_estimators, max_depth, min_samples_leaf)])
-    return _fit_classes(df, features, target, lambda c: _forest(task, c.columns(target), n_estimators, max_depth, min_samples_leaf))
+    """Trees on rows drawn with replacement; a classification tries the square root of the features at each node."""
+    return _grown(df, features, target, task, n_estimators, max_depth, min_samples_split, min_samples_leaf)
 
 
 def gradient_boosting(
@@ -336,50 +362,113 @@ def _one_against_rest(classes: _Classes, target: str, classifier):
     return OneVsRest(classifier=classifier, featuresCol=classifier.getFeaturesCol(), parallelism=8, **classes.columns(target))
 
 
+# The search's parameters and what is tried by default.
+GRID = {"n_estimators": [50, 100, 200], "max_depth": [None, 10, 20], "min_samples_split": [2, 5, 10], "min_samples_leaf": [1, 2, 4]}
+_DEFAULTS = {"n_estimators": 100, "max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1}
+_LESS = ("mse", "rmse", "mae", "hammingLoss")
+
+
+def _fold_scores(scored: DataFrame, classes: int, metric: str, cells: int) -> dict[int, dict[int, float]]:
+    """fold: cell: score, from the (fold, y, values) of the rows, `values` with the sums of every cell one after another."""
+    width = max(1, classes)
+    cell = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.slice("values", i * width + 1, width))).alias("cell", "own")
+    rows = scored.select("fold", "y", "trees", cell)
+    if not classes:
+        gap = F.col("y") - F.get(F.col("own"), F.lit(0)) / F.get("trees", F.col("cell"))
+        sums = rows.groupBy("fold", "cell").agg(
+            F.avg(gap * gap).alias("mse"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"),
+            (1 - F.try_divide(F.sum(gap * gap), F.var_pop("y") * F.count("y"))).alias("r2"))
+        found = sums.select("fold", "cell", F.col(metric).alias("score")).collect()
+    else:
+        said = F.array_position("own", F.array_max("own")) - 1
+        counts = rows.groupBy("fold", "cell", F.col("y").cast("long").alias("y"), said.alias("said")).agg(F.count(F.lit(1)).alias("n"))
+        hit = F.when(F.col("y") == F.col("said"), F.col("n")).otherwise(0)
+        real, named = Window.partitionBy("fold", "cell", "y"), Window.partitionBy("fold", "cell", "said")
+        rated = counts.withColumns({"hit": hit, "real": F.sum("n").over(real), "named": F.sum("n").over(named)}).where("y = said")
+        total = counts.groupBy("fold", "cell").agg(F.sum("n").alias("all"))
+        p, r = F.col("hit") / F.col("named"), F.col("hit") / F.col("real")
+        weighted = lambda v: F.coalesce(F.sum(F.col("real") * v), F.lit(0.0)) / F.max("all")
+        scores = total.join(rated, ["fold", "cell"], "left").groupBy("fold", "cell").agg(
+            weighted(r).alias("accuracy"), weighted(r).alias("weightedRecall"), weighted(p).alias("weightedPrecision"),
+            weighted(2 * p * r / (p + r)).alias("f1"), (1 - weighted(r)).alias("hammingLoss"))
+        found = scores.select("fold", "cell", F.col(metric).alias("score")).collect()
+    out: dict[int, dict[int, float]] = {}
+    for row in found:  # a row per fold and setting
+        out.setdefault(row["fold"], {})[row["cell"]] = row["score"]
+    return out
+
+
 def grid_search(
     df: DataFrame, features: Sequence[str], target: str, task: str = "regression",
     param_grid: Mapping[str, Sequence] | None = None, cv: int = 5, scoring: str = "r2", parallelism: int = 4,
     key: Columns = None,
 ) -> tuple[Model, dict, float, DataFrame]:
-    """(best model, its parameters, its score, all scores) of random forests.
-
-    Parameters: n_estimators, max_depth (None is the deepest) and
-    min_samples_leaf. Folds come from a hash of `key` if given. `scoring` is a
-    name of SCORING or of MLlib's evaluators; where less is better, scores are
-    negative with a `neg_` name.
+    """(best model, its parameters, its score, all scores) of random forests, by default over the whole of GRID.
+
+    A forest of fewer trees is the first trees of a larger one, and a tree of
+    less depth or larger splits is a deeper one cut short. So each fold fits one
+    forest per min_samples_leaf, of the most trees and the largest depth asked
+    for, and scores every setting from it. Folds come from a hash of `key` if
+    given, of the row otherwise. `scoring` is a name of SCORING, or one of r2,
+    mse, rmse, mae, or accuracy, f1, weightedPrecision, weightedRecall,
+    hammingLoss; where less is better, scores are negative with a `neg_` name.
     """
-    classes = _classes(df, target) if task != "regression" else None
-    columns = classes.columns(target) if classes else {"labelCol": target}
-    metric, sign = SCORING.get(scoring, (scoring, 1))
-    grid = dict(param_grid or {"n_estimators": [50, 100, 200], "max_depth": [None, 10, 20], "min_samples_leaf": [1, 2, 4]})
-    forest = _forest(task, columns, 100, None, 1)
-    named = {"n_estimators": forest.numTrees, "max_depth": forest.maxDepth, "min_samples_leaf": forest.minInstancesPerNode}
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        if name not in named:
+    grid = {n: list(v) for n, v in (GRID if param_grid is None else param_grid).items()}
+    for name in grid:
+        if name not in _DEFAULTS:
             raise ValueError(f"Unknown parameter '{name}'.")
-        builder = builder.addGrid(named[name], [_depth(v) for v in values] if name == "max_depth" else list(values))
-    maps = builder.build()
-    if task == "regression":
-        judge = RegressionEvaluator(labelCol=target, metricName=metric)
-    else:
-        judge = MulticlassClassificationEvaluator(**columns, metricName="accuracy" if metric == "r2" else metric)
-    rows = with_fold(df, key, cv) if key is not None else df
-    search = CrossValidator(
-        estimator=forest, estimatorParamMaps=maps, evaluator=judge, numFolds=cv, parallelism=parallelism,
-        seed=SEED, **({"foldCol": "fold"} if key is not None else {}))
-    stages = classes.around([search]) if classes else [search]
-    model = _fit(rows, task, features, target, stages, label_type=classes.label_type if classes else None)
-    place = 1 + stages.index(search)
-    tuned = model.fitted.stages[place]
-    settings = [{n: m[p] for n, p in named.items() if p in m} for m in maps]
-    better = max if judge.isLargerBetter() else min
-    at = better(range(len(maps)), key=lambda i: tuned.avgMetrics[i])
-    model.fitted = PipelineModel([tuned.bestModel if i == place else s for i, s in enumerate(model.fitted.stages)])
+    for depth in grid.get("max_depth", []):
+        _depth(depth)
+    metric, sign = SCORING.get(scoring, (scoring, 1))
+    if task != "regression" and metric == "r2":
+        metric = "accuracy"
+    known = ("r2", "mse", "rmse", "mae") if task == "regression" else ("accuracy", "f1", "weightedPrecision", "weightedRecall", "hammingLoss")
+    if metric not in known:
+        raise ValueError(f"Unknown score '{scoring}'.")
+    features, tried = require(df, features), {n: grid.get(n, [d]) for n, d in _DEFAULTS.items()}
+    prefixes = sorted(set(tried["n_estimators"]))
+    prunings = [Pruning(d, m) for d, m in product(dict.fromkeys(tried["max_depth"]), dict.fromkeys(tried["min_samples_split"]))]
+    cells = {(n, p): i for i, (n, p) in enumerate(product(prefixes, prunings))}
+    deepest = None if None in tried["max_depth"] else max(tried["max_depth"])
+    classes = _classes(df, target) if task != "regression" else None
+    whole = df.dropna(subset=[*features, require(df, [target])[0]])
+    folded = with_fold(whole, key, cv) if key is not None else whole.withColumn(
+        "fold", F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in [*features, target]], F.lit(SEED)), F.lit(cv)).cast("int"))
+    label = target
+    if classes and classes.indexer is not None:
+        folded, label = classes.indexer.transform(folded), "_label"
+    points = spread(folded.select(
+        "fold", F.array(*[present(folded, c).cast("double") for c in features]).alias("x"), F.col(label).cast("double").alias("y"))).persist()
+    trees = F.array(*[F.lit(n) for n, _ in cells])
+
+    def one(fold: int, leaf: int) -> dict[int, float]:
+        settings = _forest_settings(task, classes.count if classes else 0, len(features), prefixes[-1], None, min(tried["min_samples_split"]), leaf)
+        forest = fit_trees(points.where(F.col("fold") != fold), len(features), replace(settings, max_depth=deepest))
+        asked = points.where(F.col("fold") == fold).withColumn("id", F.monotonically_increasing_id())
+        scored = forest.values(asked, prunings, prefixes).withColumn("trees", trees)
+        return _fold_scores(scored, classes.count if classes else 0, metric, len(cells)).get(fold, {})
+
+    try:
+        runs = list(product(range(cv), dict.fromkeys(tried["min_samples_leaf"])))
+        with ThreadPool(min(parallelism, len(runs))) as pool:
+            found = dict(zip(runs, pool.starmap(inheritable_thread_target(df.sparkSession)(one), runs)))
+    finally:
+        points.unpersist()
+    settings = [dict(zip(tried, values)) for values in product(*tried.values())]
+    scores = []
+    for t in settings:
+        cell = cells[t["n_estimators"], Pruning(t["max_depth"], t["min_samples_split"])]
+        own = [found[fold, t["min_samples_leaf"]].get(cell) for fold in range(cv)]
+        own = [v for v in own if v is not None]
+        scores.append(float(np.mean(own)) if own else float("nan"))
+    better = min if metric in _LESS else max
+    at = better((i for i in range(len(settings)) if not np.isnan(scores[i])), key=lambda i: scores[i], default=0)
+    model = random_forest(df, features, target, task, **settings[at])
+    chosen = {n: v for n, v in settings[at].items() if n in grid}
     table = df.sparkSession.createDataFrame(
-        [(i, str(sorted(s.items())), sign * float(m)) for i, (s, m) in enumerate(zip(settings, tuned.avgMetrics))],
+        [(i, str(sorted((n, v) for n, v in t.items() if n in grid)), sign * score) for i, (t, score) in enumerate(zip(settings, scores))],
         "place int, parameters string, score double")
-    return model, settings[at], sign * float(tuned.avgMetrics[at]), table
+    return model, chosen, sign * scores[at], table
 
 
 # --- support vector machines -----------------------------------------------
@@ -419,7 +508,7 @@ def svm_classifier(
     The linear kernel is exact. `poly` uses all monomials up to the degree and
     `rbf` random Fourier features, both approximations of the kernel machine.
     """
-    n = df.count()
+    n = df.dropna(subset=[*require(df, features), *require(df, [target])]).count()  # the rows that are fitted
 
     def machine(classes: _Classes):
         return _one_against_rest(classes, target, LinearSVC(

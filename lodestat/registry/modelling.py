@@ -50,6 +50,17 @@ def _delimited_round_trip(spark, folder):
 
 
 _add("a1_csv_source", _csv_round_trip, _PART.replace("p_size,", "CAST(p_size AS BIGINT) AS p_size,"))
+
+
+def _text_round_trip(spark, folder):
+    """Texts with line breaks and quotes, written as quoted values and read in splits."""
+    path = _scratch(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    docs.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return tables.read_csv(spark, path, schema="doc_id long, text string, n_chars long", multi_line=True)
+
+
+_add("a1_csv_line_breaks", _text_round_trip, "SELECT doc_id, CASE WHEN text <> '' THEN text END AS text, n_chars FROM documents")
 _add("a3_delimiter_detecting_source", _delimited_round_trip, _PART.replace("p_size,", "CAST(p_size AS BIGINT) AS p_size,"))
 
 
@@ -284,18 +295,42 @@ _add(
     f"""WITH r AS (SELECT regr_sxy({_Y}, l_quantity) / (regr_sxx({_Y}, l_quantity) + 1000.0) AS w, avg({_Y}) AS my, avg(l_quantity) AS mx FROM lineitem)
         SELECT 'l_quantity' AS term, round(w, 4) AS coefficient FROM r UNION ALL SELECT 'intercept', round(my - w * mx, 4) FROM r""",
 )
-_add("l5_decision_tree", lambda s, d: models.decision_tree(_lines(s, d), _X, _Y, max_depth=5).scores(_lines(s, d)))
+_add(
+    "l5_decision_tree",
+    lambda s, d: rounded(models.decision_tree(_lines(s, d), _X, _Y).scores(_lines(s, d)), 4),
+    # a whole tree tells all different features apart and answers with the mean of equal ones
+    f"""SELECT round(avg(pow(y - m, 2)), 4) AS mse, round(1 - sum(pow(y - m, 2)) / (var_pop(y) * count(*)), 4) AS r2
+        FROM (SELECT {_Y} AS y, avg({_Y}) OVER (PARTITION BY {', '.join(_X)}) AS m FROM lineitem)""",
+)
+_add(
+    "l5_decision_tree_stump",
+    lambda s, d: rounded(models.decision_tree(_lines(s, d), _X, _Y, max_depth=1).scores(_lines(s, d)), 2).select("mse"),
+    f"""WITH v AS ({' UNION ALL '.join(f"SELECT '{x}' AS f, {x} AS x, {_Y} AS y FROM lineitem" for x in _X)}),
+        g AS (SELECT f, x, count(*) AS n, sum(y) AS s FROM v GROUP BY ALL),
+        c AS (SELECT sum(n) OVER w AS n, sum(s) OVER w AS s, sum(n) OVER (PARTITION BY f) AS tn, sum(s) OVER (PARTITION BY f) AS ts
+              FROM g WINDOW w AS (PARTITION BY f ORDER BY x))
+        SELECT round((SELECT avg({_Y} * {_Y}) FROM lineitem) - max((s * s / n + (ts - s) * (ts - s) / (tn - n)) / tn), 2) AS mse FROM c WHERE n < tn""",
+)
+_add(
+    "l5_decision_tree_split_size",
+    lambda s, d: rounded(models.decision_tree(
+        _lines(s, d), ["l_discount"], _Y, min_samples_split=s.read.parquet(f"{d}/lineitem.parquet").count()).scores(_lines(s, d)), 2).select("mse"),
+    # nodes below the root have fewer rows than asked for, so one split is made
+    f"""WITH g AS (SELECT l_discount AS x, count(*) AS n, sum({_Y}) AS s FROM lineitem GROUP BY 1),
+        c AS (SELECT sum(n) OVER (ORDER BY x) AS n, sum(s) OVER (ORDER BY x) AS s, sum(n) OVER () AS tn, sum(s) OVER () AS ts FROM g)
+        SELECT round((SELECT avg({_Y} * {_Y}) FROM lineitem) - max((s * s / n + (ts - s) * (ts - s) / (tn - n)) / tn), 2) AS mse FROM c WHERE n < tn""",
+)
 
 
 def _tree_classes(spark, folder):
     train, test = (_dimensions(part) for part in features.split(table(spark, folder, "embeddings"), "vec_id", stratify="label"))
-    return models.decision_tree(train, _E, "label", "classification", max_depth=6).scores(test)
+    return models.decision_tree(train, _E, "label", "classification").scores(test)
 
 
 _add("l5_decision_tree_classes", _tree_classes)
-_add("l6_random_forest", lambda s, d: models.random_forest(_lines(s, d), _X, _Y, max_depth=5).scores(_lines(s, d)))
+_add("l6_random_forest", lambda s, d: models.random_forest(_lines(s, d), _X, _Y).scores(_lines(s, d)))
 _add("l6_random_forest_classes", lambda s, d: models.random_forest(
-    _embedded(s, d), _E, "label", "classification", max_depth=6).report(_embedded(s, d)))
+    _embedded(s, d), _E, "label", "classification").report(_embedded(s, d)))
 _add("l7_gradient_boosting", lambda s, d: models.gradient_boosting(_lines(s, d), _X, _Y).scores(_lines(s, d)))
 
 
@@ -380,8 +415,8 @@ def _named_labels(fit):
 
 
 _CLASSIFIERS = {
-    "l5_decision_tree_named": lambda r: models.decision_tree(r, _E, "label", "classification", max_depth=6),
-    "l6_random_forest_named": lambda r: models.random_forest(r, _E, "label", "classification", n_estimators=20, max_depth=8),
+    "l5_decision_tree_named": lambda r: models.decision_tree(r, _E, "label", "classification"),
+    "l6_random_forest_named": lambda r: models.random_forest(r, _E, "label", "classification"),
     "l7_gradient_boosting_named": lambda r: models.gradient_boosting(r, _E, "label", "classification", n_estimators=5),
     "l8_svm_named": lambda r: models.svm_classifier(r, _E, "label", kernel="linear"),
 }
@@ -423,12 +458,12 @@ _add(
           round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f""",
 )
 _add("l14_feature_importances", lambda s, d: models.random_forest(
-    _lines(s, d), _X, _Y, max_depth=5).importances())
+    _lines(s, d), _X, _Y).importances())
 
 
 def _search(spark, folder):
-    grid = {"n_estimators": [50, 100], "max_depth": [5, 10]}
-    return models.grid_search(_quality(spark, folder), ["n_chars", "words"], "quality", "classification", grid, cv=5, key="doc_id")[3]
+    """The whole default grid: 81 settings on 5 folds."""
+    return models.grid_search(_quality(spark, folder), ["n_chars", "words"], "quality", "classification", key="doc_id")[3]
 
 
 _add("l15_grid_search", _search)
