@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from lodestat.operators.convert import INTEGER_TEXT, NUMBER_TEXT
 from lodestat.plans.lineage import checkpoint_folder
+from lodestat.sources.records import QUOTE, csv_records
 
 # Text that stands for a missing value in CSV files.
 NULL_TEXT = (
@@ -27,13 +28,20 @@ def read_csv(
 
     Without a schema one aggregate over the text decides each column: boolean,
     long, double or text. Dates stay text, and so do whole numbers that no long
-    holds. With `multi_line` a quoted value may hold line breaks, and a file is
-    then one task; left out, it is on if a line has an odd number of quotes.
+    holds. With `multi_line` a quoted value may hold line breaks; left out, it is
+    on if a line has an odd number of quotes. Files are split and read in
+    parallel either way (see `records`).
     """
     if multi_line is None:
         quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
         multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-    raw = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=multi_line)
+    raw = spark.read.csv(path, header=True, sep=sep, quote=QUOTE, escape=QUOTE, multiLine=multi_line)
+    if multi_line:
+        names = raw.columns
+        fields = ", ".join(f"c{i} string" for i in range(len(names)))
+        records = csv_records(spark, path, sep).where(~F.col("header"))
+        parsed = records.select(F.from_csv("text", fields, {"sep": sep, "quote": QUOTE, "escape": QUOTE}).alias("r"))
+        raw = parsed.select(*[F.col(f"r.c{i}").alias(name) for i, name in enumerate(names)])
     clean = raw.select(*[F.when(~F.col(c).isin(*NULL_TEXT), F.col(c)).alias(c) for c in raw.columns])
     if schema is not None:
         kinds = {f.name: f.dataType for f in (T._parse_datatype_string(schema) if isinstance(schema, str) else schema)}
