@@ -107,17 +107,26 @@ def _duplicate_args(df, order_by, columns):
     return order_by, pick(df, columns, [c for c in df.columns if c not in order_by])
 
 
+def _by_key(df: DataFrame, keys: DataFrame, order_by: list[str], how: str) -> DataFrame:
+    """Join on the key, NULL matching NULL."""
+    named = keys.select(*[F.col(c).alias(f"_kept_{i}") for i, c in enumerate(order_by)])
+    same = [df[c].eqNullSafe(F.col(f"_kept_{i}")) for i, c in enumerate(order_by)]
+    return df.join(named, reduce(lambda a, b: a & b, same), how)
+
+
 def find_duplicates(df: DataFrame, order_by: Columns, columns: Columns = None, keep="first") -> DataFrame:
     """Rows flagged as duplicates of an earlier (or later, or any) row.
 
     `order_by` stands for the row position: it must be unique. Without `columns`
-    all other columns are compared. NULLs equal each other.
+    all other columns are compared. NULLs equal each other. A row without a key
+    is neither the first nor the last of several, and is not flagged where it or
+    another row without a key is kept.
     """
     order_by, columns = _duplicate_args(df, order_by, columns)
-    return df.join(_kept_keys(df, order_by, columns, keep), order_by, "left_anti")
+    return _by_key(df, _kept_keys(df, order_by, columns, keep), order_by, "left_anti")
 
 
 def clean_duplicates(df: DataFrame, order_by: Columns, columns: Columns = None, keep="first") -> DataFrame:
     """The rows `find_duplicates` does not flag."""
     order_by, columns = _duplicate_args(df, order_by, columns)
-    return df.join(_kept_keys(df, order_by, columns, keep), order_by, "left_semi")
+    return _by_key(df, _kept_keys(df, order_by, columns, keep), order_by, "left_semi")

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestat.functions.columns import Columns, pick, present, require, type_of
 from lodestat.plans.lineage import checkpoint
@@ -106,13 +106,14 @@ def select_columns(df: DataFrame, columns: Columns) -> DataFrame:
 def apply_edits(df: DataFrame, edits: DataFrame, key: str, columns: Columns) -> DataFrame:
     """Replace single cells.
 
-    `edits` has rows (key, column, value) with the value as text; at most one
-    edit per cell. A NULL value clears the cell. A value that does not fit the
-    column's type leaves the cell; `bad_edits` lists those.
+    `edits` has rows (key, column, value) with the value as text. A NULL value
+    clears the cell. A value that does not fit the column's type leaves the
+    cell, and so do edits of one cell that disagree; `bad_edits` lists both.
     """
     names = pick(df, columns, [])
+    own = {c: F.when(F.col("column") == c, F.struct("value")) for c in names}
     wide = edits.groupBy(key).agg(*[
-        F.max(F.when(F.col("column") == c, F.struct("value"))).alias(f"_edit_{c}") for c in names
+        F.when(F.min(e).eqNullSafe(F.max(e)), F.max(e)).alias(f"_edit_{c}") for c, e in own.items()
     ])
     joined = df.join(wide, key, "left")
 
@@ -125,9 +126,12 @@ def apply_edits(df: DataFrame, edits: DataFrame, key: str, columns: Columns) ->
 
 
 def bad_edits(df: DataFrame, edits: DataFrame, columns: Columns) -> DataFrame:
-    """The rows of `edits` that name no edited column or do not fit its type."""
+    """The rows of `edits` that name no edited column, do not fit its type or contradict another edit of the cell."""
+    cell = Window.partitionBy(*[c for c in edits.columns if c != "value"])
+    agreed = F.min(F.struct("value")).over(cell).eqNullSafe(F.max(F.struct("value")).over(cell))
     fits = F.lit(False)
     for c in pick(df, columns, []):
         same = F.col("column") == c
         fits = fits | (same & (F.col("value").isNull() | F.col("value").try_cast(type_of(df, c)).isNotNull()))
-    return edits.where(~F.coalesce(fits, F.lit(False)))
+    marked = edits.withColumn("_fits", F.coalesce(fits, F.lit(False)) & agreed)
+    return marked.where(~F.col("_fits")).drop("_fits")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
@@ -16,7 +16,10 @@ def regression_metrics(df: DataFrame, label: str, prediction: str = "prediction"
 
 
 def accuracy(df: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
-    hit = F.col(label).cast("double") == F.col(prediction).cast("double")
+    """Share of the rows with label and prediction where both agree: as numbers, or in the label's type."""
+    kind = df.schema[label].dataType
+    kind = T.DoubleType() if isinstance(kind, T.NumericType) else kind
+    hit = F.col(label).cast(kind) == F.col(prediction).try_cast(kind)
     return df.agg(F.avg(hit.cast("double")).alias("accuracy"))
 
 

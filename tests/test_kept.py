@@ -117,3 +117,28 @@ def test_own_stages_can_be_saved(spark, tmp_path):
         saved.save_model(model, str(tmp_path / str(i)))
         want = [r.prediction for r in model.transform(rows).orderBy("a").collect()]
         assert [r.prediction for r in saved.score_saved(rows, str(tmp_path / str(i))).orderBy("a").collect()] == pytest.approx(want)
+
+
+def test_rows_without_a_key_stay(spark):
+    rows = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c"), (4, "a")], "k int, v string")
+    assert {r.v for r in clean.clean_duplicates(rows, "k").collect()} == {"a", "b", "c"}
+    assert [tuple(r) for r in clean.find_duplicates(rows, "k").collect()] == [(4, "a")]
+    two = rows.withColumn("z", F.lit(None).cast("int"))
+    assert {r.k for r in clean.clean_duplicates(two, ["z", "k"]).collect()} == {1, None, 3}
+
+
+def test_contradicting_edits_leave_the_cell(spark):
+    df = spark.createDataFrame([(1, "p"), (2, "q"), (3, "r")], "k int, v string")
+    edits = spark.createDataFrame(
+        [(1, "v", "x"), (1, "v", "y"), (2, "v", "z"), (2, "v", "z"), (3, "v", None), (3, "v", "s")], "k int, column string, value string")
+    assert sorted((r.k, r.v) for r in edit.apply_edits(df, edits, "k", "v").collect()) == [(1, "p"), (2, "z"), (3, "r")]
+    assert sorted((r.k, r.value or "") for r in edit.bad_edits(df, edits, "v").collect()) == [(1, "x"), (1, "y"), (3, ""), (3, "s")]
+
+
+def test_scores_of_text_labels(spark):
+    rows = spark.range(40).select((F.col("id") % 20).cast("double").alias("a"), F.when(F.col("id") % 20 < 10, "class a").otherwise("class b").alias("name"))
+    assert models.decision_tree(rows, ["a"], "name", "classification").scores(rows).first()["accuracy"] == 1.0
+    guess = spark.createDataFrame([("x", "x"), ("y", "x"), (None, "x"), ("y", None)], "label string, prediction string")
+    assert metrics.accuracy(guess, "label").first()["accuracy"] == 0.5
+    flags = spark.createDataFrame([(True, "true"), (False, "perhaps")], "label boolean, prediction string")
+    assert metrics.accuracy(flags, "label").first()["accuracy"] == 1.0
