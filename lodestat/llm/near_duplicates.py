@@ -7,7 +7,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestat.llm.components import connected
 from lodestat.llm.tables import bins, store
@@ -20,7 +20,7 @@ TOKENS = 96          # minwise tokens of a document
 BRANCHES = 2         # tokens each node below a root selects
 LEAF_DOCS = 2_000    # a node of at most so many documents
 LEAF_SHINGLES = 1_000_000  # and shingles is compared exhaustively
-DEPTH = 3            # levels before a crowd that does not split is joined by the shingles few of it hold
+DEPTH = 6            # levels before a crowd that does not split is joined by the shingles few of it hold
 _BIN_ROWS = 1_000
 _U = np.uint64
 _LINK = "a long, b long"
@@ -179,31 +179,32 @@ def _estimate(table: pa.Table, tokens: int, least: int, percent: int) -> pa.Tabl
 
 
 def _common(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of pairs of sets, by search or, of many pairs, by products of incidence matrices."""
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = counts[inverse] > 1
-    column = (np.cumsum(counts > 1) - 1)[inverse[shared]]
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[shared]
-    width = int((counts > 1).sum())
-    if len(sets) ** 2 * width < 500_000 * pairs.shape[1]:  # a search takes about as long as so many products
-        total = np.zeros((len(sets), len(sets)), np.float32)
-        order = np.argsort(column, kind="stable")
-        column, row = column[order], row[order]
-        for low in range(0, width, 2_048):
-            a, b = np.searchsorted(column, (low, low + 2_048))
-            block = np.zeros((len(sets), min(2_048, width - low)), np.float32)
-            block[row[a:b], column[a:b] - low] = 1
-            total += block @ block.T
-        return total[pairs[0], pairs[1]].astype(np.int64)
-    out = []
-    for i, j in pairs[:2].T.tolist():
+    """Sizes of the intersections of pairs of sets, by search or, of very many pairs, by products of incidence matrices."""
+    if pairs.shape[1] >= _MANY_PAIRS:
+        every = np.concatenate(sets)
+        values, counts = np.unique(every, return_counts=True)
+        values = values[counts > 1]
+        if len(sets) ** 2 * len(values) < 500_000 * pairs.shape[1]:  # a search takes about as long as so many products
+            total = np.zeros((len(sets), len(sets)), np.float32)
+            for low in range(0, len(values), 512):
+                part = values[low:low + 512]
+                block = np.zeros((len(sets), len(part)), np.float32)
+                for i, own in enumerate(sets):
+                    mine = own[slice(*np.searchsorted(own, (part[0], part[-1])) + np.array([0, 1]))]
+                    at = np.minimum(np.searchsorted(part, mine), len(part) - 1)
+                    block[i, at[part[at] == mine]] = 1
+                total += block @ block.T
+            return total[pairs[0], pairs[1]].astype(np.int64)
+    out = np.zeros(pairs.shape[1], np.int64)
+    for k, (i, j) in enumerate(zip(pairs[0].tolist(), pairs[1].tolist())):
         small, big = (sets[i], sets[j]) if len(sets[i]) < len(sets[j]) else (sets[j], sets[i])
         at = np.searchsorted(big, small)
-        out.append(int((big[np.minimum(at, len(big) - 1)] == small).sum()))
-    return np.array(out, np.int64)
+        out[k] = (big[np.minimum(at, len(big) - 1)] == small).sum()
+    return out
 
 
-_TRIED = 64  # pairs a document that are checked before it is asked what is joined already
+_MANY_PAIRS = 20_000
+_TRIED = 16  # pairs a document that are checked before it is asked what is joined already
 
 
 def _confirm(table: pa.Table, tokens: int, least: int, percent: int) -> pa.Table:
@@ -282,17 +283,13 @@ class _Join:
                 self.sets = self.sets.unionByName(self._read_sets(more))
 
     def dealt(self, rows: DataFrame, group: str, wide: DataFrame) -> DataFrame:
-        """`rows` (group, id, ...) joined with `wide` (id, n, ...) and dealt to tasks by `bin`: a large group alone, small ones together up to the limits.
-
-        Bins are dealt in ranges of about equally many rows, so large ones do not meet by chance.
-        """
+        """`rows` (group, id, ...) joined with `wide` (id, n, ...) and with a `bin`: a large group alone, small ones together up to the limits."""
         size = rows.join(wide.select("id", "n").withColumnRenamed("n", "_n"), "id").groupBy(group).agg(F.count("_n").alias("_docs"), F.sum("_n").alias("_shingles"))
         size = store(size.withColumn("_small", (F.col("_docs") * 4 <= _BIN_ROWS) & (F.col("_shingles") * 4 <= self.leaf_shingles)))
-        total = size.agg(*[F.coalesce(F.sum(F.when(F.col("_small"), F.col(c))), F.lit(0)) for c in ("_docs", "_shingles")], F.coalesce(F.sum("_docs"), F.lit(0))).first()
+        total = size.where("_small").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("_docs", "_shingles")]).first()
         many = 2 * max(bins(total[0], _BIN_ROWS), bins(total[1], self.leaf_shingles))
         own = F.when(F.col("_small"), F.pmod(F.xxhash64(group), F.lit(many))).otherwise(F.xxhash64(group))
-        marked = rows.join(size.select(group, own.alias("bin")), group).join(wide, "id")
-        return marked.repartitionByRange(max(bins(total[2], _BIN_ROWS), bins(total[1], self.leaf_shingles)), "bin")
+        return rows.join(size.select(group, own.alias("bin")), group).join(wide, "id")
 
     def confirmed(self, groups: DataFrame) -> DataFrame:
         """Links within `groups` (gid, id, pivot), each group of bounded size."""
@@ -326,7 +323,7 @@ class _Join:
             links.append(self.confirmed(self._stars(large)))
             large = store(self._undecided(large, links))
             if level == self.depth:
-                leaves += self._crowds(large)
+                leaves += self._crowds(large, links)
                 break
             rows = large.select("node", "id", "n").join(self.classes.select("id", "tokens"), "id").mapInArrow(
                 partial(_children, branches=BRANCHES, tokens=self.tokens), "node long, id long, n long").distinct()
@@ -348,23 +345,38 @@ class _Join:
         mixed = rows.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         return rows.join(mixed.select("node"), "node", "left_semi").drop("component")
 
-    def _crowds(self, large: DataFrame) -> list[DataFrame]:
+    def _rarest(self, rows: DataFrame, held: DataFrame, labels: DataFrame) -> DataFrame:
+        """Leaves of the documents that share a rare shingle among the first of each, in order of rarity.
+
+        Linked documents share all but (100 - percent) % of either's shingles, so
+        in one order for all they share one of so many and one more. A leaf whose
+        documents are joined already goes.
+        """
+        order = Window.partitionBy("id").orderBy(F.coalesce(~F.col("rare"), F.lit(False)), F.coalesce("docs", F.lit(1)), "shingle")
+        first = rows.join(held, "shingle", "left").withColumn("place", F.row_number().over(order)).where(
+            F.col("place") <= F.col("n") - F.ceil(F.col("n") * (self.percent / 100) - 1e-6) + 1)
+        rare = first.where("rare").select(F.xxhash64("shingle", F.lit(1)).alias("leaf"), "id", "n")
+        rare = store(rare.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
+        mixed = rare.groupBy("leaf").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        return rare.join(mixed.select("leaf"), "leaf").select("leaf", "id", "n")
+
+    def _crowds(self, large: DataFrame, links: list[DataFrame]) -> list[DataFrame]:
         """Leaves for documents of nodes that do not split, each pair that may be linked in one at least.
 
         Shingles that many of them hold, as templates do, are common, the others
         rare. Two documents of a and b shingles, f and g of them common, are
         linked only if they share percent / (100 + percent) * (a + b), and so
         share a rare one unless the lesser of f and g reaches that. So documents
-        meet at each rare shingle, in leaves within the limits, and only those
+        meet at their rarest shingles, in leaves within the limits, and only those
         with more common shingles than any partner in the crowd lets them have
         are compared in blocks, every crowd once.
         """
-        own = store(large.select("id", "n").distinct())
+        own, labels = store(large.select("id", "n").distinct()), connected(reduce(DataFrame.union, links))
         rows = store(own.join(self.sets.select("id", "members"), "id").mapInArrow(_each_shingle, "shingle long, id long, n long"))
         held = rows.groupBy("shingle").agg(F.count("id").alias("docs"), F.sum("n").alias("shingles")).where("docs > 1")
         few = (F.col("docs") <= self.leaf_docs) & (F.col("shingles") <= self.leaf_shingles)
         held = store(held.withColumn("rare", few))
-        rare = rows.join(held.where("rare").select("shingle"), "shingle").select(F.xxhash64("shingle", F.lit(1)).alias("leaf"), "id", "n")
+        rare = self._rarest(rows, held, labels)
         common = rows.join(held.where("not rare").select("shingle"), "shingle").groupBy("id", "n").agg(F.count("shingle").alias("common"))
         share, least = self.percent / (100 + self.percent), own.agg(F.min("n")).first()[0]
         partner = F.greatest(F.col("n") * (self.percent / 100), F.lit(least))

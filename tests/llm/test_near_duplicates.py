@@ -138,9 +138,11 @@ def test_crowds_whose_common_shingles_suffice(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute_force(rows)
 
 
-def test_common_by_search_and_by_products():
+def test_common_by_search_and_by_products(monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(near, "_MANY_PAIRS", 100)
+
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 400, rng.integers(1, 200)).astype(np.uint64)) for _ in range(60)]
     every = np.stack([*np.triu_indices(60, 1), np.zeros(1770, np.int64)])
