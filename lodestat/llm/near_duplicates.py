@@ -257,7 +257,6 @@ class _Join:
         self.docs, self.width, self.percent, self.tokens = docs, width, percent, tokens
         self.trees, self.leaf_docs, self.leaf_shingles = trees, leaf_docs, leaf_shingles
         self.depth = depth
-        self.sets = None  # full sets read so far
         share = percent / 100
         # four standard deviations of the estimate below the threshold
         self.least = int(tokens * share - 4.1 * (tokens * share * (1 - share)) ** 0.5)
@@ -267,24 +266,17 @@ class _Join:
             F.min(F.struct("doc_id", "n", "tokens")).alias("first"))
         self.classes = store(first.select(F.col("first.doc_id").alias("id"), "first.n", "first.tokens", "key"))
 
-    def _read_sets(self, ids: DataFrame) -> DataFrame:
-        texts = self.docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    def full_sets(self, ids: DataFrame) -> DataFrame:
+        """(id, n, tokens, members) of some documents, whose texts are read again; only these are shuffled."""
+        needed = ids.select("id").distinct()
+        own = self.classes.join(needed, "id", "left_semi")
+        texts = self.docs.join(needed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
         sets = texts.mapInArrow(partial(_full_sets, width=self.width), "id long, key binary, members binary").dropDuplicates(["id", "key"])
-        return store(self.classes.join(ids, "id", "left_semi").join(sets, ["id", "key"]).drop("key"))
-
-    def keep_sets(self, ids: DataFrame) -> None:
-        """Read the full sets of `ids` once, for all that is confirmed later."""
-        more = ids.select("id").distinct()
-        if self.sets is None:
-            self.sets = self._read_sets(more)
-        else:
-            more = store(more.join(self.sets, "id", "left_anti"))
-            if not more.isEmpty():
-                self.sets = self.sets.unionByName(self._read_sets(more))
+        return own.join(sets, ["id", "key"]).drop("key")
 
     def dealt(self, rows: DataFrame, group: str, wide: DataFrame) -> DataFrame:
         """`rows` (group, id, ...) joined with `wide` (id, n, ...) and with a `bin`: a large group alone, small ones together up to the limits."""
-        size = rows.join(wide.select("id", "n").withColumnRenamed("n", "_n"), "id").groupBy(group).agg(F.count("_n").alias("_docs"), F.sum("_n").alias("_shingles"))
+        size = rows.join(self.classes.select("id", F.col("n").alias("_n")), "id").groupBy(group).agg(F.count("_n").alias("_docs"), F.sum("_n").alias("_shingles"))
         size = store(size.withColumn("_small", (F.col("_docs") * 4 <= _BIN_ROWS) & (F.col("_shingles") * 4 <= self.leaf_shingles)))
         total = size.where("_small").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("_docs", "_shingles")]).first()
         many = 2 * max(bins(total[0], _BIN_ROWS), bins(total[1], self.leaf_shingles))
@@ -294,8 +286,7 @@ class _Join:
     def confirmed(self, groups: DataFrame) -> DataFrame:
         """Links within `groups` (gid, id, pivot), each group of bounded size."""
         groups = store(groups)
-        self.keep_sets(groups)
-        return store(self.dealt(groups, "gid", self.sets).groupBy("bin").applyInArrow(self._grouped(_confirm), _LINK))
+        return store(self.dealt(groups, "gid", self.full_sets(groups)).groupBy("bin").applyInArrow(self._grouped(_confirm), _LINK))
 
     def _grouped(self, work):
         tokens, least, percent = self.tokens, self.least, self.percent
@@ -318,8 +309,6 @@ class _Join:
             large = live.where(~fits)
             if large.isEmpty():
                 break
-            if level == 1:
-                self.keep_sets(large)
             links.append(self.confirmed(self._stars(large)))
             large = store(self._undecided(large, links))
             if level == self.depth:
@@ -372,7 +361,7 @@ class _Join:
         are compared in blocks, every crowd once.
         """
         own, labels = store(large.select("id", "n").distinct()), connected(reduce(DataFrame.union, links))
-        rows = store(own.join(self.sets.select("id", "members"), "id").mapInArrow(_each_shingle, "shingle long, id long, n long"))
+        rows = store(self.full_sets(own).select("members", "id", "n").mapInArrow(_each_shingle, "shingle long, id long, n long"))
         held = rows.groupBy("shingle").agg(F.count("id").alias("docs"), F.sum("n").alias("shingles")).where("docs > 1")
         few = (F.col("docs") <= self.leaf_docs) & (F.col("shingles") <= self.leaf_shingles)
         held = store(held.withColumn("rare", few))
