@@ -8,6 +8,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lodestat.functions.columns import Columns, numeric_columns, pick, text_columns
+from lodestat.plans.distinct import distinct_counts
 from lodestat.plans.lineage import checkpoint
 from lodestat.plans.sizing import fits_broadcast, text_sizes
 from lodestat.plans.skew import join_values
@@ -209,13 +210,12 @@ _INTEGER_RANGES = (("smallint", 2**15), ("int", 2**31))
 
 
 def narrowing_plan(df: DataFrame) -> list[tuple[str, str, str, bool]]:
-    """(column, type, narrower type, categorical) per column, from one aggregate."""
+    """(column, type, narrower type, categorical) per column."""
     longs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.LongType)]
     texts = text_columns(df)
     aggs = [F.count(F.lit(1)).alias("rows")]
     aggs += [agg(c).alias(f"{kind}_{c}") for c in longs for kind, agg in (("lo", F.min), ("hi", F.max))]
-    aggs += [F.count_distinct(F.col(c)).alias(f"u_{c}") for c in texts]
-    row = df.agg(*aggs).first()
+    row, distinct = distinct_counts(df, {c: F.col(c) for c in texts}, *aggs)
     plan = []
     for f in df.schema.fields:
         kind, categorical = f.dataType.simpleString(), False
@@ -226,7 +226,7 @@ def narrowing_plan(df: DataFrame) -> list[tuple[str, str, str, bool]]:
             lo, hi = row[f"lo_{f.name}"], row[f"hi_{f.name}"]
             new = next((t for t, top in _INTEGER_RANGES if -top <= lo and hi < top), kind)
         elif f.name in texts and row["rows"]:
-            categorical = row[f"u_{f.name}"] / row["rows"] < 0.5
+            categorical = distinct[f.name] / row["rows"] < 0.5
         plan.append((f.name, kind, new, categorical))
     return plan
 

@@ -8,6 +8,7 @@ from lodestat.functions.columns import (
     Columns, is_missing, numeric_columns, pick, present, rows_from, text_columns,
     time_columns, type_of,
 )
+from lodestat.plans.distinct import distinct_counts
 from lodestat.plans.quantiles import quantiles
 
 WORD_BREAK = r"(?U)\s+"
@@ -67,8 +68,10 @@ def size_estimate(df: DataFrame) -> DataFrame:
 def unique_counts(df: DataFrame, columns: Columns = None, approximate: bool = False) -> DataFrame:
     """(column, unique_count) of values present."""
     names = pick(df, columns, df.columns)
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    counts = df.agg(*[count(present(df, c)).alias(f"u{i}") for i, c in enumerate(names)])
+    if not approximate:
+        found = distinct_counts(df, {c: present(df, c) for c in names})[1]
+        return df.sparkSession.createDataFrame(list(found.items()), "column string, unique_count bigint")
+    counts = df.agg(*[F.approx_count_distinct(present(df, c)).alias(f"u{i}") for i, c in enumerate(names)])
     return rows_from(counts, [
         F.struct(F.lit(c).alias("column"), F.col(f"u{i}").alias("unique_count"))
         for i, c in enumerate(names)
@@ -290,11 +293,11 @@ def top_words(df: DataFrame, columns: Columns = None, n: int = 10) -> DataFrame:
 
 
 def _counts(df: DataFrame, names: list[str]) -> tuple[int, dict[str, tuple[int, int]]]:
-    """(rows, {column: (missing, distinct values present)}) of one aggregate."""
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *[
-        a for i, c in enumerate(names)
-        for a in (F.count_if(is_missing(df, c)).alias(f"m{i}"), F.count_distinct(present(df, c)).alias(f"u{i}"))]).first()
-    return row["rows"], {c: (row[f"m{i}"], row[f"u{i}"]) for i, c in enumerate(names)}
+    """(rows, {column: (missing, distinct values present)})."""
+    row, found = distinct_counts(
+        df, {c: present(df, c) for c in names}, F.count(F.lit(1)).alias("rows"),
+        *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(names)])
+    return row["rows"], {c: (row[f"m{i}"], found[c]) for i, c in enumerate(names)}
 
 
 def column_kinds(df: DataFrame, counts: tuple[int, dict[str, tuple[int, int]]] | None = None) -> dict[str, str]:
