@@ -6,6 +6,7 @@ both columns have a value.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestat.functions.columns import Columns, numeric_columns, pick, present, rows_from
 from lodestat.plans.lineage import checkpoint
-from lodestat.plans.ranks import BUCKET, average_rank, value_ranks, with_bucket
+from lodestat.plans.ranks import BUCKET, with_bucket
 from lodestat.plans.sizing import BUCKET_VALUES, ColumnSize, bucket_splits, column_sizes
 
 GRID_SIDE = 1_024
@@ -50,68 +51,81 @@ def pearson_matrix(df: DataFrame, columns: Columns = None) -> DataFrame:
     ]))
 
 
-def with_ranks(df: DataFrame, names: list[str], sizes: dict[str, ColumnSize]) -> DataFrame:
-    """The columns replaced by their average ranks; no value may be missing.
+def rank_beside(column: str, other: str) -> str:
+    """Name of the ranks of a column among the rows where the other one has a value too."""
+    return f"_lodestat_rank_{column}_beside_{other}"
+
+
+def with_ranks(df: DataFrame, names: list[str], sizes: dict[str, ColumnSize], gaps: Sequence[str] = ()) -> DataFrame:
+    """The columns replaced by their average ranks among the rows that have a value.
+
+    For every column of `gaps` each other column gets its ranks beside that one, too
+    (see `rank_beside`). A column is still ranked once: next to the running count of
+    all rows run those of the rows where a column of `gaps` has a value. A rank
+    beside a column means nothing in rows that lack that column.
 
     Ranks of a column with few distinct values come from a broadcast table.
     Otherwise the rows are cut into rank-balanced buckets: a row's rank is the
     number of rows in earlier buckets plus its rank inside its own. A value that
     fills a bucket needs no rank inside it, so its rows are spread over salts, by
-    an id that each row is written with.
+    an id that each row is written with; so are the rows without a value.
     """
     if not all(sizes[c].small for c in names):
         df = checkpoint(df.withColumn(_ROW, F.monotonically_increasing_id()))
+    has = {g: f"_lodestat_has_{i}" for i, g in enumerate(gaps)}
+    df = df.withColumns({flag: F.col(g).isNotNull().cast("long") for g, flag in has.items()})
     base = df
     for c in names:
+        weights = {c: F.lit(1)} | {rank_beside(c, g): F.col(flag) for g, flag in has.items() if g != c}
+        known = base.where(F.col(c).isNotNull())
+        held = [F.sum(w).alias(f"_held{i}") for i, w in enumerate(weights.values())]
+        places = range(len(weights))
         if sizes[c].small:
-            ranks = value_ranks(base, F.col(c), size=sizes[c]).select(F.col("value").alias(c), average_rank().alias("_rank"))
-            df = df.join(F.broadcast(ranks), c).drop(c).withColumnRenamed("_rank", c)  # size checked
+            earlier = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)  # few values by measure
+            ranks = known.groupBy(c).agg(*held).select(c, *[
+                (F.coalesce(F.sum(f"_held{i}").over(earlier), F.lit(0)) + (F.col(f"_held{i}") + 1) / 2).alias(f"_rank{i}") for i in places])
+            df = df.join(F.broadcast(ranks), c, "left").drop(c).withColumnsRenamed(  # size checked
+                {f"_rank{i}": out for i, out in enumerate(weights)})
             continue
         splits = bucket_splits(sizes[c].edges, sizes[c].rows)
-        cut = with_bucket(df, F.col(c), splits)
-        totals = with_bucket(base.select(c), F.col(c), splits).groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_held"))
         earlier = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-        offsets = totals.withColumn("_before", F.coalesce(F.sum("_held").over(earlier), F.lit(0)))
-        alone = F.col(BUCKET).isin(_lone(splits))
-        salt = F.when(alone, F.pmod(F.xxhash64(_ROW), F.lit(1_000))).otherwise(0)
-        inside = Window.partitionBy(BUCKET, "_salt").orderBy(c)
-        peers = F.count(F.lit(1)).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        placed = cut.withColumn("_salt", salt).withColumn("_inside", (F.rank().over(inside) + peers) / 2)
-        own = F.when(alone, (F.col("_held") + 1) / 2).otherwise(F.col("_inside"))
-        df = placed.join(F.broadcast(offsets), BUCKET).withColumn(c, F.col("_before") + own).drop(
-            BUCKET, "_salt", "_inside", "_held", "_before")
-    return df.drop(_ROW)
+        offsets = with_bucket(known, F.col(c), splits).groupBy(BUCKET).agg(*held).select(BUCKET, *[
+            x for i in places for x in (
+                F.col(f"_held{i}"), F.coalesce(F.sum(f"_held{i}").over(earlier), F.lit(0)).alias(f"_before{i}"))])
+        missing = F.col(c).isNull()
+        alone = missing | F.col(BUCKET).isin(_lone(splits))
+        cut = with_bucket(df, F.col(c), splits).withColumn(BUCKET, F.when(~missing, F.col(BUCKET))).withColumn(
+            "_salt", F.when(alone, F.pmod(F.xxhash64(_ROW), F.lit(1_000))).otherwise(0))
+        reached = Window.partitionBy(BUCKET, "_salt").orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        equal = Window.partitionBy(BUCKET, "_salt", c)
+        placed = cut.withColumns({
+            f"_inside{i}": F.sum(w).over(reached) - (F.sum(w).over(equal) - 1) / 2 for i, w in enumerate(weights.values())})
+        own = [F.when(alone, (F.col(f"_held{i}") + 1) / 2).otherwise(F.col(f"_inside{i}")) for i in places]
+        df = placed.join(F.broadcast(offsets), BUCKET, "left").withColumns({
+            f"_rank{i}": F.when(~missing, F.col(f"_before{i}") + own[i]) for i in places
+        }).drop(c, BUCKET, "_salt", *[f"_{k}{i}" for k in ("inside", "held", "before") for i in places]).withColumnsRenamed(
+            {f"_rank{i}": out for i, out in enumerate(weights)})
+    return df.drop(_ROW, *has.values())
 
 
 def spearman_matrix(df: DataFrame, columns: Columns = None) -> DataFrame:
-    """Pearson correlation of average ranks.
+    """Pearson correlation of average ranks, over the rows a pair has in common.
 
-    Columns without gaps are ranked once. A column with gaps is ranked again for
-    each pair, over the rows the pair has in common.
+    Every column is ranked once, whatever the number of pairs. With gaps a row
+    carries one more rank per column and column with gaps.
     """
     e = _exprs(df, columns)
     names = list(e)
     sizes = column_sizes(df, e)
-    full = [c for c in names if sizes[c].present == sizes[c].rows]
-    table = df.select(*[x.alias(c) for c, x in e.items()])
-    parts = []
-    if full:
-        ranked = with_ranks(table.select(*full), full, sizes)
-        parts.append(_corr_rows(ranked, [
-            (a, b, F.col(a), F.col(b)) for i, a in enumerate(full) for b in full[i:]
-        ]))
-    for i, a in enumerate(names):
-        for b in names[i:]:
-            if a in full and b in full:
-                continue
-            pair = list(dict.fromkeys([a, b]))
-            common = table.select(*pair).dropna()
-            ranked = with_ranks(common, pair, sizes)
-            parts.append(_corr_rows(ranked, [(a, b, F.col(a), F.col(b))]))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return _mirror(out)
+    gaps = [c for c in names if sizes[c].present < sizes[c].rows]
+    ranked = with_ranks(df.select(*[x.alias(c) for c, x in e.items()]), names, sizes, gaps)
+
+    def ranks(c: str, other: str) -> Column:
+        return F.col(rank_beside(c, other) if other in gaps and other != c else c)
+
+    return _mirror(_corr_rows(ranked, [
+        (a, b, ranks(a, b), ranks(b, a)) for i, a in enumerate(names) for b in names[i:]
+    ]))
 
 
 def discordant_weight(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:

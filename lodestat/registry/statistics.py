@@ -70,6 +70,24 @@ _add(
     lambda s, d: rounded(correlation.spearman_matrix(table(s, d, "lineitem"), list(_LINE))),
     matrix_sql(_LINE, _RANKED.replace("{t}", "lineitem")),
 )
+
+
+def _gaps(spark, folder):
+    return table(spark, folder, "lineitem").selectExpr(*_GAPS)
+
+
+_GAPS = (
+    "CASE WHEN l_orderkey % 7 <> 0 THEN l_extendedprice END AS price",
+    "CASE WHEN l_partkey % 5 <> 0 THEN l_quantity END AS quantity",
+    "CASE WHEN l_suppkey % 3 <> 0 THEN l_partkey END AS part",
+    "l_tax AS tax",
+)
+_add(
+    "e5_spearman_matrix_gaps",
+    lambda s, d: rounded(correlation.spearman_matrix(_gaps(s, d))),
+    f"WITH g AS (SELECT {', '.join(_GAPS)} FROM lineitem) "
+    + matrix_sql(("price", "quantity", "part", "tax"), _RANKED.replace("{t}", "g")),
+)
 _TAU = """(SELECT round(sum(sign(a.{a} - b.{a}) * sign(a.{b} - b.{b}))
   / sqrt(CAST(count(*) FILTER (a.{a} <> b.{a}) AS DOUBLE) * count(*) FILTER (a.{b} <> b.{b})), 6)
   FROM g a JOIN g b ON a.p_partkey < b.p_partkey WHERE a.{a} IS NOT NULL AND a.{b} IS NOT NULL AND b.{a} IS NOT NULL AND b.{b} IS NOT NULL) AS r"""

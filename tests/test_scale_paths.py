@@ -6,8 +6,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lodestat.operators import anomaly, convert, correlation, edit, features, models, series
-from lodestat.plans import neighbors, quantiles, ranks, sizing, skew
+from lodestat.operators import anomaly, convert, correlation, edit, features, models, profile, series
+from lodestat.plans import distinct, neighbors, quantiles, ranks, sizing, skew
 
 
 @pytest.fixture
@@ -114,6 +114,41 @@ def test_hot_values_of_ranks_are_spread(spark, small_limits):
     assert sorted(r["c"] for r in ranked.collect()) == want
 
 
+def test_ranks_with_gaps_in_several_columns(skewed, small_limits, monkeypatch):
+    """One ranking per column; each pair counts the rows both columns have."""
+    data = skewed[0][["a", "b", "c"]].copy()
+    data["d"] = np.where(np.arange(len(data)) % 5 < 2, 1.0, 3.0)
+    data["e"] = np.nan
+    for step, c in ((7, "a"), (3, "c"), (4, "d")):
+        data.loc[::step, c] = np.nan
+    df = skewed[1].sparkSession.createDataFrame(data)
+    cuts = []
+    cut = correlation.with_bucket
+    monkeypatch.setattr(correlation, "with_bucket", lambda *a: (cuts.append(1), cut(*a))[1])
+    got = {(r["column1"], r["column2"]): r["r"] for r in correlation.spearman_matrix(df).collect()}
+    assert len(got) == 25 and len(cuts) <= 2 * 5
+    for a in data:
+        for b in data:
+            both = pd.DataFrame({"x": data[a], "y": data[b]}).dropna().rank()
+            want = both["x"].corr(both["y"])
+            assert got[a, b] is None or np.isnan(got[a, b]) if np.isnan(want) else got[a, b] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("values,room", [(10_000, 1 << 24), (40, 1 << 24), (10_000, 400), (0, 0)])
+def test_distinct_counts_copy_no_rows(spark, monkeypatch, values, room):
+    monkeypatch.setattr(distinct, "SET_VALUES", values)
+    monkeypatch.setattr(distinct, "SET_BYTES", room)
+    n = np.arange(3000)
+    data = pd.DataFrame({
+        "few": n % 7, "many": n * 31 % 2500, "zero": np.where(n % 2 == 0, 0.0, -0.0), "gappy": np.where(n % 3 == 0, np.nan, n % 50),
+        "text": [f"{'long ' * 20}{i % 900}" for i in n], "hot": ["x" if i % 3 else f"y{i}" for i in n], "flag": n % 2 == 0})
+    df = spark.createDataFrame(data).withColumn("none", F.lit(None).cast("string")).withColumn("list", F.array("few", F.col("flag").cast("long")))
+    got = {r["column"]: r["unique_count"] for r in profile.unique_counts(df).collect()}
+    assert got == {"few": 7, "many": 2500, "zero": 1, "gappy": 50, "text": 900, "hot": 1001, "flag": 2, "none": 0, "list": 14}
+    empty = {r["unique_count"] for r in profile.unique_counts(df.where("few < 0")).collect()}
+    assert empty == {0}
+
+
 def test_deep_pages(spark, monkeypatch):
     monkeypatch.setattr(edit, "_NEAR_ROWS", 20)
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("id"), F.lit("x").alias("n")).repartition(6)
