@@ -104,16 +104,23 @@ _fact(
        FROM (SELECT avg(c_acctbal) / (stddev_samp(c_acctbal) / sqrt(count(*))) AS t FROM customer)""",
 )
 _LINE = list(statistics._LINE)
+_T_LINE = """SELECT 'two_sample_ttest', '{a}', '{b}', round((avg({a}) - avg({b})) / sqrt((var_samp({a}) + var_samp({b})) / count(*)), 3), TRUE FROM lineitem"""
+_U_LINE = """SELECT 'mann_whitney_test', '{a}', '{b}', round(sum(r) FILTER (side = 1) - count(*) / 4.0 * (count(*) / 2.0 + 1), 3), TRUE FROM (
+    SELECT side, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r
+    FROM (SELECT 1 AS side, {a} AS v FROM lineitem UNION ALL SELECT 2, {b} FROM lineitem))"""
+# of two columns of equal length, Levene's statistic is the squared t of the distances to the medians
+_F_LINE = """SELECT 'levene_test', '{a}', '{b}', round(pow(avg(x) - avg(y), 2) / ((var_samp(x) + var_samp(y)) / count(*)), 3), TRUE FROM (
+    SELECT abs({a} - (SELECT median({a}) FROM lineitem)) AS x, abs({b} - (SELECT median({b}) FROM lineitem)) AS y FROM lineitem)"""
 _fact(
     "e_hypothesis_suite_lineitem",
     lambda r, s, d: r.select(
-        "test", "column1", "column2", F.when(F.col("test") == "one_sample_ttest", F.round("statistic", 3)).alias("t"),
+        "test", "column1", "column2", F.round("statistic", 3).alias("statistic"),
         (F.col("p_value").between(0, 1) & (F.col("decision") == _decided())).alias("consistent")),
     " UNION ALL ".join(
         f"""SELECT 'one_sample_ttest' AS test, '{c}' AS column1, NULL AS column2,
-            round(avg({c}) / (stddev_samp({c}) / sqrt(count(*))), 3) AS t, TRUE AS consistent FROM lineitem""" for c in _LINE)
+            round(avg({c}) / (stddev_samp({c}) / sqrt(count(*))), 3) AS statistic, TRUE AS consistent FROM lineitem""" for c in _LINE)
     + "".join(
-        f" UNION ALL SELECT '{t}', '{a}', '{b}', NULL, TRUE" for t in ("two_sample_ttest", "mann_whitney_test", "levene_test")
+        " UNION ALL " + q.format(a=a, b=b) for q in (_T_LINE, _U_LINE, _F_LINE)
         for i, a in enumerate(_LINE) for b in _LINE[i + 1:]),
 )
 
