@@ -7,7 +7,7 @@ result, next to figures that SQL does know.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from lodestat.registry import anomalies, charting, cleaning, common, forecasting, modelling, profiling, statistics
 
@@ -249,19 +249,69 @@ _fact(
 _DAYS = f"(SELECT event_type, count(*) AS days, max(ts) AS last, sum(value * value) AS squares FROM {anomalies.DAILY} GROUP BY event_type)"
 
 
-def _fitted(lost: int):
-    """Per series the residuals and forecasts, and that the squares of the residuals are below those of the values."""
-    def facts(r, s, d):
-        rows = forecasting._daily(s, d).groupBy("event_type").agg(F.sum(F.col("value") ** 2).alias("squares"))
-        found = r.groupBy("event_type").agg(
-            F.count(F.when(F.col("part") == "residual", F.col("value"))).alias("residuals"), F.count_if(F.col("part") == "forecast").alias("forecasts"),
-            F.sum(F.when(F.col("part") == "residual", F.col("value") ** 2)).alias("left"))
-        return found.join(rows, "event_type").select("event_type", "residuals", "forecasts", (F.col("left") < F.col("squares")).alias("smaller"))
-    return facts, f"SELECT event_type, days - {lost} AS residuals, 1 AS forecasts, TRUE AS smaller FROM {_DAYS}"
+def _with_values(found, s, d):
+    """Residuals (event_type, ts, residual) next to the series, its steps before and the place from 0."""
+    of = Window.partitionBy("event_type").orderBy("ts")
+    rows = forecasting._daily(s, d).select(
+        "event_type", "ts", F.col("value").alias("y"), F.lag("value").over(of).alias("y1"), (F.row_number().over(of) - 1).alias("place"))
+    return rows.join(found.select("event_type", "ts", F.when(~F.isnan("residual"), F.col("residual")).alias("e")), ["event_type", "ts"], "left"), of
+
+
+def _recursion(found, s, d):
+    """Per series: number of residuals, the first one, and whether one pair of coefficients explains them all.
+
+    What an ARIMA(1,1,1) fit adds to its error is a combination of the last change and the last
+    error. The two coefficients come from least squares over the whole series; no step may be off.
+    """
+    rows, of = _with_values(found, s, d)
+    steps = rows.where("place > 0").select("event_type", "ts", "place", "e", (F.col("y") - F.col("y1")).alias("w"))
+    steps = steps.select(
+        "*", F.coalesce(F.lag("w").over(of), F.lit(0.0)).alias("w1"), F.coalesce(F.lag("e").over(of), F.lit(0.0)).alias("e1"),
+        (F.col("w") - F.col("e")).alias("told"))
+    by = Window.partitionBy("event_type")
+    ww, we, ee, wt, et = (F.sum(F.col(a) * F.col(b)).over(by) for a, b in (("w1", "w1"), ("w1", "e1"), ("e1", "e1"), ("w1", "told"), ("e1", "told")))
+    bottom = ww * ee - we * we
+    steps = steps.withColumn("phi", (wt * ee - et * we) / bottom).withColumn("theta", (et * ww - wt * we) / bottom)
+    off = F.abs(F.col("told") - F.col("phi") * F.col("w1") - F.col("theta") * F.col("e1"))
+    return steps.groupBy("event_type").agg(
+        F.count("e").alias("residuals"), F.round(F.max(F.when(F.col("place") == 1, F.col("e"))), 4).alias("first"),
+        (F.max(off) < 1e-6 * F.max(F.abs("w"))).alias("explained"),
+        (F.max(F.abs("phi")) <= 1).alias("stable"))
+
+
+_RECURSION = f"""SELECT event_type, count(*) - 1 AS residuals, round(max(value - before) FILTER (place = 1), 4) AS first, TRUE AS explained, TRUE AS stable
+    FROM (SELECT event_type, value, lag(value) OVER w AS before, row_number() OVER w - 1 AS place FROM {anomalies.DAILY}
+          WINDOW w AS (PARTITION BY event_type ORDER BY ts)) GROUP BY event_type"""
+
+
+def _known(r):
+    return r.where("part = 'residual'").select("event_type", "ts", F.col("value").alias("residual"))
+
+
+def _smoothed(r, s, d):
+    """Per series the sums that do not depend on the fitted parameters.
+
+    Level, trend and season start from the first two weeks, so the errors of the first week are
+    0 and the next one is the change over a week less the mean change.
+    """
+    rows, _ = _with_values(_known(r), s, d)
+    found = rows.groupBy("event_type").agg(
+        F.count("e").alias("residuals"), F.round(F.max(F.when(F.col("place") < 7, F.abs("e"))), 4).alias("first_week"),
+        F.round(F.max(F.when(F.col("place") == 7, F.col("e"))), 4).alias("eighth"),
+        (F.sum(F.col("e") ** 2) < F.sum(F.col("y") ** 2)).alias("smaller"))
+    ahead = r.where("part = 'forecast'").groupBy("event_type").agg(F.count("value").alias("forecasts"))
+    return found.join(ahead, "event_type")
 
 
-_fact("m2_exponential_smoothing", *_fitted(0))
-_fact("m3_arima", *_fitted(1))
+_fact(
+    "m2_exponential_smoothing", _smoothed,
+    f"""SELECT event_type, count(*) AS residuals, 0.0::DOUBLE AS first_week, 1 AS forecasts, TRUE AS smaller,
+        round(max(value - week) FILTER (place = 7) - avg(value - week) FILTER (place BETWEEN 7 AND 13), 4) AS eighth
+        FROM (SELECT event_type, value, lag(value, 7) OVER w AS week, row_number() OVER w - 1 AS place FROM {anomalies.DAILY}
+              WINDOW w AS (PARTITION BY event_type ORDER BY ts)) GROUP BY event_type""",
+)
+_fact("m3_arima", lambda r, s, d: _recursion(_known(r), s, d), _RECURSION)
+_fact("m6_residuals", _recursion, _RECURSION)
 _fact(
     "m4_auto_arima_orders",
     lambda r, s, d: r.select("event_type", (F.col("p").between(0, 2) & F.col("q").between(0, 2) & F.col("d").isin(0, 1) & F.col("s").isin(0, 1, 7)).alias("in_range")),
@@ -272,10 +322,6 @@ for _name in ("m5_forecast", "m5_forecast_auto_arima"):
         _name, lambda r, s, d: r.select("event_type", "step", "ts", F.col("forecast").isNotNull().alias("known")),
         f"""SELECT event_type, CAST(k AS INTEGER) AS step, CAST(last + k * INTERVAL 1 DAY AS TIMESTAMP) AS ts, TRUE AS known
             FROM {_DAYS}, (SELECT unnest(generate_series(1, 7)) AS k)""")
-_fact(
-    "m6_residuals", lambda r, s, d: r.groupBy("event_type").agg(F.count("residual").alias("n"), F.max("ts").alias("last")),
-    f"SELECT event_type, days - 1 AS n, CAST(last AS TIMESTAMP) AS last FROM {_DAYS}",
-)
 _fact(
     "m6_residual_profile", lambda r, s, d: r.select("count", (F.col("min") <= F.col("q25")).alias("low"), (F.col("q75") <= F.col("max")).alias("high")),
     f"SELECT CAST(sum(days - 1) AS BIGINT) AS count, TRUE AS low, TRUE AS high FROM {_DAYS}",
