@@ -56,18 +56,30 @@ _fact(
 
 # --- profiles and tests ----------------------------------------------------
 
+_OVERALL = ("missing_count", "missing_percent", "unique_count")
+_NUMBERS = {
+    "count": "count({c})", "mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})", "q25": "quantile_cont({c}, 0.25)",
+    "median": "median({c})", "q75": "quantile_cont({c}, 0.75)", "max": "max({c})",
+    "outliers": """count(*) FILTER ({c} < (SELECT 2.5 * quantile_cont({c}, 0.25) - 1.5 * quantile_cont({c}, 0.75) FROM documents)
+        OR {c} > (SELECT 2.5 * quantile_cont({c}, 0.75) - 1.5 * quantile_cont({c}, 0.25) FROM documents))""",
+}
+_TEXTS = {"count": "count(text)", "mean_length": "avg(length(text))", "max_length": "max(length(text))", "min_length": "min(length(text))"}
+_CATEGORIES = {"unique_count": "count(*)", "entropy": "log2(sum(n)) - sum(n * log2(n)) / sum(n)", "most_common_count": "max(n)"}
 _fact(
     "d7_full_profile_documents",
-    lambda r, s, d: r.where("kind <> 'categorical' AND metric IN ('missing_count', 'unique_count', 'max_length', 'unique_words', 'min', 'max')").select(
-        "column", "kind", "metric", F.col("number").alias("value")),
-    " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", 'overall' AS kind, 'missing_count' AS metric, (count(*) - count({c}))::DOUBLE AS value FROM documents
-            UNION ALL SELECT '{c}', 'overall', 'unique_count', count(DISTINCT {c})::DOUBLE FROM documents"""
-        for c in ("doc_id", "text", "lang", "source", "n_chars"))
-    + "".join(f" UNION ALL SELECT '{c}', 'numeric', '{m}', {m}({c})::DOUBLE FROM documents" for c in ("doc_id", "n_chars") for m in ("min", "max"))
-    + r""" UNION ALL SELECT 'text', 'text', 'max_length', max(length(text))::DOUBLE FROM documents
-       UNION ALL SELECT 'text', 'text', 'unique_words', count(DISTINCT w)::DOUBLE FROM
-         (SELECT unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS w FROM documents)""",
+    lambda r, s, d: r.where(F.col("metric").isin(*_OVERALL, *_NUMBERS, *_TEXTS, "unique_words", *_CATEGORIES)).select(
+        "column", "kind", "metric", F.round("number", 4).alias("value")),
+    """SELECT "column", kind, metric, round(CAST(value AS DOUBLE), 4) AS value FROM (""" + " UNION ALL ".join([
+        *[f"""SELECT '{c}' AS "column", 'overall' AS kind, '{m}' AS metric, {x} AS value FROM documents"""
+          for c in ("doc_id", "text", "lang", "source", "n_chars")
+          for m, x in zip(_OVERALL, (f"(count(*) - count({c}))::DOUBLE", f"100.0 * (count(*) - count({c})) / count(*)", f"count(DISTINCT {c})"))],
+        *[f"SELECT '{c}', 'numeric', '{m}', {x.format(c=c)} FROM documents" for c in ("doc_id", "n_chars") for m, x in _NUMBERS.items()],
+        *[f"SELECT '{c}', 'categorical', '{m}', {x} FROM (SELECT count(*) AS n FROM documents WHERE {c} IS NOT NULL GROUP BY {c})"
+          for c in ("lang", "source") for m, x in _CATEGORIES.items()],
+        *[f"SELECT 'text', 'text', '{m}', {x} FROM documents" for m, x in _TEXTS.items()],
+        r"""SELECT 'text', 'text', 'unique_words', count(DISTINCT w) FROM
+            (SELECT unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS w FROM documents)""",
+    ]) + ")",
 )
 
 
