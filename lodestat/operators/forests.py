@@ -2,9 +2,10 @@
 
 A node of more rows than a task takes is split in passes over the table that
 sum histograms; the rows below meet in one task per part, which grows the rest
-with every threshold. A table small by measure goes to the tasks whole, one tree
-to each. The nodes stay a table in the shared folder; only the tops of large
-trees, a node per part at most, are on the driver.
+with every threshold. A table small by measure goes to the tasks whole, some
+trees to each. Where many rows share their features, each tree's draws are summed
+per distinct features and it grows on the sums. The nodes stay a table in the
+shared folder; only the tops of large trees, a node per part at most, are on the driver.
 """
 
 from __future__ import annotations
@@ -25,21 +26,43 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestat.plans.lineage import checkpoint_folder
 
-PART_CELLS = 4_000_000        # rows times columns that one task grows on
+PART_CELLS = 24_000_000       # rows times columns that one task grows on
+PART_ROWS = 1_000_000         # and rows
 BROADCAST_BYTES = 32 << 20    # a table of so many bytes is sent to the tasks whole
 MODEL_BYTES = 64 << 20        # and so is a model when scoring
 HISTOGRAM_BYTES = 64 << 20    # sums that a task holds in a pass
 ROUTED_ROWS = 100_000         # rows of a part that one task scores
+SHARED_ROWS = 8               # rows per distinct features from which draws are summed per features
+DISTINCT = 100_000            # and the most distinct features for that
+CELLS = 50_000                # values of a table that stands for a model when scoring
+CHUNK_ROWS = 100_000          # rows that a task draws for or counts at once
 BINS = 256
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 # Upper limits of a uniform draw for 0, 1, 2, ... of a Poisson variable of mean 1.
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(13)])
 
 
+
+def _least(limit: float) -> int:
+    """The smallest whole number that is at least `limit` when divided by 2 ** 64 as a double."""
+    low, high = 0, 2 ** 64
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if float(middle) / 2.0 ** 64 >= limit else (middle + 1, high)
+    return low
+
+
+# as signed numbers, which compare faster
+_LIMITS = [np.int64(limit - 2 ** 63) for limit in map(_least, _POISSON) if limit < 2 ** 64]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
 
 
 @dataclass(frozen=True)
@@ -69,14 +92,24 @@ class Settings:
         if not self.bagged:
             return np.ones(len(numbers))
         drawn = _mix(numbers.astype(np.uint64) * np.uint64(2_654_435_761) + self.seeds(np.array([tree]))[0])
-        return np.searchsorted(_POISSON, drawn / 2.0 ** 64, side="right").astype(float)
+        drawn = (drawn ^ np.uint64(1 << 63)).view(np.int64)
+        out = np.zeros(len(numbers), np.int8)
+        for limit in _LIMITS:
+            out += drawn >= limit
+        return out.astype(float)
 
     def tried(self, seeds: np.ndarray, dims: int) -> np.ndarray:
         """(nodes, dims): the features each node may split on first."""
         if self.subset is None or self.subset >= dims:
             return np.ones((len(seeds), dims), bool)
-        order = _mix(seeds[:, None] + np.arange(1, dims + 1, dtype=np.uint64)).argsort(axis=1).argsort(axis=1)
-        return order < self.subset
+        out = np.zeros((len(seeds), dims), bool)
+        np.put_along_axis(out, self.tried_first(seeds, dims), True, axis=1)
+        return out
+
+    def tried_first(self, seeds: np.ndarray, dims: int) -> np.ndarray:
+        """(nodes, subset): the same as places, ascending."""
+        drawn = _mix(seeds[:, None] + np.arange(1, dims + 1, dtype=np.uint64))
+        return np.sort(np.argpartition(drawn, self.subset - 1, axis=1)[:, :self.subset], axis=1)
 
 
 def _below(seeds: np.ndarray, right: bool) -> np.ndarray:
@@ -108,38 +141,70 @@ _KINDS = {"feature": "i4", "threshold": "f8", "left": "i4", "rows": "i8", "gain"
 _PARTS = "tree int, part int, depth int, " + ", ".join(f"{name} binary" for name in _KINDS)
 
 
-def _sums(y: np.ndarray, w: np.ndarray, classes: int) -> np.ndarray:
-    """(width, rows): weighted labels, or the weight under each class."""
-    if not classes:
-        return (w * y)[None, :]
-    out = np.zeros((classes, len(y)))
-    out[y.astype(int), np.arange(len(y))] = w
-    return out
+@dataclass
+class Held:
+    """What a tree grows on: rows, or sums of rows that share their features (and their class)."""
+
+    x: np.ndarray                     # (items, dims)
+    count: np.ndarray                 # rows drawn
+    weight: np.ndarray                # how often
+    label: np.ndarray                 # weighted sum of labels, or the class
+    low: np.ndarray | None = None     # smallest and largest label of all rows, drawn or not, of a regression
+    high: np.ndarray | None = None
+    ranks: np.ndarray | None = None   # (items, dims): places of the values among a column's
+
+    @classmethod
+    def rows(cls, x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, ranks: np.ndarray | None = None) -> Held:
+        if classes:
+            return cls(x, (w > 0).astype(float), w, y.astype(np.int16), ranks=ranks)
+        return cls(x, (w > 0).astype(float), w, w * y, y, y, ranks)
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    return np.stack([np.unique(x[:, f], return_inverse=True)[1].astype(np.int32) for f in range(x.shape[1])], axis=1)
 
 
 def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, s: Settings, seed: np.uint64, depth: int = 0) -> Nodes:
-    """A tree over rows of positive weight, level by level, every threshold tried.
+    """A tree over the rows of positive weight, level by level, every threshold tried."""
+    return grow_on(Held.rows(x, y, w, s.classes), s, seed, depth)
+
 
-    All nodes of a level are split at once: the rows are kept in the order of
-    each feature within each node, so a split is a running sum and its rows are
-    dealt to the children in place.
+def grow_on(held: Held, s: Settings, seed: np.uint64, depth: int = 0) -> Nodes:
+    """A tree over the items of positive weight, level by level, every threshold tried.
+
+    All nodes of a level are split at once. Where nodes try all features, the
+    items are kept in the order of each feature within each node; where they try
+    some, only those are sorted. A split is a running sum and its items are dealt
+    to the children in place.
     """
-    dims = x.shape[1]
-    shift = 0.0 if s.classes else float(np.average(y, weights=w))
-    y = y - shift
-    sums = _sums(y, w, s.classes)
-    orders = np.stack([np.argsort(x[:, f], kind="stable") for f in range(dims)])
+    x, w, dims = held.x, held.weight, held.x.shape[1]
+    inside = np.flatnonzero(held.count > 0)
+    shift = 0.0 if s.classes else float(held.label[inside].sum() / w[inside].sum())
+    label = held.label if s.classes else held.label - shift * w
+    some = s.subset is not None and s.subset < dims
+    if some:
+        ranks = held.ranks if held.ranks is not None else _ranks(x)
+        orders = inside[None, :]
+    else:
+        ranks = None
+        orders = np.stack([inside[np.argsort(x[inside, f], kind="stable")] for f in range(dims)])
     starts, seeds = np.array([0]), np.array([seed], np.uint64)
     made: dict[str, list[np.ndarray]] = {name: [] for name in _KINDS}
     total = 1
     while len(starts):
         rows = orders[0]
         sizes = np.diff(np.append(starts, len(rows)))
+        many = np.add.reduceat(held.count[rows], starts)
         weight = np.add.reduceat(w[rows], starts)
-        held = np.add.reduceat(sums[:, rows], starts, axis=1)
-        purity = (held ** 2).sum(axis=0) / weight
-        mixed = np.minimum.reduceat(y[rows], starts) < np.maximum.reduceat(y[rows], starts)
-        open_ = mixed & (sizes >= max(2, s.min_samples_split, 2 * s.min_samples_leaf))
+        if s.classes:
+            node = np.repeat(np.arange(len(starts)), sizes)
+            sums = np.bincount(node * s.classes + label[rows], w[rows], len(starts) * s.classes).reshape(-1, s.classes)
+            mixed = sums.max(axis=1) < weight
+        else:
+            sums = np.add.reduceat(label[rows], starts)[:, None]
+            mixed = np.minimum.reduceat(held.low[rows], starts) < np.maximum.reduceat(held.high[rows], starts)
+        purity = (sums ** 2).sum(axis=1) / weight
+        open_ = mixed & (many >= max(2, s.min_samples_split, 2 * s.min_samples_leaf))
         if s.max_depth is not None and depth >= s.max_depth:
             open_[:] = False
         feature, threshold, lefts = np.full(len(starts), -1), np.zeros(len(starts)), np.zeros(len(starts), int)
@@ -147,13 +212,15 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, s: Settings, seed: np.uint
         if open_.any():
             keep = np.repeat(open_, sizes)
             orders, own = orders[:, keep], np.flatnonzero(open_)
-            feature[own], threshold[own], best[own] = _splits(x, w, sums, orders, sizes[own], s, seeds[own])
+            level = _Level(x, held.count, w, label, s, sizes[own], many[own], weight[own], sums[own])
+            feature[own], threshold[own], best[own] = (
+                _tried_splits(level, ranks, orders[0], seeds[own]) if some else _all_splits(level, orders))
         split = feature >= 0
         made["feature"].append(feature)
         made["threshold"].append(threshold)
-        made["rows"].append(sizes)
+        made["rows"].append(many)
         made["gain"].append(np.where(split, best - purity, 0.0))
-        made["value"].append((held / weight).T + (shift + s.shift))
+        made["value"].append(sums / weight[:, None] + (shift + s.shift))
         lefts[split] = total + 2 * np.arange(split.sum())
         made["left"].append(lefts)
         total += 2 * int(split.sum())
@@ -166,40 +233,123 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, s: Settings, seed: np.uint
     return Nodes(**{name: np.concatenate(parts) for name, parts in made.items()})
 
 
-def _splits(x, w, sums, orders, sizes, s: Settings, seeds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature, threshold and sum of purities of each node's best split; feature -1 where there is none."""
-    dims, nodes = len(orders), len(sizes)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    node = np.repeat(np.arange(nodes), sizes)
-    place = np.arange(orders.shape[1]) - starts[node]
-    roomy = (place + 1 >= s.min_samples_leaf) & (sizes[node] - place - 1 >= max(1, s.min_samples_leaf))
-    tried = s.tried(seeds, dims)
-    feature, threshold = np.full(nodes, -1), np.zeros(nodes)
-    best, best_tried = np.full(nodes, -np.inf), np.zeros(nodes, bool)
-    ends = starts + sizes - 1
-    for f in range(dims):
-        rows = orders[f]
-        at = x[rows, f]
-        cut = np.flatnonzero(roomy[:-1] & (at[:-1] < at[1:]))
-        if not len(cut):
-            continue
+@dataclass
+class _Level:
+    """The items and the nodes of a level that may be split."""
+
+    x: np.ndarray
+    count: np.ndarray
+    w: np.ndarray
+    label: np.ndarray
+    s: Settings
+    sizes: np.ndarray    # items
+    many: np.ndarray     # rows
+    weight: np.ndarray
+    sums: np.ndarray     # (nodes, width)
+
+    def of(self, nodes: np.ndarray) -> _Level:
+        return replace(self, sizes=self.sizes[nodes], many=self.many[nodes], weight=self.weight[nodes], sums=self.sums[nodes])
+
+    def cuts(self, rows: np.ndarray, changes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes with a cut, the place of each one's best cut and its sum of purities.
+
+        `rows` are sorted by a feature within each node; `changes` are the places
+        (but the last) after which its value changes or a node ends.
+        """
+        ends = np.cumsum(self.sizes) - 1
+        starts = ends - self.sizes + 1
+        node = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        w = self.w[rows]
+
+        def run(values):
+            total = np.cumsum(values)
+            return total - np.where(starts > 0, total[starts - 1], 0.0)[node]
+
+        run_n = run(self.count[rows])
+        least = max(1, self.s.min_samples_leaf)
+        cut = np.flatnonzero(changes & (node[:-1] == node[1:]) & (run_n[:-1] >= least) & ((self.many[node] - run_n)[:-1] >= least))
         own = node[cut]
-        run_w, run = np.cumsum(w[rows]), np.cumsum(sums[:, rows], axis=1)
-        before_w, before = np.where(starts > 0, run_w[starts - 1], 0.0), np.where(starts > 0, run[:, starts - 1], 0.0)
-        left_w, left = run_w[cut] - before_w[own], run[:, cut] - before[:, own]
-        right_w, right = run_w[ends][own] - run_w[cut], run[:, ends][:, own] - run[:, cut]
-        score = (left ** 2).sum(axis=0) / left_w + (right ** 2).sum(axis=0) / right_w
+        if not len(cut):
+            return own, cut, np.zeros(0)
+        left_w = run(w)[cut]
+        right_w = self.weight[own] - left_w
+        label = self.label[rows]
+        if self.s.classes:
+            # sums of squares over classes grow with each row by what its own class had before it
+            before = np.empty(len(rows))
+            for c in range(self.s.classes):
+                at = np.flatnonzero(label == c)
+                if len(at):
+                    had = np.cumsum(w[at]) - w[at]
+                    first = np.diff(node[at], prepend=-1) != 0
+                    before[at] = had - np.maximum.accumulate(np.where(first, had, 0.0))
+            left = run(w * (2 * before + w))[cut]
+            cross = run(w * self.sums[node, label])[cut]
+            right = (self.sums ** 2).sum(axis=1)[own] - 2 * cross + left
+        else:
+            left = run(label)[cut]
+            left, right = left ** 2, (self.sums[own, 0] - left) ** 2
+        score = left / left_w + right / right_w
         first = np.flatnonzero(np.diff(own, prepend=-1))
         top = np.maximum.reduceat(score, first)
         hit = np.flatnonzero(score == np.repeat(top, np.diff(np.append(first, len(own)))))
         hit = hit[np.flatnonzero(np.diff(own[hit], prepend=-1))]
-        found = own[hit]
-        better = (tried[found, f] & ~best_tried[found]) | ((tried[found, f] == best_tried[found]) & (top > best[found]))
-        found, hit = found[better], hit[better]
-        low, high = at[cut[hit]], at[cut[hit] + 1]
-        middle = low + (high - low) / 2
-        feature[found], threshold[found] = f, np.where(middle < high, middle, low)
-        best[found], best_tried[found] = score[hit], tried[found, f]
+        return own[hit], cut[hit], score[hit]
+
+
+def _middle(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    low, high = low.astype(float), high.astype(float)
+    middle = low + (high - low) / 2
+    return np.where(middle < high, middle, low)
+
+
+def _all_splits(level: _Level, orders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature, threshold and sum of purities of each node's best split; feature -1 where there is none."""
+    nodes = len(level.sizes)
+    feature, threshold, best = np.full(nodes, -1), np.zeros(nodes), np.full(nodes, -np.inf)
+    for f, rows in enumerate(orders):
+        at = level.x[rows, f]
+        found, cut, score = level.cuts(rows, at[:-1] < at[1:])
+        better = score > best[found]
+        found, cut = found[better], cut[better]
+        feature[found], threshold[found], best[found] = f, _middle(at[cut], at[cut + 1]), score[better]
+    return feature, threshold, best
+
+
+def _tried_splits(level: _Level, ranks: np.ndarray, rows: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same over the features each node tries, over its others where those have no split."""
+    dims, nodes = level.x.shape[1], len(level.sizes)
+    first = level.s.tried_first(seeds, dims)
+    feature, threshold, best = _sorted_splits(level, ranks, rows, first)
+    lacking = np.flatnonzero(feature < 0)
+    if len(lacking):
+        rest = np.ones((len(lacking), dims), bool)
+        np.put_along_axis(rest, first[lacking], False, axis=1)
+        rest = np.nonzero(rest)[1].reshape(len(lacking), -1)
+        of = np.repeat(feature < 0, level.sizes)
+        feature[lacking], threshold[lacking], best[lacking] = _sorted_splits(level.of(lacking), ranks, rows[of], rest)
+    return feature, threshold, best
+
+
+def _sorted_splits(level: _Level, ranks: np.ndarray, rows: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    nodes = len(level.sizes)
+    feature, threshold, best = np.full(nodes, -1), np.zeros(nodes), np.full(nodes, -np.inf)
+    node = np.repeat(np.arange(nodes), level.sizes)
+    bits = max(len(rows), len(ranks)).bit_length()
+    place = np.arange(len(rows))
+    for column in features.T:
+        rank = ranks[rows, column[node]]
+        if 3 * bits < 64:  # node, rank and place fit one number
+            key = np.sort((node << 2 * bits) | (rank.astype(np.int64) << bits) | place)
+            order = key & ((1 << bits) - 1)
+        else:
+            order = np.lexsort((rank, node))
+        sorted_, rank = rows[order], rank[order]
+        found, cut, score = level.cuts(sorted_, rank[:-1] != rank[1:])
+        better = score > best[found]
+        found, cut = found[better], cut[better]
+        f = column[found]
+        feature[found], threshold[found], best[found] = f, _middle(level.x[sorted_[cut], f], level.x[sorted_[cut + 1], f]), score[better]
     return feature, threshold, best
 
 
@@ -262,13 +412,182 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 def _grow_trees(batches: Iterator[pa.RecordBatch], held, s: Settings) -> Iterator[pa.RecordBatch]:
     """A tree per row of the input, over the whole table that each task has."""
-    x, y, numbers = held.value
+    trees = [tree for batch in batches for tree in batch.column("tree").to_pylist()]
+    yield from _grow_whole(*held.value, trees, s)
+
+
+def _grow_whole(x: np.ndarray, y: np.ndarray, numbers: np.ndarray, trees: Sequence[int], s: Settings) -> Iterator[pa.RecordBatch]:
+    """The trees over a table in the order of its rows' values."""
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]).any(axis=1) | (bool(s.classes) & (y[1:] != y[:-1]))
+    starts = np.flatnonzero(new)
+    shared = 2 * len(starts) <= len(x)
+    at, ends = (x[starts], _ends(y, starts)) if shared else (x, None)
+    ranks = _ranks(at) if trees and s.subset is not None and s.subset < x.shape[1] else None
+    for tree in trees:
+        w = s.weights(tree, numbers)
+        if not (w > 0).any():
+            continue
+        if shared:
+            held = _held(at, y[starts], ranks, _drawn_sums(y, w, starts, s), ends, s)
+        else:
+            held = Held.rows(x, y, w, s.classes, ranks)
+        yield _part(tree, 0, 0, grow_on(held, s, s.seeds(np.array([tree]))[0]))
+
+
+def _drawn_sums(y: np.ndarray, w: np.ndarray, starts: np.ndarray, s: Settings) -> np.ndarray:
+    """(kinds, groups): rows drawn, how often, and of a regression the labels' sum."""
+    out = [np.add.reduceat((w > 0).astype(float), starts), np.add.reduceat(w, starts)]
+    return np.stack(out if s.classes else [*out, np.add.reduceat(w * y, starts)])
+
+
+def _ends(y: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.stack([np.minimum.reduceat(y, starts), np.maximum.reduceat(y, starts)])
+
+
+def _held(x, classes, ranks, sums: np.ndarray, ends: np.ndarray, s: Settings) -> Held:
+    if s.classes:
+        return Held(x, sums[0], sums[1], classes.astype(np.int16), ranks=ranks)
+    return Held(x, *sums, *ends, ranks)
+
+
+# --- tables of few distinct features, or that one task takes but the driver does not ---
+
+
+@dataclass
+class Codes:
+    """Numbers of the distinct rows of a matrix, found column by column."""
+
+    values: list[np.ndarray]
+    pairs: list[np.ndarray]
+
+    @classmethod
+    def of(cls, rows: np.ndarray) -> Codes:
+        made, code = cls([], []), np.zeros(len(rows), np.int64)
+        for column in rows.T:
+            values = np.unique(column)
+            pair = code * len(values) + np.searchsorted(values, column)
+            made.values.append(values)
+            made.pairs.append(np.unique(pair))
+            code = np.searchsorted(made.pairs[-1], pair)
+        return made
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        code = np.zeros(len(rows), np.int64)
+        for column, values, pairs in zip(rows.T, self.values, self.pairs):
+            code = np.searchsorted(pairs, code * len(values) + np.searchsorted(values, column))
+        return code
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches in tables of about CHUNK_ROWS rows."""
+    held, rows = [], 0
     for batch in batches:
-        for tree in batch.column("tree").to_pylist():
-            w = s.weights(tree, numbers)
-            in_ = w > 0
-            if in_.any():
-                yield _part(tree, 0, 0, grow(x[in_], y[in_], w[in_], s, s.seeds(np.array([tree]))[0]))
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CHUNK_ROWS:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+
+
+def _draw_groups(batches, held, dims: int, s: Settings, trees: Sequence[int]) -> Iterator[pa.RecordBatch]:
+    """Per tree the sums of the rows it draws, for every distinct features; as tree -1 their smallest and largest labels."""
+    codes, groups = held.value
+    total = np.zeros((len(trees), 2 if s.classes else 3, groups))
+    ends = np.stack([np.full(groups, np.inf), np.full(groups, -np.inf)])
+    for rows in _chunks(batches):
+        x, y, numbers = _points(_one(rows.column("x")), dims), rows.column("y").to_numpy(), rows.column("no").to_numpy()
+        code = codes(np.column_stack([x, y]) if s.classes else x)
+        order = np.argsort(code.astype(np.uint16) if groups <= 1 << 16 else code, kind="stable")
+        code, y, numbers = code[order], y[order], numbers[order]
+        starts = np.flatnonzero(np.diff(code, prepend=-1))
+        found = code[starts]
+        low, high = _ends(y, starts)
+        ends[:, found] = np.minimum(ends[0, found], low), np.maximum(ends[1, found], high)
+        for i, tree in enumerate(trees):
+            total[i][:, found] += _drawn_sums(y, s.weights(tree, numbers), starts, s)
+    for i, tree in [(-1, -1), *enumerate(trees)]:
+        sums = (ends if tree < 0 else total[i]).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([sums], pa.binary())], ["tree", "sums"])
+
+
+def _add_groups(rows: pa.Table, groups: int) -> pa.Table:
+    """One row of the sums that the tasks found for a tree."""
+    tree = rows.column("tree")[0].as_py()
+    parts = [np.frombuffer(packed.as_buffer()).reshape(-1, groups) for packed in rows.column("sums")]
+    if tree < 0:
+        total = np.stack([np.min([p[0] for p in parts], axis=0), np.max([p[1] for p in parts], axis=0)])
+    else:
+        total = sum(parts[1:], parts[0])
+    return pa.table({"tree": pa.array([tree], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _grow_groups(batches, held, s: Settings) -> Iterator[pa.RecordBatch]:
+    """A tree over each row's sums."""
+    x, classes, ranks, ends = held.value
+    for batch in batches:
+        for tree, packed in zip(batch.column("tree").to_pylist(), batch.column("sums")):
+            sums = np.frombuffer(packed.as_buffer()).reshape(-1, len(x))
+            if sums[0].any():
+                yield _part(tree, 0, 0, grow_on(_held(x, classes, ranks, sums, ends, s), s, s.seeds(np.array([tree]))[0]))
+
+
+def _fit_groups(table: DataFrame, dims: int, s: Settings) -> DataFrame:
+    """Parts of trees over a table of few distinct features: draws are summed where the rows are, each tree grows on the sums."""
+    spark = table.sparkSession
+    keys = table.select("x", *(["y"] if s.classes else [])).distinct().toArrow()  # at most about DISTINCT rows
+    distinct = np.column_stack([_points(_one(keys.column("x")), dims), *([keys.column("y").to_numpy()] if s.classes else [])])
+    distinct = np.unique(distinct + 0.0, axis=0)
+    codes = Codes.of(distinct)
+    x, classes = np.ascontiguousarray(distinct[:, :dims]), distinct[:, dims] if s.classes else None
+    place = np.empty(len(distinct), np.int64)
+    place[codes(distinct)] = np.arange(len(distinct))
+    x, classes = x[place], None if classes is None else classes[place]
+    ranks = _ranks(x) if s.subset is not None and s.subset < dims else None
+    finder = spark.sparkContext.broadcast((codes, len(x)))
+    at_once = max(1, HISTOGRAM_BYTES // (8 * (2 if s.classes else 3) * len(x)))
+    found = None
+    for i in range(0, s.trees, at_once):
+        draw = partial(_draw_groups, held=finder, dims=dims, s=s, trees=range(i, min(s.trees, i + at_once)))
+        work = partial(_add_groups, groups=len(x))
+        own = _store(table.mapInArrow(draw, "tree int, sums binary").groupBy("tree").applyInArrow(lambda t: work(t), "tree int, sums binary"))  # noqa: B023
+        found = own if found is None else found.unionByName(own)
+    ends = np.frombuffer(found.where("tree < 0").first()["sums"]).reshape(2, -1)  # of any pass, each reads all rows
+    groups = spark.sparkContext.broadcast((x, classes, ranks, ends))
+    grown = found.where("tree >= 0").repartition(min(s.trees, 4 * spark.sparkContext.defaultParallelism))
+    return _store(grown.mapInArrow(partial(_grow_groups, held=groups, s=s), _PARTS))
+
+
+def _deal(batches, bundles: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for bundle in range(bundles):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(batch.num_rows, bundle, np.int32)), *batch.columns], ["bundle", *batch.schema.names])
+
+
+def _grow_bundle(rows: pa.Table, dims: int, s: Settings, bundles: int) -> Iterator[pa.RecordBatch]:
+    bundle = rows.column("bundle")[0].as_py()
+    flat = rows.column("x").combine_chunks().flatten()
+    x, y, numbers = flat.to_numpy().reshape(-1, dims), rows.column("y").to_numpy(), rows.column("no").to_numpy()
+    order = np.lexsort((numbers, y, *x.T))
+    return pa.Table.from_batches(
+        list(_grow_whole(x[order], y[order], numbers[order], range(bundle, s.trees, bundles), s)), schema=_part(0, 0, 0, _NO_NODES).schema)
+
+
+def _fit_bundles(table: DataFrame, dims: int, s: Settings, single: bool) -> DataFrame:
+    """Parts of trees over a table that one task takes: each of some tasks gets all rows once and grows its share of the trees."""
+    bundles = min(s.trees, table.sparkSession.sparkContext.defaultParallelism)
+    kind = "float" if single else "double"
+    dealt = table.select(F.col("x").cast(f"array<{kind}>").alias("x"), "y", "no").mapInArrow(
+        partial(_deal, bundles=bundles), f"bundle int, x array<{kind}>, y double, no long")
+    work = partial(_grow_bundle, dims=dims, s=s, bundles=bundles)
+    return _store(dealt.groupBy("bundle").applyInArrow(lambda t: work(t), _PARTS))
 
 
 def _part(tree: int, part: int, depth: int, nodes: Nodes) -> pa.RecordBatch:
@@ -278,6 +597,9 @@ def _part(tree: int, part: int, depth: int, nodes: Nodes) -> pa.RecordBatch:
         ["tree", "part", "depth", *_KINDS])
 
 
+_NO_NODES = Nodes(*[np.zeros(0) for _ in range(5)], np.zeros((0, 1)))
+
+
 # --- tops of trees over tables that no task takes whole ---------------------
 
 
@@ -314,29 +636,37 @@ class Top:
 
 
 def _histograms(batches, dims: int, s: Settings, tops: list[Top], slots: dict[tuple[int, int], int], cuts: list[np.ndarray]):
-    """Counts, weights and label sums by slot, feature and bin."""
-    many = len(slots)
+    """Counts, weights and label sums by slot, feature and bin. The slots of a tree follow each other."""
     kinds = 2 + s.width + (not s.classes)
-    total = np.zeros((kinds, many * dims * BINS))
-    own = {tree: np.array([slots.get((tree, i), -1) for i in range(len(tops[tree].feature))]) for tree in {t for t, _ in slots}}
-    for batch in batches:
-        x, y = _points(batch.column("x"), dims), np.asarray(batch.column("y"), dtype=float)
+    total = np.zeros((kinds, len(slots), dims, BINS))
+    own = {}
+    for tree in dict.fromkeys(t for t, _ in slots):
+        at = [k for (t, _), k in slots.items() if t == tree]
+        own[tree] = min(at), len(at), np.array([slots.get((tree, i), -1) for i in range(len(tops[tree].feature))])
+    for rows in _chunks(batches):
+        x, y, numbers = _points(_one(rows.column("x")), dims), rows.column("y").to_numpy(), rows.column("no").to_numpy()
         codes = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)])
-        for tree, slot_of in own.items():
-            w = s.weights(tree, np.asarray(batch.column("no")))
+        for tree, (first, many, slot_of) in own.items():
+            w = s.weights(tree, numbers)
             slot = slot_of[tops[tree].route(x)]
             in_ = np.flatnonzero((slot >= 0) & (w > 0))
-            terms = [np.ones(len(in_)), w[in_], *_sums(y[in_], w[in_], s.classes)]
-            if not s.classes:
-                terms.append(w[in_] * y[in_] ** 2)
+            slot, own_w, own_y = slot[in_] - first, w[in_], y[in_]
+            part = total[:, first:first + many]
             for f in range(dims):
-                at = (slot[in_] * dims + f) * BINS + codes[f, in_]
-                for k, term in enumerate(terms):
-                    total[k] += np.bincount(at, term, minlength=total.shape[1])
-    filled = np.flatnonzero(total[0])
-    slot, rest = np.divmod(filled, dims * BINS)
+                at = slot * BINS + codes[f, in_]
+                add = lambda k, term: np.add(part[k, :, f], np.bincount(at, term, many * BINS).reshape(many, BINS), out=part[k, :, f])  # noqa: B023, E731
+                add(0, None)
+                if s.classes:
+                    by = np.bincount(at * s.classes + own_y.astype(int), own_w, many * BINS * s.classes).reshape(many, BINS, s.classes)
+                    part[1, :, f] += by.sum(axis=2)
+                    part[2:, :, f] += by.transpose(2, 0, 1)
+                else:
+                    add(1, own_w)
+                    add(2, own_w * own_y)
+                    add(3, own_w * own_y ** 2)
+    slot, feature, place = np.nonzero(total[0])
     yield pa.RecordBatch.from_arrays(
-        [pa.array(v.astype(np.int32)) for v in (slot, rest // BINS, rest % BINS)] + [pa.array(t[filled]) for t in total],
+        [pa.array(v.astype(np.int32)) for v in (slot, feature, place)] + [pa.array(t[slot, feature, place]) for t in total],
         ["slot", "feature", "bin", *[f"s{k}" for k in range(kinds)]])
 
 
@@ -379,7 +709,7 @@ _BEST = "slot int, feature int, threshold double, gain double, rows long, value
 
 def _grow_tops(table: DataFrame, dims: int, rows: int, s: Settings) -> list[Top]:
     """Split nodes of more rows than a part may have, by histograms of quantile bins, until none is left."""
-    most = max(1, PART_CELLS // (dims + 1))
+    most = max(1, min(PART_ROWS, PART_CELLS // (dims + 1)))
     seeds = s.seeds(np.arange(s.trees))
     tops = [Top.root(int(seed), rows <= most) for seed in seeds]
     if rows <= most:
@@ -393,6 +723,7 @@ def _grow_tops(table: DataFrame, dims: int, rows: int, s: Settings) -> list[Top]
     active = [(tree, 0) for tree in range(s.trees)]
     while active:
         following = []
+        active.sort()
         for i in range(0, len(active), at_once):
             group = active[i:i + at_once]
             slots = {node: k for k, node in enumerate(group)}
@@ -455,12 +786,16 @@ def _store(df: DataFrame) -> DataFrame:
 def fit_trees(points: DataFrame, dims: int, s: Settings) -> Forest:
     """Trees over `points` (x array<double> of `dims`, y double): see `Forest`."""
     spark = points.sparkSession
-    table = _store(points.select("x", "y")).withColumn("no", F.monotonically_increasing_id())
-    rows, mean = table.agg(F.count(F.lit(1)), F.avg("y")).first()
+    table = points.select("x", "y")
+    key = F.xxhash64("x", *(["y"] if s.classes else []))
+    rows, mean, distinct, single = table.agg(
+        F.count(F.lit(1)), F.avg("y"), F.approx_count_distinct(key),
+        F.bool_and(F.forall("x", lambda v: v == v.cast("float").cast("double")))).first()
     if not rows:
         raise ValueError("There are no rows to fit a tree on.")
     tops = None
-    if 8 * rows * (dims + 2) <= BROADCAST_BYTES and rows * (dims + 1) <= PART_CELLS:
+    whole = rows <= PART_ROWS and rows * (dims + 1) <= PART_CELLS
+    if whole and 8 * rows * (dims + 2) <= BROADCAST_BYTES:
         local = table.toArrow()
         x = _points(local.column("x").combine_chunks(), dims)
         # numbers in the order of the rows' values, so that the draws do not depend on how the table is split
@@ -476,10 +811,18 @@ def fit_trees(points: DataFrame, dims: int, s: Settings) -> Forest:
         if not s.classes:
             s = replace(s, shift=mean)
             table = table.withColumn("y", F.col("y") - mean)
-        tops = _grow_tops(table, dims, rows, s)
-        routed = table.mapInArrow(partial(_to_parts, dims=dims, s=s, tops=tops), "tree int, part int, x array<double>, y double, w double")
-        work = partial(_grow_part, dims=dims, s=s, tops=tops)
-        parts = _store(routed.groupBy("tree", "part").applyInArrow(lambda t: work(t), _PARTS))
+        few = distinct <= DISTINCT and distinct * (dims + 1) <= PART_CELLS and rows >= SHARED_ROWS * distinct
+        # a tree's draws are made in one pass there; elsewhere several passes must see the same numbers
+        table = (table if few else _store(table)).withColumn("no", F.monotonically_increasing_id())
+        if few:
+            parts = _fit_groups(table, dims, s)
+        elif whole:
+            parts = _fit_bundles(table, dims, s, single)
+        else:
+            tops = _grow_tops(table, dims, rows, s)
+            routed = table.mapInArrow(partial(_to_parts, dims=dims, s=s, tops=tops), "tree int, part int, x array<double>, y double, w double")
+            work = partial(_grow_part, dims=dims, s=s, tops=tops)
+            parts = _store(routed.groupBy("tree", "part").applyInArrow(lambda t: work(t), _PARTS))
     return Forest(parts, tops, dims, s)
 
 
@@ -550,16 +893,63 @@ def _score_part(rows: pa.Table, parts: pa.Table, dims: int, s: Settings, tops: l
     return pa.table({"id": rows.column("id"), "values": _lists(out)})
 
 
+def _score_bundle(rows: pa.Table, parts: pa.Table, dims: int, s: Settings, tops: list[Top] | None, bundle_of, prunings, prefixes) -> pa.Table:
+    """Sums over some trees of the values of rows."""
+    if not rows.num_rows:
+        return pa.table({"id": pa.array([], pa.int64()), "values": pa.array([], pa.list_(pa.float64()))})
+    bundle, by = rows.column("bundle")[0].as_py(), {}
+    for r in parts.to_pylist():
+        by.setdefault(r["tree"], []).append(r)
+    trees = {t: _joined(by.get(t, []), tops[t] if tops else None, s.width) for t, b in enumerate(bundle_of) if b == bundle and (tops or t in by)}
+    x = _points(rows.column("x").combine_chunks(), dims)
+    found = _total(trees, x, prunings, prefixes) if trees else np.zeros((len(x), len(prefixes) * len(prunings) * s.width))
+    return pa.table({"id": rows.column("id"), "values": _lists(found)})
+
+
+def _added(points: DataFrame, scored: DataFrame, width: int) -> DataFrame:
+    """`points` with the sums of their `values` in `scored`."""
+    total = scored.groupBy("id").agg(*[F.sum(F.col("values")[k]).alias(f"v{k}") for k in range(width)])
+    return points.join(total.select("id", F.array(*[f"v{k}" for k in range(width)]).alias("values")), "id")
+
+
+@dataclass
+class _Cells:
+    """A model as a table: between neighbouring thresholds of every feature its values are the same."""
+
+    cuts: list[np.ndarray]
+    values: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), np.int64)
+        for column, cuts in zip(x.T, self.cuts):
+            at = at * (len(cuts) + 1) + np.where(np.isnan(column), 0, np.searchsorted(cuts, column))
+        return self.values[at]
+
+
+def _cell_values(trees: dict[int, Nodes], dims: int, prunings: Sequence[Pruning], prefixes: Sequence[int]) -> _Cells | None:
+    """The table of a model, if it has at most CELLS values."""
+    cuts = [np.unique(np.concatenate([n.threshold[n.feature == f] for n in trees.values()])) for f in range(dims)]
+    cells = float(np.prod([len(c) + 1.0 for c in cuts]))
+    if cells * len(prunings) * len(prefixes) * next(iter(trees.values())).value.shape[1] > CELLS:
+        return None
+    grid = np.meshgrid(*[np.append(c, np.inf) for c in cuts], indexing="ij")
+    return _Cells(cuts, _total(trees, np.stack([g.ravel() for g in grid], axis=1), prunings, prefixes))
+
+
 class Forest:
     """Grown trees: `parts`, a table with a row of packed nodes per tree and part, and the tops of large trees."""
 
     def __init__(self, parts: DataFrame, tops: list[Top] | None, dims: int, settings: Settings):
         self.parts, self.tops, self.dims, self.settings = parts, tops, dims, settings
         self._held = None
+        self.bytes = parts.agg(F.coalesce(F.sum(self._size()), F.lit(0))).first()[0]
+
+    @staticmethod
+    def _size() -> F.Column:
         size = F.lit(0)
         for name in _KINDS:
             size = size + F.octet_length(name)
-        self.bytes = parts.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+        return size.cast("long")
 
     def trees(self) -> dict[int, Nodes]:
         """All nodes; for models below `MODEL_BYTES`."""
@@ -574,20 +964,49 @@ class Forest:
     def values(self, points: DataFrame, prunings: Sequence[Pruning] = WHOLE, prefixes: Sequence[int] | None = None) -> DataFrame:
         """`points` (id, x, ...) with `values`: per prefix and pruning the sum of the trees' values.
 
-        A model small by measure is sent to the tasks; rows of a larger one meet
-        the parts they end in, those of a part with many rows in several tasks.
+        A model small by measure is sent to the tasks, as a table of its values
+        where its thresholds leave few cells. Of a larger one, tasks hold some
+        whole trees each and get all rows once, in pieces; if not even a tree is
+        small, rows meet the parts they end in, those of a part with many rows in
+        several tasks.
         """
         prefixes = list(prefixes or [self.settings.trees])
         if self.bytes <= MODEL_BYTES:
-            held, dims = points.sparkSession.sparkContext.broadcast(self.trees()), self.dims
+            trees, dims = self.trees(), self.dims
+            table = _cell_values(trees, dims, prunings, prefixes)
+            held = points.sparkSession.sparkContext.broadcast(trees if table is None else table)
 
             @F.arrow_udf("array<double>")
             def score(x: pa.Array) -> pa.Array:
-                return _lists(_total(held.value, _points(x, dims), prunings, prefixes))
+                if table is None:
+                    return _lists(_total(held.value, _points(x, dims), prunings, prefixes))
+                return _lists(held.value(_points(x, dims)))
 
             return points.withColumn("values", score("x"))
+        sizes = dict(self.parts.groupBy("tree").agg(F.sum(self._size())).collect())
+        if max(sizes.values()) <= MODEL_BYTES:
+            return self._bundled(points, sizes, prunings, prefixes)
         return self._met(points, prunings, prefixes)
 
+    def _bundled(self, points: DataFrame, sizes: dict[int, int], prunings, prefixes) -> DataFrame:
+        points, s, spark = _store(points), self.settings, points.sparkSession
+        limit = min(MODEL_BYTES, sum(sizes.values()) / spark.sparkContext.defaultParallelism)
+        bundle_of, bundle, held = [], 0, 0
+        for tree in range(s.trees):
+            if held and held + sizes.get(tree, 0) > limit:
+                bundle, held = bundle + 1, 0
+            bundle_of.append(bundle)
+            held += sizes.get(tree, 0)
+        pieces = -(-points.count() // max(1, min(PART_ROWS, PART_CELLS // (self.dims + 1))))
+        keys = ["bundle", "piece"]
+        piece = F.pmod(F.xxhash64("id"), F.lit(max(1, pieces))).cast("int").alias("piece")
+        rows = points.select("id", "x", piece).mapInArrow(partial(_deal, bundles=bundle + 1), "bundle int, id long, x array<double>, piece int")
+        own = spark.createDataFrame(list(enumerate(bundle_of)), "tree int, bundle int")
+        parts = self.parts.join(F.broadcast(own), "tree").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(max(1, pieces) - 1))))
+        work = partial(_score_bundle, dims=self.dims, s=s, tops=self.tops, bundle_of=bundle_of, prunings=prunings, prefixes=prefixes)
+        scored = rows.groupBy(*keys).cogroup(parts.groupBy(*keys)).applyInArrow(lambda a, b: work(a, b), "id long, values array<double>")
+        return _added(points, scored, len(prefixes) * len(prunings) * s.width)
+
     def _met(self, points: DataFrame, prunings, prefixes) -> DataFrame:
         points, s = _store(points), self.settings
         routed = _store(points.select("id", "x").mapInArrow(
@@ -601,9 +1020,7 @@ class Forest:
         scored = rows.groupBy(*keys).cogroup(parts.groupBy(*keys)).applyInArrow(
             lambda a, b: work(a, b) if a.num_rows else pa.table({"id": pa.array([], pa.int64()), "values": pa.array([], pa.list_(pa.float64()))}),
             "id long, values array<double>")
-        width = len(prefixes) * len(prunings) * s.width
-        total = scored.groupBy("id").agg(*[F.sum(F.col("values")[k]).alias(f"v{k}") for k in range(width)])
-        return points.join(total.select("id", F.array(*[f"v{k}" for k in range(width)]).alias("values")), "id")
+        return _added(points, scored, len(prefixes) * len(prunings) * s.width)
 
     def importances(self) -> np.ndarray:
         """Each feature's share of the gains, averaged over trees; sums to 1 where a tree splits."""
@@ -631,25 +1048,32 @@ class Forest:
 # --- stages of a pipeline ---------------------------------------------------
 
 
+def _row(features: Sequence[str] | None) -> F.Column:
+    """The features as an array of doubles; from the columns themselves, if named, which is much cheaper than from a vector."""
+    if not features:
+        return vector_to_array("_features")
+    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features])
+
+
 class ForestEstimator(Estimator):
-    """Fits trees on `_features` and a numeric label."""
+    """Fits trees on `_features`, or the columns it was made of, and a numeric label."""
 
-    def __init__(self, settings: Settings, label: str, prediction: str = "prediction"):
+    def __init__(self, settings: Settings, label: str, prediction: str = "prediction", features: Sequence[str] | None = None):
         super().__init__()
-        self.settings, self.label, self.prediction = settings, label, prediction
+        self.settings, self.label, self.prediction, self.features = settings, label, prediction, features
 
     def _fit(self, dataset: DataFrame) -> ForestModel:
-        points = dataset.select(vector_to_array("_features").alias("x"), F.col(self.label).cast("double").alias("y"))
+        points = dataset.select(_row(self.features).alias("x"), F.col(self.label).cast("double").alias("y"))
         dims = len(points.first()["x"]) if not points.isEmpty() else 0
-        return ForestModel(fit_trees(points, dims, self.settings), self.prediction)
+        return ForestModel(fit_trees(points, dims, self.settings), self.prediction, self.features)
 
 
 class ForestModel(Transformer, MLWritable, MLReadable):
     """Adds the mean of the trees' values, or the class of the largest mean share."""
 
-    def __init__(self, forest: Forest | None = None, prediction: str = "prediction"):
+    def __init__(self, forest: Forest | None = None, prediction: str = "prediction", features: Sequence[str] | None = None):
         super().__init__()
-        self.forest, self.prediction = forest, prediction
+        self.forest, self.prediction, self.features = forest, prediction, features
 
     @property
     def featureImportances(self) -> DenseVector:  # noqa: N802  the name of the library's own models
@@ -662,11 +1086,11 @@ class ForestModel(Transformer, MLWritable, MLReadable):
         return (F.array_position(values, F.array_max(values)) - 1).cast("double")
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        own = dataset.withColumn("x", vector_to_array("_features")) if "x" not in dataset.columns else None
+        own = dataset.withColumn("x", _row(self.features)) if "x" not in dataset.columns else None
         if own is not None and "values" not in dataset.columns and self.forest.bytes <= MODEL_BYTES:
             return self.forest.values(own).withColumn(self.prediction, self.answer()).drop("x", "values")
         row = F.struct(*dataset.columns)
-        packed = dataset.select(F.monotonically_increasing_id().alias("id"), row.alias("row"), vector_to_array("_features").alias("x"))
+        packed = dataset.select(F.monotonically_increasing_id().alias("id"), row.alias("row"), _row(self.features).alias("x"))
         return self.forest.values(packed).select("row.*", self.answer().alias(self.prediction))
 
     def write(self) -> MLWriter:
@@ -684,7 +1108,7 @@ class _Writer(MLWriter):
 
     def saveImpl(self, path: str) -> None:  # noqa: N802
         forest = self.model.forest
-        state = {"settings": asdict(forest.settings), "dims": forest.dims, "prediction": self.model.prediction,
+        state = {"settings": asdict(forest.settings), "dims": forest.dims, "prediction": self.model.prediction, "features": self.model.features,
                  "tops": [asdict(t) for t in forest.tops] if forest.tops else None}
         DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession, extraMetadata={"forest": json.dumps(state)})
         forest.parts.write.parquet(f"{path}/parts")
@@ -696,4 +1120,4 @@ class _Reader(MLReader):
         state = json.loads(DefaultParamsReader.loadMetadata(path, spark)["forest"])
         tops = [Top(**t) for t in state["tops"]] if state["tops"] else None
         forest = Forest(spark.read.schema(_PARTS).parquet(f"{path}/parts"), tops, state["dims"], Settings(**state["settings"]))
-        return ForestModel(forest, state["prediction"])
+        return ForestModel(forest, state["prediction"], state.get("features"))

@@ -328,11 +328,11 @@ def _forest_settings(
 def _grown(df, features, target, task, trees, max_depth, split, leaf, alone=False) -> Model:
     settings = partial(_forest_settings, task, dims=len(features), trees=trees, max_depth=max_depth, split=split, leaf=leaf, alone=alone)
     if task == "regression":
-        return _fit(df, task, features, target, [ForestEstimator(settings(classes=0), target)], repeated=False)
+        return _fit(df, task, features, target, [ForestEstimator(settings(classes=0), target, features=list(features))], repeated=False)
 
     def estimator(c: _Classes) -> ForestEstimator:
         own = c.columns(target)
-        return ForestEstimator(settings(classes=c.count), own["labelCol"], own.get("predictionCol", "prediction"))
+        return ForestEstimator(settings(classes=c.count), own["labelCol"], own.get("predictionCol", "prediction"), list(features))
 
     return _fit_classes(df, features, target, estimator, repeated=False)
 

@@ -175,3 +175,43 @@ def test_bad_settings(spark):
     with pytest.raises(ValueError):
         models.decision_tree(rows.where("a > 5"), ["a"], "y")
     assert isinstance(fit_trees(table(spark, [[1.0]], [2.0]), 1, Settings()), Forest)
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_shared_features_equal_rows(spark, monkeypatch, classes):
+    """A tree over sums per distinct features is the tree over the rows, whichever way the rows are met."""
+    x, y = sample(900, classes=classes, seed=11, values=4)
+    points = table(spark, x, y)
+    settings = Settings(classes, trees=2, subset=2 if classes else None, min_samples_leaf=2)
+    plain = grow(x, y, np.ones(len(y)), settings, settings.seeds(np.array([1]))[0])
+    want = plain.value[forests.stops(plain, x, forests.WHOLE)[0]]
+    ways = []
+    for name in ("_fit_groups", "_fit_bundles"):
+        own = getattr(forests, name)
+        monkeypatch.setattr(forests, name, lambda *a, own=own, name=name: ways.append(name) or own(*a))
+    small = fit_trees(points, 3, settings)
+    monkeypatch.setattr(forests, "BROADCAST_BYTES", 0)
+    grouped = fit_trees(points.repartition(5), 3, settings)
+    assert "_fit_groups" in ways
+    monkeypatch.setattr(forests, "SHARED_ROWS", 10_000)
+    dealt = fit_trees(points.repartition(3), 3, settings)
+    assert "_fit_bundles" in ways
+    for forest in (small, grouped, dealt):
+        both = predictions(forest, points, prefixes=[1, 2])
+        assert np.allclose(both[:, -max(1, classes):] - both[:, :max(1, classes)], want)
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_models_are_scored_the_same_way(spark, monkeypatch, classes):
+    """A table of cells, whole trees and tasks that hold some trees give the same values, also of gaps."""
+    x, y = sample(300, classes=classes, seed=12, values=6)
+    points = table(spark, x, y)
+    forest = fit_trees(points, 3, Settings(classes, trees=5, bagged=True))
+    asked = table(spark, np.vstack([x[:40], [[np.nan, 2.5, 9.0], [-1.0, np.nan, 0.5]]]), np.zeros(42))
+    options = {"prunings": [Pruning(), Pruning(3, 9)], "prefixes": [2, 5]}
+    cells = predictions(forest, asked, **options)
+    monkeypatch.setattr(forests, "CELLS", 0)
+    assert np.allclose(predictions(forest, asked, **options), cells)
+    monkeypatch.setattr(forests, "MODEL_BYTES", forest.bytes - 1)
+    monkeypatch.setattr(forests, "PART_CELLS", 80)
+    assert np.allclose(predictions(forest, asked, **options), cells)
