@@ -3,6 +3,8 @@ function runs one small statistics job and then returns a lazy projection."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -91,13 +93,50 @@ def spark_pattern(fmt: str) -> str:
     return "".join(out)
 
 
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+
+def _could_be(layout: str, widths: bool = True) -> str:
+    """A pattern that every text the layout parses matches, with or without the number of digits.
+
+    A parse that fails raises an error inside, which costs far more than a pattern.
+    """
+    out = []
+    for quoted, letters, other in re.findall(r"'([^']*)'|([A-Za-z]+)|([^A-Za-z'])", layout):
+        if not letters:
+            out.append(re.escape(quoted or other))
+            continue
+        for run in re.findall(r"MMMM|MMM|a|X+|(?:(?!MMM|[aX])[A-Za-z])+", letters):
+            if run == "MMMM":
+                out.append(f"({'|'.join(_MONTHS)})")
+            elif run == "MMM":
+                out.append(f"({'|'.join(m[:3] for m in _MONTHS)})t?[.]?")
+            elif run == "a":
+                out.append("[ap][.]?m[.]?")
+            elif run[0] == "X":
+                out.append("(z|[+-][0-9:]+)")
+            elif not widths or len(run) == 1 or run[0] == "S":
+                out.append("[+-]?[0-9]+")
+            else:
+                out.append("[0-9]{2}" if len(run) == 2 else f"[+-]?[0-9]{{{len(run)},}}")
+    return r"(?i)^\s*" + "".join(out) + r"\s*$"
+
+
 def _infer_layout(df: DataFrame, name: str, order_by: Columns) -> str | None:
     """The first layout that parses the first value present; without an order
     the one that parses most values, the first of equal ones."""
     col = F.col(name)
-    parsed = [F.try_to_timestamp(col, F.lit(p)) for p in DATE_LAYOUTS]
+    parsed = [F.when(col.rlike(_could_be(p)), F.try_to_timestamp(col, F.lit(p))) for p in DATE_LAYOUTS]
     if order_by is None:
-        found = list(df.agg(*[F.count(x).alias(f"p{i}") for i, x in enumerate(parsed)]).first())
+        # whether a text matches does not depend on its digits, so few distinct forms are tried; no layout fits longer ones
+        forms = df.where(F.length(col) <= 256).select(F.regexp_replace(col, "[0-9]+", "0").alias("form")).distinct()
+        fit = forms.agg(*[F.coalesce(F.bool_or(F.col("form").rlike(_could_be(p, widths=False))), F.lit(False)).alias(f"p{i}") for i, p in enumerate(DATE_LAYOUTS)]).first()
+        if not any(fit):
+            return None
+        found = [0] * len(DATE_LAYOUTS)
+        places = [i for i, some in enumerate(fit) if some]
+        for i, n in zip(places, df.agg(*[F.count(parsed[i]).alias(f"p{i}") for i in places]).first()):
+            found[i] = n
     else:
         key = F.struct(*pick(df, order_by, []))
         first = df.where(col.isNotNull()).agg(F.min_by(col, key).alias(name))
@@ -119,7 +158,8 @@ def to_datetime(
     for c in pick(df, columns, text_columns(df)):
         layout = spark_pattern(fmt) if fmt else _infer_layout(df, c, order_by)
         if layout:
-            out[c] = F.try_to_timestamp(F.col(c), F.lit(layout)).cast("timestamp_ntz")
+            parsed = F.try_to_timestamp(F.col(c), F.lit(layout))
+            out[c] = (parsed if fmt else F.when(F.col(c).rlike(_could_be(layout)), parsed)).cast("timestamp_ntz")
     return df.withColumns(out)
 
 

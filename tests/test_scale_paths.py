@@ -263,3 +263,17 @@ def test_split_sizes_are_exact(spark):
     marked = features.mark_test(spark.range(1000).withColumn("s", F.when(F.col("id") % 3 > 0, "big")), "id", stratify="s")
     counts = {(r["s"], r["is_test"]): r["count"] for r in marked.groupBy("s", "is_test").count().collect()}
     assert counts == {("big", True): 133, ("big", False): 533, (None, True): 67, (None, False): 267}
+
+
+def test_patterns_let_through_what_a_layout_parses(spark):
+    """Every text that a layout writes or parses matches its pattern, and other texts are not parsed at all."""
+    from lodestat.operators import convert
+
+    times = spark.sql("SELECT explode(array(timestamp'2024-01-02 03:04:05.678901', timestamp'1999-12-31 23:59:59')) AS t")
+    texts = times.select(F.explode(F.array(*[F.date_format("t", p) for p in convert.DATE_LAYOUTS])).alias("s")).unionByName(
+        spark.createDataFrame([("2024-1-2",), ("+12024-01-02",), ("jan 3, 2024",), ("2024-01-02 03:04:05.1",), ("3/4/2024 5:06 pm",), (" 2024",), ("no date 7",)], "s string"))
+    matched = texts.agg(*[
+        F.count_if(F.try_to_timestamp("s", F.lit(p)).isNotNull() & ~F.col("s").rlike(convert._could_be(p))).alias(f"p{i}")
+        for i, p in enumerate(convert.DATE_LAYOUTS)]).first()
+    assert not any(matched)
+    assert texts.where("s LIKE 'no date%'").select(*[F.col("s").rlike(convert._could_be(p)) for p in convert.DATE_LAYOUTS]).first().count(True) == 0
