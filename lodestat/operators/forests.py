@@ -265,9 +265,12 @@ class _Level:
             total = np.cumsum(values)
             return total - np.where(starts > 0, total[starts - 1], 0.0)[node]
 
-        run_n = run(self.count[rows])
-        least = max(1, self.s.min_samples_leaf)
-        cut = np.flatnonzero(changes & (node[:-1] == node[1:]) & (run_n[:-1] >= least) & ((self.many[node] - run_n)[:-1] >= least))
+        inside = changes.copy()
+        inside[ends[:-1]] = False
+        if self.s.min_samples_leaf > 1:
+            run_n = run(self.count[rows])
+            inside &= ((run_n >= self.s.min_samples_leaf) & (self.many[node] - run_n >= self.s.min_samples_leaf))[:-1]
+        cut = np.flatnonzero(inside)
         own = node[cut]
         if not len(cut):
             return own, cut, np.zeros(0)
@@ -276,13 +279,12 @@ class _Level:
         label = self.label[rows]
         if self.s.classes:
             # sums of squares over classes grow with each row by what its own class had before it
+            order = np.argsort(label, kind="stable")  # small numbers: no comparisons
+            own_w = w[order]
             before = np.empty(len(rows))
-            for c in range(self.s.classes):
-                at = np.flatnonzero(label == c)
-                if len(at):
-                    had = np.cumsum(w[at]) - w[at]
-                    first = np.diff(node[at], prepend=-1) != 0
-                    before[at] = had - np.maximum.accumulate(np.where(first, had, 0.0))
+            before[order] = np.cumsum(own_w) - own_w
+            held = self.sums.T.ravel()
+            before -= (np.cumsum(held) - held)[label.astype(np.int64) * len(self.sizes) + node]
             left = run(w * (2 * before + w))[cut]
             cross = run(w * self.sums[node, label])[cut]
             right = (self.sums ** 2).sum(axis=1)[own] - 2 * cross + left
