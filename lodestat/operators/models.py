@@ -12,6 +12,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, OneVsRest
 from pyspark.ml.feature import IndexToString, PolynomialExpansion, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
@@ -24,7 +25,7 @@ from pyspark.util import inheritable_thread_target
 
 from lodestat.functions.columns import Columns, numeric_columns, present, require
 from lodestat.operators.features import _scaling, with_fold
-from lodestat.operators.forests import ForestEstimator, Pruning, Settings, fit_trees
+from lodestat.operators.forests import SHARED_ROWS, ForestEstimator, Pruning, Settings, fit_trees
 from lodestat.operators.metrics import accuracy, classification_report, regression_metrics
 from lodestat.plans.layout import spread
 from lodestat.plans.neighbors import build_tree, nearest
@@ -77,6 +78,7 @@ class Model:
         return SparkSession.active().createDataFrame([(t, float(c)) for t, c in rows], "term string, coefficient double")
 
 
+_WEIGHT = "_lodestat_weight"
 _SCRATCH = ("_features", "_lifted", "_label", "_index", "rawPrediction", "probability")
 
 
@@ -91,6 +93,23 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
 
 
+def _together(df: DataFrame, features: Sequence[str], target: str, task: str) -> DataFrame:
+    """One row per distinct features, with the mean label and the number of rows in `_WEIGHT`, if that leaves far fewer.
+
+    Of a classification rows of different labels stay apart. What sums weights
+    and labels of rows with equal features finds the same.
+    """
+    own = list(dict.fromkeys([*require(df, features), *require(df, [target])]))
+    whole = df.select(*own).dropna(subset=own)
+    by = features if task == "regression" else own
+    rows, distinct = whole.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*by))).first()
+    if rows < SHARED_ROWS * distinct or target in features:
+        return df
+    if task == "regression":
+        return whole.groupBy(*by).agg(F.avg(F.col(target).cast("double")).alias(target), F.count(F.lit(1)).cast("double").alias(_WEIGHT))
+    return whole.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias(_WEIGHT))
+
+
 def _depth(max_depth: int | None) -> int:
     if max_depth is not None and max_depth > DEEPEST:
         raise ValueError(f"Trees are at most {DEEPEST} levels deep.")
@@ -134,7 +153,7 @@ def _fit(df, task, features, target, stages, repeated: bool = True, **info) -> M
     """
     features = require(df, features)
     require(df, [target])
-    keep = [*features, target] + (["fold"] if "fold" in df.columns else [])
+    keep = [*features, target] + [c for c in ("fold", _WEIGHT) if c in df.columns]
     whole = df.select(*dict.fromkeys(keep)).dropna(subset=[*features, target])
     rows = spread(whole).persist() if repeated else whole
     try:
@@ -349,8 +368,11 @@ def gradient_boosting(
     df: DataFrame, features: Sequence[str], target: str, task: str = "regression",
     n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 3,
 ) -> Model:
-    """Boosted trees; more than two classes are fitted one against the rest."""
+    """Boosted trees; more than two classes are fitted one against the rest. Many rows of equal features are fitted as one of their weight."""
+    df = _together(df, features, target, task)
     options = dict(featuresCol="_features", maxIter=n_estimators, stepSize=learning_rate, maxDepth=_depth(max_depth), seed=SEED)
+    if _WEIGHT in df.columns:
+        options["weightCol"] = _WEIGHT
     if task == "regression":
         return _fit(df, task, features, target, [GBTRegressor(labelCol=target, **options)])
     return _fit_classes(df, features, target, lambda c: _one_against_rest(c, target, GBTClassifier(**c.columns(target), **options)))
@@ -359,7 +381,8 @@ def gradient_boosting(
 def _one_against_rest(classes: _Classes, target: str, classifier):
     if classes.count <= 2:
         return classifier
-    return OneVsRest(classifier=classifier, featuresCol=classifier.getFeaturesCol(), parallelism=8, **classes.columns(target))
+    weights = {"weightCol": _WEIGHT} if classifier.isSet("weightCol") else {}
+    return OneVsRest(classifier=classifier, featuresCol=classifier.getFeaturesCol(), parallelism=8, **weights, **classes.columns(target))
 
 
 # The search's parameters and what is tried by default.
@@ -531,6 +554,39 @@ class DotTransformer(_Stored):
         return dataset.withColumn("prediction", apply(vector_to_array("_lifted")))
 
 
+_GATHERED = 200_000  # rows looked at together
+_LABELS = 256        # and labels in a row, so that a batch of rows stays small
+
+
+def _gathered(df: DataFrame) -> DataFrame:
+    """(x, y) with the labels of equal points in one array, as far as they are near each other in the table."""
+
+    def gather(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= _GATHERED:
+                yield from together(pa.Table.from_batches(held))
+                held, rows = [], 0
+        if rows:
+            yield from together(pa.Table.from_batches(held))
+
+    def together(table):
+        flat = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        x, y = flat.reshape(table.num_rows, -1), table.column("y").to_numpy()
+        order = np.lexsort(x.T)
+        x, y = x[order], y[order]
+        first = np.append(True, (x[1:] != x[:-1]).any(axis=1))
+        place = np.arange(len(x))
+        starts = np.flatnonzero((place - np.maximum.accumulate(np.where(first, place, 0))) % _LABELS == 0)
+        points = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * x.shape[1]), pa.array(x[starts].ravel()))
+        labels = pa.ListArray.from_arrays(pa.array(np.append(starts, len(x)).astype(np.int32)), pa.array(y))
+        yield from pa.table({"x": points, "y": labels}).to_batches(max_chunksize=10_000)
+
+    return df.mapInArrow(gather, "x array<double>, y array<double>")
+
+
 def svm_regression(
     df: DataFrame, features: Sequence[str], target: str, kernel: str = "rbf", C: float = 1.0,
     epsilon: float = 0.1, degree: int = 3, size: int = 64, steps: int = 200,
@@ -544,25 +600,30 @@ def svm_regression(
     """
     whole = df.dropna(subset=[*require(df, features), *require(df, [target])])
     lifting = Pipeline(stages=[_assembler(features), *_lifting(kernel, len(features), degree, size)]).fit(whole)
-    rows = spread(lifting.transform(whole).select(
-        vector_to_array("_lifted").alias("x"), F.col(target).cast("double").alias("y")).where("y is not null")).persist()
+    # the random features of a point are drawn again in each step instead of being kept
+    random = isinstance(lifting.stages[-1], FourierTransformer)
+    lift = FourierFeatures(*lifting.stages[-1].held()["features"]) if random else np.asarray
+    scaled = (PipelineModel(lifting.stages[:-1]) if random else lifting).transform(whole)
+    rows = _gathered(spread(scaled.select(
+        vector_to_array("_scaled" if random else "_lifted").alias("x"), F.col(target).cast("double").alias("y")).where("y is not null"))).persist()
     try:
-        width = len(rows.first()["x"]) + 1
+        width = lift(np.array([rows.first()["x"]])).shape[1] + 1
 
         def step_sums(w: np.ndarray | None):
             def terms(batch: pd.DataFrame) -> np.ndarray:
-                x = np.column_stack([np.stack(batch["x"].to_numpy()), np.ones(len(batch))])
-                y = batch["y"].to_numpy()
+                x = np.column_stack([lift(np.stack(batch["x"].to_numpy())), np.ones(len(batch))])
+                many, y = batch["y"].str.len().to_numpy(), np.concatenate(batch["y"].to_numpy())
                 if w is None:
                     pull, goal = np.ones(len(y)), y
                 else:
-                    gap = y - x @ w
+                    gap = y - np.repeat(x @ w, many)
                     over = np.abs(gap) - epsilon
                     # beyond epsilon the loss C * over becomes a square with this weight
                     pull = np.where(over > 0, C / np.maximum(over, 1e-3 * max(epsilon, 1e-3)), 0.0)
                     goal = y - np.sign(gap) * epsilon
-                weighted = x * pull[:, None]
-                return np.concatenate([(x.T @ weighted).ravel(), weighted.T @ goal])
+                starts = np.cumsum(many) - many
+                weighted = x * np.add.reduceat(pull, starts)[:, None]
+                return np.concatenate([(x.T @ weighted).ravel(), x.T @ np.add.reduceat(pull * goal, starts)])
             return terms
 
         w, done = None, False

@@ -153,3 +153,26 @@ def test_prepare_fills_the_calendar(spark):
     df = spark.createDataFrame([("a", "2024-01-01 05:00:00", 1.0), ("a", "2024-01-03 05:00:00", 2.0)], "k string, t string, v double")
     rows = series.prepare_series(df.withColumn("t", F.col("t").cast("timestamp_ntz")), "t", "v", "k").orderBy("ts").collect()
     assert [r["value"] for r in rows] == [1.0, 0.0, 2.0]
+
+
+def test_many_rows_of_equal_features_are_fitted_as_one(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr(
+        "double(id % 7) AS a", "double(id % 5) AS b", "(id % 7) * 2.0 - (id % 5) + (id % 3) AS y", "int((id % 7) * 3 > (id % 5) * 4) AS c")
+    kept = models._together(rows, ["a", "b"], "y", "regression")
+    assert kept.count() == 35 and kept.agg(F.sum(models._WEIGHT)).first()[0] == 4000
+    joined = [models.gradient_boosting(rows, ["a", "b"], t, k, n_estimators=4) for t, k in (("y", "regression"), ("c", "classification"))]
+    monkeypatch.setattr(models, "SHARED_ROWS", 10**9)
+    assert models._together(rows, ["a", "b"], "y", "regression") is rows
+    for model, (t, k) in zip(joined, (("y", "regression"), ("c", "classification"))):
+        plain = models.gradient_boosting(rows, ["a", "b"], t, k, n_estimators=4).scores(rows).first()
+        assert list(model.scores(rows).first()) == pytest.approx(list(plain), rel=1e-6)
+
+
+def test_labels_of_equal_points_are_gathered(spark, monkeypatch):
+    """No lifted rows are kept: a table of few points is kept as these and its labels."""
+    monkeypatch.setattr(models, "_LABELS", 16)
+    rows = spark.range(0, 1000, 1, 2).selectExpr("array(double(id % 4), double(id % 2)) AS x", "double(id) AS y")
+    found = models._gathered(rows).collect()
+    assert len(found) == 2 * 4 * 8 and max(len(r["y"]) for r in found) == 16
+    assert sorted(v for r in found for v in r["y"]) == list(range(1000))
+    assert all(r["x"] == [v % 4, v % 2] for r in found for v in r["y"])
