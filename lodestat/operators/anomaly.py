@@ -202,16 +202,17 @@ def one_class_svm(
     names = pick(df, columns, numeric_columns(df))
     lift = FourierFeatures(len(names), gamma or 1.0 / len(names), features, seed)
     at = coordinates(df, names)
-    rows = spread(df.select(at.alias("x")).where("x is not null")).persist()
+    # equal points have equal scores
+    rows = spread(df.select(at.alias("x")).where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n"))).persist()
     bins = 1_024
 
     def step_sums(w: np.ndarray, rho: float, low: float, high: float):
         def terms(batch: pd.DataFrame) -> np.ndarray:
-            z = lift(np.stack(batch["x"].to_numpy()))
+            z, n = lift(np.stack(batch["x"].to_numpy())), batch["n"].to_numpy(float)
             scores = z @ w
             below = scores <= rho
             place = np.clip((scores - low) / (high - low) * bins, 0, bins - 1).astype(int)
-            return np.concatenate([[below.sum()], z[below].sum(axis=0), np.bincount(place, minlength=bins)])
+            return np.concatenate([[n[below].sum()], n[below] @ z[below], np.bincount(place, n, minlength=bins)])
         return terms
 
     try:

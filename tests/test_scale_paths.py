@@ -277,3 +277,14 @@ def test_patterns_let_through_what_a_layout_parses(spark):
         for i, p in enumerate(convert.DATE_LAYOUTS)]).first()
     assert not any(matched)
     assert texts.where("s LIKE 'no date%'").select(*[F.col("s").rlike(convert._could_be(p)) for p in convert.DATE_LAYOUTS]).first().count(True) == 0
+
+
+def test_one_class_svm_looks_at_equal_points_once(spark, monkeypatch):
+    from lodestat.operators import anomaly
+
+    seen = []
+    own = anomaly.vector_sum
+    monkeypatch.setattr(anomaly, "vector_sum", lambda df, *a: seen.append(df.count()) or own(df, *a))
+    rows = spark.range(300).selectExpr("id", "double(id % 5) AS x", "double(id % 3) AS y")
+    anomaly.one_class_svm(rows, ["x", "y"], steps=1)
+    assert set(seen) == {15}
