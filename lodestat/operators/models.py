@@ -7,14 +7,14 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import partial
-from itertools import combinations_with_replacement, product
+from itertools import combinations, combinations_with_replacement, product
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LinearSVC, OneVsRest
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
+from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import IndexToString, PolynomialExpansion, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -28,6 +28,7 @@ from lodestat.operators.features import _scaling, with_fold
 from lodestat.operators.forests import SHARED_ROWS, ForestEstimator, Pruning, Settings, fit_trees
 from lodestat.operators.metrics import accuracy, classification_report, regression_metrics
 from lodestat.plans.layout import spread
+from lodestat.plans.minimise import minimise
 from lodestat.plans.neighbors import build_tree, nearest
 from lodestat.plans.skew import join_values
 from lodestat.plans.sums import FourierFeatures, vector_sum
@@ -526,20 +527,101 @@ def svm_classifier(
     df: DataFrame, features: Sequence[str], target: str, kernel: str = "rbf", C: float = 1.0,
     degree: int = 3, size: int = 128, max_iter: int = 50,
 ) -> Model:
-    """Support vector classification on scaled features.
+    """Support vector classification on scaled features, one class against another for every two.
 
-    The linear kernel is exact. `poly` uses all monomials up to the degree and
-    `rbf` random Fourier features, both approximations of the kernel machine.
+    The linear kernel is that of the exact machine but for the hinge, rounded
+    over the last hundredth of its margin. `poly` uses all monomials up to the
+    degree and `rbf` random Fourier features, both approximations of the kernel
+    machine. `max_iter` limits the steps of each of three roundings.
     """
-    n = df.dropna(subset=[*require(df, features), *require(df, [target])]).count()  # the rows that are fitted
-
-    def machine(classes: _Classes):
-        return _one_against_rest(classes, target, LinearSVC(
-            featuresCol="_lifted", **classes.columns(target), regParam=1.0 / (C * max(n, 1)), maxIter=max_iter, tol=1e-4))
+    def machine(classes: _Classes) -> PairsEstimator:
+        own = classes.columns(target)
+        return PairsEstimator(own["labelCol"], own.get("predictionCol", "prediction"), C, max_iter)
 
     return _fit_classes(df, features, target, machine, _lifting(kernel, len(features), degree, size), kernel=kernel)
 
 
+_ROUNDED = (1.0, 0.1, 0.01)  # margins over which the hinge is rounded, one after another
+_AT_ONCE = 1 << 18           # weights that are fitted together
+
+
+class PairsEstimator(Estimator):
+    """Linear machines on `_lifted`, one for every two classes; a pass over the table is a step of all of them."""
+
+    def __init__(self, label: str, prediction: str, C: float, steps: int):
+        super().__init__()
+        self.label, self.prediction, self.C, self.steps = label, prediction, C, steps
+
+    def _fit(self, dataset: DataFrame) -> PairsTransformer:
+        rows = dataset.select(vector_to_array("_lifted").alias("x"), F.col(self.label).cast("int").alias("y")).persist()
+        try:
+            counts = dict(rows.groupBy("y").count().collect())  # a row per class
+            if not counts:
+                raise ValueError("There are no rows to fit a machine on.")
+            pairs = np.array(list(combinations(sorted(counts), 2)), int).reshape(-1, 2)
+            width = len(rows.first()["x"]) + 1
+            at_once = max(1, _AT_ONCE // width)
+            found = [_fit_pairs(rows, pairs[i:i + at_once], counts, width, self.C, self.steps) for i in range(0, len(pairs), at_once)]
+        finally:
+            rows.unpersist()
+        return PairsTransformer.of(
+            pairs=pairs.tolist(), weights=[w for part in found for w in part.tolist()], classes=max(counts) + 1, only=min(counts), prediction=self.prediction)
+
+
+def _fit_pairs(rows: DataFrame, pairs: np.ndarray, counts: Mapping[int, int], width: int, C: float, steps: int) -> np.ndarray:
+    """(pairs, width): weights and offset of the machine that tells each pair's first class, on the positive side, from its second."""
+    many = np.array([counts[a] + counts[b] for a, b in pairs.tolist()], float)
+    w = np.zeros((len(pairs), width))
+    for rounded in _ROUNDED:
+
+        def evaluate(points: np.ndarray, of: np.ndarray):
+            own = {c: (np.flatnonzero((pairs[of] == c).any(axis=1)), np.where(pairs[of, 0] == c, 1.0, -1.0)) for c in counts}
+
+            def terms(batch: pd.DataFrame) -> np.ndarray:
+                x, y = np.column_stack([np.stack(batch["x"].to_numpy()), np.ones(len(batch))]), batch["y"].to_numpy()
+                out = np.zeros((len(of), width + 1))
+                for c in np.unique(y):
+                    at, sign = own[c]
+                    if len(at):
+                        mine, side = x[y == c], sign[at]
+                        short = np.maximum(0.0, 1.0 - (mine @ points[at].T) * side)
+                        out[at, -1] += np.where(short < rounded, short ** 2 / (2 * rounded), short - rounded / 2).sum(axis=0)
+                        out[at, :-1] -= (np.minimum(short / rounded, 1.0) * side).T @ mine
+                return out.ravel()
+
+            total = vector_sum(rows, terms, len(of) * (width + 1)).reshape(len(of), -1) / many[of, None]
+            inner = points.copy()
+            inner[:, -1] = 0.0  # the offset is free
+            pull = 1.0 / (C * many[of])
+            return total[:, -1] + pull / 2 * (inner ** 2).sum(axis=1), total[:, :-1] + pull[:, None] * inner
+
+        # all but the last only give the next one its start
+        w, _ = minimise(evaluate, w, steps, *(() if rounded == _ROUNDED[-1] else (1e-3, 1e-4)))
+    return w
+
+
+class PairsTransformer(_Stored):
+    """The class that most machines vote for, the first of several, in Arrow batches."""
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        held = self.held()
+        pairs, weights = np.array(held["pairs"], int).reshape(-1, 2), np.array(held["weights"])
+        classes, only = held["classes"], held["only"]
+
+        @F.pandas_udf("double")
+        def apply(points: pd.Series) -> pd.Series:
+            if not len(pairs) or not len(points):
+                return pd.Series(np.full(len(points), float(only)))
+            first = np.stack(points.to_numpy()) @ weights[:, :-1].T + weights[:, -1] > 0
+            votes = np.zeros((len(points), classes), np.int32)
+            for (a, b), side in zip(pairs, first.T):
+                votes[:, a] += side
+                votes[:, b] += ~side
+            return pd.Series(votes.argmax(axis=1).astype(float))
+
+        return dataset.withColumn(held["prediction"], apply(vector_to_array("_lifted")))
+
+
 class DotTransformer(_Stored):
     """Prediction as a dot product of the lifted vector, in Arrow batches."""
 

@@ -8,6 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from lodestat.operators import features, metrics, models, series
+from lodestat.plans.minimise import minimise
 from lodestat.sources import models as saved
 
 NAMES = [f"f{i}" for i in range(5)]
@@ -176,3 +177,37 @@ def test_labels_of_equal_points_are_gathered(spark, monkeypatch):
     assert len(found) == 2 * 4 * 8 and max(len(r["y"]) for r in found) == 16
     assert sorted(v for r in found for v in r["y"]) == list(range(1000))
     assert all(r["x"] == [v % 4, v % 2] for r in found for v in r["y"])
+
+
+def test_machines_of_pairs_keep_to_the_most_frequent_class_where_little_tells_them_apart(spark):
+    """One against the rest, no class of less than half the rows wins a machine and chance decides."""
+    rng = np.random.default_rng(3)
+    y = rng.choice(3, 3000, p=[0.4, 0.3, 0.3])
+    x = rng.normal(size=(3000, 3))
+    x[(y == 1) & (rng.random(3000) < 0.3)] += [5, 0, 0]
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]).assign(label=np.array(["p", "q", "r"])[y]))
+    found = models.svm_classifier(rows, ["a", "b", "c"], "label", kernel="linear").transform(rows)
+    assert found.where("prediction = label").count() > np.bincount(y).max() + 100
+
+
+def test_machines_of_all_classes_share_their_passes(spark, monkeypatch):
+    passes = []
+    monkeypatch.setattr(models, "vector_sum", lambda df, terms, size, own=models.vector_sum: passes.append(size) or own(df, terms, size))
+    rng = np.random.default_rng(5)
+    y = np.arange(400) % 8
+    x = rng.normal(size=(400, 2)) + 9 * np.stack([np.cos(y * np.pi / 4), np.sin(y * np.pi / 4)], axis=1)
+    rows = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "label": y}))
+    assert models.svm_classifier(rows, ["a", "b"], "label", kernel="linear", max_iter=20).scores(rows).first()["accuracy"] > 0.95
+    assert passes[0] == 28 * 4 and len(passes) < 200
+
+
+def test_functions_are_minimised_side_by_side():
+    rng = np.random.default_rng(0)
+    goal, scale = rng.normal(size=(5, 4)), rng.uniform(0.5, 20, size=(5, 4))
+
+    def evaluate(points, of):
+        gap = points - goal[of]
+        return (scale[of] * gap ** 2).sum(axis=1), 2 * scale[of] * gap
+
+    found, settled = minimise(evaluate, np.zeros((5, 4)), 100, flat=1e-8, still=0.0)
+    assert settled.all() and np.allclose(found, goal, atol=1e-6)
