@@ -277,7 +277,11 @@ class _Level:
         left_w = run(w)[cut]
         right_w = self.weight[own] - left_w
         label = self.label[rows]
-        if self.s.classes:
+        if self.s.classes == 2:
+            one = run(w * label)[cut]
+            zero = left_w - one
+            left, right = one ** 2 + zero ** 2, (self.sums[own, 1] - one) ** 2 + (self.sums[own, 0] - zero) ** 2
+        elif self.s.classes:
             # sums of squares over classes grow with each row by what its own class had before it
             order = np.argsort(label, kind="stable")  # small numbers: no comparisons
             own_w = w[order]

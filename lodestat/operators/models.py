@@ -28,6 +28,7 @@ from lodestat.operators.features import _scaling, with_fold
 from lodestat.operators.forests import SHARED_ROWS, ForestEstimator, Pruning, Settings, fit_trees
 from lodestat.operators.metrics import accuracy, classification_report, regression_metrics
 from lodestat.plans.layout import spread
+from lodestat.plans.lineage import checkpoint
 from lodestat.plans.minimise import minimise
 from lodestat.plans.neighbors import build_tree, nearest
 from lodestat.plans.skew import join_values
@@ -392,20 +393,39 @@ _DEFAULTS = {"n_estimators": 100, "max_depth": None, "min_samples_split": 2, "mi
 _LESS = ("mse", "rmse", "mae", "hammingLoss")
 
 
-def _fold_scores(scored: DataFrame, classes: int, metric: str, cells: int) -> dict[int, dict[int, float]]:
-    """fold: cell: score, from the (fold, y, values) of the rows, `values` with the sums of every cell one after another."""
-    width = max(1, classes)
-    cell = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.slice("values", i * width + 1, width))).alias("cell", "own")
-    rows = scored.select("fold", "y", "trees", cell)
+def _answered(batches, classes: int, cells: int):
+    """(fold, cell, y, said, n): how many rows of a class each cell's largest sum puts into which."""
+    for batch in batches:
+        said = np.asarray(batch.column("values").flatten(), float).reshape(-1, cells, classes).argmax(axis=2)
+        fold, y, n = (np.asarray(batch.column(c)).astype(np.int64) for c in ("fold", "y", "n"))
+        codes, at = np.unique((((fold[:, None] * cells + np.arange(cells)) * classes + y[:, None]) * classes + said).ravel(), return_inverse=True)
+        many = np.bincount(at, np.repeat(n, cells), len(codes)).astype(np.int64)
+        place, said = np.divmod(codes, classes)
+        place, y = np.divmod(place, classes)
+        fold, cell = np.divmod(place, cells)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(fold.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(y), pa.array(said), pa.array(many)], ["fold", "cell", "y", "said", "n"])
+
+
+def _fold_scores(scored: DataFrame, classes: int, metric: str, trees: Sequence[int]) -> dict[int, dict[int, float]]:
+    """fold: cell: score, from the (fold, y, values) of the rows, `values` with the sums of every cell one after another.
+
+    A cell is the first so many `trees` under a pruning. Of a classification, a row stands for `n` equal ones.
+    """
+    cells = len(trees)
     if not classes:
-        gap = F.col("y") - F.get(F.col("own"), F.lit(0)) / F.get("trees", F.col("cell"))
+        each = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.slice("values", i + 1, 1))).alias("cell", "own")
+        rows = scored.select("fold", "y", each)
+        gap = F.col("y") - F.get(F.col("own"), F.lit(0)) / F.get(F.array(*[F.lit(n) for n in trees]), F.col("cell"))
         sums = rows.groupBy("fold", "cell").agg(
             F.avg(gap * gap).alias("mse"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"),
             (1 - F.try_divide(F.sum(gap * gap), F.var_pop("y") * F.count("y"))).alias("r2"))
         found = sums.select("fold", "cell", F.col(metric).alias("score")).collect()
     else:
-        said = F.array_position("own", F.array_max("own")) - 1
-        counts = rows.groupBy("fold", "cell", F.col("y").cast("long").alias("y"), said.alias("said")).agg(F.count(F.lit(1)).alias("n"))
+        told = scored.select("fold", "y", "n", "values").mapInArrow(
+            partial(_answered, classes=classes, cells=cells), "fold int, cell int, y long, said long, n long")
+        # read twice below, so that without a table of their own all rows would be scored twice
+        counts = checkpoint(told.groupBy("fold", "cell", "y", "said").agg(F.sum("n").alias("n")))
         hit = F.when(F.col("y") == F.col("said"), F.col("n")).otherwise(0)
         real, named = Window.partitionBy("fold", "cell", "y"), Window.partitionBy("fold", "cell", "said")
         rated = counts.withColumns({"hit": hit, "real": F.sum("n").over(real), "named": F.sum("n").over(named)}).where("y = said")
@@ -463,14 +483,16 @@ def grid_search(
         folded, label = classes.indexer.transform(folded), "_label"
     points = spread(folded.select(
         "fold", F.array(*[present(folded, c).cast("double") for c in features]).alias("x"), F.col(label).cast("double").alias("y"))).persist()
-    trees = F.array(*[F.lit(n) for n, _ in cells])
+    cores = df.sparkSession.sparkContext.defaultParallelism
 
     def one(fold: int, leaf: int) -> dict[int, float]:
         settings = _forest_settings(task, classes.count if classes else 0, len(features), prefixes[-1], None, min(tried["min_samples_split"]), leaf)
         forest = fit_trees(points.where(F.col("fold") != fold), len(features), replace(settings, max_depth=deepest))
-        asked = points.where(F.col("fold") == fold).withColumn("id", F.monotonically_increasing_id())
-        scored = forest.values(asked, prunings, prefixes).withColumn("trees", trees)
-        return _fold_scores(scored, classes.count if classes else 0, metric, len(cells)).get(fold, {})
+        asked = points.where(F.col("fold") == fold)
+        if classes:  # equal rows are scored once, by all cores however few they are
+            asked = asked.groupBy("fold", "x", "y").agg(F.count(F.lit(1)).alias("n")).repartition(cores)
+        scored = forest.values(asked.withColumn("id", F.monotonically_increasing_id()), prunings, prefixes)
+        return _fold_scores(scored, classes.count if classes else 0, metric, [n for n, _ in cells]).get(fold, {})
 
     try:
         runs = list(product(range(cv), dict.fromkeys(tried["min_samples_leaf"])))

@@ -215,3 +215,28 @@ def test_models_are_scored_the_same_way(spark, monkeypatch, classes):
     monkeypatch.setattr(forests, "MODEL_BYTES", forest.bytes - 1)
     monkeypatch.setattr(forests, "PART_CELLS", 80)
     assert np.allclose(predictions(forest, asked, **options), cells)
+
+
+def test_grid_scores_every_row_once_and_by_its_number(spark):
+    scored_rows = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def values(i):
+        scored_rows.add(1)
+        return [0.0, 1.0, 2.0, 1.0] if i % 4 else [1.0, 0.0, 0.0, 1.0]
+
+    rows = spark.range(0, 40, 1, 2).select(
+        F.lit(3).alias("fold"), (F.col("id") % 2).cast("double").alias("y"), F.when(F.col("id") % 4 == 0, 5).otherwise(1).cast("long").alias("n"), values("id").alias("values"))
+    found = models._fold_scores(rows, 2, "accuracy", [1, 1])
+    # ten rows of class 0 that stand for five each, ten more of it, twenty of class 1
+    assert found == {3: {0: pytest.approx(70 / 80), 1: pytest.approx(10 / 80)}}
+    assert scored_rows.value == 40
+
+
+def test_two_classes_split_as_more_do():
+    x, y = sample(400, classes=3, values=12)
+    y = (y > 0).astype(float)
+    for options in ({}, {"subset": 1}, {"min_samples_leaf": 3}):
+        two, three = (grow(x, y, np.arange(400) % 3 * 1.0, Settings(classes=c, **options), np.uint64(7)) for c in (2, 3))
+        assert (two.feature == three.feature).all() and (two.threshold == three.threshold).all()
+        assert (two.value == three.value[:, :2]).all() and np.allclose(two.gain, three.gain)
