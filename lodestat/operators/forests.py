@@ -24,10 +24,11 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestat.plans.lineage import checkpoint_folder
+from lodestat.plans.lineage import checkpoint_folder, shuffles_dropped
 
-PART_CELLS = 24_000_000       # rows times columns that one task grows on
+PART_CELLS = 24_000_000       # rows times columns that one task grows on, twice as many of floats whose ranks take their place
 PART_ROWS = 1_000_000         # and rows
+WAVE_TREES = 4                # trees for each core whose rows are dealt to parts at once
 BROADCAST_BYTES = 32 << 20    # a table of so many bytes is sent to the tasks whole
 MODEL_BYTES = 64 << 20        # and so is a model when scoring
 HISTOGRAM_BYTES = 64 << 20    # sums that a task holds in a pass
@@ -36,6 +37,7 @@ SHARED_ROWS = 8               # rows per distinct features from which draws are
 DISTINCT = 100_000            # and the most distinct features for that
 CELLS = 50_000                # values of a table that stands for a model when scoring
 CHUNK_ROWS = 100_000          # rows that a task draws for or counts at once
+BLOCK_ROWS = 32_768           # rows whose nodes are grown apart from the others, as they stay in a core's cache
 BINS = 256
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 # Upper limits of a uniform draw for 0, 1, 2, ... of a Poisson variable of mean 1.
@@ -100,12 +102,16 @@ class Settings:
 
     def tried(self, seeds: np.ndarray, dims: int) -> np.ndarray:
         """(nodes, dims): the features each node may split on first."""
-        if self.subset is None or self.subset >= dims:
+        if not self.some(dims):
             return np.ones((len(seeds), dims), bool)
         out = np.zeros((len(seeds), dims), bool)
         np.put_along_axis(out, self.tried_first(seeds, dims), True, axis=1)
         return out
 
+    def some(self, dims: int) -> bool:
+        """Whether nodes try some of the features only."""
+        return self.subset is not None and self.subset < dims
+
     def tried_first(self, seeds: np.ndarray, dims: int) -> np.ndarray:
         """(nodes, subset): the same as places, ascending."""
         drawn = _mix(seeds[:, None] + np.arange(1, dims + 1, dtype=np.uint64))
@@ -126,19 +132,35 @@ class Nodes:
     rows: np.ndarray
     gain: np.ndarray
     value: np.ndarray
+    which: np.ndarray | None = None  # of a slim tree: places of the nodes' values among those that differ
+
+    def values(self, nodes: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return self.value[nodes] if self.which is None else self.value[self.which[nodes]]
+
+    def slim(self, inner: bool) -> Nodes:
+        """The same with every value held once, of the leaves only unless a pruning may end at `inner` nodes."""
+        value = np.ascontiguousarray(self.values() if inner else np.where((self.feature < 0)[:, None], self.values(), 0.0), float)
+        _, first, which = np.unique(value.view(np.dtype((np.void, value.itemsize * value.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        return replace(self, gain=np.zeros(0), value=value[first], which=which)
+
+    @classmethod
+    def leaves(cls, nodes: int, width: int) -> Nodes:
+        return cls(np.full(nodes, -1), np.zeros(nodes), np.zeros(nodes, int), np.zeros(nodes), np.zeros(nodes), np.zeros((nodes, width)))
 
     def packed(self) -> dict[str, bytes]:
-        return {name: np.ascontiguousarray(getattr(self, name), kind).tobytes() for name, kind in _KINDS.items()}
+        kinds = _KINDS if self.which is None else _SLIM_KINDS
+        return {name: np.ascontiguousarray(getattr(self, name), kind).tobytes() for name, kind in kinds.items()}
 
     @classmethod
     def unpacked(cls, row, width: int) -> Nodes:
-        own = {name: np.frombuffer(row[name], dtype=kind) for name, kind in _KINDS.items()}
+        own = {name: np.frombuffer(row[name], dtype=kind) for name, kind in (_SLIM_KINDS if "which" in row else _KINDS).items()}
         own["value"] = own["value"].reshape(-1, width)
         return cls(**own)
 
 
 _KINDS = {"feature": "i4", "threshold": "f8", "left": "i4", "rows": "i8", "gain": "f8", "value": "f8"}
-_PARTS = "tree int, part int, depth int, " + ", ".join(f"{name} binary" for name in _KINDS)
+_SLIM_KINDS = _KINDS | {"which": "i4"}
+_PARTS, _SLIM = ("tree int, part int, depth int, " + ", ".join(f"{name} binary" for name in kinds) for kinds in (_KINDS, _SLIM_KINDS))
 
 
 @dataclass
@@ -153,13 +175,23 @@ class Held:
     high: np.ndarray | None = None
     ranks: np.ndarray | None = None   # (items, dims): places of the values among a column's
 
+    def of(self, rows: np.ndarray) -> Held:
+        """Some of the items of a classification."""
+        ranks = self.ranks[rows]
+        x = replace(self.x, ranks=ranks) if isinstance(self.x, _Ranked) else self.x[rows]
+        return Held(x, self.count[rows], self.weight[rows], self.label[rows], ranks=ranks)
+
     @classmethod
     def rows(cls, x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, ranks: np.ndarray | None = None) -> Held:
         if classes:
-            return cls(x, (w > 0).astype(float), w, y.astype(np.int16), ranks=ranks)
+            return cls(x, (w > 0).astype(float), w, y.astype(_small(classes)), ranks=ranks)
         return cls(x, (w > 0).astype(float), w, w * y, y, y, ranks)
 
 
+def _small(classes: int) -> type:
+    return np.int8 if classes < 128 else np.int16
+
+
 def _ranks(x: np.ndarray) -> np.ndarray:
     return np.stack([np.unique(x[:, f], return_inverse=True)[1].astype(np.int32) for f in range(x.shape[1])], axis=1)
 
@@ -180,57 +212,111 @@ def grow_on(held: Held, s: Settings, seed: np.uint64, depth: int = 0) -> Nodes:
     x, w, dims = held.x, held.weight, held.x.shape[1]
     inside = np.flatnonzero(held.count > 0)
     shift = 0.0 if s.classes else float(held.label[inside].sum() / w[inside].sum())
-    label = held.label if s.classes else held.label - shift * w
-    some = s.subset is not None and s.subset < dims
-    if some:
-        ranks = held.ranks if held.ranks is not None else _ranks(x)
+    if not s.classes:
+        held = replace(held, label=held.label - shift * w)
+    if s.some(dims):
+        held = held if held.ranks is not None else replace(held, ranks=_ranks(x))
         orders = inside[None, :]
     else:
-        ranks = None
         orders = np.stack([inside[np.argsort(x[inside, f], kind="stable")] for f in range(dims)])
-    starts, seeds = np.array([0]), np.array([seed], np.uint64)
+    return _grow_levels(held, s, orders, np.array([0]), np.array([seed], np.uint64), depth, shift + s.shift)
+
+
+def _grow_levels(held: Held, s: Settings, orders: np.ndarray, starts: np.ndarray, seeds: np.ndarray, depth: int, shift: float) -> Nodes:
+    """Trees whose roots have the items from each start on; the roots come first.
+
+    Of a classification whose nodes try some features, nodes of few rows are
+    grown apart from a large level, some together, as whole trees below it.
+    """
+    x, w, label = held.x, held.weight, held.label
+    some = s.some(x.shape[1])
     made: dict[str, list[np.ndarray]] = {name: [] for name in _KINDS}
-    total = 1
+    total = len(starts)
+    blocks: list[tuple[np.ndarray, Nodes]] = []
     while len(starts):
         rows = orders[0]
         sizes = np.diff(np.append(starts, len(rows)))
-        many = np.add.reduceat(held.count[rows], starts)
-        weight = np.add.reduceat(w[rows], starts)
-        if s.classes:
-            node = np.repeat(np.arange(len(starts)), sizes)
-            sums = np.bincount(node * s.classes + label[rows], w[rows], len(starts) * s.classes).reshape(-1, s.classes)
-            mixed = sums.max(axis=1) < weight
+        first = total - len(starts)
+        apart = sizes <= BLOCK_ROWS if s.classes and some and len(rows) > BLOCK_ROWS else np.zeros(len(starts), bool)
+        if apart.any():
+            for nodes in _packed(sizes, np.flatnonzero(apart)):
+                own = rows[np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in nodes])]
+                begins = np.concatenate([[0], np.cumsum(sizes[nodes])[:-1]])
+                blocks.append((first + nodes, _grow_levels(held.of(own), s, np.arange(len(own))[None, :], begins, seeds[nodes], depth, shift)))
+            orders = orders[:, np.repeat(~apart, sizes)]
+            rows, own = orders[0], np.flatnonzero(~apart)
+            sizes, seeds = sizes[own], seeds[own]
+            starts = np.cumsum(sizes) - sizes
         else:
-            sums = np.add.reduceat(label[rows], starts)[:, None]
-            mixed = np.minimum.reduceat(held.low[rows], starts) < np.maximum.reduceat(held.high[rows], starts)
-        purity = (sums ** 2).sum(axis=1) / weight
-        open_ = mixed & (many >= max(2, s.min_samples_split, 2 * s.min_samples_leaf))
-        if s.max_depth is not None and depth >= s.max_depth:
-            open_[:] = False
-        feature, threshold, lefts = np.full(len(starts), -1), np.zeros(len(starts)), np.zeros(len(starts), int)
-        best = np.full(len(starts), -np.inf)
-        if open_.any():
-            keep = np.repeat(open_, sizes)
-            orders, own = orders[:, keep], np.flatnonzero(open_)
-            level = _Level(x, held.count, w, label, s, sizes[own], many[own], weight[own], sums[own])
-            feature[own], threshold[own], best[own] = (
-                _tried_splits(level, ranks, orders[0], seeds[own]) if some else _all_splits(level, orders))
-        split = feature >= 0
-        made["feature"].append(feature)
-        made["threshold"].append(threshold)
-        made["rows"].append(many)
-        made["gain"].append(np.where(split, best - purity, 0.0))
-        made["value"].append(sums / weight[:, None] + (shift + s.shift))
-        lefts[split] = total + 2 * np.arange(split.sum())
-        made["left"].append(lefts)
+            own = np.arange(len(starts))
+        here = Nodes.leaves(len(apart), s.width)
+        split = np.zeros(0, bool)
+        if len(own):
+            many = np.add.reduceat(held.count[rows], starts)
+            weight = np.add.reduceat(w[rows], starts)
+            if s.classes:
+                node = np.repeat(np.arange(len(starts)), sizes)
+                sums = np.bincount(node * s.classes + label[rows], w[rows], len(starts) * s.classes).reshape(-1, s.classes)
+                mixed = sums.max(axis=1) < weight
+            else:
+                sums = np.add.reduceat(label[rows], starts)[:, None]
+                mixed = np.minimum.reduceat(held.low[rows], starts) < np.maximum.reduceat(held.high[rows], starts)
+            purity = (sums ** 2).sum(axis=1) / weight
+            open_ = mixed & (many >= max(2, s.min_samples_split, 2 * s.min_samples_leaf))
+            if s.max_depth is not None and depth >= s.max_depth:
+                open_[:] = False
+            here.rows[own], here.value[own] = many, sums / weight[:, None] + shift
+            feature, threshold, best, edge = np.full(len(own), -1), np.zeros(len(own)), np.full(len(own), -np.inf), np.zeros(len(own), np.int64)
+            if open_.any():
+                orders, to = orders[:, np.repeat(open_, sizes)], np.flatnonzero(open_)
+                level = _Level(x, held.count, w, label, s, sizes[to], many[to], weight[to], sums[to])
+                if some:
+                    feature[to], threshold[to], best[to], edge[to] = _tried_splits(level, held.ranks, orders[0], seeds[to])
+                else:
+                    feature[to], threshold[to], best[to] = _all_splits(level, orders)
+            split = feature >= 0
+            here.feature[own], here.threshold[own], here.gain[own] = feature, threshold, np.where(split, best - purity, 0.0)
+            here.left[own[split]] = total + 2 * np.arange(split.sum())
+        for name in _KINDS:
+            made[name].append(getattr(here, name))
         total += 2 * int(split.sum())
         if not split.any():
             break
         inside = np.repeat(split[open_], sizes[open_])
-        orders, starts = _dealt(x, orders[:, inside], sizes[split], feature[split], threshold[split])
+        orders, feature, threshold = orders[:, inside], feature[split], threshold[split]
+        node = np.repeat(np.arange(len(feature)), sizes[split])
+        if some:
+            goes = held.ranks.reshape(-1)[orders[0] * x.shape[1] + feature[node]] <= edge[split][node]
+        else:
+            goes = np.zeros(len(x), bool)
+            goes[orders[0]] = x[orders[0], feature[node]] <= threshold[node]
+        orders, starts = _dealt(goes, orders, sizes[split], node, apart=some)
         seeds = np.stack([_below(seeds[split], False), _below(seeds[split], True)], axis=1).ravel()
         depth += 1
-    return Nodes(**{name: np.concatenate(parts) for name, parts in made.items()})
+    whole = Nodes(**{name: np.concatenate(parts) for name, parts in made.items()})
+    if not blocks:
+        return whole
+    pieces, at = [whole], len(whole.feature)
+    for roots, nodes in blocks:
+        many = len(roots)
+        nodes.left[nodes.left > 0] += at - many
+        for name in _KINDS:
+            getattr(whole, name)[roots] = getattr(nodes, name)[:many]
+        pieces.append(Nodes(**{name: getattr(nodes, name)[many:] for name in _KINDS}))
+        at += len(nodes.feature) - many
+    return Nodes(**{name: np.concatenate([getattr(p, name) for p in pieces]) for name in _KINDS})
+
+
+def _packed(sizes: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
+    """The nodes in runs of at most BLOCK_ROWS rows together."""
+    out, held = [[]], 0
+    for i, size in zip(nodes.tolist(), sizes[nodes].tolist()):
+        if held + size > BLOCK_ROWS and out[-1]:
+            out.append([])
+            held = 0
+        out[-1].append(i)
+        held += size
+    return [np.array(run) for run in out]
 
 
 @dataclass
@@ -247,6 +333,9 @@ class _Level:
     weight: np.ndarray
     sums: np.ndarray     # (nodes, width)
 
+    def __post_init__(self):
+        self.ends, self.node = np.cumsum(self.sizes) - 1, np.repeat(np.arange(len(self.sizes)), self.sizes)
+
     def of(self, nodes: np.ndarray) -> _Level:
         return replace(self, sizes=self.sizes[nodes], many=self.many[nodes], weight=self.weight[nodes], sums=self.sums[nodes])
 
@@ -256,14 +345,14 @@ class _Level:
         `rows` are sorted by a feature within each node; `changes` are the places
         (but the last) after which its value changes or a node ends.
         """
-        ends = np.cumsum(self.sizes) - 1
-        starts = ends - self.sizes + 1
-        node = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        ends, node = self.ends, self.node
         w = self.w[rows]
 
         def run(values):
             total = np.cumsum(values)
-            return total - np.where(starts > 0, total[starts - 1], 0.0)[node]
+            before = np.zeros(len(ends))
+            before[1:] = total[ends[:-1]]
+            return total - np.repeat(before, self.sizes)
 
         inside = changes.copy()
         inside[ends[:-1]] = False
@@ -284,25 +373,29 @@ class _Level:
         elif self.s.classes:
             # sums of squares over classes grow with each row by what its own class had before it
             order = np.argsort(label, kind="stable")  # small numbers: no comparisons
-            own_w = w[order]
-            before = np.empty(len(rows))
-            before[order] = np.cumsum(own_w) - own_w
-            held = self.sums.T.ravel()
-            before -= (np.cumsum(held) - held)[label.astype(np.int64) * len(self.sizes) + node]
-            left = run(w * (2 * before + w))[cut]
-            cross = run(w * self.sums[node, label])[cut]
-            right = (self.sums ** 2).sum(axis=1)[own] - 2 * cross + left
+            many = np.bincount(label.astype(np.int64) * len(ends) + node, minlength=len(ends) * self.s.classes)
+            held, own_w = self.sums.T.ravel(), w[order]
+            grown, cross = np.empty(len(rows)), np.empty(len(rows))
+            grown[order] = own_w * (2 * (np.cumsum(own_w) - np.repeat(np.cumsum(held) - held, many)) - own_w)
+            cross[order] = own_w * np.repeat(held, many)
+            left = run(grown)[cut]
+            right = (self.sums ** 2).sum(axis=1)[own] - 2 * run(cross)[cut] + left
         else:
             left = run(label)[cut]
             left, right = left ** 2, (self.sums[own, 0] - left) ** 2
         score = left / left_w + right / right_w
-        first = np.flatnonzero(np.diff(own, prepend=-1))
+        first = _firsts(own)
         top = np.maximum.reduceat(score, first)
         hit = np.flatnonzero(score == np.repeat(top, np.diff(np.append(first, len(own)))))
-        hit = hit[np.flatnonzero(np.diff(own[hit], prepend=-1))]
+        hit = hit[_firsts(own[hit])]
         return own[hit], cut[hit], score[hit]
 
 
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
+
+
 def _middle(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     low, high = low.astype(float), high.astype(float)
     middle = low + (high - low) / 2
@@ -322,32 +415,38 @@ def _all_splits(level: _Level, orders: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return feature, threshold, best
 
 
-def _tried_splits(level: _Level, ranks: np.ndarray, rows: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same over the features each node tries, over its others where those have no split."""
-    dims, nodes = level.x.shape[1], len(level.sizes)
+def _tried_splits(level: _Level, ranks: np.ndarray, rows: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same, with the rank up to which rows go left, over the features each node tries, over its others where those have no split."""
+    dims = level.x.shape[1]
     first = level.s.tried_first(seeds, dims)
-    feature, threshold, best = _sorted_splits(level, ranks, rows, first)
-    lacking = np.flatnonzero(feature < 0)
+    found = _sorted_splits(level, ranks, rows, first)
+    lacking = np.flatnonzero(found[0] < 0)
     if len(lacking):
         rest = np.ones((len(lacking), dims), bool)
         np.put_along_axis(rest, first[lacking], False, axis=1)
         rest = np.nonzero(rest)[1].reshape(len(lacking), -1)
-        of = np.repeat(feature < 0, level.sizes)
-        feature[lacking], threshold[lacking], best[lacking] = _sorted_splits(level.of(lacking), ranks, rows[of], rest)
-    return feature, threshold, best
+        of = np.repeat(found[0] < 0, level.sizes)
+        for out, more in zip(found, _sorted_splits(level.of(lacking), ranks, rows[of], rest)):
+            out[lacking] = more
+    return found
 
 
-def _sorted_splits(level: _Level, ranks: np.ndarray, rows: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sorted_splits(level: _Level, ranks: np.ndarray, rows: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     nodes = len(level.sizes)
-    feature, threshold, best = np.full(nodes, -1), np.zeros(nodes), np.full(nodes, -np.inf)
-    node = np.repeat(np.arange(nodes), level.sizes)
-    bits = max(len(rows), len(ranks)).bit_length()
-    place = np.arange(len(rows))
+    feature, threshold, best, edge = np.full(nodes, -1), np.zeros(nodes), np.full(nodes, -np.inf), np.zeros(nodes, np.int64)
+    node = level.node
+    bits = max(len(rows), int(ranks.max()) + 1).bit_length()
+    ahead = (node << 2 * bits) | np.arange(len(rows)) if 3 * bits < 64 else None
+    flat, at = ranks.reshape(-1), rows * ranks.shape[1]
     for column in features.T:
-        rank = ranks[rows, column[node]]
+        rank = flat[at + column[node]]
         if 3 * bits < 64:  # node, rank and place fit one number
-            key = np.sort((node << 2 * bits) | (rank.astype(np.int64) << bits) | place)
-            order = key & ((1 << bits) - 1)
+            key = rank.astype(np.int64)
+            key <<= bits
+            key |= ahead
+            key.sort()
+            key &= (1 << bits) - 1
+            order = key
         else:
             order = np.lexsort((rank, node))
         sorted_, rank = rows[order], rank[order]
@@ -355,20 +454,18 @@ def _sorted_splits(level: _Level, ranks: np.ndarray, rows: np.ndarray, features:
         better = score > best[found]
         found, cut = found[better], cut[better]
         f = column[found]
-        feature[found], threshold[found], best[found] = f, _middle(level.x[sorted_[cut], f], level.x[sorted_[cut + 1], f]), score[better]
-    return feature, threshold, best
+        feature[found], best[found], edge[found] = f, score[better], rank[cut]
+        threshold[found] = _middle(level.x[sorted_[cut], f], level.x[sorted_[cut + 1], f])
+    return feature, threshold, best, edge
 
 
-def _dealt(x, orders, sizes, feature, threshold) -> tuple[np.ndarray, np.ndarray]:
-    """The orders with each node's rows moved to its children, and where those begin."""
+def _dealt(goes: np.ndarray, orders: np.ndarray, sizes: np.ndarray, node: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The orders with each node's rows moved to its children, and where those begin; `goes` left by row, or by place if there is one order."""
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    node = np.repeat(np.arange(len(sizes)), sizes)
-    goes = np.zeros(len(x), bool)
-    goes[orders[0]] = x[orders[0], feature[node]] <= threshold[node]
-    to_left = np.add.reduceat(goes[orders[0]], starts, dtype=int)
+    to_left = np.add.reduceat(goes if apart else goes[orders[0]], starts, dtype=int)
     out = np.empty_like(orders)
     for f, rows in enumerate(orders):
-        left = goes[rows]
+        left = goes if apart else goes[rows]
         run = np.cumsum(left)
         rank = run - np.where(starts > 0, run[starts - 1], 0)[node]  # left rows of the node so far
         place = np.arange(len(rows)) - starts[node]
@@ -422,22 +519,85 @@ def _grow_trees(batches: Iterator[pa.RecordBatch], held, s: Settings) -> Iterato
     yield from _grow_whole(*held.value, trees, s)
 
 
+@dataclass
+class _Ranked:
+    """A matrix as the places of its cells among the distinct values of their columns."""
+
+    ranks: np.ndarray   # (rows, dims)
+    values: np.ndarray  # of all columns, one after another
+    first: np.ndarray   # where a column's begin
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.ranks.shape
+
+    def __len__(self) -> int:
+        return len(self.ranks)
+
+    def __getitem__(self, at: tuple) -> np.ndarray:
+        return self.values[self.first[at[1]] + self.ranks[at]].astype(float)
+
+    def rows(self, at: np.ndarray) -> _Ranked:
+        return replace(self, ranks=self.ranks[at])
+
+    @classmethod
+    def of(cls, x: np.ndarray, order: np.ndarray) -> tuple[_Ranked, np.ndarray | None]:
+        """The rows of `x` in an order, and numbers that equal rows share if there are two of a kind on average.
+
+        A matrix of floats is used up: its ranks take its place in memory.
+        """
+        n, dims = x.shape
+        ranks = x.view(np.int32) if x.dtype == np.float32 else np.empty(x.shape, np.int32)
+        values, first = np.empty(n * dims, x.dtype), np.zeros(dims, np.int64)  # memory is taken as it is written
+        end, code, many = 0, np.zeros(n, np.int64), 1
+        for f in range(dims):
+            own, rank = np.unique(x[order, f], return_inverse=True)
+            ranks[:, f], first[f] = rank, end
+            values[end:end + len(own)] = own
+            end += len(own)
+            if 2 * many <= n:
+                found, code = np.unique(code * len(own) + rank, return_inverse=True)
+                many = len(found)
+        return cls(ranks, values, first), code if 2 * many <= n else None
+
+
 def _grow_whole(x: np.ndarray, y: np.ndarray, numbers: np.ndarray, trees: Sequence[int], s: Settings) -> Iterator[pa.RecordBatch]:
     """The trees over a table in the order of its rows' values."""
     new = np.ones(len(x), bool)
     new[1:] = (x[1:] != x[:-1]).any(axis=1) | (bool(s.classes) & (y[1:] != y[:-1]))
     starts = np.flatnonzero(new)
     shared = 2 * len(starts) <= len(x)
-    at, ends = (x[starts], _ends(y, starts)) if shared else (x, None)
-    ranks = _ranks(at) if trees and s.subset is not None and s.subset < x.shape[1] else None
+    at = x[starts] if shared else x
+    ranks = _ranks(at) if trees and s.some(x.shape[1]) else None
+    yield from _grow_each(at, y, numbers, starts if shared else None, ranks, trees, s)
+
+
+def _grow_ranked(x: np.ndarray, y: np.ndarray, numbers: np.ndarray, trees: Sequence[int], s: Settings) -> Iterator[pa.RecordBatch]:
+    """The same over a large table, which is used up, where nodes try some features."""
+    order = np.argsort(numbers)
+    y, numbers = y[order], numbers[order]
+    at, code = _Ranked.of(x, order)
+    starts = None
+    if code is not None:
+        if s.classes:
+            code = np.unique(code * s.classes + y.astype(np.int64), return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+        at, y, numbers = at.rows(order[starts]), y[order], numbers[order]
+    yield from _grow_each(at, y, numbers, starts, at.ranks, trees, s)
+
+
+def _grow_each(at, y: np.ndarray, numbers: np.ndarray, starts: np.ndarray | None, ranks, trees: Sequence[int], s: Settings) -> Iterator[pa.RecordBatch]:
+    """The trees over rows, or if `starts` are given over what begins there: rows that share features (and a class)."""
+    ends = None if starts is None else _ends(y, starts)
     for tree in trees:
         w = s.weights(tree, numbers)
         if not (w > 0).any():
             continue
-        if shared:
+        if starts is not None:
             held = _held(at, y[starts], ranks, _drawn_sums(y, w, starts, s), ends, s)
         else:
-            held = Held.rows(x, y, w, s.classes, ranks)
+            held = Held.rows(at, y, w, s.classes, ranks)
         yield _part(tree, 0, 0, grow_on(held, s, s.seeds(np.array([tree]))[0]))
 
 
@@ -453,7 +613,7 @@ def _ends(y: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _held(x, classes, ranks, sums: np.ndarray, ends: np.ndarray, s: Settings) -> Held:
     if s.classes:
-        return Held(x, sums[0], sums[1], classes.astype(np.int16), ranks=ranks)
+        return Held(x, sums[0], sums[1], classes.astype(_small(s.classes)), ranks=ranks)
     return Held(x, *sums, *ends, ranks)
 
 
@@ -555,7 +715,7 @@ def _fit_groups(table: DataFrame, dims: int, s: Settings) -> DataFrame:
     place = np.empty(len(distinct), np.int64)
     place[codes(distinct)] = np.arange(len(distinct))
     x, classes = x[place], None if classes is None else classes[place]
-    ranks = _ranks(x) if s.subset is not None and s.subset < dims else None
+    ranks = _ranks(x) if s.some(dims) else None
     finder = spark.sparkContext.broadcast((codes, len(x)))
     at_once = max(1, HISTOGRAM_BYTES // (8 * (2 if s.classes else 3) * len(x)))
     found = None
@@ -577,30 +737,47 @@ def _deal(batches, bundles: int) -> Iterator[pa.RecordBatch]:
                 [pa.array(np.full(batch.num_rows, bundle, np.int32)), *batch.columns], ["bundle", *batch.schema.names])
 
 
-def _grow_bundle(rows: pa.Table, dims: int, s: Settings, bundles: int) -> Iterator[pa.RecordBatch]:
-    bundle = rows.column("bundle")[0].as_py()
-    flat = rows.column("x").combine_chunks().flatten()
-    x, y, numbers = flat.to_numpy().reshape(-1, dims), rows.column("y").to_numpy(), rows.column("no").to_numpy()
-    order = np.lexsort((numbers, y, *x.T))
-    return pa.Table.from_batches(
-        list(_grow_whole(x[order], y[order], numbers[order], range(bundle, s.trees, bundles), s)), schema=_part(0, 0, 0, _NO_NODES).schema)
+def _grow_bundle(batches: Iterator[pa.RecordBatch], dims: int, rows: int, s: Settings, bundles: int, kind: type) -> Iterator[pa.RecordBatch]:
+    bundle, at = 0, 0
+    x, y, numbers = np.empty((rows, dims), kind), np.empty(rows), np.empty(rows, np.int64)
+    for batch in batches:
+        to = slice(at, at + batch.num_rows)
+        bundle, at = batch.column("bundle")[0].as_py(), to.stop
+        x[to], y[to], numbers[to] = batch.column("x").flatten().to_numpy().reshape(-1, dims), batch.column("y").to_numpy(), batch.column("no").to_numpy()
+    trees = range(bundle, s.trees, bundles)
+    if s.some(dims):
+        yield from _grow_ranked(x, y, numbers, trees, s)
+    else:
+        order = np.lexsort((numbers, y, *x.T))
+        yield from _grow_whole(x[order], y[order], numbers[order], trees, s)
 
 
-def _fit_bundles(table: DataFrame, dims: int, s: Settings, single: bool) -> DataFrame:
+def _fit_bundles(table: DataFrame, dims: int, rows: int, s: Settings, single: bool) -> DataFrame:
     """Parts of trees over a table that one task takes: each of some tasks gets all rows once and grows its share of the trees."""
     bundles = min(s.trees, table.sparkSession.sparkContext.defaultParallelism)
     kind = "float" if single else "double"
     dealt = table.select(F.col("x").cast(f"array<{kind}>").alias("x"), "y", "no").mapInArrow(
         partial(_deal, bundles=bundles), f"bundle int, x array<{kind}>, y double, no long")
-    work = partial(_grow_bundle, dims=dims, s=s, bundles=bundles)
-    return _store(dealt.groupBy("bundle").applyInArrow(lambda t: work(t), _PARTS))
+    work = partial(_grow_bundle, dims=dims, rows=rows, s=s, bundles=bundles, kind=np.float32 if single else np.float64)
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+
+    return _store(dealt.groupBy("bundle").applyInArrow(grown, _PARTS))
 
 
 def _part(tree: int, part: int, depth: int, nodes: Nodes) -> pa.RecordBatch:
     own = nodes.packed()
     return pa.RecordBatch.from_arrays(
-        [pa.array([tree], pa.int32()), pa.array([part], pa.int32()), pa.array([depth], pa.int32()), *[pa.array([own[k]], pa.binary()) for k in _KINDS]],
-        ["tree", "part", "depth", *_KINDS])
+        [pa.array([tree], pa.int32()), pa.array([part], pa.int32()), pa.array([depth], pa.int32()), *[pa.array([v], pa.binary()) for v in own.values()]],
+        ["tree", "part", "depth", *own])
+
+
+def _slimmed(batches: Iterator[pa.RecordBatch], width: int, inner: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
+            yield _part(r["tree"], r["part"], r["depth"], Nodes.unpacked(r, width).slim(inner))
 
 
 _NO_NODES = Nodes(*[np.zeros(0) for _ in range(5)], np.zeros((0, 1)))
@@ -760,14 +937,14 @@ def _grown(top: Top, node: int, r, s: Settings, most: int, tree: int) -> list[tu
     return [(tree, i) for i in made if not top.part[i]]
 
 
-def _to_parts(batches, dims: int, s: Settings, tops: list[Top]) -> Iterator[pa.RecordBatch]:
+def _to_parts(batches, dims: int, s: Settings, tops: list[Top], trees: Sequence[int]) -> Iterator[pa.RecordBatch]:
     """Each row under every tree that draws it, at the part it belongs to."""
     for batch in batches:
         x = _points(batch.column("x"), dims)
-        for tree, top in enumerate(tops):
+        for tree in trees:
             w = s.weights(tree, np.asarray(batch.column("no")))
-            part = top.route(x)
-            in_ = np.flatnonzero((w > 0) & np.array(top.part)[part])
+            part = tops[tree].route(x)
+            in_ = np.flatnonzero((w > 0) & np.array(tops[tree].part)[part])
             if len(in_):
                 at = pa.array(in_)
                 yield pa.RecordBatch.from_arrays([
@@ -775,6 +952,23 @@ def _to_parts(batches, dims: int, s: Settings, tops: list[Top]) -> Iterator[pa.R
                     batch.column("x").take(at), batch.column("y").take(at), pa.array(w[in_])], ["tree", "part", "x", "y", "w"])
 
 
+def _fit_parts(table: DataFrame, dims: int, s: Settings, tops: list[Top], single: bool) -> DataFrame:
+    """The parts below the tops. Their rows are a copy of the table for most trees, so they are dealt for some trees at a time."""
+    spark = table.sparkSession
+    kind = "float" if single else "double"
+    table = table.withColumn("x", F.col("x").cast(f"array<{kind}>"))
+    work = partial(_grow_part, dims=dims, s=s, tops=tops)
+    at_once = max(1, int(WAVE_TREES * spark.sparkContext.defaultParallelism))
+    found = None
+    for i in range(0, s.trees, at_once):
+        route = partial(_to_parts, dims=dims, s=s, tops=tops, trees=range(i, min(s.trees, i + at_once)))
+        routed = table.mapInArrow(route, f"tree int, part int, x array<{kind}>, y double, w double")
+        with shuffles_dropped(spark):
+            own = _store(routed.groupBy("tree", "part").applyInArrow(lambda t: work(t), _PARTS))  # noqa: B023
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 def _grow_part(rows: pa.Table, dims: int, s: Settings, tops: list[Top]) -> pa.Table:
     tree, part = rows.column("tree")[0].as_py(), rows.column("part")[0].as_py()
     x = _points(rows.column("x").combine_chunks(), dims)
@@ -789,6 +983,11 @@ def _store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _fits_floats() -> F.Column:
+    """Whether all features are the same as floats of half the size."""
+    return F.bool_and(F.forall("x", lambda v: v == v.cast("float").cast("double")))
+
+
 def fit_trees(points: DataFrame, dims: int, s: Settings) -> Forest:
     """Trees over `points` (x array<double> of `dims`, y double): see `Forest`."""
     spark = points.sparkSession
@@ -796,11 +995,12 @@ def fit_trees(points: DataFrame, dims: int, s: Settings) -> Forest:
     key = F.xxhash64("x", *(["y"] if s.classes else []))
     rows, mean, distinct, single = table.agg(
         F.count(F.lit(1)), F.avg("y"), F.approx_count_distinct(key),
-        F.bool_and(F.forall("x", lambda v: v == v.cast("float").cast("double")))).first()
+        _fits_floats()).first()
     if not rows:
         raise ValueError("There are no rows to fit a tree on.")
     tops = None
-    whole = rows <= PART_ROWS and rows * (dims + 1) <= PART_CELLS
+    cells = rows * (dims + 1)
+    whole = rows <= PART_ROWS and cells <= PART_CELLS * (2 if single and s.some(dims) else 1)
     if whole and 8 * rows * (dims + 2) <= BROADCAST_BYTES:
         local = table.toArrow()
         x = _points(local.column("x").combine_chunks(), dims)
@@ -823,12 +1023,10 @@ def fit_trees(points: DataFrame, dims: int, s: Settings) -> Forest:
         if few:
             parts = _fit_groups(table, dims, s)
         elif whole:
-            parts = _fit_bundles(table, dims, s, single)
+            parts = _fit_bundles(table, dims, rows, s, single)
         else:
             tops = _grow_tops(table, dims, rows, s)
-            routed = table.mapInArrow(partial(_to_parts, dims=dims, s=s, tops=tops), "tree int, part int, x array<double>, y double, w double")
-            work = partial(_grow_part, dims=dims, s=s, tops=tops)
-            parts = _store(routed.groupBy("tree", "part").applyInArrow(lambda t: work(t), _PARTS))
+            parts = _fit_parts(table, dims, s, tops, single)
     return Forest(parts, tops, dims, s)
 
 
@@ -845,6 +1043,7 @@ def _joined(parts: list, top: Top | None, width: int) -> Nodes:
     for part, nodes in own.items():
         # the part's root takes the place of the top's node, its other nodes follow
         move = lambda v, at=at: np.where(v > 0, v + at - 1, 0)
+        nodes = replace(nodes, value=nodes.values(), gain=nodes.gain if len(nodes.gain) else np.zeros(len(nodes.feature)))
         feature[part], threshold[part], rows[part], gain[part], value[part] = (
             nodes.feature[0], nodes.threshold[0], nodes.rows[0], nodes.gain[0], nodes.value[0])
         left[part] = move(nodes.left[:1])[0]
@@ -860,7 +1059,7 @@ def _total(trees: dict[int, Nodes], x: np.ndarray, prunings: Sequence[Pruning],
     out = np.zeros((len(prefixes), len(prunings), len(x), width))
     for tree, nodes in trees.items():
         ends = stops(nodes, x, prunings)
-        values = nodes.value[ends]
+        values = nodes.values(ends)
         for i, many in enumerate(prefixes):
             if tree < many:
                 out[i] += values
@@ -906,10 +1105,15 @@ def _score_bundle(rows: pa.Table, parts: pa.Table, dims: int, s: Settings, tops:
     bundle, by = rows.column("bundle")[0].as_py(), {}
     for r in parts.to_pylist():
         by.setdefault(r["tree"], []).append(r)
-    trees = {t: _joined(by.get(t, []), tops[t] if tops else None, s.width) for t, b in enumerate(bundle_of) if b == bundle and (tops or t in by)}
-    x = _points(rows.column("x").combine_chunks(), dims)
-    found = _total(trees, x, prunings, prefixes) if trees else np.zeros((len(x), len(prefixes) * len(prunings) * s.width))
-    return pa.table({"id": rows.column("id"), "values": _lists(found)})
+    trees = {t: _joined(by.pop(t, []), tops[t] if tops else None, s.width) for t, b in enumerate(bundle_of) if b == bundle and (tops or t in by)}
+    if tops:
+        trees = {t: nodes.slim(True) for t, nodes in trees.items()}
+    out = []
+    for some in _chunks(rows.to_batches()):
+        x = _points(_one(some.column("x")), dims)
+        found = _total(trees, x, prunings, prefixes) if trees else np.zeros((len(x), len(prefixes) * len(prunings) * s.width))
+        out.append(pa.table({"id": some.column("id"), "values": _lists(found)}))
+    return pa.concat_tables(out)
 
 
 def _added(points: DataFrame, scored: DataFrame, width: int) -> DataFrame:
@@ -951,9 +1155,9 @@ class Forest:
         self.bytes = parts.agg(F.coalesce(F.sum(self._size()), F.lit(0))).first()[0]
 
     @staticmethod
-    def _size() -> F.Column:
+    def _size(names: Sequence[str] = tuple(_KINDS)) -> F.Column:
         size = F.lit(0)
-        for name in _KINDS:
+        for name in names:
             size = size + F.octet_length(name)
         return size.cast("long")
 
@@ -991,11 +1195,14 @@ class Forest:
             return points.withColumn("values", score("x"))
         sizes = dict(self.parts.groupBy("tree").agg(F.sum(self._size())).collect())
         if max(sizes.values()) <= MODEL_BYTES:
-            return self._bundled(points, sizes, prunings, prefixes)
+            return self._bundled(points, prunings, prefixes)
         return self._met(points, prunings, prefixes)
 
-    def _bundled(self, points: DataFrame, sizes: dict[int, int], prunings, prefixes) -> DataFrame:
+    def _bundled(self, points: DataFrame, prunings, prefixes) -> DataFrame:
         points, s, spark = _store(points), self.settings, points.sparkSession
+        inner = any(p != Pruning() for p in prunings)
+        slim = _store(self.parts.mapInArrow(partial(_slimmed, width=s.width, inner=inner or bool(self.tops)), _SLIM))
+        sizes = dict(slim.groupBy("tree").agg(F.sum(self._size(_SLIM_KINDS))).collect())
         limit = min(MODEL_BYTES, sum(sizes.values()) / spark.sparkContext.defaultParallelism)
         bundle_of, bundle, held = [], 0, 0
         for tree in range(s.trees):
@@ -1003,12 +1210,15 @@ class Forest:
                 bundle, held = bundle + 1, 0
             bundle_of.append(bundle)
             held += sizes.get(tree, 0)
-        pieces = -(-points.count() // max(1, min(PART_ROWS, PART_CELLS // (self.dims + 1))))
+        many, single = points.agg(F.count(F.lit(1)), F.coalesce(_fits_floats(), F.lit(True))).first()
+        kind = "float" if single else "double"
+        pieces = -(-many // max(1, min(PART_ROWS, PART_CELLS * (2 if single else 1) // (self.dims + 1))))
         keys = ["bundle", "piece"]
         piece = F.pmod(F.xxhash64("id"), F.lit(max(1, pieces))).cast("int").alias("piece")
-        rows = points.select("id", "x", piece).mapInArrow(partial(_deal, bundles=bundle + 1), "bundle int, id long, x array<double>, piece int")
+        rows = points.select("id", F.col("x").cast(f"array<{kind}>").alias("x"), piece).mapInArrow(
+            partial(_deal, bundles=bundle + 1), f"bundle int, id long, x array<{kind}>, piece int")
         own = spark.createDataFrame(list(enumerate(bundle_of)), "tree int, bundle int")
-        parts = self.parts.join(F.broadcast(own), "tree").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(max(1, pieces) - 1))))
+        parts = slim.join(F.broadcast(own), "tree").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(max(1, pieces) - 1))))
         work = partial(_score_bundle, dims=self.dims, s=s, tops=self.tops, bundle_of=bundle_of, prunings=prunings, prefixes=prefixes)
         scored = rows.groupBy(*keys).cogroup(parts.groupBy(*keys)).applyInArrow(lambda a, b: work(a, b), "id long, values array<double>")
         return _added(points, scored, len(prefixes) * len(prunings) * s.width)

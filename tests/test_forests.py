@@ -240,3 +240,59 @@ def test_two_classes_split_as_more_do():
         two, three = (grow(x, y, np.arange(400) % 3 * 1.0, Settings(classes=c, **options), np.uint64(7)) for c in (2, 3))
         assert (two.feature == three.feature).all() and (two.threshold == three.threshold).all()
         assert (two.value == three.value[:, :2]).all() and np.allclose(two.gain, three.gain)
+
+
+def test_nodes_grown_apart_are_the_same(monkeypatch):
+    for classes in (2, 3, 10):
+        x, y = sample(900, dims=4, classes=3, seed=13, values=40)
+        y = y % classes if classes < 10 else np.arange(900) % 10 * 1.0
+        options = Settings(classes, subset=2, min_samples_leaf=2)
+        whole = grow(x, y, np.arange(900) % 3 * 1.0, options, np.uint64(5))
+        with monkeypatch.context() as m:
+            m.setattr(forests, "BLOCK_ROWS", 50)
+            apart = grow(x, y, np.arange(900) % 3 * 1.0, options, np.uint64(5))
+        ends = [forests.stops(t, x, [Pruning(), Pruning(3), Pruning(None, 20)], start=np.zeros(900, int)) for t in (whole, apart)]
+        for name in ("feature", "threshold", "rows", "gain", "value"):
+            assert (getattr(whole, name)[ends[0]] == getattr(apart, name)[ends[1]]).all()
+        assert len(whole.feature) == len(apart.feature)
+
+
+@pytest.mark.parametrize("values", [None, 4])
+def test_floats_of_two_parts_are_grown_in_one_task(spark, monkeypatch, values):
+    """Such a table is dealt once to a task that grows some trees, not once for every tree."""
+    x, y = sample(700, classes=3, seed=14, values=values)
+    x = x.astype(np.float32).astype(float)
+    points, settings = table(spark, x, y), Settings(3, trees=3, subset=2, min_samples_leaf=2)
+    monkeypatch.setattr(forests, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(forests, "SHARED_ROWS", 10_000)
+    monkeypatch.setattr(forests, "PART_CELLS", 1500)
+    monkeypatch.setattr(forests, "_grow_tops", lambda *_: pytest.fail("grown in parts"))
+    got = predictions(fit_trees(points.repartition(4), 3, settings), points, prefixes=[1, 2, 3])
+    trees = [grow(x, y, np.ones(700), settings, seed) for seed in settings.seeds(np.arange(3))]
+    want = np.cumsum([t.value[forests.stops(t, x, forests.WHOLE)[0]] for t in trees], axis=0)
+    assert np.allclose(got, want.transpose(1, 0, 2).reshape(700, -1))
+
+
+def test_parts_are_grown_for_some_trees_at_a_time(spark, monkeypatch):
+    x, y = sample(500, classes=3, seed=15, values=9)
+    points, settings = table(spark, x, y), Settings(3, trees=5, subset=2)
+    monkeypatch.setattr(forests, "PART_CELLS", 300)
+    want = predictions(fit_trees(points, 3, settings), points)
+    monkeypatch.setattr(forests, "WAVE_TREES", 1 / spark.sparkContext.defaultParallelism)
+    stored = []
+    keep = forests._store
+    monkeypatch.setattr(forests, "_store", lambda df: stored.append(spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")) or keep(df))
+    assert np.allclose(predictions(fit_trees(points, 3, settings), points), want)
+    assert stored.count("true") == 5  # a write per tree, none of which keeps its shuffle files
+
+
+def test_slim_trees_answer_the_same():
+    x, y = sample(400, classes=3, seed=16)
+    nodes = grow(x, y, np.ones(400), Settings(3, subset=2), np.uint64(3))
+    for inner, prunings in ((False, forests.WHOLE), (True, [Pruning(2), Pruning(None, 30)])):
+        slim = nodes.slim(inner)
+        ends = forests.stops(nodes, x, prunings)
+        assert (slim.values(ends) == nodes.values(ends)).all()
+        again = forests.Nodes.unpacked(slim.packed(), 3)
+        assert (again.values(ends) == nodes.values(ends)).all()
+    assert len(nodes.slim(False).value) <= 4  # leaves of one class each, and a value for other nodes
