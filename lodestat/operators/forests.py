@@ -163,6 +163,10 @@ _SLIM_KINDS = _KINDS | {"which": "i4"}
 _PARTS, _SLIM = ("tree int, part int, depth int, " + ", ".join(f"{name} binary" for name in kinds) for kinds in (_KINDS, _SLIM_KINDS))
 
 
+_BITS = 21
+_PACKED = (1 << _BITS) - 1
+
+
 @dataclass
 class Held:
     """What a tree grows on: rows, or sums of rows that share their features (and their class)."""
@@ -170,16 +174,25 @@ class Held:
     x: np.ndarray                     # (items, dims)
     count: np.ndarray                 # rows drawn
     weight: np.ndarray                # how often
-    label: np.ndarray                 # weighted sum of labels, or the class
+    label: np.ndarray                 # weighted sum of labels, or the class, which `packed` tells if given
     low: np.ndarray | None = None     # smallest and largest label of all rows, drawn or not, of a regression
     high: np.ndarray | None = None
     ranks: np.ndarray | None = None   # (items, dims): places of the values among a column's
+    packed: np.ndarray | None = None  # of two classes: rows, weight and weight of the second in one number, so that one sum is all three
 
     def of(self, rows: np.ndarray) -> Held:
         """Some of the items of a classification."""
         ranks = self.ranks[rows]
         x = replace(self.x, ranks=ranks) if isinstance(self.x, _Ranked) else self.x[rows]
-        return Held(x, self.count[rows], self.weight[rows], self.label[rows], ranks=ranks)
+        return Held(x, self.count[rows], self.weight[rows], self.label[rows], ranks=ranks, packed=None if self.packed is None else self.packed[rows])
+
+    def in_one(self) -> np.ndarray | None:
+        """`packed`, if the numbers are whole and their sums small enough."""
+        w = self.weight
+        if max(w.sum(), self.count.sum()) > _PACKED or (w != np.floor(w)).any() or (self.count != np.floor(self.count)).any():
+            return None
+        whole = w.astype(np.int64)
+        return (self.count.astype(np.int64) << 2 * _BITS) | (whole << _BITS) | whole * self.label
 
     @classmethod
     def rows(cls, x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, ranks: np.ndarray | None = None) -> Held:
@@ -214,6 +227,8 @@ def grow_on(held: Held, s: Settings, seed: np.uint64, depth: int = 0) -> Nodes:
     shift = 0.0 if s.classes else float(held.label[inside].sum() / w[inside].sum())
     if not s.classes:
         held = replace(held, label=held.label - shift * w)
+    elif s.classes == 2 and held.packed is None:
+        held = replace(held, packed=held.in_one())
     if s.some(dims):
         held = held if held.ranks is not None else replace(held, ranks=_ranks(x))
         orders = inside[None, :]
@@ -252,9 +267,16 @@ def _grow_levels(held: Held, s: Settings, orders: np.ndarray, starts: np.ndarray
         here = Nodes.leaves(len(apart), s.width)
         split = np.zeros(0, bool)
         if len(own):
-            many = np.add.reduceat(held.count[rows], starts)
-            weight = np.add.reduceat(w[rows], starts)
-            if s.classes:
+            if held.packed is not None:
+                many, weight, one = _unpacked(np.add.reduceat(held.packed[rows], starts))
+                sums = np.stack([weight - one, one], axis=1)
+                mixed = sums.max(axis=1) < weight
+            else:
+                many = np.add.reduceat(held.count[rows], starts)
+                weight = np.add.reduceat(w[rows], starts)
+            if held.packed is not None:
+                pass
+            elif s.classes:
                 node = np.repeat(np.arange(len(starts)), sizes)
                 sums = np.bincount(node * s.classes + label[rows], w[rows], len(starts) * s.classes).reshape(-1, s.classes)
                 mixed = sums.max(axis=1) < weight
@@ -266,12 +288,14 @@ def _grow_levels(held: Held, s: Settings, orders: np.ndarray, starts: np.ndarray
             if s.max_depth is not None and depth >= s.max_depth:
                 open_[:] = False
             here.rows[own], here.value[own] = many, sums / weight[:, None] + shift
-            feature, threshold, best, edge = np.full(len(own), -1), np.zeros(len(own)), np.full(len(own), -np.inf), np.zeros(len(own), np.int64)
+            feature, threshold, best = np.full(len(own), -1), np.zeros(len(own)), np.full(len(own), -np.inf)
+            edge, lefts, dealt = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), None
             if open_.any():
                 orders, to = orders[:, np.repeat(open_, sizes)], np.flatnonzero(open_)
-                level = _Level(x, held.count, w, label, s, sizes[to], many[to], weight[to], sums[to])
+                level = _Level(x, held.count, w, label, s, sizes[to], many[to], weight[to], sums[to], held.packed)
                 if some:
-                    feature[to], threshold[to], best[to], edge[to] = _tried_splits(level, held.ranks, orders[0], seeds[to])
+                    found, dealt = _tried_splits(level, held.ranks, orders[0], seeds[to])
+                    feature[to], threshold[to], best[to], edge[to], lefts[to] = found
                 else:
                     feature[to], threshold[to], best[to] = _all_splits(level, orders)
             split = feature >= 0
@@ -283,6 +307,12 @@ def _grow_levels(held: Held, s: Settings, orders: np.ndarray, starts: np.ndarray
         if not split.any():
             break
         inside = np.repeat(split[open_], sizes[open_])
+        seeds = np.stack([_below(seeds[split], False), _below(seeds[split], True)], axis=1).ravel()
+        depth += 1
+        if dealt is not None:  # sorted by the feature of the split already
+            parts = np.stack([lefts[split], sizes[split] - lefts[split]], axis=1).ravel()
+            orders, starts = dealt[inside][None, :], np.cumsum(parts) - parts
+            continue
         orders, feature, threshold = orders[:, inside], feature[split], threshold[split]
         node = np.repeat(np.arange(len(feature)), sizes[split])
         if some:
@@ -291,8 +321,6 @@ def _grow_levels(held: Held, s: Settings, orders: np.ndarray, starts: np.ndarray
             goes = np.zeros(len(x), bool)
             goes[orders[0]] = x[orders[0], feature[node]] <= threshold[node]
         orders, starts = _dealt(goes, orders, sizes[split], node, apart=some)
-        seeds = np.stack([_below(seeds[split], False), _below(seeds[split], True)], axis=1).ravel()
-        depth += 1
     whole = Nodes(**{name: np.concatenate(parts) for name, parts in made.items()})
     if not blocks:
         return whole
@@ -332,6 +360,7 @@ class _Level:
     many: np.ndarray     # rows
     weight: np.ndarray
     sums: np.ndarray     # (nodes, width)
+    packed: np.ndarray | None = None
 
     def __post_init__(self):
         self.ends, self.node = np.cumsum(self.sizes) - 1, np.repeat(np.arange(len(self.sizes)), self.sizes)
@@ -346,6 +375,8 @@ class _Level:
         (but the last) after which its value changes or a node ends.
         """
         ends, node = self.ends, self.node
+        if self.packed is not None:
+            return self._packed_cuts(rows, changes)
         w = self.w[rows]
 
         def run(values):
@@ -383,12 +414,40 @@ class _Level:
         else:
             left = run(label)[cut]
             left, right = left ** 2, (self.sums[own, 0] - left) ** 2
-        score = left / left_w + right / right_w
+        return _highest(own, cut, left / left_w + right / right_w)
+
+    def _packed_cuts(self, rows: np.ndarray, changes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        changes[self.ends[:-1]] = False
+        cut = np.flatnonzero(changes)
+        own, total = self.node[cut], np.cumsum(self.packed[rows])
+        before = np.zeros(len(self.ends), np.int64)
+        before[1:] = total[self.ends[:-1]]
+        many, left_w, one = _unpacked(total[cut] - before[own])  # right even where the running total overflows
+        least = self.s.min_samples_leaf
+        if least > 1:
+            fit = np.flatnonzero((many >= least) & (self.many[own] - many >= least))
+            cut, own, left_w, one = cut[fit], own[fit], left_w[fit], one[fit]
+        if not len(cut):
+            return own, cut, np.zeros(0)
+        right_w, zero = self.weight[own] - left_w, left_w - one
+        left, right = one ** 2 + zero ** 2, (self.sums[own, 1] - one) ** 2 + (self.sums[own, 0] - zero) ** 2
+        return _highest(own, cut, left / left_w + right / right_w)
+
+
+def _unpacked(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, weight and weight of the second class."""
+    return (sums >> 2 * _BITS).astype(float), (sums >> _BITS & _PACKED).astype(float), (sums & _PACKED).astype(float)
+
+
+def _highest(own: np.ndarray, cut: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, the place of each one's first cut of the highest score, and that."""
+    if len(own):
         first = _firsts(own)
         top = np.maximum.reduceat(score, first)
         hit = np.flatnonzero(score == np.repeat(top, np.diff(np.append(first, len(own)))))
         hit = hit[_firsts(own[hit])]
-        return own[hit], cut[hit], score[hit]
+        own, cut, score = own[hit], cut[hit], score[hit]
+    return own, cut, score
 
 
 def _firsts(values: np.ndarray) -> np.ndarray:
@@ -415,25 +474,36 @@ def _all_splits(level: _Level, orders: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return feature, threshold, best
 
 
-def _tried_splits(level: _Level, ranks: np.ndarray, rows: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The same, with the rank up to which rows go left, over the features each node tries, over its others where those have no split."""
+def _tried_splits(level: _Level, ranks: np.ndarray, rows: np.ndarray, seeds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray | None]:
+    """The same over the features each node tries, over its others where those have no split.
+
+    To feature, threshold and sum of purities come the rank up to which rows go
+    left and how many do. Where each node has met one feature, the rows are
+    returned in the order of that within each node.
+    """
     dims = level.x.shape[1]
     first = level.s.tried_first(seeds, dims)
-    found = _sorted_splits(level, ranks, rows, first)
+    found, dealt = _sorted_splits(level, ranks, rows, first)
     lacking = np.flatnonzero(found[0] < 0)
     if len(lacking):
         rest = np.ones((len(lacking), dims), bool)
         np.put_along_axis(rest, first[lacking], False, axis=1)
         rest = np.nonzero(rest)[1].reshape(len(lacking), -1)
         of = np.repeat(found[0] < 0, level.sizes)
-        for out, more in zip(found, _sorted_splits(level.of(lacking), ranks, rows[of], rest)):
-            out[lacking] = more
-    return found
+        more, again = _sorted_splits(level.of(lacking), ranks, rows[of], rest)
+        for out, own in zip(found, more):
+            out[lacking] = own
+        if dealt is not None and again is not None:
+            dealt[of] = again
+        else:
+            dealt = None
+    return found, dealt
 
 
-def _sorted_splits(level: _Level, ranks: np.ndarray, rows: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sorted_splits(level: _Level, ranks: np.ndarray, rows: np.ndarray, features: np.ndarray) -> tuple[list[np.ndarray], np.ndarray | None]:
     nodes = len(level.sizes)
-    feature, threshold, best, edge = np.full(nodes, -1), np.zeros(nodes), np.full(nodes, -np.inf), np.zeros(nodes, np.int64)
+    feature, threshold, best = np.full(nodes, -1), np.zeros(nodes), np.full(nodes, -np.inf)
+    edge, lefts, sorted_ = np.zeros(nodes, np.int64), np.zeros(nodes, np.int64), rows
     node = level.node
     bits = max(len(rows), int(ranks.max()) + 1).bit_length()
     ahead = (node << 2 * bits) | np.arange(len(rows)) if 3 * bits < 64 else None
@@ -455,8 +525,9 @@ def _sorted_splits(level: _Level, ranks: np.ndarray, rows: np.ndarray, features:
         found, cut = found[better], cut[better]
         f = column[found]
         feature[found], best[found], edge[found] = f, score[better], rank[cut]
+        lefts[found] = cut + 1 - (level.ends[found] + 1 - level.sizes[found])
         threshold[found] = _middle(level.x[sorted_[cut], f], level.x[sorted_[cut + 1], f])
-    return feature, threshold, best, edge
+    return [feature, threshold, best, edge, lefts], sorted_ if features.shape[1] == 1 else None
 
 
 def _dealt(goes: np.ndarray, orders: np.ndarray, sizes: np.ndarray, node: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -564,12 +635,13 @@ class _Ranked:
 def _grow_whole(x: np.ndarray, y: np.ndarray, numbers: np.ndarray, trees: Sequence[int], s: Settings) -> Iterator[pa.RecordBatch]:
     """The trees over a table in the order of its rows' values."""
     new = np.ones(len(x), bool)
-    new[1:] = (x[1:] != x[:-1]).any(axis=1) | (bool(s.classes) & (y[1:] != y[:-1]))
+    both = s.classes == 2 and s.some(x.shape[1]) and len(x) <= _PACKED // 2  # rows of either class that share features are one item
+    new[1:] = (x[1:] != x[:-1]).any(axis=1) | (bool(s.classes) & (not both) & (y[1:] != y[:-1]))
     starts = np.flatnonzero(new)
-    shared = 2 * len(starts) <= len(x)
+    shared = (1 if both else 2) * len(starts) <= len(x)
     at = x[starts] if shared else x
     ranks = _ranks(at) if trees and s.some(x.shape[1]) else None
-    yield from _grow_each(at, y, numbers, starts if shared else None, ranks, trees, s)
+    yield from _grow_each(at, y, numbers, starts if shared else None, ranks, trees, s, both)
 
 
 def _grow_ranked(x: np.ndarray, y: np.ndarray, numbers: np.ndarray, trees: Sequence[int], s: Settings) -> Iterator[pa.RecordBatch]:
@@ -587,20 +659,28 @@ def _grow_ranked(x: np.ndarray, y: np.ndarray, numbers: np.ndarray, trees: Seque
     yield from _grow_each(at, y, numbers, starts, at.ranks, trees, s)
 
 
-def _grow_each(at, y: np.ndarray, numbers: np.ndarray, starts: np.ndarray | None, ranks, trees: Sequence[int], s: Settings) -> Iterator[pa.RecordBatch]:
-    """The trees over rows, or if `starts` are given over what begins there: rows that share features (and a class)."""
+def _grow_each(at, y: np.ndarray, numbers: np.ndarray, starts: np.ndarray | None, ranks, trees: Sequence[int], s: Settings, both: bool = False) -> Iterator[pa.RecordBatch]:
+    """The trees over rows, or if `starts` are given over what begins there: rows that share features (and a class, unless of `both`)."""
     ends = None if starts is None else _ends(y, starts)
     for tree in trees:
         w = s.weights(tree, numbers)
         if not (w > 0).any():
             continue
-        if starts is not None:
+        if starts is not None and both:
+            held = _both_classes(at, y, w, starts, ranks)
+        elif starts is not None:
             held = _held(at, y[starts], ranks, _drawn_sums(y, w, starts, s), ends, s)
         else:
             held = Held.rows(at, y, w, s.classes, ranks)
         yield _part(tree, 0, 0, grow_on(held, s, s.seeds(np.array([tree]))[0]))
 
 
+def _both_classes(x, y: np.ndarray, w: np.ndarray, starts: np.ndarray, ranks) -> Held:
+    packed = np.add.reduceat(Held.rows(x, y, w, 2).in_one(), starts)
+    many, weight, _ = _unpacked(packed)
+    return Held(x, many, weight, np.zeros(len(starts), np.int8), ranks=ranks, packed=packed)
+
+
 def _drawn_sums(y: np.ndarray, w: np.ndarray, starts: np.ndarray, s: Settings) -> np.ndarray:
     """(kinds, groups): rows drawn, how often, and of a regression the labels' sum."""
     out = [np.add.reduceat((w > 0).astype(float), starts), np.add.reduceat(w, starts)]
@@ -1053,17 +1133,43 @@ def _joined(parts: list, top: Top | None, width: int) -> Nodes:
     return Nodes(cat(feature, "feature"), cat(threshold, "threshold"), cat(left, "left"), cat(rows, "rows"), cat(gain, "gain"), cat(value, "value"))
 
 
-def _total(trees: dict[int, Nodes], x: np.ndarray, prunings: Sequence[Pruning], prefixes: Sequence[int]) -> np.ndarray:
-    """(rows, prefixes * prunings * width): sums of the values of the first trees, for each number of them."""
+def _pruned(nodes: Nodes, prunings: Sequence[Pruning]) -> np.ndarray:
+    """(nodes, prunings): where a row ends that reaches a node of the whole tree."""
+    split = np.array([p.min_samples_split for p in prunings])
+    deepest = np.array([np.inf if p.max_depth is None else p.max_depth for p in prunings])
+    ends = np.repeat(np.arange(len(nodes.feature), dtype=np.int32)[:, None], len(prunings), axis=1)
+    here, closed, depth = np.array([0]), np.zeros((1, len(prunings)), bool), 0
+    while len(here):
+        inner = nodes.feature[here] >= 0
+        here, closed = here[inner], closed[inner]
+        closed = closed | (nodes.rows[here][:, None] < split) | (depth >= deepest)
+        own = ends[here]
+        for below in (nodes.left[here], nodes.left[here] + 1):
+            ends[below] = np.where(closed, own, below[:, None])
+        here, closed, depth = np.concatenate([nodes.left[here], nodes.left[here] + 1]), np.concatenate([closed, closed]), depth + 1
+    return ends
+
+
+def _total(trees: dict[int, Nodes], x: np.ndarray, prunings: Sequence[Pruning], prefixes: Sequence[int], pruned: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """(rows, prefixes * prunings * width): sums of the values of the first trees, for each number of them.
+
+    A row goes down a tree once; `pruned` has the trees' nodes under the prunings, if known.
+    """
     width = next(iter(trees.values())).value.shape[1]
-    out = np.zeros((len(prefixes), len(prunings), len(x), width))
-    for tree, nodes in trees.items():
-        ends = stops(nodes, x, prunings)
-        values = nodes.values(ends)
+    out = np.zeros((len(x), len(prefixes), len(prunings), width))
+    run, met = np.zeros((len(x), len(prunings), width)), set()
+    for tree in sorted(trees):
         for i, many in enumerate(prefixes):
-            if tree < many:
-                out[i] += values
-    return out.transpose(2, 0, 1, 3).reshape(len(x), -1)
+            if many <= tree and i not in met:
+                met.add(i)
+                out[:, i] = run
+        nodes = trees[tree]
+        leaf = stops(nodes, x, WHOLE)[0]
+        run += nodes.values((pruned[tree] if pruned else _pruned(nodes, prunings))[leaf])
+    for i in range(len(prefixes)):
+        if i not in met:
+            out[:, i] = run
+    return out.reshape(len(x), -1)
 
 
 def _route_rows(batches, dims: int, trees: int, tops: list[Top] | None, prunings) -> Iterator[pa.RecordBatch]:
@@ -1108,10 +1214,10 @@ def _score_bundle(rows: pa.Table, parts: pa.Table, dims: int, s: Settings, tops:
     trees = {t: _joined(by.pop(t, []), tops[t] if tops else None, s.width) for t, b in enumerate(bundle_of) if b == bundle and (tops or t in by)}
     if tops:
         trees = {t: nodes.slim(True) for t, nodes in trees.items()}
-    out = []
+    out, pruned = [], {t: _pruned(nodes, prunings) for t, nodes in trees.items()}
     for some in _chunks(rows.to_batches()):
         x = _points(_one(some.column("x")), dims)
-        found = _total(trees, x, prunings, prefixes) if trees else np.zeros((len(x), len(prefixes) * len(prunings) * s.width))
+        found = _total(trees, x, prunings, prefixes, pruned) if trees else np.zeros((len(x), len(prefixes) * len(prunings) * s.width))
         out.append(pa.table({"id": some.column("id"), "values": _lists(found)}))
     return pa.concat_tables(out)
 
@@ -1185,11 +1291,14 @@ class Forest:
             trees, dims = self.trees(), self.dims
             table = _cell_values(trees, dims, prunings, prefixes)
             held = points.sparkSession.sparkContext.broadcast(trees if table is None else table)
+            pruned = {}  # of a task
 
             @F.arrow_udf("array<double>")
             def score(x: pa.Array) -> pa.Array:
                 if table is None:
-                    return _lists(_total(held.value, _points(x, dims), prunings, prefixes))
+                    if not pruned:
+                        pruned.update({t: _pruned(nodes, prunings) for t, nodes in held.value.items()})
+                    return _lists(_total(held.value, _points(x, dims), prunings, prefixes, pruned))
                 return _lists(held.value(_points(x, dims)))
 
             return points.withColumn("values", score("x"))

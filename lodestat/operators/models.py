@@ -28,7 +28,7 @@ from lodestat.operators.features import _scaling, with_fold
 from lodestat.operators.forests import SHARED_ROWS, ForestEstimator, Pruning, Settings, fit_trees
 from lodestat.operators.metrics import accuracy, classification_report, regression_metrics
 from lodestat.plans.layout import spread
-from lodestat.plans.lineage import checkpoint
+from lodestat.plans.lineage import checkpoint, shuffles_dropped
 from lodestat.plans.minimise import minimise
 from lodestat.plans.neighbors import build_tree, nearest
 from lodestat.plans.skew import join_values
@@ -496,7 +496,7 @@ def grid_search(
 
     try:
         runs = list(product(range(cv), dict.fromkeys(tried["min_samples_leaf"])))
-        with ThreadPool(min(parallelism, len(runs))) as pool:
+        with shuffles_dropped(df.sparkSession), ThreadPool(min(parallelism, len(runs))) as pool:
             found = dict(zip(runs, pool.starmap(inheritable_thread_target(df.sparkSession)(one), runs)))
     finally:
         points.unpersist()

@@ -296,3 +296,39 @@ def test_slim_trees_answer_the_same():
         again = forests.Nodes.unpacked(slim.packed(), 3)
         assert (again.values(ends) == nodes.values(ends)).all()
     assert len(nodes.slim(False).value) <= 4  # leaves of one class each, and a value for other nodes
+
+
+def test_two_classes_of_shared_features_are_one_item():
+    x, y = sample(700, classes=3, seed=17, values=9)
+    y, settings = (np.arange(700) % 3 > 0) * 1.0, Settings(2, trees=2, bagged=True, subset=1, min_samples_leaf=2)
+    order = np.lexsort((y, *x.T))
+    x, y = x[order], y[order]
+    for tree, part in enumerate(forests._grow_whole(x, y, np.arange(700), range(2), settings)):
+        got = forests.Nodes.unpacked(part.to_pylist()[0], 2)
+        want = grow(x, y, settings.weights(tree, np.arange(700)), settings, settings.seeds(np.array([tree]))[0])
+        for name in ("feature", "threshold", "rows", "gain", "value", "left"):
+            assert (getattr(got, name) == getattr(want, name)).all()
+
+
+def test_numbers_too_large_to_pack_split_the_same(monkeypatch):
+    x, y = sample(500, classes=3, seed=18, values=30)
+    y = (y > 0) * 1.0
+    for options in (Settings(2, subset=1), Settings(2, subset=2, min_samples_leaf=4), Settings(2)):
+        packed = grow(x, y, np.arange(500) % 4 * 1.0, options, np.uint64(9))
+        with monkeypatch.context() as m:
+            m.setattr(forests, "_PACKED", 10)
+            plain = grow(x, y, np.arange(500) % 4 * 1.0, options, np.uint64(9))
+        for name in ("feature", "threshold", "rows", "gain", "value", "left"):
+            assert (getattr(packed, name) == getattr(plain, name)).all()
+
+
+def test_a_row_goes_down_once_for_all_prunings(monkeypatch):
+    x, y = sample(300, classes=3, seed=19)
+    prunings, trees = [Pruning(), Pruning(0), Pruning(3), Pruning(None, 25), Pruning(4, 9)], {}
+    for tree in range(4):
+        trees[tree] = grow(x, y, np.ones(300), Settings(3, subset=1), np.uint64(tree))
+    want = [sum(trees[t].value[forests.stops(trees[t], x, prunings)] for t in range(n)) for n in (3, 1, 4)]
+    met, own = [], forests.stops
+    monkeypatch.setattr(forests, "stops", lambda nodes, x, p: met.append(len(p)) or own(nodes, x, p))
+    got = forests._total(trees, x, prunings, [3, 1, 4])
+    assert np.allclose(got, np.stack(want).transpose(2, 0, 1, 3).reshape(300, -1)) and met == [1] * 4
